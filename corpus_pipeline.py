@@ -1,11 +1,68 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: each stage works on all that the stage before it kept.
 
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of ``documents``. The caller writes each result as Parquet and reads it again for the next stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftgrove.llm import bpe, exact_dedup, jaccard_tree, langid, mixing
+from driftgrove.llm.common import materialise, table
+from driftgrove.llm.queries import MIX, MIX_SEED, VOCABULARY
+
+#: A text goes if less than this share of its n-grams belongs to its best language.
+LEAST_SCORE = 0.2
+#: Fitted, deduplicated and mixed texts depend on hashes and trained filters that SQL can't express.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters and those that look like none of the languages of ``lang``."""
+    told = langid.identify(docs, langid.train(docs))
+    return told.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each content."""
+    return exact_dedup.keep_first(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each component of the n-gram Jaccard join."""
+    found = jaccard_tree.link_components(docs)
+    dropped = materialise(found.filter("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct(), "pipeline-near")
+    if dropped.count() <= jaccard_tree.MAX_BROADCAST:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents at random so that the sources have their target shares, in random order."""
+    return mixing.mix(docs, MIX, seed=MIX_SEED).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and whether the ids decode to the text."""
+    rows = bpe.encode(docs.withColumn("__bytes", F.coalesce("text", F.lit("")).cast("binary")), VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "__bytes"], decoded=True)
+    return rows.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.col("__bytes")).alias("decodes"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_duplicates),
+    ("jaccard_join", near_duplicates),
+    ("source_mix", mixed),
+    ("byte_bpe", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

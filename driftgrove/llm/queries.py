@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrove.llm import bpe, exact_dedup, mixing, secrets, url_rules
-from driftgrove.llm.common import table
+from driftgrove.llm import bpe, exact_dedup, jaccard_tree, langid, lattice_lm, mixing, secrets, spotsigs, toxicity, url_rules
+from driftgrove.llm.common import crc_remainder, table
 
 #: Target shares of the sources in the mixture.
 MIX = {"src0": 0.15, **{f"src{i}": 0.05 for i in range(1, 10)}, "*": 0.40}
 MIX_SEED = "mix-1"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -21,6 +22,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
+    filters = langid.train(docs.filter(~F.col("held_out")))
+    return langid.identify(docs, filters, keep=["doc_id", "held_out"])
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -35,17 +42,40 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX, seed=MIX_SEED)
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_held_out(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_remainder(F.col("doc_id"), 3) == 1).alias("held_out"))
+    model = toxicity.train(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tree.link_components(table(spark, sf_dir, "documents"))
+
+
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edit_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_language_id": op2_language_id,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_source_mix": op5_source_mix,
+        "op6_lattice_lm": op6_lattice_lm,
         "op7_url_filter": op7_url_filter,
+        "op8_toxicity": op8_toxicity,
+        "op9_jaccard_join": op9_jaccard_join,
+        "op10_spotsigs": op10_spotsigs,
     }
 
 

@@ -103,7 +103,8 @@ def scan_unseen(
     if ledger is not None:
         chosen = chosen.join(ledger.filter(F.col("rule_version") == rule_version).select("blob_id"), "blob_id", "left_anti")
     one = chosen.select(F.col("blob_id").alias("b"), F.col("path").alias("p")).hint("shuffle_hash")
-    unseen = all_versions.join(one, (F.col("blob_id") == F.col("b")) & F.col("path").eqNullSafe(F.col("p")), "left_semi")
+    # the text depends on the chosen side, or the scan would be pushed below the join, to all versions
+    unseen = all_versions.join(one, (F.col("blob_id") == F.col("b")) & F.col("path").eqNullSafe(F.col("p"))).select("blob_id", F.when(F.col("b").isNotNull(), F.col("text")).alias("text"))
     findings = scan(unseen, rules).dropDuplicates(["blob_id"]).withColumn("rule_version", F.lit(rule_version))
     return findings, chosen.select("blob_id", F.lit(rule_version).alias("rule_version"))
 
