@@ -73,9 +73,8 @@ def listed(spans: Column) -> Column:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob_id, spans (array of start, end, ord, kind; by start, then kind) of the blobs that have any."""
-    found = blobs.select("blob_id", F.array_sort(F.flatten(F.array(*[rule_spans(F.col("text"), r, i) for i, r in enumerate(rules)]))).alias("spans"))
-    return found.filter(F.size("spans") > 0)
+    """blob_id, spans (array of start, end, ord, kind; by start, then kind) of every row."""
+    return blobs.select("blob_id", F.array_sort(F.flatten(F.array(*[rule_spans(F.col("text"), r, i) for i, r in enumerate(rules)]))).alias("spans"))
 
 
 def address(versions: DataFrame, path: str, text: str) -> DataFrame:
@@ -103,9 +102,10 @@ def scan_unseen(
     if ledger is not None:
         chosen = chosen.join(ledger.filter(F.col("rule_version") == rule_version).select("blob_id"), "blob_id", "left_anti")
     one = chosen.select(F.col("blob_id").alias("b"), F.col("path").alias("p")).hint("shuffle_hash")
-    # the text depends on the chosen side, or the scan would be pushed below the join, to all versions
-    unseen = all_versions.join(one, (F.col("blob_id") == F.col("b")) & F.col("path").eqNullSafe(F.col("p"))).select("blob_id", F.when(F.col("b").isNotNull(), F.col("text")).alias("text"))
-    findings = scan(unseen, rules).dropDuplicates(["blob_id"]).withColumn("rule_version", F.lit(rule_version))
+    unseen = all_versions.join(one, (F.col("blob_id") == F.col("b")) & F.col("path").eqNullSafe(F.col("p")), "left_semi")
+    # blobs without spans go only after the aggregation: an earlier filter would be pushed below the join and scan every version
+    found = scan(unseen, rules).groupBy("blob_id").agg(F.any_value("spans").alias("spans")).filter(F.size("spans") > 0)
+    findings = found.withColumn("rule_version", F.lit(rule_version))
     return findings, chosen.select("blob_id", F.lit(rule_version).alias("rule_version"))
 
 
