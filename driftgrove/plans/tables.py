@@ -1,0 +1,46 @@
+"""Tables in the shared folder, and numbering without a one-partition window."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; a local folder only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='driftgrove-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list, name: str, start: int = 1) -> DataFrame:
+    """``df`` with ``name``: its place in the given order, from ``start``.
+
+    Rows are range-partitioned and sorted; each partition's rows are counted, and the counts (one
+    per partition) give the first number of each.
+    """
+    split = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    held = materialise(split, "numbered")
+    part = F.shiftright("__at", 33)
+    counts = {r["p"]: r["n"] for r in held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, offsets = start, []
+    for p in sorted(counts):
+        offsets.append((p, first))
+        first += counts[p]
+    if not offsets:
+        return held.withColumn(name, F.lit(start).cast("long")).drop("__at")
+    lookup = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair])
+    return held.withColumn(name, lookup[part] + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
