@@ -53,8 +53,8 @@ def fold(patterns: np.ndarray, counts: np.ndarray, first: int, order: Iterable[i
 NODE = "path array<int>, ord int, refuge boolean, words array<int>, top array<int>, expected array<int>, sources array<long>, pairs array<struct<word:int,source:long>>"
 
 
-def subtree(path: list[int], source: np.ndarray, word: np.ndarray, at: np.ndarray, config: BuilderConfig) -> Iterator[dict]:
-    """A row per node of the scope and of all scopes below it."""
+def subtree(path: list[int], source: np.ndarray, word: np.ndarray, at: np.ndarray, config: BuilderConfig, arrival: bool = False) -> Iterator[dict]:
+    """A row per node of the scope and of all scopes below it. ``arrival``: the scope itself is in order of arrival (see ``build``)."""
     todo = [(path, source, word, at)]
     while todo:
         path, source, word, at = todo.pop()
@@ -63,7 +63,14 @@ def subtree(path: list[int], source: np.ndarray, word: np.ndarray, at: np.ndarra
         first_at = np.full(len(words), np.iinfo(np.int64).max)
         np.minimum.at(first_at, wi, at)
         by = np.lexsort((first_at, -df))
-        expected = np.flatnonzero(df / df[by[0]] >= config.minimum_threshold_against_max_word_count)
+        if arrival:
+            line = wi[np.argsort(at, kind="stable")]
+            by = line[:1]
+            low = df[line] / df[by[0]] < config.minimum_threshold_against_max_word_count
+            expected = np.unique(line[: int(low.argmax()) if low.any() else len(line)])
+            arrival = False
+        else:
+            expected = np.flatnonzero(df / df[by[0]] >= config.minimum_threshold_against_max_word_count)
         sources, si = np.unique(source, return_inverse=True)
         hit = np.isin(wi, expected)
         column = np.full(len(words), -1)
@@ -113,11 +120,17 @@ class Tree:
     hkts: DataFrame  # hkt_id, parent_node_id
 
 
-def _level(scope: DataFrame, config: BuilderConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _level(scope: DataFrame, config: BuilderConfig, arrival: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes: path, ord, word; refuge sources: path, source; expected: path, word, df, at, seed) of all given scopes."""
     words = scope.groupBy("path", "word").agg(F.count(F.lit(1)).alias("df"), F.min("at").alias("at"))
     per = Window.partitionBy("path")
     ranked = words.withColumn("most", F.max("df").over(per)).withColumn("seed", F.row_number().over(per.orderBy(F.desc("df"), "at")) == 1)
+    if arrival:
+        order = Window.partitionBy("path").orderBy("at")
+        line = scope.join(words.select("path", "word", "df"), ["path", "word"]).withColumn("most", F.first("df").over(order))
+        line = line.withColumn("ok", F.bool_and(F.col("df") / F.col("most") >= config.minimum_threshold_against_max_word_count).over(order)).filter("ok")
+        ranked = line.groupBy("path", "word").agg(F.first("df").alias("df"), F.min("at").alias("at"), F.first("most").alias("most")).withColumn("seed", F.row_number().over(per.orderBy("at")) == 1)
+        ranked = ranked.withColumn("most", F.col("df"))  # all of these are expected
     expected = materialise(ranked.filter(F.col("df") / F.col("most") >= config.minimum_threshold_against_max_word_count).select("path", "word", "df", "at", "seed"), "tree-expected")
     held = scope.join(expected.select("path", "word"), ["path", "word"]).groupBy("path", "source").agg(F.array_sort(F.collect_list("word")).alias("pattern"))
     patterns = held.groupBy("path", "pattern").agg(F.count(F.lit(1)).alias("n"))
@@ -140,11 +153,12 @@ def _level(scope: DataFrame, config: BuilderConfig) -> tuple[DataFrame, DataFram
     return nodes, refuge, expected
 
 
-def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL) -> Tree:
+def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arrival: bool = False) -> Tree:
     """The tree over postings (source long, word int, at long), each source and word once with its first arrival.
 
     Scopes of more than ``small`` postings go through Spark a level at a time; each smaller one is
-    finished by a single task.
+    finished by a single task. With ``arrival`` the root's postings aren't ranked: its seed is the
+    first word to arrive, and its expected words end where a posting's df is first too small.
     """
     spark = postings.sparkSession
     scope = materialise(postings.select(F.array().cast("array<int>").alias("path"), F.col("source").cast("long").alias("source"), F.col("word").cast("int").alias("word"), F.col("at").cast("long").alias("at")), "tree-scope")
@@ -156,15 +170,18 @@ def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL) -> Tre
         if counts["few"]:
             chosen = scope.join(sizes.filter(F.col("n") <= small).select("path"), "path", "left_semi") if counts["many"] else scope
 
+            ordered = not arrival
+
             def finish(rows: pd.DataFrame) -> pd.DataFrame:
-                found = subtree(list(rows["path"].iloc[0]), rows["source"].to_numpy(), rows["word"].to_numpy(), rows["at"].to_numpy(), config)
+                found = subtree(list(rows["path"].iloc[0]), rows["source"].to_numpy(), rows["word"].to_numpy(), rows["at"].to_numpy(), config, not (ordered or len(rows["path"].iloc[0])))
                 return pd.DataFrame(list(found), columns=[c.strip().split(" ")[0] for c in ("path", "ord", "refuge", "words", "top", "expected", "sources", "pairs")])
 
             local.append(chosen.groupBy("path").applyInPandas(finish, NODE))
         if not counts["many"]:
             break
         large = scope.join(sizes.filter(F.col("n") > small).select("path"), "path", "left_semi")
-        nodes, refuge, expected = _level(large, config)
+        nodes, refuge, expected = _level(large, config, arrival)
+        arrival = False
         pairs = materialise(large.join(nodes, ["path", "word"]).select("path", "ord", "word", "source"), "tree-pairs")
         last = nodes.groupBy("path").agg((F.max("ord") + 1).cast("int").alias("ord"))
         refuge_sources = refuge.join(last, "path").select("path", "ord", "source")
