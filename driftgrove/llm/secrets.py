@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftgrove.llm.common import materialise
+
 #: Changes whenever RULES do.
 RULE_VERSION = "2"
 
@@ -120,6 +122,8 @@ def findings_by_path(versions: DataFrame, findings: DataFrame, path: str = "path
 def secret_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of ``docs``, against an empty ledger."""
     findings, _ = scan_unseen(docs, path="doc_id")
+    # as a table of its own the join back to paths can split a blob that many paths hold
+    findings = materialise(findings, "secret-findings")
     rows = findings_by_path(docs, findings, path="doc_id")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
