@@ -148,5 +148,29 @@ def url_sql() -> str:
       CASE {when(lambda r: r.verdict)} WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM q"""
 
 
+def spotsigs_sql() -> str:
+    anchors = ", ".join(map(_quoted, spotsigs.ANCHORS))
+    near = lambda a, b: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / greatest(len({a}) + len({b}) - len(list_intersect({a}, {b})), 1)::DOUBLE END"
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+    x AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    e AS (SELECT *, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) AS edited FROM x),
+    texts AS (SELECT doc_id, 0 AS kind, t FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+    bare AS (SELECT *, trim(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS words FROM texts),
+    w AS (SELECT doc_id, kind, unnest(string_split(words, ' ')) AS w, unnest(range(len(string_split(words, ' ')))) AS pos FROM bare WHERE words <> ''),
+    m AS (SELECT *, w IN ({anchors}) AS anchor, count(*) FILTER (WHERE w NOT IN ({anchors})) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS c FROM w),
+    s AS (
+      SELECT a.doc_id, a.kind, substr(md5(a.w || ' ' || b.w || ' ' || f.w), 1, 8) AS sig FROM m a
+      JOIN m b ON a.doc_id = b.doc_id AND a.kind = b.kind AND NOT b.anchor AND b.c = a.c + 1
+      JOIN m f ON a.doc_id = f.doc_id AND a.kind = f.kind AND NOT f.anchor AND f.c = a.c + 2 WHERE a.anchor),
+    g AS (SELECT doc_id, kind, list(DISTINCT sig ORDER BY sig) AS sigs FROM s GROUP BY doc_id, kind),
+    f AS (
+      SELECT bare.doc_id, bare.kind, CASE WHEN t = '' THEN []::VARCHAR[] WHEN sigs IS NOT NULL THEN sigs
+        ELSE [substr(md5(CASE WHEN words <> '' THEN words || ' ' ELSE t END), 1, 8)] END AS sigs FROM bare LEFT JOIN g USING (doc_id, kind))
+    SELECT e.doc_id, e.n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(o.sigs, '') AS fingerprint, array_to_string(h.sigs, '') AS edited_fingerprint,
+      {near("o.sigs", "h.sigs")} AS near_edited, {near("o.sigs", "z.sigs")} AS near_next, len(o.sigs)::BIGINT AS n_signatures
+    FROM e JOIN f o ON o.doc_id = e.doc_id AND o.kind = 0 JOIN f h ON h.doc_id = e.doc_id AND h.kind = 1 JOIN f z ON z.doc_id = e.next_id AND z.kind = 0"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets_sql(), "op3_exact_dedup": EXACT_SQL, "op5_source_mix": mix_sql(), "op7_url_filter": url_sql()}
+    return {"op1_secret_scan": secrets_sql(), "op3_exact_dedup": EXACT_SQL, "op5_source_mix": mix_sql(), "op7_url_filter": url_sql(), "op10_spotsigs": spotsigs_sql()}

@@ -33,21 +33,40 @@ def normal(text: Column) -> Column:
     return F.ltrim(F.concat(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "), F.lit(" ")))
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct signature hashes of a text.
+def spots(text: Column) -> Column:
+    """The content words of a text in order, each with the anchors before it: ``anchor anchor word``."""
+    content = f"(?<![^ ])(?!(?:{'|'.join(ANCHORS)}) )([^ ]+) "
+    pieces = F.split(F.regexp_replace(normal(text), content, "$1\n"), "\n")
+    return F.slice(pieces, 1, F.size(pieces) - 1)
+
+
+def add_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sorted distinct signature hashes of a text that isn't null.
 
     A text without any signature has one made of its words, or of itself if it has no words;
     the empty text has none.
     """
-    anchor = f"(?:{'|'.join(ANCHORS)}) "
-    spot = f"(?<![^ ])(?=({anchor}{f'(?:{anchor})*+[^ ]+ ' * CHAIN}))"
-    words = F.regexp_replace(normal(text), " +", " ")
-    bare = lambda s: F.regexp_replace(s, f"(?<= )(?:{anchor})+", "")
     digest = lambda s: F.substring(F.md5(s.cast("binary")), 1, DIGITS)
-    found = F.regexp_extract_all(words, F.lit(spot), F.lit(1))
-    whole = F.when(F.length(F.trim(words)) > 0, words).otherwise(text)
-    some = F.array_sort(F.array_distinct(F.transform(found, lambda s: digest(bare(s)))))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.size(found) > 0, some).otherwise(F.array(digest(whole)))
+    t, spot, chain = F.col(text), f"__spots_{name}", f"__chain_{name}"
+    none = F.array().cast("array<string>")
+
+    def own(s: Column, c: Column) -> Column:
+        anchors = F.split(s, " ")
+        each = F.transform(F.array_distinct(F.slice(anchors, 1, F.size(anchors) - 1)), lambda a: digest(F.concat(a, F.lit(" "), c)))
+        return F.when(c.isNull() | ~s.contains(" "), none).otherwise(each)
+
+    last = F.transform(spot, lambda s: F.substring_index(s, " ", -1))
+    chained = last
+    for k in range(1, CHAIN):
+        chained = F.zip_with(chained, F.slice(last, k + 1, F.greatest(F.size(spot), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    words = F.regexp_replace(normal(t), " +", " ")
+    whole = F.when(F.length(F.trim(words)) > 0, words).otherwise(t)
+    found = f"__found_{name}"
+    # a column for each step, or the steps before would run again for each element
+    out = df.withColumn(spot, spots(t)).withColumn(chain, chained)
+    out = out.withColumn(found, F.array_sort(F.array_distinct(F.flatten(F.zip_with(spot, chain, own)))))
+    full = F.when(F.length(t) == 0, none).when(F.size(found) > 0, F.col(found)).otherwise(F.array(digest(whole)))
+    return out.withColumn(name, F.when(t.isNotNull(), full)).drop(spot, chain, found)
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -67,9 +86,8 @@ def size_part(n: Column, threshold: float) -> Column:
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with signatures, fingerprint and n_chars (code points); a null text counts as empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("signatures", signatures(t)).withColumn("n_chars", F.char_length(t).cast("long"))
-    return out.withColumn("fingerprint", fingerprint(F.col("signatures")))
+    out = add_signatures(docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))), "__t", "signatures")
+    return out.withColumn("n_chars", F.char_length("__t").cast("long")).withColumn("fingerprint", fingerprint(F.col("signatures"))).drop("__t")
 
 
 def search(queries: DataFrame, rows: DataFrame, threshold: float = 0.8, key: str = "doc_id") -> DataFrame:
@@ -144,8 +162,8 @@ def edit_report(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     following = F.when(F.col("id").isNull(), F.lit("")).otherwise(F.coalesce("next_t", F.lit("")))
     edited = F.concat(F.substring("t", F.lit(1), n - half), F.substring(following, F.lit(1), half))
-    texts = rows.withColumn("next_t", F.lead("t").over(order)).select("part", "ghost", "id", "tie", "t", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    sets = texts.select("part", "ghost", "id", "tie", "n_chars", signatures(F.col("t")).alias("s"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.when(~F.col("ghost"), signatures(F.col("edited"))).alias("e"))
+    texts = rows.withColumn("next_t", F.lead("t").over(order)).select("part", "ghost", "id", "tie", "t", n.cast("long").alias("n_chars"), F.when(~F.col("ghost"), edited).alias("edited"))
+    sets = add_signatures(add_signatures(texts, "t", "s"), "edited", "e").drop("t").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
     both = sets.withColumn("x", F.lead("s").over(order)).filter("NOT ghost")
     after = F.when(F.col("id").isNull(), F.array().cast("array<string>")).otherwise(F.coalesce("x", F.array().cast("array<string>")))
     return both.select(
