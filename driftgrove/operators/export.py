@@ -35,7 +35,7 @@ class TreeExport:
         words = s.node_words.select("node_id", "word_id", "token")
         refuge = s.nodes.filter("refuge").select("node_id", F.lit(-1).alias("word_id"), F.lit(REFUGE).alias("token"))
         packed = words.unionByName(refuge).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "token"))).alias("words"))
-        top = self.top_words.join(known, "token", "left").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("rank", "word_id", "token"))).alias("t")).select("node_id", F.transform("t", lambda x: F.struct(x["word_id"].alias("word_id"), x["token"].alias("token"))).alias("top_words"))
+        top = self.top_words.join(known, "token", "left").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("word_id", "token"))).alias("top_words"))
         named = s.node_sources.join(self.registry, "source", "left").select("node_id", "source", F.coalesce("source_id", F.lit(UNKNOWN)).alias("source_id"))
         sources = named.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("source", "source_id"))).alias("sources"))
         out = s.nodes.join(packed, "node_id", "left").join(top, "node_id", "left").join(sources, "node_id", "left")
@@ -43,11 +43,14 @@ class TreeExport:
         return out.select("node_id", "hkt_id", "ord", "refuge", empty("words", "word_id:int,token:string"), empty("top_words", "word_id:int,token:string"), empty("sources", "source:bigint,source_id:string"))
 
     def hkts(self) -> DataFrame:
-        """hkt_id, parent_node_id, node_ids in order, expected_words by token, words: all words of its nodes, by token."""
+        """hkt_id, parent_node_id, node_ids in order, expected_words and words (all of its nodes), by word id; new words come last, by token."""
         s = self.state
+        ids = self.vocabulary.select("token", "word_id")
+        order = F.struct(F.coalesce("word_id", F.lit(2147483647)).alias("i"), F.col("token").alias("t"))
+        listed = lambda df, name: df.join(ids, "token", "left").groupBy("hkt_id").agg(F.transform(F.array_sort(F.collect_set(order)), lambda x: x["t"]).alias(name))
         nodes = s.nodes.groupBy("hkt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id"))), lambda x: x["node_id"]).alias("node_ids"))
-        expected = s.expected.groupBy("hkt_id").agg(F.array_sort(F.collect_set("token")).alias("expected_words"))
-        words = s.node_words.join(s.nodes.select("node_id", "hkt_id"), "node_id").groupBy("hkt_id").agg(F.array_sort(F.collect_set("token")).alias("words"))
+        expected = listed(s.expected, "expected_words")
+        words = listed(s.node_words.select("node_id", "token").join(s.nodes.select("node_id", "hkt_id"), "node_id"), "words")
         none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
         out = s.hkts.join(nodes, "hkt_id", "left").join(expected, "hkt_id", "left").join(words, "hkt_id", "left")
         return out.select("hkt_id", "parent_node_id", none("node_ids", "array<int>"), none("expected_words", "array<string>"), none("words", "array<string>"))

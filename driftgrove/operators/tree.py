@@ -28,25 +28,40 @@ TOP_WORDS = 10
 REFUGE = -1
 
 
-def fold(patterns: np.ndarray, counts: np.ndarray, first: int, order: Iterable[int], similarity: float) -> list[list[int]]:
-    """Words of each node. ``patterns``: a row per set of sources, a column per word; ``first`` seeds the first node, ``order`` follows."""
-    nodes = [[first]]
-    covered = [patterns[:, first].copy()]
+def fold(rows: list[np.ndarray], counts: np.ndarray, first: int, order: Iterable[int], similarity: float) -> list[list[int]]:
+    """Words of each node. ``rows``: the sets of sources that hold each word, ``counts``: how many sources a set stands for.
+
+    ``first`` seeds the first node and the words of ``order`` follow: each joins the node of whose
+    sources it covers the largest share, the earliest on ties, if that is ``similarity`` or more.
+    Only nodes that share a source with the word are looked at.
+    """
+    weight = counts.tolist()
+    nodes: list[list[int]] = []
+    held: list[int] = []
+    of_row: list[list[int]] = [[] for _ in weight]
+
+    def put(w: int, node: int) -> None:
+        if node == len(nodes):
+            nodes.append([])
+            held.append(0)
+        nodes[node].append(w)
+        for r in rows[w].tolist():
+            if node not in of_row[r]:
+                of_row[r].append(node)
+                held[node] += weight[r]
+
+    put(first, 0)
     for w in order:
-        own = patterns[:, w]
-        best, at = -1.0, -1
-        for i, c in enumerate(covered):
-            held = counts[c].sum()
-            if held:
-                share = counts[c & own].sum() / held
-                if share >= similarity and share > best:
-                    best, at = share, i
-        if at < 0:
-            nodes.append([w])
-            covered.append(own.copy())
-        else:
-            nodes[at].append(w)
-            covered[at] |= own
+        common: dict[int, int] = {}
+        for r in rows[w].tolist():
+            for n in of_row[r]:
+                common[n] = common.get(n, 0) + weight[r]
+        best, at = -1.0, len(nodes)
+        for n, c in common.items():
+            share = c / held[n]
+            if share >= similarity and (share > best or share == best and n < at):
+                best, at = share, n
+        put(w, 0 if not common and similarity <= 0 else at)
     return nodes
 
 
@@ -75,11 +90,15 @@ def subtree(path: list[int], source: np.ndarray, word: np.ndarray, at: np.ndarra
         hit = np.isin(wi, expected)
         column = np.full(len(words), -1)
         column[expected] = np.arange(len(expected))
-        matrix = np.zeros((len(sources), len(expected)), bool)
-        matrix[si[hit], column[wi[hit]]] = True
+        by_word = np.argsort(column[wi[hit]], kind="stable")
+        rows = np.split(si[hit][by_word], np.cumsum(df[expected])[:-1])
         seed = int(column[by[0]])
-        nodes = fold(matrix, np.ones(len(sources), np.int64), seed, [c for c in range(len(expected)) if c != seed], config.similarity_threshold)
-        members = [(sorted(expected[n].tolist()), matrix[:, n].any(1)) for n in nodes]
+        nodes = fold(rows, np.ones(len(sources), np.int64), seed, [c for c in range(len(expected)) if c != seed], config.similarity_threshold)
+        members = []
+        for n in nodes:
+            mask = np.zeros(len(sources), bool)
+            mask[np.concatenate([rows[c] for c in n])] = True
+            members.append((sorted(expected[n].tolist()), mask))
         left = ~np.logical_or.reduce([m for _, m in members])
         if left.any():
             members.append(([], left))
@@ -95,7 +114,7 @@ def subtree(path: list[int], source: np.ndarray, word: np.ndarray, at: np.ndarra
                 b_df, b_at = np.bincount(bi), np.full(len(bw), np.iinfo(np.int64).max)
                 np.minimum.at(b_at, bi, at[below])
                 top = words[own].tolist() + words[bw[np.lexsort((b_at, -b_df))]].tolist()[: max(0, TOP_WORDS - len(own))]
-            pair = inside & np.isin(wi, own)
+            pair = inside & ~below
             yield {
                 "path": path, "ord": k, "refuge": refuge, "words": [REFUGE] if refuge else words[own].tolist(), "top": top,
                 "expected": words[np.setdiff1d(expected, by[:1])].tolist() if k == 0 else [], "sources": sources[mask].tolist(),
@@ -139,11 +158,12 @@ def _level(scope: DataFrame, config: BuilderConfig, arrival: bool = False) -> tu
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         known = sorted({w for p in rows["pattern"] for w in p})
         place = {w: i for i, w in enumerate(known)}
-        matrix = np.zeros((len(rows), len(known)), bool)
+        held: list[list[int]] = [[] for _ in known]
         for i, p in enumerate(rows["pattern"]):
-            matrix[i, [place[w] for w in p]] = True
+            for w in p:
+                held[place[w]].append(i)
         seed = place[int(rows["seed"].iloc[0])]
-        nodes = fold(matrix, rows["n"].to_numpy(), seed, [i for i in range(len(known)) if i != seed], config.similarity_threshold)
+        nodes = fold([np.array(x) for x in held], rows["n"].to_numpy(), seed, [i for i in range(len(known)) if i != seed], config.similarity_threshold)
         path = list(rows["path"].iloc[0])
         return pd.DataFrame([(path, k, known[w]) for k, n in enumerate(nodes) for w in n], columns=["path", "ord", "word"])
 

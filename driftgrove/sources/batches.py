@@ -38,9 +38,9 @@ def read_json_batch(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_sources(spark: SparkSession, path: str) -> DataFrame:
     """Bare sources, as a JSON array or as lines; source_index follows the order of source_id."""
-    raw = spark.read.schema(SOURCE).option("multiLine", True).json(path)
-    if raw.filter("source_id IS NOT NULL").limit(1).count() == 0:
-        raw = spark.read.schema(SOURCE).json(path)
+    raw = spark.read.schema(SOURCE).json(path)
+    if raw.filter("source_id IS NULL").limit(1).count():  # not a document per line
+        raw = spark.read.schema(SOURCE).option("multiLine", True).json(path)
     return numbered(raw.filter("source_id IS NOT NULL"), ["source_id"], "source_index", 0)
 
 
