@@ -1,4 +1,4 @@
-"""Registry of the queries over the reference operators and their DuckDB SQL."""
+"""Registry of the queries over the library's own operators."""
 
 from __future__ import annotations
 
@@ -6,15 +6,431 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from driftgrove.config import ThresholdConfig
+from driftgrove.engine import Engine
+from driftgrove.functions.text import STOP_WORDS
+from driftgrove.operators import drift, postings, prune, views
+from driftgrove.plans import workload as wl
+from driftgrove.sources import batches, timeline
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    REGISTRY[f.__name__] = f
+    return f
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from driftgrove.plans import oracle
+
+    return oracle.statements()
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: all words by document frequency and first appearance."""
+    return ranked_words(spark, sf_dir)
+
+
+# -- sources
+
+
+@query
+def scan_sources(spark, sf):
+    return wl.sources(spark, sf).select("batch_index", "source_index", "source_id", F.size("tokens").alias("n_tokens"), "metadata")
+
+
+@query
+def csv_ingest(spark, sf):
+    docs = wl.documents(spark, sf)
+    table = docs.select((F.col("doc_id") + 1).alias("row"), F.substring("text", 1, 80).alias("Title"), F.col("lang").alias("ShortSummary"), F.col("source").alias("Description"), F.concat(F.lit(" http://x/"), "source", F.lit(" ")).alias("URL"))
+    return batches.csv_sources(table, "row", 0, 3).select("source_index", "source_id", F.array_join("tokens", " ").alias("tokens"), "text", "metadata")
+
+
+@query
+def source_catalog(spark, sf):
+    return batches.catalog(wl.sources(spark, sf))
+
+
+@query
+def source_ids(spark, sf):
+    return postings.source_ids(wl.sources(spark, sf))
+
+
+@query
+def chunk_batches(spark, sf):
+    return wl.dealt(spark, sf).groupBy("batch_index").agg(F.count(F.lit(1)).alias("sources"), F.min("source_index").alias("first"), F.max("source_index").alias("last"))
+
+
+@query
+def source_registry(spark, sf):
+    """Each source with the last batch that it is in; the last batch sends every tenth source again."""
+    rows = wl.dealt(spark, sf).select("source_id", "source_index", "batch_index")
+    again = rows.filter(F.col("source_index") % 10 == 0).select("source_id", "source_index", F.lit(wl.BATCHES).cast("long").alias("batch_index"))
+    return rows.unionByName(again).groupBy("source_id").agg(F.max("batch_index").alias("last_batch"), F.count(F.lit(1)).alias("batches"))
+
+
+# -- postings and frequencies
+
+
+@query
+def postings_rows(spark, sf):
+    return postings.postings(wl.sources(spark, sf))
+
+
+@query
+def doc_tokens(spark, sf):
+    return postings.doc_tokens(wl.sources(spark, sf)).select("source_index", "token")
+
+
+@query
+def word_df(spark, sf):
+    return postings.word_df(wl.sources(spark, sf))
+
+
+@query
+def vocabulary(spark, sf):
+    return postings.vocabulary(wl.sources(spark, sf))
+
+
+@query
+def ranked_words(spark, sf):
+    return postings.ranked_words(wl.sources(spark, sf))
+
+
+@query
+def expected_words(spark, sf):
+    return postings.expected_words(wl.sources(spark, sf), 0.5)
+
+
+@query
+def expected_prefix(spark, sf):
+    """The prefix of each language's postings, in order of arrival, whose words are frequent next to the first one's."""
+    docs = wl.documents(spark, sf).select(F.col("doc_id").alias("source_index"), "lang")
+    first = postings.first_places(wl.sources(spark, sf)).join(docs, "source_index")
+    df = first.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("df"))
+    rows = first.join(df, ["lang", "token"]).select(F.col("lang").alias("scope"), "at", "token", "df")
+    return postings.expected_prefix(rows, 0.1)
+
+
+@query
+def seed_word(spark, sf):
+    return postings.seed_word(wl.sources(spark, sf))
+
+
+@query
+def scope_filter(spark, sf):
+    """Words of the labelled documents alone."""
+    chosen = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("source_index")).distinct()
+    return postings.word_df(wl.sources(spark, sf).join(chosen, "source_index", "left_semi"))
+
+
+@query
+def branch_scope(spark, sf):
+    """Under the seed word's node: the other words of its sources, with frequencies within them."""
+    rows = postings.doc_tokens(wl.sources(spark, sf)).select("source_index", "token")
+    seed = postings.seed_word(wl.sources(spark, sf)).select("token")
+    held = rows.join(F.broadcast(seed), "token", "left_semi").select("source_index")  # one row
+    return rows.join(held, "source_index", "left_semi").join(F.broadcast(seed), "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query
+def known_new_words(spark, sf):
+    return postings.known_new(wl.last_batch(spark, sf), wl.vocabulary(spark, sf))
+
+
+@query
+def batch_word_stats(spark, sf):
+    return postings.batch_word_stats(wl.last_batch(spark, sf), wl.vocabulary(spark, sf))
+
+
+@query
+def batch_trigger_metrics(spark, sf):
+    t = ThresholdConfig()
+    return postings.batch_trigger_metrics(batch_word_stats(spark, sf), t.alpha, t.beta, (t.alpha_error_threshold, t.beta_error_threshold, t.word_importance_error_threshold))
+
+
+@query
+def containment(spark, sf):
+    """For each pair of the first ranked words the share of the one's sources that hold the other."""
+    rows = wl.known_tokens(wl.baseline(spark, sf)).join(F.broadcast(wl.ranks(spark, sf).select("token")), "token")  # CHILD_WORDS rows
+    size = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    sets = rows.groupBy("source").agg(F.array_sort(F.collect_list("token")).alias("words"))  # CHILD_WORDS words at most
+    pairs = sets.groupBy("words").agg(F.count(F.lit(1)).alias("n")).select("n", "words", F.explode("words").alias("token")).select("n", "token", F.explode("words").alias("other"))
+    return pairs.groupBy("token", "other").agg(F.sum("n").alias("n")).join(size, "token").select("token", "other", (F.col("n") / F.col("size")).alias("share"))
+
+
+@query
+def refuge_sources(spark, sf):
+    return wl.fixed_state(spark, sf).node_sources.filter("node_id = 5").select("source")
+
+
+@query
+def top_words(spark, sf):
+    """The seed word, then the first of the words below its node, ten in all."""
+    seed = postings.seed_word(wl.sources(spark, sf)).select("token")
+    first = postings.first_places(wl.sources(spark, sf)).select("source_index", "token", "at")
+    held = first.join(F.broadcast(seed), "token", "left_semi").select("source_index")  # one row
+    below = first.join(held, "source_index", "left_semi").join(F.broadcast(seed), "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("at").alias("at"))
+    return below.orderBy(F.desc("df"), "at").limit(9).select("token").unionByName(seed)
+
+
+# -- drift at the root of the fixed tree
+
+
+@query
+def route_batch(spark, sf):
+    return wl.fixed_level(spark, sf).routed.select("hkt_id", "node_id", "source")
+
+
+@query
+def scope_df(spark, sf):
+    return wl.fixed_level(spark, sf).scope_df
+
+
+@query
+def node_df(spark, sf):
+    return wl.fixed_level(spark, sf).node_df
+
+
+@query
+def state0_df(spark, sf):
+    return wl.fixed_level(spark, sf).state0_df
+
+
+@query
+def state0_node_postings(spark, sf):
+    return wl.fixed_level(spark, sf).state0
+
+
+@query
+def update_stage(spark, sf):
+    """Expected words (node 0) and the words that nodes take."""
+    level = wl.fixed_level(spark, sf)
+    return level.expected.select("hkt_id", F.lit(0).alias("node_id"), "token").unionByName(level.assigned)
+
+
+@query
+def word_change(spark, sf):
+    rows = wl.fixed_level(spark, sf).word_change
+    return rows.select([F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+@query
+def paper_metrics(spark, sf):
+    rows = wl.fixed_level(spark, sf).errors
+    return rows.select([F.round(c, 9).alias(c) if c in ("alpha_value", "beta_value", "retained") else F.col(c) for c in rows.columns])
+
+
+@query
+def paper_trigger(spark, sf):
+    return wl.fixed_level(spark, sf).decisions("PaperDiagnosticScaffold")
+
+
+@query
+def placeholder_trigger(spark, sf):
+    return wl.fixed_level(spark, sf).decisions("Placeholder")
+
+
+@query
+def scope_sizes(spark, sf):
+    return wl.fixed_level(spark, sf).scope_sizes
+
+
+@query
+def merge_state1(spark, sf):
+    """Sources per node and word once the batch is merged into the root."""
+    level = wl.fixed_level(spark, sf)
+    state = drift.merged(wl.fixed_state(spark, sf), [level], [level.hkts.select("hkt_id")])
+    return state.word_sources.groupBy("node_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def next_frontier(spark, sf):
+    """The child HKT's sources of the batch."""
+    level = wl.fixed_level(spark, sf)
+    return level.below(level.hkts.select("hkt_id")).frontier
+
+
+@query
+def window_sources(spark, sf):
+    """Sources that a window of three batches keeps in the fixed tree."""
+    active = wl.dealt(spark, sf).filter(F.col("batch_index") >= wl.BATCHES - 3).select(F.col("source_index").alias("source"))
+    state, _ = prune.light(wl.fixed_state(spark, sf), active)
+    return state.node_sources.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- exports and views of the fixed tree
+
+
+@query
+def tree_edges(spark, sf):
+    return wl.fixed_tree(spark, sf).edges()
+
+
+@query
+def verbose_nodes(spark, sf):
+    rows = wl.fixed_tree(spark, sf).nodes()
+    return rows.select("node_id", "hkt_id", "ord", "refuge", F.array_join(F.transform("words", lambda w: w["token"]), " ").alias("words"), F.array_join(F.transform("sources", lambda s: s["source_id"]), ",").alias("sources"))
+
+
+@query
+def verbose_hkts(spark, sf):
+    rows = wl.fixed_tree(spark, sf).hkts()
+    return rows.select("hkt_id", "parent_node_id", F.array_join(F.col("node_ids").cast("array<string>"), ",").alias("node_ids"), F.array_join("expected_words", " ").alias("expected_words"), F.array_join("words", " ").alias("words"))
+
+
+@query
+def tree_view(spark, sf):
+    return views.tree_view(wl.fixed_tree(spark, sf)).drop("date", "source_ids")
+
+
+@query
+def node_paths(spark, sf):
+    return views.node_paths(wl.fixed_tree(spark, sf))
+
+
+@query
+def tree_validation(spark, sf):
+    return views.validation(wl.fixed_tree(spark, sf))
+
+
+def _assignments(spark, sf):
+    return views.source_assignments(wl.fixed_tree(spark, sf), batches.catalog(wl.baseline(spark, sf)))
+
+
+@query
+def source_assignments(spark, sf):
+    return _assignments(spark, sf)
+
+
+@query
+def hkt_treemap(spark, sf):
+    return views.treemap(_assignments(spark, sf))
+
+
+@query
+def assign_filter(spark, sf):
+    return views.assignment_filter(_assignments(spark, sf), None, 6)
+
+
+@query
+def source_search(spark, sf):
+    return views.source_search(_assignments(spark, sf), "DOC_1", by="source_id").select("source_id", "title")
+
+
+@query
+def subtree_filter(spark, sf):
+    return views.subtree_filter(views.tree_view(wl.fixed_tree(spark, sf)), None, 1).select("node_id", "label")
+
+
+@query
+def tree_explorer(spark, sf):
+    return views.explorer(views.tree_view(wl.fixed_tree(spark, sf)), min_sources=2, max_depth=0).select("node_id", "label", "source_count")
+
+
+@query
+def ancestor_chain(spark, sf):
+    s = wl.fixed_state(spark, sf)
+    return prune.ancestors(s.hkts, s.nodes, 6)
+
+
+# -- the baseline's own tree, replay and rebuild (no SQL: sequential folds)
+
+
+@query
+def tree_nodes(spark, sf):
+    s = wl.engine(spark, sf).state
+    words = s.node_words.groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("words"))
+    held = s.node_sources.groupBy("node_id").agg(F.count(F.lit(1)).alias("sources"))
+    return s.nodes.join(held, "node_id").join(words, "node_id", "left")
+
+
+@query
+def tree_stats(spark, sf):
+    return views.validation(wl.engine(spark, sf).tree())
+
+
+@query
+def tree_outline(spark, sf):
+    return spark.createDataFrame([(i, x) for i, x in enumerate(wl.engine(spark, sf).tree().outline().split("\n"))], "line int, text string")
+
+
+@query
+def trigger_plan(spark, sf):
+    e = wl.engine(spark, sf)
+    held = wl.last_batch(spark, sf).join(postings.source_ids(wl.last_batch(spark, sf)).withColumnRenamed("internal_id", "source"), "source_id")
+    level = drift.root_level(e.state, held.select("source"), e._tokens(held), e._first(), e.config.thresholds, e.vocabulary.select("token"))
+    return drift.plan(level, e.config.trigger_policy_mode)[0]
+
+
+@query
+def timeline_summary(spark, sf):
+    """Two chunks: the tree's size after each."""
+    rows = []
+    n = wl.dealt(spark, sf).count()
+    engine = Engine(spark, wl.config(n))
+    timeline.replay(engine, wl.sources(spark, sf), 2, lambda i, e: rows.append((i, e.state.hkts.count(), e.state.nodes.count(), e.registry.count())))
+    return spark.createDataFrame(rows, "batch_index int, hkts long, nodes long, sources long")
+
+
+@query
+def full_rebuild(spark, sf):
+    """Nodes after a batch that always triggers."""
+    names = [f"{n}_option{i}_threshold" for n, k in (("alpha", 3), ("beta", 3), ("word_importance", 2)) for i in range(1, k + 1)]
+    engine = Engine(spark, wl.config(wl.dealt(spark, sf).count(), thresholds=ThresholdConfig(alpha=0.0, beta=0.0, **dict.fromkeys(names, 0.0))))
+    engine.build_baseline(wl.baseline(spark, sf))
+    engine.process_batch(wl.last_batch(spark, sf), 1)
+    return engine.state.node_sources.groupBy("node_id").agg(F.count(F.lit(1)).alias("sources"))
+
+
+@query
+def window_prune(spark, sf):
+    """What pruning to the last batch but one leaves of the baseline's own tree."""
+    e = wl.engine(spark, sf)
+    kept = wl.dealt(spark, sf).filter(F.col("batch_index") == wl.BATCHES - 2).select("source_id")
+    state, _ = prune.light(e.state, e.registry.join(kept, "source_id", "left_semi").select("source"))
+    return state.nodes.join(state.node_sources.groupBy("node_id").agg(F.count(F.lit(1)).alias("sources")), "node_id")
+
+
+@query
+def rebuild_scope(spark, sf):
+    """Frequencies in the scope that a rebuild of the tree under its first branch works on."""
+    e = wl.engine(spark, sf)
+    target = e.state.hkts.filter("parent_node_id <> 0").agg(F.min("hkt_id")).first()[0] or 1
+    parent = e.state.hkts.filter(F.col("hkt_id") == target).select(F.col("parent_node_id").alias("node_id"))
+    above = e.state.node_words.join(parent, "node_id").select("token")
+    rows = e.rebuild_scope(target, spark.createDataFrame([], "source long"), above)
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query
+def rebuild_report(spark, sf):
+    """Sources, words, known and new words of each HKT's scope in the last batch."""
+    return wl.fixed_level(spark, sf).scope_sizes.select("hkt_id", "scoped_sources", (F.col("known_words") + F.col("new_words")).alias("words"), "known_words", "new_words")
+
+
+@query
+def node_beta(spark, sf):
+    """Share of new words among the distinct words routed to each node."""
+    level = wl.fixed_level(spark, sf)
+    known = wl.vocabulary(spark, sf).select("token", F.lit(1).alias("k"))
+    rows = level.node_df.join(known, "token", "left").groupBy("node_id").agg(F.count(F.lit(1)).alias("words"), F.count_if(F.col("k").isNull()).alias("new_words"))
+    return rows.withColumn("share", F.round(F.col("new_words") / F.col("words"), 9))
+
+
+@query
+def doc_lengths(spark, sf):
+    """Number of tokens of each conversation turn as a source, with its place in the conversation."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    from driftgrove.functions.text import words
+
+    return turns.select("conv_id", "turn", F.row_number().over(order).cast("long").alias("place"), F.size(words(F.col("text"), STOP_WORDS)).cast("long").alias("n_tokens"))
