@@ -74,8 +74,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id with equal texts are reduced to one; a null doc_id counts as a value.
     """
-    groups = content_groups(docs).select(F.col("best.id").alias("keep_id"), F.col("digest").alias("keep_digest"))
+    groups = content_groups(docs).select(F.col("best.id").alias("__keep_id"), F.col("digest").alias("__keep_digest"))
     kept = materialise(groups, "exact-kept")
     marked = docs.withColumn("__digest", sha256(normalise(F.col("text"))))
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__digest") == F.col("keep_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__digest") == F.col("__keep_digest"))
     return marked.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
