@@ -16,13 +16,13 @@ from driftgrove.sources import batches, timeline
 
 
 def serve(path: str, port: int) -> None:
-    """Answers GET /seca-tree with the file."""
+    """Answers GET with the file on /tree and on any path that ends in -tree."""
     with open(path, "rb") as f:
         body = f.read()
 
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self) -> None:
-            found = self.path.split("?")[0] == "/seca-tree"
+            found = self.path.split("?")[0].endswith(("/tree", "-tree"))
             self.send_response(200 if found else 404)
             self.send_header("Content-Type", "application/json")
             self.end_headers()

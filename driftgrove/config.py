@@ -78,7 +78,7 @@ class Config:
     def to_dict(self) -> dict:
         return {
             "hkt_builder": dataclasses.asdict(self.builder),
-            "seca_thresholds": dataclasses.asdict(self.thresholds),
+            "thresholds": dataclasses.asdict(self.thresholds),
             "memory_mode": self.memory_mode,
             "max_batches_in_memory": self.max_batches_in_memory,
             "trigger_policy_mode": self.trigger_policy_mode,
@@ -86,7 +86,8 @@ class Config:
 
     @classmethod
     def from_dict(cls, raw: dict, strict: bool = False) -> Config:
-        """Missing keys take their defaults; ``strict`` refuses missing and unknown ones."""
+        """Missing keys take their defaults; ``strict`` refuses missing and unknown ones. Any key that ends in ``_thresholds`` stands for ``thresholds``."""
+        raw = {"thresholds" if k.endswith("_thresholds") else k: v for k, v in raw.items()}
 
         def part(kind, given: dict, where: str):
             names = {f.name for f in dataclasses.fields(kind)}
@@ -97,7 +98,7 @@ class Config:
         if strict and set(raw) != set(cls().to_dict()):
             raise InvalidConfiguration(f"missing or unknown keys {sorted(set(raw) ^ set(cls().to_dict()))}")
         top = {k: raw[k] for k in ("memory_mode", "max_batches_in_memory", "trigger_policy_mode") if k in raw}
-        return cls(part(BuilderConfig, raw.get("hkt_builder", {}), "hkt_builder"), part(ThresholdConfig, raw.get("seca_thresholds", {}), "seca_thresholds"), **top)
+        return cls(part(BuilderConfig, raw.get("hkt_builder", {}), "hkt_builder"), part(ThresholdConfig, raw.get("thresholds", {}), "thresholds"), **top)
 
     @classmethod
     def load(cls, path: str, strict: bool = False) -> Config:

@@ -184,15 +184,15 @@ class Engine:
             self.batches = {i: b for i, b in self.batches.items() if i > batch_index - window}
         kept = f", max: {window}" if window else ""
         notes.append(f"Memory mode: {self.config.memory_mode} (stored batches: {len(self.batches)}{kept})")
-        codes = ["INCREMENTAL_BATCH_PROCESSED", "BATCH_WORD_STATS_COMPUTED", "SECA_SCOPE_MAPPING_COMPLETED", "SECA_SCOPE_METRICS_COMPUTED", "SECA_TRIGGER_EVALUATED"]
+        codes = ["INCREMENTAL_BATCH_PROCESSED", "BATCH_WORD_STATS_COMPUTED", "SCOPE_MAPPING_COMPLETED", "SCOPE_METRICS_COMPUTED", "TRIGGER_EVALUATED"]
         if triggered:
-            codes += ["SECA_RECONSTRUCTION_TRIGGERED", "SECA_REBUILD_ACTION_REQUESTED", self._rebuild([h for h, _ in triggered], levels)]
+            codes += ["RECONSTRUCTION_TRIGGERED", "REBUILD_ACTION_REQUESTED", self._rebuild([h for h, _ in triggered], levels)]
         else:
-            codes.append("SECA_RECONSTRUCTION_SKIPPED")
+            codes.append("RECONSTRUCTION_SKIPPED")
         if window:
             report = self._prune(batch_index - window + 1)
             notes.append(f"Pruning: active sources={report['active']}, pruned sources={report['sources']}, nodes={report['nodes']}, HKTs={report['hkts']}")
-            codes.append("SECA_LIGHT_PRUNING_APPLIED")
+            codes.append("WINDOW_PRUNING_APPLIED")
         self.last_batch_index = batch_index
         self.explanation = Explanation(f"Batch {batch_index} processed", codes)
         return BatchResult(batch_index, self.last_stats["sources"], bool(triggered), notes)
@@ -203,12 +203,12 @@ class Engine:
         root = self.state.hkts.filter("parent_node_id = 0").agg(F.min("hkt_id")).first()[0]
         if self.rebuild_mode == "full" or (self.rebuild_mode == "hybrid" and root in targets):
             self.rebuild_all()
-            return "SECA_FULL_REBUILD_EXECUTED" if self.rebuild_mode == "full" else "SECA_HYBRID_REBUILD_FALLBACK_EXECUTED"
+            return "FULL_REBUILD_EXECUTED" if self.rebuild_mode == "full" else "HYBRID_REBUILD_FALLBACK_EXECUTED"
         for target in targets:
             mine = next(x for x in levels if x.frontier.filter(F.col("hkt_id") == target).limit(1).count())
             one = F.col("hkt_id") == target
             self.rebuild_subtree(target, mine.frontier.filter(one).select("source"), mine.accepted.filter(one).select("token"))
-        return "SECA_SELECTED_REBUILD_EXECUTED"
+        return "SELECTED_REBUILD_EXECUTED"
 
     def rebuild_all(self) -> None:
         """The tree anew from the retained batches; words are numbered anew and sources registered again."""

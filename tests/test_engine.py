@@ -59,7 +59,7 @@ def test_merge_without_rebuild_and_restore(spark, make_sources, tmp_path):
     before = flat(e)
     r = e.process_batch(make_sources(QUAKE[1]), 1)
     assert not r.reconstruction_triggered and flat(e) != before
-    assert "SECA_RECONSTRUCTION_SKIPPED" in e.explain_last_update().reason_codes
+    assert "RECONSTRUCTION_SKIPPED" in e.explain_last_update().reason_codes
     invariants(e)
     path = f"file://{tmp_path}/saved"
     e.save(path)
@@ -77,7 +77,7 @@ def test_full_rebuild_equals_a_fresh_baseline(spark, make_sources):
     e = Engine(spark, always())
     e.build_baseline(make_sources(QUAKE[0]))
     r = e.process_batch(make_sources(NOVEL), 1)
-    assert r.reconstruction_triggered and "SECA_FULL_REBUILD_EXECUTED" in e.explain_last_update().reason_codes
+    assert r.reconstruction_triggered and "FULL_REBUILD_EXECUTED" in e.explain_last_update().reason_codes
     assert {r["token"] for r in e.vocabulary.collect()} >= {"volcano", "ash"}
     fresh = Engine(spark, always())
     fresh.build_baseline(make_sources(QUAKE[0] | NOVEL))
@@ -96,7 +96,7 @@ def test_rebuild_modes(spark, make_sources, mode):
         assert min(h[0] for h in hkts) > max(old[0]) and min(n[0] for n in nodes) > max(old[1])
         assert e.tree().plain()["logically_removed_hkts"]
     else:
-        assert "SECA_HYBRID_REBUILD_FALLBACK_EXECUTED" in e.explain_last_update().reason_codes
+        assert "HYBRID_REBUILD_FALLBACK_EXECUTED" in e.explain_last_update().reason_codes
     invariants(e)
 
 
@@ -110,7 +110,7 @@ def test_window(spark, make_sources):
         counts.append(e.stored_batch_count)
     assert counts == [1, 2, 2]
     assert "s0" not in {r["source_id"] for r in e.registry.collect()}
-    assert "SECA_LIGHT_PRUNING_APPLIED" in e.explain_last_update().reason_codes
+    assert "WINDOW_PRUNING_APPLIED" in e.explain_last_update().reason_codes
     with pytest.raises(InvalidConfiguration):
         Config(memory_mode="SlidingWindow", max_batches_in_memory=0).window
 

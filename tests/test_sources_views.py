@@ -138,7 +138,7 @@ def test_command_line(spark, make_sources, tmp_path, capsys):
     assert main(["baseline", batch, "--config", str(tmp_path / "c.json"), "--dump-tree", str(tmp_path / "t.json"), "--snapshot-out", str(tmp_path / "s.json"), "--print"]) == 0
     assert "HKT 1" in capsys.readouterr().out
     assert len(json.load(open(tmp_path / "t.json"))["nodes"]) == 5
-    assert json.load(open(tmp_path / "s.json"))["config"]["seca_thresholds"]["alpha"] == 0.7
+    assert json.load(open(tmp_path / "s.json"))["config"]["thresholds"]["alpha"] == 0.7
     save_json({"a": 1}, str(tmp_path / "x" / "y.json"))
     table = tmp_path / "t.csv"
     table.write_text("Title\nStorm coast\n")
