@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch. With whole texts of a few kB a batch stays at a few MB.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,12 @@ def hash_share(col: Column) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session keep to BATCH_ROWS and BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_text(
     df: DataFrame,
     fn: Callable[[pa.Array], list[pa.Array]],
@@ -74,7 +80,7 @@ def map_text(
                 columns = [batch.column(i) for i in range(len(names) - len(fields))]
                 yield pa.RecordBatch.from_arrays(columns + fn(batch.column(batch.num_columns - 1)), names=names)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df.sparkSession)
     return src.mapInArrow(run, schema)
 
 

@@ -4,23 +4,27 @@ Two documents link when the Jaccard likeness of their sets of distinct five-word
 or more. The join is exact (shingles are compared by 64-bit hashes) and runs in these steps:
 
 1. A sketch of fixed size counts all shingles, so that common ones can be put last.
-2. Equal sets become one class. A class is known by its size, a bitmap of its shingles and its
-   prefix: so many of its rarest shingles that two linked sets share one of them.
+2. Equal sets become one class, told apart by a 64-bit digest. A class is known by its size, a
+   bitmap of its shingles and its prefix: so many of its rarest shingles that two linked sets
+   share one of them. Only prefixes are exchanged, once, and each task passes a class on once.
 3. Classes that share a prefix shingle form a bucket; buckets with the same classes are one. In
    each bucket a signature tree (nodes with OR-combined bitmaps and size ranges) is traversed
    against itself; node pairs whose largest possible overlap is too small are pruned, and so are
    those that are connected already. What is left is a spanning forest of the pairs that may link.
-4. Components of these forests are blocks. Only for classes in blocks are the sets themselves
-   made, from one document of each class, and sent to their block once. There the same traversal
-   compares sets exactly and connects those that link.
+4. Components of these forests are blocks. Large documents, whose bitmaps are the fullest, can
+   chain there, so within each block the traversal is done again over bitmaps four times as wide.
+5. Only for classes in the blocks that are left are the sets themselves made, from one document
+   of each class, and sent to their block once. There the same traversal compares sets exactly and
+   connects those that link.
 
-A bucket or block of more than MAX_GROUP classes is cut into chunks, and every pair of chunks is
+A bucket or block of more than MAX_BUCKET or MAX_BLOCK classes is cut into chunks, and every pair of chunks is
 handled by itself; so no task holds more than two chunks, and the work of such a group grows with
 the square of its chunks.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -31,23 +35,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from driftgrove.llm.common import map_text, materialise, utf8
+from driftgrove.llm.common import map_text, materialise, small_batches, utf8
 
 WORDS = 5
 #: Counters of the sketch, and how many are passed on in one row.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
-#: 64-bit words of a bitmap.
-BITMAP = 8
+#: Bits of a bitmap: the least and the most; in between NARROW or WIDE for each shingle at least.
+LEAST_BITS, MOST_BITS, NARROW, WIDE = 512, 1 << 18, 2, 8
 LEAF = 32
-#: Classes of a bucket or block that are handled at once.
-MAX_GROUP = 8000
-#: Ids that are broadcast at most; beyond it the join shuffles.
-MAX_BROADCAST = 2_000_000
-#: Distinct words whose hashes a worker keeps.
-CACHE = 300_000
+#: Classes of a bucket, and of a block, that are handled at once.
+MAX_BUCKET, MAX_BLOCK = 10_000, 4000
+#: Rows that are broadcast at most; beyond it the join shuffles.
+MAX_BROADCAST = 500_000
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 19
+#: Classes that a task remembers, not to pass their prefixes on again.
+SEEN = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
-_words: dict[bytes, int] = {}
+BASE = 0xD6E8FEB86659FD93
+#: A random number for each byte, A to Z as a to z; white space has 0.
+_letter = np.random.Generator(np.random.PCG64(42)).integers(1, 2**64, 256, dtype=np.uint64)
+_letter[ord("A") : ord("Z") + 1] = _letter[ord("a") : ord("z") + 1]
+BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_letter[BLANK] = 0
+
+
+@functools.lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE, and of its inverse, modulo 2**64."""
+    return tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (BASE, pow(BASE, -1, 2**64)))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -56,23 +73,43 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if new := set(words).difference(_words):
-        if len(_words) + len(new) > CACHE:
-            _words.clear()
-            new = set(words)
-        for w in new:
-            _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    width = min(WORDS, len(words))
+def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word of the bytes begins, its hash); the bytes end with white space."""
+    up, down = powers(max(PIECE, 1 << (len(text) - 1).bit_length()) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_letter[text] * up[: len(text)])))
+    blank = BLANK[text]
+    begin = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+    end = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
+    return begin, _mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * MIX)
+
+
+def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
     out = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
         out = _mixed(out * MIX + h[k : len(h) - width + 1 + k])
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    at = 0
+    while at < len(texts):
+        size, end = 0, at
+        while end < len(texts) and (end == at or size + len(texts[end]) <= PIECE):
+            size += len(texts[end]) + 1
+            end += 1
+        group = texts[at:end]
+        edges = np.cumsum([0] + [len(t) + 1 for t in group])
+        begin, h = word_hashes(np.frombuffer(b" ".join(group) + b" ", np.uint8))
+        words = np.searchsorted(begin, edges)
+        whole = _rolled(h, WORDS) if len(h) >= WORDS else h[:0]
+        for a, b in zip(words, words[1:], strict=False):
+            if b - a >= WORDS:
+                yield np.unique(whole[a : b - WORDS + 1])
+            else:
+                yield _rolled(h[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64)
+        at = end
 
 
 def prefix_size(n: int) -> int:
@@ -80,10 +117,14 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Bits of the shingles, one each."""
-    bits = np.zeros(BITMAP * 64, np.uint8)
-    bits[(s >> np.uint64(40)) % np.uint64(BITMAP * 64)] = 1
+def bitmap(s: np.ndarray, each: int = NARROW) -> np.ndarray:
+    """Bits of the shingles, one each: a power of two of bits, from ``each`` to twice as many per shingle.
+
+    A bitmap folds to half its width by OR of its halves.
+    """
+    n = min(MOST_BITS, max(LEAST_BITS, 1 << (each * len(s) - 1).bit_length()))
+    bits = np.zeros(n, np.uint8)
+    bits[((s >> np.uint64(24)) & np.uint64(n - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
@@ -93,26 +134,43 @@ def links(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class SignatureTree:
-    """A binary tree over sets in order of size; a node is a range of places."""
+    """A binary tree over sets in order of size; a node is a range of places.
+
+    Wider bitmaps belong to larger sets. Two nodes are compared at the width of the smallest set.
+    """
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
+    def __init__(self, sizes: np.ndarray, bits: list[np.ndarray]):
         self.order = np.argsort(sizes, kind="stable")
-        self.sizes, self.bits = sizes[self.order].astype(np.int64), bits[self.order]
-        #: Shingles beyond one for each bit.
-        self.excess = self.sizes - np.bitwise_count(self.bits).sum(1).astype(np.int64)
+        self.sizes = sizes[self.order].astype(np.int64)
+        self.widths = np.array([len(bits[i]) for i in self.order])
+        #: By width: the bitmaps of all sets from the first that is so wide, and shingles beyond one for each bit.
+        self.folded: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        rest: list[np.ndarray] = []
+        for w in np.unique(self.widths)[::-1].tolist():
+            at = np.flatnonzero(self.widths == w)
+            own = np.stack([bits[self.order[i]] for i in at])
+            if rest:
+                above = rest[0]
+                while above.shape[1] > w:
+                    above = above[:, : above.shape[1] // 2] | above[:, above.shape[1] // 2 :]
+                own = np.concatenate((own, above))
+            rest = [own]
+            first = int(at[0])
+            self.folded[w] = first, own, self.sizes[first:] - np.bitwise_count(own).sum(1).astype(np.int64)
         self.label = np.arange(len(sizes))
-        self.nodes: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+        self.nodes: dict[tuple[int, int, int], tuple[np.ndarray, int]] = {}
 
-    def node(self, a: int, b: int) -> tuple[np.ndarray, int]:
-        """OR of the bitmaps, and largest excess."""
-        got = self.nodes.get((a, b))
+    def node(self, a: int, b: int, w: int) -> tuple[np.ndarray, int]:
+        """OR of the bitmaps, and largest excess, at a width."""
+        got = self.nodes.get((a, b, w))
         if got is None:
             if b - a <= LEAF:
-                got = np.bitwise_or.reduce(self.bits[a:b]), int(self.excess[a:b].max())
+                first, bits, excess = self.folded[w]
+                got = np.bitwise_or.reduce(bits[a - first : b - first]), int(excess[a - first : b - first].max())
             else:
-                left, right = self.node(a, (a + b) // 2), self.node((a + b) // 2, b)
+                left, right = self.node(a, (a + b) // 2, w), self.node((a + b) // 2, b, w)
                 got = left[0] | right[0], max(left[1], right[1])
-            self.nodes[a, b] = got
+            self.nodes[a, b, w] = got
         return got
 
     def may_link(self, a: tuple[int, int], b: tuple[int, int]) -> bool:
@@ -120,7 +178,8 @@ class SignatureTree:
         low_a, high_a, low_b, high_b = self.sizes[a[0]], self.sizes[a[1] - 1], self.sizes[b[0]], self.sizes[b[1] - 1]
         if 5 * high_a < 4 * low_b or 5 * high_b < 4 * low_a:
             return False
-        (or_a, ex_a), (or_b, ex_b) = self.node(*a), self.node(*b)
+        w = int(self.widths[min(a[0], b[0])])
+        (or_a, ex_a), (or_b, ex_b) = self.node(*a, w), self.node(*b, w)
         overlap = min(int(np.bitwise_count(or_a & or_b).sum()) + min(ex_a, ex_b), high_a, high_b)
         return 9 * overlap >= 4 * (low_a + low_b)
 
@@ -150,8 +209,10 @@ class SignatureTree:
                     todo += [(left, other), (right, other)]
                 continue
             sa, sb = self.sizes[a[0] : a[1]], self.sizes[b[0] : b[1]]
-            both = np.bitwise_count(self.bits[a[0] : a[1], None] & self.bits[None, b[0] : b[1]]).sum(2).astype(np.int64)
-            both += np.minimum(self.excess[a[0] : a[1], None], self.excess[None, b[0] : b[1]])
+            first, bits, excess = self.folded[int(self.widths[min(a[0], b[0])])]
+            at, to = slice(a[0] - first, a[1] - first), slice(b[0] - first, b[1] - first)
+            both = np.bitwise_count(bits[at, None] & bits[None, to]).sum(2).astype(np.int64)
+            both += np.minimum(excess[at, None], excess[None, to])
             both = np.minimum(both, np.minimum(sa[:, None], sb[None]))
             may = links(both, sa[:, None], sb[None])
             if a == b:
@@ -190,21 +251,17 @@ def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _words_of(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64)
-
-
-def edge_batch(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     """Each edge as (larger, smaller)."""
-    return pa.RecordBatch.from_arrays([pa.array([max(e) for e in edges], pa.binary()), pa.array([min(e) for e in edges], pa.binary())], names=["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array([max(e) for e in edges], pa.int64()), pa.array([min(e) for e in edges], pa.int64())], names=["u", "v"])
 
 
 def may_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (group, cls, size, bits) in order of group: edges between classes that may link."""
-    out: list[tuple[bytes, bytes]] = []
+    out: list[tuple[int, int]] = []
     for g in groups(batches):
         cls = g.column(1).to_pylist()
-        tree = SignatureTree(g.column(2).to_numpy(), _words_of(g.column(3)).reshape(-1, BITMAP))
+        tree = SignatureTree(g.column(2).to_numpy(), [np.frombuffer(x, np.uint64) for x in g.column(3).to_pylist()])
         out += [(cls[i], cls[j]) for i, j in tree.join()]
         if len(out) > 20_000:
             yield edge_batch(out)
@@ -214,11 +271,11 @@ def may_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def do_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (group, cls, set) in order of group: edges between classes that link."""
-    out: list[tuple[bytes, bytes]] = []
+    out: list[tuple[int, int]] = []
     for g in groups(batches):
         cls = g.column(1).to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in g.column(2).to_pylist()]
-        tree = SignatureTree(np.array([len(s) for s in sets]), np.stack([bitmap(s) for s in sets]))
+        tree = SignatureTree(np.array([len(s) for s in sets]), [bitmap(s) for s in sets])
         sets = [sets[i] for i in tree.order]
         _, number = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum([0, *map(len, sets)])
@@ -232,7 +289,7 @@ def do_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen[own] = 0
             return links(common.astype(np.int64), tree.sizes[places], tree.sizes[j])
 
-        out += [(cls[i], cls[j]) for i, j in tree.join(verify)]
+        out += [(cls[i], cls[j]) for i, j in tree.join(verify) if cls[i] != cls[j]]
         if len(out) > 20_000:
             yield edge_batch(out)
             out = []
@@ -245,8 +302,8 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            for t in utf8(b.column(0)):
-                np.add.at(total, (shingles(t) % np.uint64(COUNTERS)).astype(np.int64), 1)
+            for s in shingle_sets(utf8(b.column(0))):
+                np.add.at(total, (s % np.uint64(COUNTERS)).astype(np.int64), 1)
         yield from passed(total)
 
     def passed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -261,6 +318,7 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
                 sums[i] = sums.get(i, 0) + np.frombuffer(n, np.int32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["at", "n"])
 
+    small_batches(docs.sparkSession)
     counted = docs.select(F.col(text).cast("string")).mapInArrow(count, "at int, n binary")
     total = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
     for r in counted.repartition("at").mapInArrow(add, "at int, n binary").collect():  # COUNTERS numbers
@@ -271,30 +329,39 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
 
 ROW = [
     T.StructField("n_shingles", T.LongType()),
-    T.StructField("cls", T.BinaryType()),
+    T.StructField("cls", T.LongType()),
     T.StructField("bits", T.BinaryType()),
     T.StructField("prefix", T.ArrayType(T.LongType(), False)),
 ]
 
 
-def digest(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(s.tobytes())
+def digest(s: np.ndarray) -> int:
+    """The class of a set."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def described(docs: DataFrame, text: str, key: str, levels: np.ndarray) -> DataFrame:
-    """key, n_shingles, cls, bits and prefix of every row."""
+    """key, n_shingles, cls, bits and prefix of every row; a class that a task has met before comes without its prefix."""
+    seen: set[int] = set()  # of the task: each has its own copy
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        sets = [shingles(t) for t in utf8(texts)]
+        sets = list(shingle_sets(utf8(texts)))
+        classes = [digest(s) if len(s) else None for s in sets]
         prefixes = []
-        for s in sets:
+        for s, c in zip(sets, classes, strict=True):
+            if c is None or c in seen:
+                prefixes.append(s[:0])
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(c)
             order = np.argsort(levels[(s % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")
-            prefixes.append(s[order[: prefix_size(len(s))]] if len(s) else s)
+            prefixes.append(s[order[: prefix_size(len(s))]])
         ends = pa.array(np.cumsum([0, *map(len, prefixes)], dtype=np.int32))
         flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
         return [
             pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
+            pa.array(classes, pa.int64()),
             pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             pa.ListArray.from_arrays(ends, pa.array(flat)),
         ]
@@ -302,9 +369,9 @@ def described(docs: DataFrame, text: str, key: str, levels: np.ndarray) -> DataF
     return map_text(docs, run, ROW, text, [key])
 
 
-def chunk_pairs(rows: DataFrame, group: Column, members: Column, *columns: str) -> DataFrame:
+def chunk_pairs(rows: DataFrame, group: Column, members: Column, most: int, *columns: str) -> DataFrame:
     """(group, cls, columns) with large groups cut into chunks; each pair of chunks is a group of its own."""
-    chunks = F.ceil(members / F.lit(MAX_GROUP)).cast("int")
+    chunks = F.ceil(members / F.lit(most)).cast("int")
     own = F.pmod(F.hash("cls"), F.col("__chunks"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("__chunks") - 1), lambda i: F.xxhash64("__group", F.least(i, F.col("__own")), F.greatest(i, F.col("__own"))))
     cut = rows.withColumn("__group", group).withColumn("__chunks", chunks).withColumn("__own", own)
@@ -313,12 +380,16 @@ def chunk_pairs(rows: DataFrame, group: Column, members: Column, *columns: str)
 
 def candidate_edges(classes: DataFrame, described_rows: DataFrame) -> DataFrame:
     """u, v: a forest of the pairs of classes that may link."""
-    prefixes = described_rows.filter("n_shingles > 0").groupBy("cls").agg(F.any_value("prefix").alias("prefix"))
     w = Window.partitionBy("token")
-    each = prefixes.select("cls", F.explode("prefix").alias("token"))
+    # one exchange: the grouping by token and class, and the windows by token, both follow from it
+    each = described_rows.select("cls", F.explode("prefix").alias("token")).repartition("token").groupBy("token", "cls").agg(F.lit(1).alias("one"))
     shared = each.select("cls", F.min("cls").over(w).alias("a"), F.max("cls").over(w).alias("b"), F.bit_xor(F.xxhash64("cls")).over(w).alias("x"), F.count(F.lit(1)).over(w).alias("n")).filter("a <> b")
-    buckets = shared.select("x", "n", "cls").distinct().join(classes.select("cls", F.col("n_shingles").cast("int").alias("size"), "bits"), "cls")
-    return chunk_pairs(buckets, F.xxhash64("x", "n"), F.col("n"), "size", "bits").mapInArrow(may_link, "u binary, v binary").distinct()
+    sized = shared.select("x", "n", "cls").distinct().join(classes.select("cls", F.col("n_shingles").cast("int").alias("size")), "cls")
+    # in order of size, a class whose neighbours are too small or too large for it has no partner
+    by_size = Window.partitionBy("x", "n").orderBy("size")
+    near = (F.lag("size").over(by_size) * 5 >= F.col("size") * 4) | (F.col("size") * 5 >= F.lead("size").over(by_size) * 4)
+    buckets = sized.withColumn("near", near).filter("near").select("x", "n", "cls", "size").join(classes.select("cls", "bits"), "cls")
+    return chunk_pairs(buckets, F.xxhash64("x", "n"), F.col("n"), MAX_BUCKET, "size", "bits").mapInArrow(may_link, "u long, v long").distinct()
 
 
 def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
@@ -346,17 +417,25 @@ def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(roots.select("cls", F.col("cls").alias("root")))
 
 
-def class_sets(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
-    """cls and set of the documents with the given ids, and of those without an id."""
-    side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+def class_sets(docs: DataFrame, blocks: DataFrame, text: str, key: str, wide: bool = False) -> DataFrame:
+    """cls, root, members, size, set of each class in ``blocks`` (cls, root, members, first), from the document ``first``; ``wide``: its wide bitmap for the set.
+
+    A class whose documents have no key is found among all documents without one.
+    """
+    named = blocks.filter("first IS NOT NULL").select("cls", "root", "members", "first")
+    side = F.broadcast(named) if blocks.count() <= MAX_BROADCAST else named
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    wanted = src.join(side, "id", "left_semi").unionByName(src.filter("id IS NULL"))
+    wanted = src.join(side, src["id"] == side["first"]).select("cls", "root", "members", "text")
+    fields = [T.StructField("own", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("set", T.BinaryType())]
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        sets = [shingles(t) for t in utf8(texts)]
-        return [pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        sets = list(shingle_sets(utf8(texts)))
+        made = [(bitmap(s, WIDE) if wide else s).tobytes() for s in sets]
+        return [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(made, pa.binary())]
 
-    return map_text(wanted, run, [T.StructField("cls", T.BinaryType()), T.StructField("set", T.BinaryType())], "text", [])
+    found = map_text(wanted, run, fields, "text", ["cls", "root", "members"]).filter("own = cls").drop("own")
+    nameless = map_text(src.filter("id IS NULL").select("text"), run, fields, "text", []).withColumnRenamed("own", "cls").dropDuplicates(["cls"])
+    return found.unionByName(nameless.join(blocks.filter("first IS NULL").select("cls", "root", "members"), "cls"))
 
 
 def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -371,15 +450,21 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     levels = sketch(docs, text)
     rows = materialise(described(docs, text, key, levels), "jaccard-rows")
     classes = materialise(rows.filter("n_shingles > 0").groupBy("cls").agg(F.min(key).alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits")), "jaccard-classes")
-    blocks = materialise(components(candidate_edges(classes, rows), "jaccard-may").join(classes.select("cls", "first"), "cls"), "jaccard-blocks")
-    sizes = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    sets = class_sets(docs, blocks.select(F.col("first").alias("id")).filter("id IS NOT NULL"), text, key)
-    # a document whose id repeats may bring a class that isn't in a block; the join leaves it out
-    placed = sets.dropDuplicates(["cls"]).join(blocks.select("cls", "root"), "cls").join(sizes, "root")
-    edges = chunk_pairs(placed, F.col("root"), F.col("members"), "set").mapInArrow(do_link, "u binary, v binary").distinct()
+    names = classes.select("cls", "first")
+
+    def blocks(edges: DataFrame, name: str) -> DataFrame:
+        """cls, root, first, members."""
+        held = materialise(components(edges, name).join(names, "cls"), f"{name}-blocks")
+        return held.join(held.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root")
+
+    rough = class_sets(docs, blocks(candidate_edges(classes, rows), "jaccard-rough"), text, key, wide=True)
+    finer = chunk_pairs(rough, F.col("root"), F.col("members"), MAX_BUCKET, "size", "set").mapInArrow(may_link, "u long, v long").distinct()
+    sets = class_sets(docs, blocks(finer, "jaccard-fine"), text, key)
+    edges = chunk_pairs(sets, F.col("root"), F.col("members"), MAX_BLOCK, "set").mapInArrow(do_link, "u long, v long").distinct()
     found = components(edges, "jaccard-links")
     least = found.join(classes.select("cls", "first"), "cls")
     named = least.join(least.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "component_id")
     of_class = classes.select("cls", "first").join(named, "cls", "left").select("cls", F.coalesce("component_id", "first").alias("component_id"))
-    joined = rows.select(key, "n_shingles", "cls").join(of_class, "cls", "left")
+    # as a table of its own the join to the rows can split a class that many rows share
+    joined = rows.select(key, "n_shingles", "cls").join(materialise(of_class, "jaccard-named"), "cls", "left")
     return joined.select(key, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
