@@ -236,6 +236,34 @@ class Engine:
         # sources that the HKT lacks come last
         return rows.groupBy("source", "token").agg(F.min(F.struct("late", "at")).alias("at"))
 
+    def dry_run(self, target: int, scoped: DataFrame, above: DataFrame) -> dict:
+        """What a rebuild of the HKT would work on and make; nothing changes."""
+        scope = materialise(self.rebuild_scope(target, scoped, above), "engine-scope")
+        new_tokens = scope.select("token").distinct().join(self.vocabulary.select("token"), "token", "left_anti").count()
+        sources = scope.select("source").distinct().count()
+        report = {"target_hkt_id": target, "scoped_source_count": sources, "subtree_hkt_count": 0, "subtree_node_count": 0, "new_token_count_in_scope": new_tokens}
+        if sources:
+            ordered = numbered(scope, ["at"], "place")
+            ids = numbered(ordered.groupBy("token").agg(F.min("place").alias("first")), ["first"], "word")
+            rows = ordered.join(ids, "token").select("source", F.col("word").cast("int").alias("word"), F.col("place").alias("at"))
+            tree = trees.build(rows, self.config.builder, self.small, arrival=True)
+            report |= {"subtree_hkt_count": tree.hkts.count(), "subtree_node_count": tree.nodes.count()}
+        return report
+
+    def rebuild_hkts(self, targets: list[int], sources: DataFrame) -> str:
+        """Rebuilds the given HKTs by the rebuild mode; ``sources`` (source_id), routed down the tree, are what the batch brings to each."""
+        held = sources.select("source_id").join(self.registry, "source_id").select("source")
+        batch = self.batches[max(self.batches)]
+        level = drift.root_level(self.state, held, materialise(self._tokens(batch), "engine-tokens"), self._first(), self.config.thresholds, self.vocabulary.select("token"))
+        levels = []
+        while level is not None:
+            levels.append(level)
+            level = level.below(level.hkts.select("hkt_id"))
+        reached = {r["hkt_id"] for x in levels for r in x.hkts.select("hkt_id").collect()}  # HKTs of the tree
+        if unknown := [t for t in targets if t not in reached]:
+            raise StateError(f"the batch reaches no HKT {unknown}")
+        return self._rebuild(sorted(set(targets)), levels)
+
     def rebuild_subtree(self, target: int, scoped: DataFrame, above: DataFrame) -> bool:
         """Builds the HKT and all below it anew; ids aren't used again. False if nothing is left to build from."""
         scope = materialise(self.rebuild_scope(target, scoped, above), "engine-scope")

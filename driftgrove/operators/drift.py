@@ -227,6 +227,50 @@ class Level:
         zero = {"matched_nodes": 0, "known_words": 0, "new_words": 0}
         return sources.join(matched, "hkt_id", "left").join(words, "hkt_id", "left").fillna(zero)
 
+    @functools.cached_property
+    def inputs(self) -> DataFrame:
+        """One row per HKT of what its figures are made from: the vocabulary that the batch retains, and how strongly.
+
+        mass is the share of all word occurrences (sources by word) that fall on the HKT's own words.
+        """
+        own = self.word_change.filter("node_id <> 0").select("hkt_id", "token", "after", "strength1")
+        seen = own.join(self.scope_df, ["hkt_id", "token"], "left").groupBy("hkt_id").agg(
+            F.count(F.lit(1)).alias("state0_words"), F.count("df1").alias("retained_words"), F.coalesce(F.sum("df1"), F.lit(0)).alias("held"), F.max("after").alias("prominent_df"),
+            F.count_if(F.col("strength1") < self.thresholds.alpha).alias("alpha_violations"),
+        )
+        total = self.scope_df.groupBy("hkt_id").agg(F.sum("df1").alias("total_df"))
+        rows = self.scope_sizes.join(seen, "hkt_id", "left").join(total, "hkt_id", "left").fillna(0)
+        share = lambda a, b: F.when(b > 0, F.least(a / b, F.lit(1.0))).otherwise(0.0)
+        words = F.col("known_words") + F.col("new_words")
+        return rows.select(
+            "hkt_id", "state0_words", "known_words", "new_words", "retained_words", "total_df", share(F.col("held"), F.col("total_df")).alias("mass"), share(F.col("retained_words"), F.col("state0_words")).alias("retained_ratio"),
+            share(F.col("known_words"), words).alias("known_ratio"), share(F.col("new_words"), words).alias("new_ratio"), "prominent_df", "alpha_violations",
+        )
+
+    @functools.cached_property
+    def node_vocabulary(self) -> DataFrame:
+        """hkt_id, node_id, state0_words (a refuge has its marker), known_words, new_words, share of new words in what is routed to the node."""
+        known = self.known if self.known is not None else self.state.node_words.select("token").distinct()
+        seen = self.node_df.join(known.withColumn("k", F.lit(1)), "token", "left").groupBy("node_id").agg(F.count("k").alias("known_words"), F.count_if(F.col("k").isNull()).alias("new_words"))
+        own = self.words.groupBy("node_id").agg(F.count(F.lit(1)).alias("w"))
+        rows = self.nodes.select("hkt_id", "node_id", "refuge").join(own, "node_id", "left").join(seen, "node_id", "left").fillna(0, ["known_words", "new_words"])
+        words = F.col("known_words") + F.col("new_words")
+        return rows.select("hkt_id", "node_id", F.when(F.col("refuge"), 1).otherwise(F.coalesce("w", F.lit(0))).cast("long").alias("state0_words"), "known_words", "new_words", F.when(words > 0, F.col("new_words") / words).otherwise(0.0).alias("share"))
+
+    @functools.cached_property
+    def plain_beta(self) -> DataFrame:
+        """hkt_id, beta_error: the mean over all nodes' words of how far the share of the node's routed sources that hold the word stays under beta.
+
+        A refuge counts as one word that no source holds.
+        """
+        size = self.routed.groupBy("node_id").agg(F.count(F.lit(1)).alias("size"))
+        words = self.words.select("hkt_id", "node_id", "token").unionByName(self.nodes.filter("refuge").select("hkt_id", "node_id", F.lit(None).cast("string").alias("token")))
+        rows = words.join(self.node_df.select("node_id", "token", "df1"), ["node_id", "token"], "left").join(size, "node_id", "left")
+        share = F.when(F.col("size") > 0, F.coalesce("df1", F.lit(0)) / F.col("size")).otherwise(0.0)
+        gap = F.greatest(F.lit(self.thresholds.beta) - share, F.lit(0.0))
+        mean = rows.groupBy("hkt_id").agg(F.least(F.avg(gap), F.lit(1.0)).alias("e"))
+        return self.hkts.select("hkt_id").join(mean, "hkt_id", "left").select("hkt_id", F.coalesce("e", F.lit(0.0)).alias("beta_error"))
+
     def decisions(self, policy: str) -> DataFrame:
         """hkt_id, errors and thresholds in use, reasons (comma-joined) and triggered."""
         t = self.thresholds

@@ -181,7 +181,15 @@ def statements() -> dict[str, str]:
           SELECT 1 AS hkt_id, k::BIGINT AS scoped_sources, abs(a - {ALPHA}) AS alpha_error, abs(w - {BETA}) AS beta_error, w AS wi_error, 0.1::DOUBLE AS alpha_threshold, 0.1::DOUBLE AS beta_threshold, 0.1::DOUBLE AS wi_threshold, reasons, reasons <> '' AS triggered FROM r""",
         "scope_sizes": f"{sizes} SELECT hkt_id, scoped_sources::BIGINT AS scoped_sources, matched_nodes::BIGINT AS matched_nodes, known_words::BIGINT AS known_words, new_words::BIGINT AS new_words FROM sizes",
         "rebuild_report": f"{sizes} SELECT hkt_id, scoped_sources::BIGINT AS scoped_sources, (known_words + new_words)::BIGINT AS words, known_words::BIGINT AS known_words, new_words::BIGINT AS new_words FROM sizes",
-        "node_beta": f"{level} SELECT node_id::INTEGER AS node_id, count(*)::BIGINT AS words, count(*) FILTER (WHERE token NOT IN (SELECT token FROM vocab))::BIGINT AS new_words, round(count(*) FILTER (WHERE token NOT IN (SELECT token FROM vocab)) / count(*), 9) AS share FROM n1 GROUP BY node_id",
+        "node_beta": f"""{level}, v AS (SELECT node_id, count(*) FILTER (WHERE token IN (SELECT token FROM vocab)) AS known_words, count(*) FILTER (WHERE token NOT IN (SELECT token FROM vocab)) AS new_words FROM n1 GROUP BY node_id)
+          SELECT 1 AS hkt_id, node_id, CASE WHEN refuge THEN 1 ELSE 2 END::BIGINT AS state0_words, coalesce(known_words, 0)::BIGINT AS known_words, coalesce(new_words, 0)::BIGINT AS new_words,
+            round(coalesce(new_words / nullif(known_words + new_words, 0), 0), 9) AS share FROM nodes LEFT JOIN v USING (node_id) WHERE hkt_id = 1""",
+        "paper_inputs": f"""{change}{_SIZES}, own2 AS (SELECT * FROM chg LEFT JOIN df1 USING (token) WHERE node_id <> 0)
+          SELECT 1 AS hkt_id, count(*)::BIGINT AS state0_words, any_value(known_words)::BIGINT AS known_words, any_value(new_words)::BIGINT AS new_words, count(df1)::BIGINT AS retained_words, (SELECT sum(df1) FROM df1)::BIGINT AS total_df,
+            round(sum(df1) / (SELECT sum(df1) FROM df1), 9) AS mass, round(count(df1) / count(*), 9) AS retained_ratio, round(any_value(known_words / (known_words + new_words)), 9) AS known_ratio,
+            round(any_value(new_words / (known_words + new_words)), 9) AS new_ratio, max(after)::BIGINT AS prominent_df, count(*) FILTER (WHERE strength1 < {ALPHA})::BIGINT AS alpha_violations FROM own2, sizes""",
+        "plain_beta": f"""{level}, z AS (SELECT node_id, count(*) AS size FROM routed GROUP BY node_id), ww AS (SELECT node_id, token FROM w1 UNION ALL SELECT 5, NULL)
+          SELECT 1 AS hkt_id, round(avg(greatest({BETA} - coalesce(n1 / size, 0), 0)), 9) AS beta_error FROM ww LEFT JOIN n1 USING (node_id, token) LEFT JOIN z USING (node_id)""",
         "merge_state1": f"{level}, folded AS (SELECT node_id, token, source FROM ws UNION SELECT node_id, token, source FROM s1 SEMI JOIN (SELECT node_id, token FROM w1 UNION SELECT node_id, token FROM asg) q USING (node_id, token)) SELECT node_id::INTEGER AS node_id, token, count(*)::BIGINT AS n FROM folded GROUP BY ALL",
         "next_frontier": f"{level} SELECT 2 AS hkt_id, source FROM routed WHERE node_id = 1",
         "window_sources": f"""{tree}, act AS (SELECT source_index AS source FROM src WHERE b >= 5) SELECT node_id::INTEGER AS node_id, count(*)::BIGINT AS n FROM ns SEMI JOIN act USING (source)

@@ -419,11 +419,18 @@ def rebuild_report(spark, sf):
 
 @query
 def node_beta(spark, sf):
-    """Share of new words among the distinct words routed to each node."""
-    level = wl.fixed_level(spark, sf)
-    known = wl.vocabulary(spark, sf).select("token", F.lit(1).alias("k"))
-    rows = level.node_df.join(known, "token", "left").groupBy("node_id").agg(F.count(F.lit(1)).alias("words"), F.count_if(F.col("k").isNull()).alias("new_words"))
-    return rows.withColumn("share", F.round(F.col("new_words") / F.col("words"), 9))
+    return wl.fixed_level(spark, sf).node_vocabulary.withColumn("share", F.round("share", 9))
+
+
+@query
+def paper_inputs(spark, sf):
+    rows = wl.fixed_level(spark, sf).inputs
+    return rows.select([F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+@query
+def plain_beta(spark, sf):
+    return wl.fixed_level(spark, sf).plain_beta.withColumn("beta_error", F.round("beta_error", 9))
 
 
 @query
