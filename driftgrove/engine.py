@@ -80,6 +80,10 @@ class Engine:
         """Nodes that aren't refuges."""
         return 0 if self.state is None else self.state.nodes.filter("NOT refuge").count()
 
+    def detect_clusters(self) -> dict:
+        """cluster_count and notes, as one document."""
+        return {"cluster_count": self.cluster_count(), "notes": [] if self.state else [NOT_BUILT]}
+
     # -- batches
 
     def _register(self, sources: DataFrame, batch_index: int) -> DataFrame:

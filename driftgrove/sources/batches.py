@@ -120,3 +120,13 @@ def write_batch_json(sources: DataFrame, path: str) -> None:
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w") as f:
         json.dump(json.loads(rows[0]["json"]), f, indent=2, ensure_ascii=False)
+
+
+def write_partitions(sources: DataFrame, path: str) -> None:
+    """Parquet, a folder per batch_index, so that a window of batches is read by partition pruning."""
+    sources.write.mode("overwrite").partitionBy("batch_index").parquet(path)
+
+
+def read_window(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The batches from ``first`` to ``last`` of what ``write_partitions`` wrote."""
+    return spark.read.parquet(path).filter(F.col("batch_index").between(first, last))

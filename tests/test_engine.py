@@ -125,6 +125,26 @@ def test_rebuild_scope(spark, make_sources):
     assert df == {"a": 4, "c": 1, "d": 1, "e": 1, "f": 1}
 
 
+def test_dry_run_and_given_hkts(spark, make_sources):
+    e = Engine(spark, never(), "subtree")
+    assert e.detect_clusters()["cluster_count"] == 0
+    e.build_baseline(make_sources(QUAKE[0]))
+    assert e.detect_clusters()["cluster_count"] == 5
+    e.process_batch(make_sources(QUAKE[1]), 1)
+    before = flat(e)
+    none = spark.createDataFrame([], "token string")
+    scoped = e.batches[1].select("source")
+    report = e.dry_run(1, scoped, none)
+    assert report["scoped_source_count"] == 5 and report["subtree_hkt_count"] >= 1 and report["subtree_node_count"] >= report["subtree_hkt_count"]
+    assert report["new_token_count_in_scope"] == 3 and flat(e) == before
+    assert e.rebuild_hkts([1], make_sources(QUAKE[1])) == "SELECTED_REBUILD_EXECUTED"
+    nodes, hkts = flat(e)
+    assert (len(hkts), len(nodes)) == (report["subtree_hkt_count"], report["subtree_node_count"])
+    invariants(e)
+    with pytest.raises(StateError, match="reaches no HKT"):
+        e.rebuild_hkts([999], make_sources(QUAKE[1]))
+
+
 def test_configuration():
     for bad in ({"alpha": 1.5}, {"beta": -0.1}, {"alpha_option1_threshold": 2.0}, {"selected_alpha_option": "Option4"}):
         with pytest.raises(InvalidConfiguration):

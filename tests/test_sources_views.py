@@ -67,6 +67,15 @@ def test_json_round_trip_and_catalog(spark, make_sources, tmp_path):
     assert [r["source_id"] for r in batches.read_json_sources(spark, f"file://{lines}").orderBy("source_index").collect()] == ["a", "b"]
 
 
+def test_partitions_are_pruned(spark, make_sources, tmp_path):
+    dealt = batches.chunked(make_sources({f"s{i}": "a" for i in range(8)}), 4)
+    batches.write_partitions(dealt, f"file://{tmp_path}/p")
+    rows = batches.read_window(spark, f"file://{tmp_path}/p", 1, 2)
+    assert {r["batch_index"] for r in rows.collect()} == {1, 2} and rows.count() == 4
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch_index" in plan
+
+
 @pytest.fixture(scope="module")
 def quake(spark):
     rows = [(0, i, s, t.split(" "), None, None, None) for i, (s, t) in enumerate(QUAKE[0].items())]
