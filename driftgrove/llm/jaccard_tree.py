@@ -11,11 +11,9 @@ or more. The join is exact (shingles are compared by 64-bit hashes) and runs in
    each bucket a signature tree (nodes with OR-combined bitmaps and size ranges) is traversed
    against itself; node pairs whose largest possible overlap is too small are pruned, and so are
    those that are connected already. What is left is a spanning forest of the pairs that may link.
-4. Components of these forests are blocks. Large documents, whose bitmaps are the fullest, can
-   chain there, so within each block the traversal is done again over bitmaps four times as wide.
-5. Only for classes in the blocks that are left are the sets themselves made, from one document
-   of each class, and sent to their block once. There the same traversal compares sets exactly and
-   connects those that link.
+4. Components of these forests are blocks. Only for classes in blocks are the sets themselves
+   made, from one document of each class, and sent to their block once. There the same traversal
+   compares sets exactly and connects those that link.
 
 A bucket or block of more than MAX_BUCKET or MAX_BLOCK classes is cut into chunks, and every pair of chunks is
 handled by itself; so no task holds more than two chunks, and the work of such a group grows with
@@ -40,8 +38,8 @@ from driftgrove.llm.common import map_text, materialise, small_batches, utf8
 WORDS = 5
 #: Counters of the sketch, and how many are passed on in one row.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
-#: Bits of a bitmap: the least and the most; in between NARROW or WIDE for each shingle at least.
-LEAST_BITS, MOST_BITS, NARROW, WIDE = 512, 1 << 18, 2, 8
+#: Bits of a bitmap: the least and the most; in between EACH for a shingle at least.
+LEAST_BITS, MOST_BITS, EACH = 512, 1 << 18, 2
 LEAF = 32
 #: Classes of a bucket, and of a block, that are handled at once.
 MAX_BUCKET, MAX_BLOCK = 10_000, 4000
@@ -117,12 +115,12 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def bitmap(s: np.ndarray, each: int = NARROW) -> np.ndarray:
-    """Bits of the shingles, one each: a power of two of bits, from ``each`` to twice as many per shingle.
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Bits of the shingles, one each: a power of two of bits, from EACH to twice as many per shingle.
 
     A bitmap folds to half its width by OR of its halves.
     """
-    n = min(MOST_BITS, max(LEAST_BITS, 1 << (each * len(s) - 1).bit_length()))
+    n = min(MOST_BITS, max(LEAST_BITS, 1 << (EACH * len(s) - 1).bit_length()))
     bits = np.zeros(n, np.uint8)
     bits[((s >> np.uint64(24)) & np.uint64(n - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -183,6 +181,13 @@ class SignatureTree:
         overlap = min(int(np.bitwise_count(or_a & or_b).sum()) + min(ex_a, ex_b), high_a, high_b)
         return 9 * overlap >= 4 * (low_a + low_b)
 
+    def cut(self, r: tuple[int, int]) -> int:
+        """Where to split a range: at its first change of width, else in the middle if it is large, else nowhere (0)."""
+        first = self.widths[r[0]]
+        if first != self.widths[r[1] - 1]:
+            return r[0] + int(np.searchsorted(self.widths[r[0] : r[1]], first, side="right"))
+        return (r[0] + r[1]) // 2 if r[1] - r[0] > LEAF else 0
+
     def connected(self, a: tuple[int, int], b: tuple[int, int]) -> bool:
         x, y = self.label[a[0] : a[1]], self.label[b[0] : b[1]]
         return x[0] == y[0] and (x == x[0]).all() and (y == y[0]).all()
@@ -198,10 +203,10 @@ class SignatureTree:
             a, b = todo.pop()
             if not self.may_link(a, b) or self.connected(a, b):
                 continue
-            big = a if a[1] - a[0] >= b[1] - b[0] else b
-            if big[1] - big[0] > LEAF:
-                mid = (big[0] + big[1]) // 2
-                left, right = (big[0], mid), (mid, big[1])
+            cuts = {r: c for r in (a, b) if (c := self.cut(r))}
+            if cuts:
+                big = max(cuts, key=lambda r: r[1] - r[0])
+                left, right = (big[0], cuts[big]), (cuts[big], big[1])
                 if a == b:
                     todo += [(left, right), (right, right), (left, left)]
                 else:
@@ -417,8 +422,8 @@ def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(roots.select("cls", F.col("cls").alias("root")))
 
 
-def class_sets(docs: DataFrame, blocks: DataFrame, text: str, key: str, wide: bool = False) -> DataFrame:
-    """cls, root, members, size, set of each class in ``blocks`` (cls, root, members, first), from the document ``first``; ``wide``: its wide bitmap for the set.
+def class_sets(docs: DataFrame, blocks: DataFrame, text: str, key: str) -> DataFrame:
+    """cls, root, members, set of each class in ``blocks`` (cls, root, members, first), from the document ``first``.
 
     A class whose documents have no key is found among all documents without one.
     """
@@ -426,12 +431,11 @@ def class_sets(docs: DataFrame, blocks: DataFrame, text: str, key: str, wide: bo
     side = F.broadcast(named) if blocks.count() <= MAX_BROADCAST else named
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     wanted = src.join(side, src["id"] == side["first"]).select("cls", "root", "members", "text")
-    fields = [T.StructField("own", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("set", T.BinaryType())]
+    fields = [T.StructField("own", T.LongType()), T.StructField("set", T.BinaryType())]
 
     def run(texts: pa.Array) -> list[pa.Array]:
         sets = list(shingle_sets(utf8(texts)))
-        made = [(bitmap(s, WIDE) if wide else s).tobytes() for s in sets]
-        return [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(made, pa.binary())]
+        return [pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
 
     found = map_text(wanted, run, fields, "text", ["cls", "root", "members"]).filter("own = cls").drop("own")
     nameless = map_text(src.filter("id IS NULL").select("text"), run, fields, "text", []).withColumnRenamed("own", "cls").dropDuplicates(["cls"])
@@ -450,16 +454,10 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     levels = sketch(docs, text)
     rows = materialise(described(docs, text, key, levels), "jaccard-rows")
     classes = materialise(rows.filter("n_shingles > 0").groupBy("cls").agg(F.min(key).alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits")), "jaccard-classes")
-    names = classes.select("cls", "first")
-
-    def blocks(edges: DataFrame, name: str) -> DataFrame:
-        """cls, root, first, members."""
-        held = materialise(components(edges, name).join(names, "cls"), f"{name}-blocks")
-        return held.join(held.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root")
-
-    rough = class_sets(docs, blocks(candidate_edges(classes, rows), "jaccard-rough"), text, key, wide=True)
-    finer = chunk_pairs(rough, F.col("root"), F.col("members"), MAX_BUCKET, "size", "set").mapInArrow(may_link, "u long, v long").distinct()
-    sets = class_sets(docs, blocks(finer, "jaccard-fine"), text, key)
+    held = components(candidate_edges(classes, rows), "jaccard-may").join(classes.select("cls", "first"), "cls")
+    held = materialise(held, "jaccard-blocks")
+    blocks = held.join(held.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root")
+    sets = class_sets(docs, blocks, text, key)
     edges = chunk_pairs(sets, F.col("root"), F.col("members"), MAX_BLOCK, "set").mapInArrow(do_link, "u long, v long").distinct()
     found = components(edges, "jaccard-links")
     least = found.join(classes.select("cls", "first"), "cls")
