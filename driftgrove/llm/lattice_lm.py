@@ -110,36 +110,74 @@ def log_forward(lattice: list[list[tuple[int, tuple[int, ...]]]], logp: list[flo
 
 
 def log_likelihood(word: str, v: Vocabulary, logp: list[float]) -> float:
-    """Natural log of the word's probability over all segmentations."""
-    return log_forward(edges(word, v), logp)[-1]
+    """Natural log of the word's probability over all segmentations, by forward recursion in logs."""
+    word = "▁" + word
+    n, get, exp = len(word), v.prefixes.get, math.exp
+    ways: list[list[float]] = [[] for _ in range(n + 1)]  # logs of the ways into each place
+    ways[0].append(0.0)
+    for i in range(n):
+        into = ways[i]
+        a = into[0]
+        if len(into) > 1:
+            top = max(into)
+            a = top + math.log(sum([exp(x - top) for x in into]))
+        single = False
+        for j in range(i + 1, n + 1):
+            p = get(word[i:j])
+            if p is None:
+                break
+            if p >= 0:
+                ways[j].append(a + logp[p])
+                single = single or j == i + 1
+        if not single:
+            ways[i + 1].append(a + sum(logp[v.byte_pieces[b]] for b in word[i].encode("utf-8", "surrogatepass")))
+    top = max(ways[n])
+    return top + math.log(sum([exp(x - top) for x in ways[n]]))
+
+
+def _expect_short(word: str, times: float, v: Vocabulary, prob: list[float], into: list[float]) -> bool:
+    """``expect`` in plain probabilities, for words short enough for them; False where they vanish nevertheless."""
+    word = "▁" + word
+    n, get = len(word), v.prefixes.get
+    alpha = [1.0] + [0.0] * n
+    steps: list[tuple] = []
+    for i in range(n):
+        a, single = alpha[i], False
+        for j in range(i + 1, n + 1):
+            p = get(word[i:j])
+            if p is None:
+                break
+            if p >= 0:
+                q = prob[p]
+                steps.append((i, j, p, q))
+                alpha[j] += a * q
+                single = single or j == i + 1
+        if not single:
+            ps = tuple(v.byte_pieces[b] for b in word[i].encode("utf-8", "surrogatepass"))
+            q = math.prod(prob[p] for p in ps)
+            steps.append((i, i + 1, ps, q))
+            alpha[i + 1] += a * q
+    if not alpha[n]:
+        return False
+    beta = [0.0] * n + [times / alpha[n]]
+    for i, j, p, q in reversed(steps):
+        b = q * beta[j]
+        beta[i] += b
+        b *= alpha[i]
+        if type(p) is int:
+            into[p] += b
+        else:
+            for x in p:
+                into[x] += b
+    return True
 
 
 def expect(word: str, times: float, v: Vocabulary, prob: list[float], logp: list[float], into: list[float]) -> None:
     """Adds ``times`` the expected number of each piece in the word."""
+    n = len(word) + 1
+    if n <= SHORT and _expect_short(word, times, v, prob, into):
+        return
     lattice = edges(word, v)
-    n = len(lattice)
-    if n <= SHORT:
-        alpha = [0.0] * (n + 1)
-        alpha[0] = 1.0
-        for i in range(n):
-            a = alpha[i]
-            for j, ps in lattice[i]:
-                if len(ps) == 1:
-                    alpha[j] += a * prob[ps[0]]
-                else:
-                    alpha[j] += a * math.prod(prob[p] for p in ps)
-        beta = [0.0] * n + [times / alpha[n]] if alpha[n] else [0.0] * (n + 1)
-        if alpha[n]:
-            for i in range(n - 1, -1, -1):
-                b = 0.0
-                for j, ps in lattice[i]:
-                    q = prob[ps[0]] if len(ps) == 1 else math.prod(prob[p] for p in ps)
-                    b += q * beta[j]
-                    q *= alpha[i] * beta[j]
-                    for p in ps:
-                        into[p] += q
-                beta[i] = b
-            return
     alpha = log_forward(lattice, logp)
     back = [-math.inf] * n + [0.0]
     for i in range(n - 1, -1, -1):
