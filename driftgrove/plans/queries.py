@@ -50,7 +50,7 @@ def scan_sources(spark, sf):
 @query
 def csv_ingest(spark, sf):
     docs = wl.documents(spark, sf)
-    table = docs.select((F.col("doc_id") + 1).alias("row"), F.substring("text", 1, 80).alias("Title"), F.col("lang").alias("ShortSummary"), F.col("source").alias("Description"), F.concat(F.lit(" http://x/"), "source", F.lit(" ")).alias("URL"))
+    table = docs.select((F.col("doc_id") + 1).alias("row"), F.col("text").alias("Title"), F.col("lang").alias("ShortSummary"), F.col("source").alias("Description"), F.concat(F.lit(" http://x/"), "source", F.lit(" ")).alias("URL"))
     return batches.csv_sources(table, "row", 0, 3).select("source_index", "source_id", F.array_join("tokens", " ").alias("tokens"), "text", "metadata")
 
 
