@@ -13,6 +13,7 @@ from driftgrove.engine import Engine
 from driftgrove.functions.text import STOP_WORDS
 from driftgrove.operators import drift, postings, prune, views
 from driftgrove.plans import workload as wl
+from driftgrove.plans.tables import materialise
 from driftgrove.sources import batches, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,12 +160,15 @@ def batch_trigger_metrics(spark, sf):
 
 @query
 def containment(spark, sf):
-    """For each pair of the first ranked words the share of the one's sources that hold the other."""
-    rows = wl.known_tokens(wl.baseline(spark, sf)).join(F.broadcast(wl.ranks(spark, sf).select("token")), "token")  # CHILD_WORDS rows
-    size = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    sets = rows.groupBy("source").agg(F.array_sort(F.collect_list("token")).alias("words"))  # CHILD_WORDS words at most
+    """For each pair of expected words the share of the one's sources that hold the other."""
+    src = wl.sources(spark, sf)
+    words = materialise(postings.expected_words(src, 0.5).select("token"), "containment-words")
+    rows = wl.known_tokens(src).join(F.broadcast(words), "token")  # twice the mean number of words of a source at most, or nearly
+    sets = rows.groupBy("source").agg(F.array_sort(F.collect_set("token")).alias("words"))
     pairs = sets.groupBy("words").agg(F.count(F.lit(1)).alias("n")).select("n", "words", F.explode("words").alias("token")).select("n", "token", F.explode("words").alias("other"))
-    return pairs.groupBy("token", "other").agg(F.sum("n").alias("n")).join(size, "token").select("token", "other", (F.col("n") / F.col("size")).alias("share"))
+    both = pairs.groupBy("token", "other").agg(F.sum("n").alias("n"))
+    size = both.filter("token = other").select("token", F.col("n").alias("size"))
+    return both.join(size, "token").select("token", "other", (F.col("n") / F.col("size")).alias("share"))
 
 
 @query

@@ -26,3 +26,15 @@ def test_csv_ingest_reads_whole_texts(spark, tmp_path):
             want[i + 1] = (" ".join(tokens(body)), body)
     assert {k: (r["tokens"], r["text"]) for k, r in got.items()} == want
     assert got[1]["tokens"].startswith("lantern harbour meadow") and got[2]["tokens"].count("zebra_1") == 500
+
+
+def test_containment_compares_all_expected_words(spark, tmp_path):
+    texts = [" ".join(f"w{k:02d}" for k in range(20) if (i * 7 + k) % 20 < 16) + f" rare{i}" for i in range(40)] + [None, "w00 w19 w19 late"]
+    got = {(r["token"], r["other"]): r["share"] for r in queries.REGISTRY["containment"](spark, write_documents(spark, tmp_path, texts)).collect()}
+    sets = [set(tokens(t or "")) for t in texts]
+    held = {w: {i for i, s in enumerate(sets) if w in s} for w in set().union(*sets)}
+    most = max(map(len, held.values()))
+    expected = [w for w in held if len(held[w]) / most >= 0.5]
+    assert len(expected) == 20
+    want = {(a, b): len(held[a] & held[b]) / len(held[a]) for a in expected for b in expected if held[a] & held[b]}
+    assert got == want
