@@ -32,12 +32,22 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of the n-gram Jaccard join."""
-    found = jaccard_tree.link_components(docs)
-    dropped = materialise(found.filter("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct(), "pipeline-near")
+    """Keeps one row of each component of the n-gram Jaccard join: that with the smallest id, null last, then by a hash.
+
+    Rows are told apart by a 64-bit hash of id and text, so rows that share an id, or have none, go or stay each
+    on its own. Rows equal in both are one here; exact dedup leaves no such rows.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = jaccard_tree.link_components(keyed.select("__key", "text"), key="__key").filter("n_shingles > 0").select("__key", "component_id")
+    found = materialise(found, "pipeline-linked")
+    several = found.filter("__key <> component_id").select("component_id").distinct()
+    members = found.join(several, "component_id", "left_semi").distinct()
+    members = materialise(keyed.select("__key", "doc_id").join(members, "__key").distinct(), "pipeline-members")
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key"))["__key"].alias("__key"))
+    dropped = materialise(members.select("__key").join(kept.select("__key"), "__key", "left_anti"), "pipeline-near")
     if dropped.count() <= jaccard_tree.MAX_BROADCAST:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return keyed.join(dropped, "__key", "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
