@@ -127,7 +127,8 @@ def mix_sql() -> str:
     n AS (SELECT c, count(*) AS n FROM d GROUP BY c),
     w AS (SELECT c, n, weight FROM n JOIN (VALUES {weights}) AS v(c, weight) USING (c)),
     r AS (SELECT c, weight / (SELECT sum(weight) FROM w) * (SELECT sum(n) FROM n) / n AS rate FROM w),
-    x AS (SELECT c, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY c ORDER BY k) AS p FROM r, range(0, 120) AS t(k)),
+    t AS (SELECT c, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 60)::BIGINT)) AS k FROM r),
+    x AS (SELECT c, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY c ORDER BY k) AS p FROM t),
     u AS (SELECT d.*, ('0x' || substr(md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496 AS u FROM d),
     m AS (SELECT u.*, rate, (SELECT count(*) FROM x WHERE x.c = u.c AND x.p <= u.u)::INTEGER AS n_copies FROM u JOIN r USING (c)),
     e AS (SELECT m.*, unnest(range(0, n_copies))::INTEGER AS copy_no FROM m)

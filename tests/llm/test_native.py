@@ -88,6 +88,14 @@ def test_exact_dedup(spark, digest):
     assert sorted((tuple(r) for r in got), key=repr) == dedup_by_hand(COPIES)
 
 
+def test_one_text_of_a_repeated_id_stays(spark):
+    docs = spark.createDataFrame([(1, "abc"), (1, "a b   c"), (2, "abc"), (3, "x y"), (3, "xy "), (3, "xy ")], SCHEMA).repartition(3)
+    kept = exact_dedup.deduplicate(docs).filter("kept").groupBy("doc_id", "text_sha256").count().collect()
+    assert {r["doc_id"]: r["count"] for r in kept} in ({1: 1, 3: 1}, {1: 1, 3: 2})  # equal rows share ``kept``
+    left = {r["doc_id"]: r["text"] for r in exact_dedup.keep_first(docs).collect()}
+    assert left.keys() == {1, 3} and left[1] == "a b   c" and exact_dedup.keep_first(docs).count() == 2
+
+
 def test_keep_first(spark):
     docs = spark.createDataFrame(COPIES, SCHEMA).withColumn("keep_id", F.lit("clash"))
     got = exact_dedup.keep_first(docs)
@@ -139,6 +147,23 @@ def test_mixing(spark):
         mixing.mix(docs, {"a": -1.0})
 
 
+@pytest.mark.parametrize("rate", [0.3, 12.5, 800.0, 5000.0, 1e5])
+def test_copies_follow_poisson_at_any_rate(spark, monkeypatch, rate):
+    docs = spark.createDataFrame([(i, "a") for i in range(400)] + [(None, "a")], "doc_id long, source string")
+    got = {r["doc_id"]: r["n_copies"] for r in mixing.counts(docs, {"a": 1.0}, found={"a": rate}).collect()}
+    # the distribution by logs of the gamma function, from far below the rate
+    low = max(0, int(rate - 12 * math.sqrt(rate)))
+    line, total = [], 0.0
+    for k in range(low, int(rate + 12 * math.sqrt(rate) + 60)):
+        total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+        line.append((total, k))
+    for i, n in got.items():
+        u = int(hashlib.md5(f"mix-1:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        assert n == next(k for p, k in line if p > u + (1e-9 if rate > 1000 else 0)) or n == next(k for p, k in line if p > u - (1e-9 if rate > 1000 else 0))
+    monkeypatch.setattr(mixing, "MAX_CELLS", 0)  # the table is joined by a shuffle
+    assert {r["doc_id"]: r["n_copies"] for r in mixing.counts(docs, {"a": 1.0}, found={"a": rate}).collect()} == got
+
+
 def sigs_by_hand(text):
     words = re.sub(r"[^\w]|_", " ", text.lower()).split()
     out = set()
