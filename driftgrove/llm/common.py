@@ -1,4 +1,7 @@
-"""Helpers shared by the operators of this subpackage."""
+"""Helpers shared by the operators of this subpackage.
+
+Column names that begin with two underscores are the operators' own; input columns of that kind may be lost.
+"""
 
 from __future__ import annotations
 
@@ -20,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set (tests)."""
+    """``spark.checkpoint.dir``, which all executors share. Where it is unset a local master (tests) gets a folder of its own; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='driftgrove-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,9 +51,9 @@ def crc_remainder(col: Column, modulus: int) -> Column:
     return F.crc32(id_text(col).cast("binary")) % F.lit(modulus)
 
 
-def hash_share(col: Column) -> Column:
-    """A number in [0, 1) that depends on the value alone."""
-    return F.pmod(F.xxhash64(col), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def hash_share(*cols: Column | str) -> Column:
+    """A number in [0, 1) that depends on the values alone."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
 def small_batches(spark: SparkSession) -> None:

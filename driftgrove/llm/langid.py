@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgrove.llm.common import hash_share, id_text, map_text, materialise
+from driftgrove.llm.common import hash_share, map_text, materialise
 
 #: Rows of a language that are learned from, about: those whose hashed id is low enough.
 SAMPLE_ROWS = 3000
@@ -125,7 +125,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
     """Filters from text and lang of ``docs``; rows without either are passed over.
 
     About ``sample_rows`` rows of each language are read, those of the lowest hash of doc_id and
-    text. Languages are ordered by their rows, ties by name; with none the result knows no language.
+    text, so that rows that repeat both go together. Languages are ordered by their rows, ties by
+    name; where no n-gram is learned, from an empty table for one, the result knows no language.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -136,7 +137,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
         return Filters.build([], {})
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_rows / counts[k]))])[F.col("lang")]
     number = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])[F.col("lang")]
-    sample = labelled.filter(hash_share(F.concat(id_text(F.col("doc_id")), F.lit(":learn"))) < share).select(number.alias("lang"), "text")
+    sample = labelled.filter(hash_share("doc_id", "text", F.lit("learn")) < share).select(number.alias("lang"), "text")
 
     def count(batches):
         for b in batches:
@@ -152,7 +153,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
     each = materialise(each, "langid")
     totals = {r["lang"]: r["n"] for r in each.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
-        return Filters.build(langs, {})
+        return Filters.build([], {})
     least = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, MIN_SHARE * v)])[F.col("lang")]
     found: dict[int, dict[int, float]] = {}  # no more than 1 / MIN_SHARE n-grams of a language
     for r in each.filter(F.col("n") >= least).collect():
