@@ -1,10 +1,10 @@
 """LM scoring by subword lattice likelihood.
 
-The pieces of an existing vocabulary, weighted at first by the vocabulary's own scores, span a
-lattice over each word; a word's probability is the sum over all its segmentations, by forward
-recursion. One or more rounds of expectation-maximisation over all training words fit the piece
-weights to the corpus. Piece boundaries include word boundaries, so a text's log probability is
-the sum over its words and one end.
+The pieces of an existing vocabulary, weighted by the vocabulary's own scores, span a lattice over
+each word; a word's probability is the sum over all its segmentations, by forward recursion in logs.
+Piece boundaries include word boundaries, so a text's log probability is the sum over its words and
+one end. Beside it stands the probability under weights fitted to the corpus, by rounds of
+expectation-maximisation over all training words.
 
 Every distinct word is scored once, in a distributed table. The commonest words (a fixed number)
 go to all executors; the others meet the documents in a join on the word.
@@ -15,7 +15,7 @@ from __future__ import annotations
 import functools
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +35,8 @@ HEAD = 50_000
 PRIOR = 1000.0
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 200_000
-#: Longest word whose probabilities fit a double.
-SHORT = 22
+#: Longest word that is tried in plain probabilities, and the least probability that they may have.
+SHORT, TINY = 22, 1e-250
 FLOOR = 1e-12
 
 
@@ -109,30 +109,38 @@ def log_forward(lattice: list[list[tuple[int, tuple[int, ...]]]], logp: list[flo
     return alpha
 
 
-def log_likelihood(word: str, v: Vocabulary, logp: list[float]) -> float:
-    """Natural log of the word's probability over all segmentations, by forward recursion in logs."""
+def log_likelihoods(word: str, v: Vocabulary, weights: Sequence[Sequence[float]]) -> list[float]:
+    """Natural log of the word's probability over all segmentations under each of the piece weights, by forward recursion in logs."""
     word = "▁" + word
     n, get, exp = len(word), v.prefixes.get, math.exp
-    ways: list[list[float]] = [[] for _ in range(n + 1)]  # logs of the ways into each place
-    ways[0].append(0.0)
+    into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # (place before, piece) of the ways to each place
+    by_bytes: dict[int, list[int]] = {}  # place: pieces of the letter that ends there, where it has no piece of its own
     for i in range(n):
-        into = ways[i]
-        a = into[0]
-        if len(into) > 1:
-            top = max(into)
-            a = top + math.log(sum([exp(x - top) for x in into]))
         single = False
         for j in range(i + 1, n + 1):
             p = get(word[i:j])
             if p is None:
                 break
             if p >= 0:
-                ways[j].append(a + logp[p])
+                into[j].append((i, p))
                 single = single or j == i + 1
         if not single:
-            ways[i + 1].append(a + sum(logp[v.byte_pieces[b]] for b in word[i].encode("utf-8", "surrogatepass")))
-    top = max(ways[n])
-    return top + math.log(sum([exp(x - top) for x in ways[n]]))
+            by_bytes[i + 1] = [v.byte_pieces[b] for b in word[i].encode("utf-8", "surrogatepass")]
+    out = []
+    for logp in weights:
+        alpha = [0.0]
+        for j in range(1, n + 1):
+            ways = [alpha[i] + logp[p] for i, p in into[j]]
+            if j in by_bytes:
+                ways.append(alpha[j - 1] + sum([logp[b] for b in by_bytes[j]]))
+            top = max(ways)
+            alpha.append(top + math.log(sum([exp(x - top) for x in ways])) if len(ways) > 1 else top)
+        out.append(alpha[n])
+    return out
+
+
+def log_likelihood(word: str, v: Vocabulary, logp: Sequence[float]) -> float:
+    return log_likelihoods(word, v, [logp])[0]
 
 
 def _expect_short(word: str, times: float, v: Vocabulary, prob: list[float], into: list[float]) -> bool:
@@ -157,7 +165,7 @@ def _expect_short(word: str, times: float, v: Vocabulary, prob: list[float], int
             q = math.prod(prob[p] for p in ps)
             steps.append((i, i + 1, ps, q))
             alpha[i + 1] += a * q
-    if not alpha[n]:
+    if alpha[n] < TINY:
         return False
     beta = [0.0] * n + [times / alpha[n]]
     for i, j, p, q in reversed(steps):
@@ -221,14 +229,18 @@ def word_counts(docs: DataFrame, text: str = "text", train: str = "train") -> Da
 
 @dataclass(frozen=True)
 class Model:
-    """``words``: word, c, lp (natural log) of all distinct words; the rest are totals of the training rows."""
+    """``words``: word, c, lp and fit (natural logs under the vocabulary's scores and under the fitted weights) of all distinct words.
+
+    n, v, ends: tokens, distinct tokens and ends of the training rows. prior, logp: the weights of the pieces.
+    """
 
     words: DataFrame
     n: int
     v: int
     ends: int
+    prior: list[float]
     logp: list[float]
-    end: int
+    path: str
 
     @property
     def base_denominator(self) -> float:
@@ -261,20 +273,43 @@ def fit_pieces(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) ->
 
 
 def train(docs: DataFrame, path: str, text: str = "text", train: str = "train", rounds: int = ROUNDS) -> Model:
-    """Counts all words of ``docs``, fits the pieces to those of the training rows and scores every distinct word."""
+    """Counts all words of ``docs``, fits the pieces to those of the training rows and scores every distinct word.
+
+    Null texts have no words but an end. Rows that repeat count again. With no training rows the
+    fitted weights are the vocabulary's own.
+    """
     words = materialise(word_counts(docs, text, train), "lm-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     ends = docs.filter(F.col(train)).count()
+    prior = np.log(np.maximum(vocabulary(path).prior, FLOOR)).tolist()
     logp = fit_pieces(words, ends, path, rounds)
+    return Model(materialise(scored(words, path, prior, logp), "lm-scored"), total["n"] + ends, total["v"] + (ends > 0), ends, prior, logp, path)
+
+
+def scored(words: DataFrame, path: str, prior: list[float], logp: list[float]) -> DataFrame:
+    """``words`` (word, c) with lp and fit."""
 
     def run(batches):
         v = vocabulary(path)
         for b in batches:
-            lp = [log_likelihood(w.decode("utf-8", "replace"), v, logp) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lp, pa.float64())], names=["word", "c", "lp"])
+            both = [log_likelihoods(w.decode("utf-8", "replace"), v, (prior, logp)) for w in b.column(0).to_pylist()]
+            lp, fit = (pa.array([x[i] for x in both], pa.float64()) for i in range(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lp, fit], names=["word", "c", "lp", "fit"])
 
-    scored = materialise(words.select("word", "c").mapInArrow(run, "word binary, c long, lp double"), "lm-scored")
-    return Model(scored, total["n"] + ends, total["v"] + (ends > 0), ends, logp, vocabulary(path).end)
+    return words.select("word", "c").mapInArrow(run, "word binary, c long, lp double, fit double")
+
+
+def commonest(words: DataFrame, most: int) -> DataFrame:
+    """``most`` of the words at most: all that occur at least so often, the bound found from a histogram of some thousand rows."""
+    level = F.floor(F.log2(F.col("c") + 1) * 32).cast("int")
+    counts = words.filter("c > 0").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()
+    held, least = 0, None
+    for r in sorted(counts, key=lambda r: -r["level"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["least"]
+    return words.filter(F.lit(False) if least is None else F.col("c") >= least)
 
 
 PART = [
@@ -282,33 +317,39 @@ PART = [
     T.StructField("n_known", T.LongType()),
     T.StructField("base_score", T.DoubleType()),
     T.StructField("score", T.DoubleType()),
+    T.StructField("fitted_score", T.DoubleType()),
     T.StructField("__rest", T.ArrayType(T.BinaryType())),
     T.StructField("__times", T.ArrayType(T.LongType())),
 ]
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, head: int = HEAD) -> DataFrame:
-    """``keep`` (default: all columns but text) with n_tokens, n_known, base_score and score.
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, head: int = HEAD, complete: bool = False) -> DataFrame:
+    """``keep`` (default: all columns but text) with n_tokens, n_known, base_score, score and fitted_score.
+
+    ``score`` is the log10 probability of the text under the vocabulary's scores, ``fitted_score``
+    under the fitted weights, ``base_score`` that of the smoothed word counts. A null or empty text
+    is one end. Rows are told apart by place, so repeated rows and null ids keep their own results;
+    an empty table gives an empty result. Kept columns with the names of new ones give way to them.
 
-    ``score`` is the log10 probability of the text, ``base_score`` that of the smoothed word counts.
-    A null or empty text is one end. Rows are told apart by place, so repeated rows and null ids
-    keep their own results.
+    Words that the model hasn't met are scored like those it met zero times; ``complete`` says that
+    there are none, which saves looking for them.
     """
     denominator, nat = model.base_denominator, math.log(10)
 
     def base(c: int) -> float:
         return math.log10((c + 0.5) / denominator)
 
-    top = model.words.orderBy(F.desc("c"), "word").limit(head).collect()  # ``head`` rows
-    known = {bytes(r["word"]): (base(r["c"]), r["lp"] / nat, int(r["c"] > 0)) for r in top}
-    end = (base(model.ends), model.logp[model.end] / nat, int(model.ends > 0))
+    top = commonest(model.words, head).collect()  # ``head`` rows at most
+    known = {bytes(r["word"]): (base(r["c"]), r["lp"] / nat, r["fit"] / nat, int(r["c"] > 0)) for r in top}
+    at = vocabulary(model.path).end
+    end = (base(model.ends), model.prior[at] / nat, model.logp[at] / nat, int(model.ends > 0))
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         rest, times, ends = [], [], [0]
         for t in utf8(texts):
             words = tokens(t)
-            b, s, k = end
+            b, s, f, k = end
             for w, c in Counter(words).items():
                 got = known.get(w)
                 if got is None:
@@ -317,34 +358,41 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 else:
                     b += c * got[0]
                     s += c * got[1]
-                    k += c * got[2]
-            for column, x in zip(out, (len(words) + 1, k, b, s), strict=True):
+                    f += c * got[2]
+                    k += c * got[3]
+            for column, x in zip(out, (len(words) + 1, k, b, s, f), strict=True):
                 column.append(x)
             ends.append(len(rest))
         at = pa.array(ends, pa.int32())
         lists = [pa.ListArray.from_arrays(at, pa.array(rest, pa.binary())), pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))]
-        return [pa.array(x, f) for x, f in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)] + lists
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return [pa.array(x, f) for x, f in zip(out, kinds, strict=True)] + lists
 
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     rows = materialise(map_text(docs, run, PART, text, keep).withColumn("__row", F.monotonically_increasing_id()), "lm-rows")
     each = rows.select("__row", F.explode(F.arrays_zip("__rest", "__times")).alias("w")).select("__row", F.col("w.__rest").alias("word"), F.col("w.__times").alias("times"))
+    words = model.words
+    if not complete:
+        unmet = each.select("word").distinct().join(words.select("word"), "word", "left_anti").withColumn("c", F.lit(0).cast("long"))
+        words = words.unionByName(materialise(scored(unmet, model.path, model.prior, model.logp), "lm-unmet"))
     c = F.col("c")
-    joined = each.join(model.words.hint("shuffle_hash"), "word")
-    sums = joined.groupBy("__row").agg(
+    sums = each.join(words, "word").groupBy("__row").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("__k"),
         F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(denominator)))).alias("__b"),
         F.sum(F.col("times") * F.col("lp") / F.lit(nat)).alias("__s"),
+        F.sum(F.col("times") * F.col("fit") / F.lit(nat)).alias("__f"),
     )
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
     mine = [f"`{c}`" for c in rows.columns if c not in {f.name for f in PART} and c != "__row"]
-    return rows.drop("__rest", "__times").join(sums, "__row", "left").select(*mine, "n_tokens", plus("n_known", "__k"), plus("base_score", "__b"), plus("score", "__s"))
+    added = [plus(a, b) for a, b in (("n_known", "__k"), ("base_score", "__b"), ("score", "__s"), ("fitted_score", "__f"))]
+    return rows.drop("__rest", "__times").join(sums, "__row", "left").select(*mine, "n_tokens", *added)
 
 
 def score_held_out(docs: DataFrame, path: str, modulus: int = 5, remainder: int = 1) -> DataFrame:
-    """Learns from the rows whose crc32(doc_id) leaves another remainder, and scores all rows."""
+    """Learns from the rows whose crc32(doc_id) leaves another remainder, and scores all rows; an empty table gives an empty result."""
     split = docs.select("doc_id", "text", (crc_remainder(F.col("doc_id"), modulus) == remainder).alias("held_out"))
     model = train(split.withColumn("train", ~F.col("held_out")), path)
-    return score(split, model).withColumn("train_tokens", F.lit(model.n).cast("long"))
+    return score(split, model, complete=True).withColumn("train_tokens", F.lit(model.n).cast("long"))
 
 
 __all__ = ["Model", "edges", "expect", "log_likelihood", "score", "score_held_out", "tokens", "train", "vocabulary", "word_counts"]
