@@ -22,7 +22,6 @@ the square of its chunks.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -51,18 +50,14 @@ PIECE = 1 << 19
 SEEN = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
-BASE = 0xD6E8FEB86659FD93
-#: A random number for each byte, A to Z as a to z; white space has 0.
-_letter = np.random.Generator(np.random.PCG64(42)).integers(1, 2**64, 256, dtype=np.uint64)
-_letter[ord("A") : ord("Z") + 1] = _letter[ord("a") : ord("z") + 1]
+#: Bytes of a word that are hashed eight at a time; longer words are hashed one by one.
+LONG_WORD = 64
+#: A to Z as a to z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_letter[BLANK] = 0
-
-
-@functools.lru_cache(maxsize=1)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE, and of its inverse, modulo 2**64."""
-    return tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (BASE, pow(BASE, -1, 2**64)))
+#: The first k bytes of eight.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -72,13 +67,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where each word of the bytes begins, its hash); the bytes end with white space."""
-    up, down = powers(max(PIECE, 1 << (len(text) - 1).bit_length()) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_letter[text] * up[: len(text)])))
-    blank = BLANK[text]
+    """(where each word of the bytes begins, its hash); the bytes end with white space.
+
+    Each step mixes eight more bytes of the words that have them; it is one-to-one in these bytes,
+    so words of up to eight never collide.
+    """
+    low = LOWER[text]
+    blank = BLANK[low]
     begin = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
-    end = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
-    return begin, _mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * MIX)
+    size = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1]))) - begin
+    padded = np.concatenate((low, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(low) + 1,), "<u8", padded, strides=(1,))
+    out = _mixed(size.astype(np.uint64) * MIX + np.uint64(WORDS))
+    for k in range(0, LONG_WORD, 8):
+        at = np.flatnonzero(size > k) if k else slice(None)
+        if k and not len(at):
+            break
+        chunk = eight[begin[at] + k] & FIRST[np.minimum(size[at] - k, 8)]
+        out[at] = _mixed((out[at] ^ chunk) * MIX)
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(low[begin[i] : begin[i] + size[i]].tobytes(), int(size[i]))
+    return begin, out
 
 
 def _rolled(h: np.ndarray, width: int) -> np.ndarray:
