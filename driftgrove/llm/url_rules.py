@@ -108,7 +108,9 @@ def index_rules(patterns: Sequence[str], counts: Mapping[str, int]) -> tuple[dic
 def match_patterns(urls: DataFrame, patterns: Sequence[str] = PATTERN_RULES, url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: all columns but ``url``) with ``pattern``: the first of the patterns that the URL matches, or null.
 
-    A null URL matches nothing. Letters A to Z of the URL count as lower case.
+    A null URL matches nothing. Letters A to Z of the URL count as lower case. Rows that repeat are
+    matched each on their own, an empty table gives an empty result, and a column of ``urls`` named
+    ``pattern`` gives way to the new one. A task compiles a rule when a URL first fetches it, once.
     """
     if len(patterns) > MAX_RULES:
         raise ValueError(f"{MAX_RULES} rules at most")
@@ -116,14 +118,20 @@ def match_patterns(urls: DataFrame, patterns: Sequence[str] = PATTERN_RULES, url
     index, always = index_rules(patterns, token_counts(urls, wanted, url) if wanted else {})
     lower = str.maketrans(UPPER, LOWER)
 
+    compiled: dict[int, re.Pattern] = {}  # of the task: each has its own copy
+
+    def rule(i: int) -> re.Pattern:
+        if i not in compiled:
+            compiled[i] = re.compile(patterns[i], re.ASCII)
+        return compiled[i]
+
     def run(texts: pa.Array) -> list[pa.Array]:
-        rules = [re.compile(p, re.ASCII) for p in patterns]
         split = re.compile("[^a-z0-9]+").split
         out = []
         for t in texts.to_pylist():
             t = (t or "").translate(lower)
-            candidates = sorted({*always, *(i for token in set(split(t)) for i in index.get(token, ()))})
-            out.append(next((patterns[i] for i in candidates if t and rules[i].search(t)), None))
+            candidates = sorted({*always, *(i for token in set(split(t)) for i in index.get(token, ()))}) if t else []
+            out.append(next((patterns[i] for i in candidates if rule(i).search(t)), None))
         return [pa.array(out, pa.string())]
 
     return map_text(urls, run, FIELDS, url, keep)

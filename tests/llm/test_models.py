@@ -66,6 +66,33 @@ def test_filters_find_all_members():
         assert abs(np.mean(other >> np.uint64(i) & np.uint64(1)) - f.false[i]) < 0.02
 
 
+def test_language_of_texts_when_nothing_was_learned(spark):
+    blank = docs_of(spark, [" ", "12"], lang="en")
+    for learn in (blank, blank.limit(0)):
+        got = langid.identify(docs_of(spark, ["abc", "abc"]), langid.train(learn)).collect()
+        assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)] * 2
+    assert langid.identify(blank.limit(0), langid.train(blank)).count() == 0
+
+
+def test_language_counts_equal_plain_sets(spark, documents):
+    """The filters' counts against sets of n-grams: with large filters no n-gram is a false positive."""
+    texts = [r["text"] for r in documents.limit(40).collect()] + ODD
+    middles = lambda t: [(c[i - 1], c[i], c[i + 1]) for c in ["".join(x if x.isalpha() else " " for x in f" {t.lower()} ")] for i in range(1, len(c) - 1) if c[i] != " "]
+    packed = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(g))
+    sets = {"a": set(middles(texts[0])), "b": set(middles(texts[1])) | set(middles(texts[2]))}
+    members = {}
+    for k, s in enumerate(sets.values()):
+        for g in s:
+            members[packed(g)] = members.get(packed(g), 0) | 1 << k
+    lang, score, n = langid.Filters.build(list(sets), members, 1 << 22).predict(texts)
+    for i, t in enumerate(texts):
+        own = middles(t or "")
+        assert n[i] == len(own)
+        hits = {k: sum(g in s for g in own) for k, s in sets.items()}
+        if own and hits["a"] != hits["b"]:
+            assert lang[i] == max(hits, key=hits.get) and score[i] == pytest.approx(max(hits.values()) / len(own), abs=1e-3)
+
+
 def all_ways(word, v, prob):
     word = "▁" + word
 
@@ -105,6 +132,54 @@ def test_lattice_sums_all_segmentations():
     assert sum(x * n for x, n in zip(a, lengths, strict=True)) == pytest.approx(2.0 * 6)
 
 
+def test_expected_pieces_equal_those_of_all_segmentations():
+    v = lattice_lm.vocabulary(PIECES)
+    prob = np.maximum(v.prior, lattice_lm.FLOOR).tolist()
+
+    def ways(word, i=0):
+        if i == len(word):
+            yield ()
+            return
+        for j in range(i + 1, len(word) + 1):
+            if (p := v.prefixes.get(word[i:j], -1)) >= 0:
+                yield from ((p, *rest) for rest in ways(word, j))
+        if v.prefixes.get(word[i], -1) < 0:
+            yield from ((*(v.byte_pieces[b] for b in word[i].encode()), *rest) for rest in ways(word, i + 1))
+
+    for word in ("hello", "a😀b", "station"):
+        each = {w: math.prod(prob[p] for p in w) for w in ways("▁" + word)}
+        want = Counter()
+        for w, q in each.items():
+            for p in w:
+                want[p] += 3.0 * q / sum(each.values())
+        for short in (22, -1):
+            got, lattice_lm.SHORT, old = [0.0] * len(prob), short, lattice_lm.SHORT
+            lattice_lm.expect(word, 3.0, v, prob, np.log(prob).tolist(), got)
+            lattice_lm.SHORT = old
+            assert {i: x for i, x in enumerate(got) if x} == pytest.approx(dict(want), rel=1e-6)
+
+
+def test_expectation_of_very_unlikely_words():
+    v = lattice_lm.vocabulary(PIECES)
+    floor = [lattice_lm.FLOOR] * len(v.prior)
+    into = [0.0] * len(floor)
+    lattice_lm.expect("\U00020000\U00020001\U00020002\U00020003\ua000\ua001\ua002", 5.0, v, floor, np.log(floor).tolist(), into)
+    assert np.isfinite(into).all() and sum(into) == pytest.approx(5.0 * (4 * 4 + 3 * 3 + 1))
+
+
+def test_scores_of_other_documents(spark):
+    model = lattice_lm.train(docs_of(spark, ["one two", "two"]).withColumn("train", F.lit(True)), PIECES, rounds=1)
+    got = lattice_lm.score(docs_of(spark, ["one never", ""], n_tokens="clash"), model, head=1).orderBy("doc_id").collect()
+    vocab, tens = lattice_lm.vocabulary(PIECES), math.log(10)
+    end = vocab.end
+    for name, logp in (("score", model.prior), ("fitted_score", model.logp)):
+        want = sum(lattice_lm.log_likelihood(w, vocab, logp) for w in ("one", "never")) + logp[end]
+        assert got[0][name] == pytest.approx(want / tens) and got[1][name] == pytest.approx(logp[end] / tens)
+    assert [r["n_known"] for r in got] == [2, 1] and [r["n_tokens"] for r in got] == [3, 1]
+    assert got[0]["base_score"] == pytest.approx(sum(math.log10((c + 0.5) / model.base_denominator) for c in (1, 0, 2)))
+    assert lattice_lm.score_held_out(docs_of(spark, []), PIECES).count() == 0
+
+
 @pytest.mark.parametrize("head", [lattice_lm.HEAD, 3])
 def test_lattice_scores(spark, documents, head):
     docs = documents.select("doc_id", "text").limit(60).unionByName(docs_of(spark, [None, "", "Zzyzx qqq"]).withColumn("doc_id", F.lit(None).cast("long")))
@@ -122,10 +197,11 @@ def test_lattice_scores(spark, documents, head):
     want = []
     for r in rows:
         words = tok(r["text"])
-        lp = sum(memo.setdefault(w, lattice_lm.log_likelihood(w.decode(), vocab, model.logp)) for w in words) + model.logp[model.end]
-        want.append((len(words) + 1, sum(w in counts for w in words) + 1, sum(base(counts[w]) for w in words) + base(ends), lp / math.log(10)))
+        both = [memo.setdefault(w, lattice_lm.log_likelihoods(w.decode(), vocab, (model.prior, model.logp))) for w in words]
+        lp, fit = (sum(x[i] for x in both) + logp[vocab.end] for i, logp in enumerate((model.prior, model.logp)))
+        want.append((len(words) + 1, sum(w in counts for w in words) + 1, sum(base(counts[w]) for w in words) + base(ends), lp / math.log(10), fit / math.log(10)))
     assert model.n == n and model.v == v
-    mine = sorted((r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got)
+    mine = sorted((r["n_tokens"], r["n_known"], r["base_score"], r["score"], r["fitted_score"]) for r in got)
     assert len(mine) == len(want)
     for a, b in zip(mine, sorted(want), strict=True):
         assert a == pytest.approx(b, rel=1e-9)
@@ -137,7 +213,7 @@ def test_fitting_makes_held_out_texts_likelier(spark, documents):
     total = []
     for rounds in (0, 1, 2):
         rows = lattice_lm.score(docs, lattice_lm.train(split, PIECES, rounds=rounds)).filter("held_out")
-        total.append(rows.agg(F.sum("score")).first()[0])
+        total.append(rows.agg(F.sum("fitted_score")).first()[0])
     assert total[0] < total[1] < total[2]
 
 
@@ -161,6 +237,90 @@ def test_candidates_lose_no_match(spark):
         assert got[r["page_id"]] == next((p for p in patterns if re.search(p, r["url"].lower(), re.A)), None)
 
 
+def test_many_url_rules(spark):
+    r = np.random.default_rng(2)
+    names = [f"host{i}" for i in range(3000)]
+    patterns = [rf"\b{a}\b.*\b{b}\b" for a, b in r.choice(names, (5000, 2))] + [r"x{9}"]
+    urls = [f"http://{'.'.join(r.choice(names, 4))}/{'/'.join(r.choice(names, 9))}" for _ in range(150)]
+    urls += [f"http://{p[2:-2].replace(chr(92) + 'b.*' + chr(92) + 'b', '/')}/" for p in patterns[:50]] + [None, "", "http://X/xxxxXXxxx"]
+    pages = spark.createDataFrame([(i % 100, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, pattern string").repartition(3)
+    got = url_rules.match_patterns(pages, patterns, keep=["page_id", "url", "pattern"]).collect()
+    every = [re.compile(p, re.A) for p in patterns]
+    for x in got:
+        hit = next((i for i, p in enumerate(every) if x["url"] and p.search(x["url"].lower())), None)
+        assert x["pattern"] == (None if hit is None else patterns[hit])
+    assert sum(x["pattern"] is not None for x in got) >= 51
+    assert url_rules.judge(pages.limit(0)).count() == 0 and len(got) == len(urls)
+
+
+def naive_logit(cnn, text):
+    """The network by plain loops over words, filters and places."""
+    words = [toxicity.word_features(w) for w in toxicity.words_of(text)]
+    x = [cnn.embed[f].sum(0) for f in words] + [np.zeros(toxicity.DIM)] * max(0, max(toxicity.WIDTHS) - len(words))
+    total, n = cnn.out_bias, 0
+    for w, filters in zip(toxicity.WIDTHS, cnn.filters, strict=True):
+        for k in range(toxicity.FILTERS):
+            best = max(sum(float(x[i + j] @ filters[j, :, k]) for j in range(w)) for i in range(len(x) - w + 1))
+            total += max(0.0, best + float(cnn.bias[n])) * float(cnn.out[n])
+            n += 1
+    return total
+
+
+def test_network_equals_plain_loops(monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    cnn = toxicity.Cnn.fresh(3)
+    texts = ["one two three one two", "", None, "a", "the quick brown fox jumps over the lazy dog and the fence " * 3]
+    assert cnn.logits(texts) == pytest.approx([naive_logit(cnn, t) for t in texts], rel=1e-4, abs=1e-5)
+
+
+def test_gradients_equal_differences():
+    cnn = toxicity.Cnn.fresh(11)
+    texts, labels, up = ["bad words here now", "some good words", "x"], [1, 0, 1], 2.0
+    words = sorted({w for t in texts for w in toxicity.words_of(t)})
+    table = np.array([[0] * (1 + len(toxicity.BEGINNINGS))] + [toxicity.word_features(w) for w in words])
+    docs = [np.array([words.index(w) + 1 for w in toxicity.words_of(t)]) for t in texts]
+    for k, x in enumerate(cnn.filters):
+        cnn.filters[k] = x.astype(np.float64)
+    cnn.embed, cnn.bias, cnn.out = cnn.embed.astype(np.float64), cnn.bias.astype(np.float64) + 0.1, cnn.out.astype(np.float64)
+    grads, g_bias, g_out, g_c, rows, steps = cnn.gradients(table, docs, labels, up)
+
+    def loss():
+        z = [naive_logit(cnn, t) for t in texts]
+        return sum((up if y else 1.0) * math.log1p(math.exp(-x if y else x)) for x, y in zip(z, labels, strict=True))
+
+    def slope(array, at):
+        old, h = array[at], 1e-4
+        array[at] = old + h
+        high = loss()
+        array[at] = old - h
+        low = loss()
+        array[at] = old
+        return (high - low) / (2 * h)
+
+    r = np.random.default_rng(0)
+    for array, g in [*zip(cnn.filters, grads, strict=True), (cnn.bias, g_bias), (cnn.out, g_out)]:
+        for _ in range(6):
+            at = tuple(int(r.integers(n)) for n in array.shape)
+            assert g[at] == pytest.approx(slope(array, at), rel=1e-2, abs=1e-4)
+    embed = np.zeros_like(cnn.embed)
+    np.add.at(embed, rows, steps[:, None, :])
+    for f in (table[1][0], table[2][1], table[-1][0]):
+        assert embed[f] == pytest.approx([slope(cnn.embed, (f, i)) for i in range(toxicity.DIM)], rel=1e-2, abs=1e-4)
+    old = cnn.out_bias
+    cnn.out_bias = old + 1e-4
+    high = loss()
+    cnn.out_bias = old - 1e-4
+    assert g_c == pytest.approx((high - loss()) / 2e-4, rel=1e-3)
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs = docs_of(spark, ["bad", "good", None, "bad"], lang="en").withColumn("doc_id", F.col("doc_id") % 3)
+    marks = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    assert toxicity.score(docs, model).count() == 4 and toxicity.score(docs.limit(0), model).count() == 0
+    assert toxicity.train(docs.limit(0), marks).cnn is None
+
+
 def test_toxicity(spark):
     r = np.random.default_rng(5)
     words = [f"word{i}" for i in range(300)]
@@ -184,6 +344,19 @@ def test_toxicity(spark):
     assert {x["score"] for x in toxicity.score(docs_of(spark, ["a"]), toxicity.train(docs, marks.limit(0))).collect()} == {0.0}
 
 
+def test_word_hashes_tell_words_apart():
+    line = "a"
+    while len(line) < 1024:  # Thue-Morse words and their complements collide under polynomials modulo 2**64
+        line += line.translate({97: 98, 98: 97})
+    words = [line, line.translate({97: 98, 98: 97}), line[:64], line[:65], line[1:65], line[:9], line[:8], line[1:9], "é" * 40, "é" * 41]
+    r = np.random.default_rng(1)
+    words += ["".join(r.choice(list("abc"), n)) for n in r.integers(1, 80, 3000)]
+    text = " \t".join(words).encode() + b"\n"
+    begin, h = jaccard_tree.word_hashes(np.frombuffer(text, np.uint8))
+    assert len(begin) == len(words) and len(set(h.tolist())) == len(set(words))
+    assert dict(zip(words, h.tolist(), strict=True)) == dict(zip(words, jaccard_tree.word_hashes(np.frombuffer(text.upper().replace("É".encode(), "é".encode()), np.uint8))[1].tolist(), strict=True))
+
+
 def linked(rows):
     sets = []
     for _, t in rows:
@@ -236,6 +409,33 @@ def test_jaccard_join_of_nothing(spark):
     assert [tuple(x) for x in one] == [(7, 2, 7)]
 
 
+def test_pipeline_keeps_rows_and_columns_apart(spark):
+    import corpus_pipeline as cp
+
+    r = np.random.default_rng(4)
+    text = lambda n: " ".join(r.choice("alpha beta gamma delta the of and house green over under".split(), n))
+    base = text(80)
+    rows = [(1, base), (5, base + " end"), (5, text(80)), (None, base + " stop"), (None, text(60)), (7, None), (8, ""), (8, ""), (9, "12 34"), (1, base), (10, "alpha")]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 5 else "src0", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in ("score", "lang_pred", "n_grams", "rate", "n_copies", "copy_no", "shuffle_key", "text2", "cls", "digest")})
+    left = {}
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, DATA)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        if name != "byte_bpe":
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert all(x[c] == f"own {c}" for x in got for c in docs.columns[5:])
+            left[name] = sorted((x["n_chars"] for x in got))
+            docs = spark.createDataFrame(got, docs.schema)
+    assert left["language_id"] == [0, 1, 2, 3, 4, 9, 10]  # those without a letter go
+    assert len(left["exact_dedup"]) == 6 and set(left["exact_dedup"]) | {0} == {0, 1, 2, 3, 4, 10} or set(left["exact_dedup"]) == {9, 1, 2, 3, 4, 10}
+    near = set(left["jaccard_join"])
+    assert {2, 4, 10} <= near and len(near) == 4 and near & {0, 9}  # the other text with id 5 stays
+    final = out.collect()
+    assert all(x["decodes"] for x in final)
+
+
 def test_pipeline(spark, documents):
     import corpus_pipeline as cp
 
