@@ -6,6 +6,8 @@ of ``documents``. The caller writes each result as Parquet and reads it again fo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +22,23 @@ LEAST_SCORE = 0.2
 ORACLE_SQL = None
 
 
+def aside(docs: DataFrame, columns: list[str], operator: Callable[..., DataFrame], *args, **kwargs) -> DataFrame:
+    """``operator`` over ``columns`` alone, with all columns of ``docs`` packed into ``__own``, clear of the operator's own names."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own")
+    return operator(docs.select(*columns, own), *args, **kwargs)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those that look like none of the languages of ``lang``."""
-    told = langid.identify(docs, langid.train(docs))
-    return told.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    """Drops texts without letters and those that look like none of the languages of ``lang``.
+
+    Null and empty texts have no letters. Rows that repeat another go or stay together.
+    """
+    told = aside(docs, ["text"], langid.identify, langid.train(docs))
+    return told.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*[F.col(f"__own.`{c}`") for c in docs.columns])
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each content."""
+    """Keeps one document of each content; null and empty texts are one content."""
     return exact_dedup.keep_first(docs)
 
 
@@ -51,12 +62,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents at random so that the sources have their target shares, in random order."""
-    return mixing.mix(docs, MIX, seed=MIX_SEED).select(docs.columns)
+    """Repeats documents at random so that the sources have their target shares, in random order.
+
+    A null source is one of the others. Rows that repeat an id get the same number of copies.
+    """
+    return aside(docs, ["doc_id", "source"], mixing.mix, MIX, seed=MIX_SEED).select(*[F.col(f"__own.`{c}`") for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and whether the ids decode to the text."""
+    """doc_id, lang, source, n_tokens, ids and whether the ids decode to the text; a null text is encoded as the empty one."""
     rows = bpe.encode(docs.withColumn("__bytes", F.coalesce("text", F.lit("")).cast("binary")), VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "__bytes"], decoded=True)
     return rows.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.col("__bytes")).alias("decodes"))
 
