@@ -2,7 +2,8 @@
 
 A scope is a set of postings (source, word). Its frequent words are dealt out to nodes one after
 the other, by how much of a node's sources a word covers; that fold needs only how many sources
-hold which set of frequent words, so each scope is aggregated to such patterns before it. Nodes
+hold which set of frequent words, so each scope is aggregated to such patterns before it, and where
+even these are many the fold goes a word at a time over the distributed patterns. Nodes
 with enough sources open a scope of their own. Scopes are known by their path: the places of the
 nodes from the root. Scopes of one level are handled together, and the whole subtree of a small
 scope within one task.
@@ -24,6 +25,10 @@ from driftgrove.plans.tables import materialise, numbered
 
 #: Postings up to which a scope's subtree is built in one task.
 SMALL = 50_000
+#: Distinct sets of frequent words up to which a scope is folded in one task.
+WIDE = 200_000
+#: Rows that are broadcast at most.
+FEW = 500_000
 TOP_WORDS = 10
 REFUGE = -1
 
@@ -139,20 +144,44 @@ class Tree:
     hkts: DataFrame  # hkt_id, parent_node_id
 
 
-def _level(scope: DataFrame, config: BuilderConfig, arrival: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes: path, ord, word; refuge sources: path, source; expected: path, word, df, at, seed) of all given scopes."""
-    words = scope.groupBy("path", "word").agg(F.count(F.lit(1)).alias("df"), F.min("at").alias("at"))
-    per = Window.partitionBy("path")
-    ranked = words.withColumn("most", F.max("df").over(per)).withColumn("seed", F.row_number().over(per.orderBy(F.desc("df"), "at")) == 1)
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has no more than FEW rows."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
+def _level(scope: DataFrame, scopes: int, config: BuilderConfig, arrival: bool = False, wide: int = WIDE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes: path, ord, word; refuge sources: path, source; expected: path, word, df, seed) of all given scopes.
+
+    Everything about a scope is an aggregate of its postings; no task gets a whole scope, but the
+    ``wide`` distinct sets of frequent words that a scope may have to be folded in one go.
+    """
+    least = config.minimum_threshold_against_max_word_count
+    words = materialise(scope.groupBy("path", "word").agg(F.count(F.lit(1)).alias("df"), F.min("at").alias("at")), "tree-words")
+    first = F.col("at") if arrival else F.struct((-F.col("df")).alias("d"), F.col("at").alias("at"))
+    lead = few(words.groupBy("path").agg(F.min_by(F.struct("word", "df"), first).alias("lead")), scopes)
+    line = words.join(lead, "path").withColumn("ok", F.col("df") / F.col("lead.df") >= least)
     if arrival:
-        order = Window.partitionBy("path").orderBy("at")
-        line = scope.join(words.select("path", "word", "df"), ["path", "word"]).withColumn("most", F.first("df").over(order))
-        line = line.withColumn("ok", F.bool_and(F.col("df") / F.col("most") >= config.minimum_threshold_against_max_word_count).over(order)).filter("ok")
-        ranked = line.groupBy("path", "word").agg(F.first("df").alias("df"), F.min("at").alias("at"), F.first("most").alias("most")).withColumn("seed", F.row_number().over(per.orderBy("at")) == 1)
-        ranked = ranked.withColumn("most", F.col("df"))  # all of these are expected
-    expected = materialise(ranked.filter(F.col("df") / F.col("most") >= config.minimum_threshold_against_max_word_count).select("path", "word", "df", "at", "seed"), "tree-expected")
-    held = scope.join(expected.select("path", "word"), ["path", "word"]).groupBy("path", "source").agg(F.array_sort(F.collect_list("word")).alias("pattern"))
-    patterns = held.groupBy("path", "pattern").agg(F.count(F.lit(1)).alias("n"))
+        stop = few(line.filter("NOT ok").groupBy("path").agg(F.min("at").alias("stop")), scopes)
+        line = line.join(stop, "path", "left").withColumn("ok", F.col("stop").isNull() | (F.col("at") < F.col("stop")))
+    expected = materialise(line.filter("ok").select("path", "word", "df", (F.col("word") == F.col("lead.word")).alias("seed")), "tree-expected")
+    n = expected.count()
+    hits = scope.select("path", "source", "word").join(few(expected.select("path", "word"), n), ["path", "word"])
+    held = hits.groupBy("path", "source").agg(F.array_sort(F.collect_list("word")).alias("pattern"))
+    held = materialise(held.groupBy("path", "pattern").agg(F.count(F.lit(1)).alias("n")), "tree-patterns")
+    sizes = materialise(held.groupBy("path").agg((F.count(F.lit(1)) > wide).alias("wide")), "tree-widths")
+    if sizes.filter("wide").limit(1).count():
+        big = few(sizes.filter("wide").select("path"), scopes)
+        folded = fold_by_steps(held.join(big, "path", "left_semi"), expected.join(big, "path", "left_semi"), config.similarity_threshold)
+        nodes = folded.unionByName(fold_by_scope(held.join(big, "path", "left_anti"), expected, config.similarity_threshold))
+    else:
+        nodes = fold_by_scope(held, expected, config.similarity_threshold)
+    covered = hits.select("path", "source").distinct()
+    refuge = scope.select("path", "source").distinct().join(covered, ["path", "source"], "left_anti")
+    return materialise(nodes, "tree-nodes"), refuge, expected
+
+
+def fold_by_scope(patterns: DataFrame, expected: DataFrame, similarity: float) -> DataFrame:
+    """path, ord, word: the nodes of each scope, folded in one task from its patterns (path, pattern, n)."""
     seeds = expected.filter("seed").select("path", F.col("word").alias("seed"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -163,21 +192,51 @@ def _level(scope: DataFrame, config: BuilderConfig, arrival: bool = False) -> tu
             for w in p:
                 held[place[w]].append(i)
         seed = place[int(rows["seed"].iloc[0])]
-        nodes = fold([np.array(x) for x in held], rows["n"].to_numpy(), seed, [i for i in range(len(known)) if i != seed], config.similarity_threshold)
+        nodes = fold([np.array(x) for x in held], rows["n"].to_numpy(), seed, [i for i in range(len(known)) if i != seed], similarity)
         path = list(rows["path"].iloc[0])
         return pd.DataFrame([(path, k, known[w]) for k, n in enumerate(nodes) for w in n], columns=["path", "ord", "word"])
 
-    nodes = materialise(patterns.join(seeds, "path").groupBy("path").applyInPandas(one, "path array<int>, ord int, word int"), "tree-nodes")
-    covered = scope.join(expected.select("path", "word"), ["path", "word"]).select("path", "source").distinct()
-    refuge = scope.select("path", "source").distinct().join(covered, ["path", "source"], "left_anti")
-    return nodes, refuge, expected
+    return patterns.join(seeds, "path").groupBy("path").applyInPandas(one, "path array<int>, ord int, word int")
 
 
-def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arrival: bool = False) -> Tree:
+def fold_by_steps(patterns: DataFrame, expected: DataFrame, similarity: float) -> DataFrame:
+    """The same, a word of every scope at a time: Spark counts what the word shares with each node, the driver keeps the nodes' words.
+
+    A job per frequent word of the widest scope; for scopes whose patterns no task could hold.
+    """
+    spark = patterns.sparkSession
+    lines: dict[tuple, list[tuple[int, int]]] = {}
+    for r in expected.orderBy(F.desc("seed"), "word").collect():  # the frequent words of some scopes
+        lines.setdefault(tuple(r["path"]), []).append((r["word"], r["df"]))
+    node_of: dict[tuple, dict[int, int]] = {p: {line[0][0]: 0} for p, line in lines.items()}
+    held: dict[tuple, list[int]] = {p: [line[0][1]] for p, line in lines.items()}
+    for i in range(1, max(map(len, lines.values()))):
+        now = {p: line[i] for p, line in lines.items() if i < len(line)}
+        rows = [(list(p), w, node_of[p]) for p, (w, _) in now.items()]
+        step = F.broadcast(spark.createDataFrame(rows, "path array<int>, word int, node_of map<int,int>"))  # a row per wide scope
+        inside = patterns.join(step, "path").filter(F.array_contains("pattern", F.col("word")))
+        at = F.array_distinct(F.array_compact(F.transform("pattern", lambda w: F.try_element_at("node_of", w))))
+        found: dict[tuple, dict[int, int]] = {}
+        for r in inside.select("path", "n", F.explode(at).alias("ord")).groupBy("path", "ord").agg(F.sum("n").alias("n")).collect():  # a row per node
+            found.setdefault(tuple(r["path"]), {})[r["ord"]] = r["n"]
+        for p, (word, df) in now.items():
+            common = found.get(p, {})
+            shares = [common.get(k, 0) / n for k, n in enumerate(held[p])]
+            best = max(shares)
+            k = shares.index(best) if best >= similarity else len(shares)
+            if k == len(shares):
+                held[p].append(0)
+            node_of[p][word] = k
+            held[p][k] += df - common.get(k, 0)
+    out = [(list(p), k, w) for p, words in node_of.items() for w, k in words.items()]
+    return spark.createDataFrame(out, "path array<int>, ord int, word int")
+
+
+def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arrival: bool = False, wide: int = WIDE) -> Tree:
     """The tree over postings (source long, word int, at long), each source and word once with its first arrival.
 
     Scopes of more than ``small`` postings go through Spark a level at a time; each smaller one is
-    finished by a single task. With ``arrival`` the root's postings aren't ranked: its seed is the
+    finished by a single task; ``wide`` bounds what a task folds of a large one. With ``arrival`` the root's postings aren't ranked: its seed is the
     first word to arrive, and its expected words end where a posting's df is first too small.
     """
     spark = postings.sparkSession
@@ -200,7 +259,7 @@ def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arriva
         if not counts["many"]:
             break
         large = scope.join(sizes.filter(F.col("n") > small).select("path"), "path", "left_semi")
-        nodes, refuge, expected = _level(large, config, arrival)
+        nodes, refuge, expected = _level(large, counts["many"], config, arrival, wide)
         arrival = False
         pairs = materialise(large.join(nodes, ["path", "word"]).select("path", "ord", "word", "source"), "tree-pairs")
         last = nodes.groupBy("path").agg((F.max("ord") + 1).cast("int").alias("ord"))
