@@ -44,8 +44,8 @@ class Engine:
     All tables live in the shared folder; the driver holds counters and references.
     """
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, rebuild_mode: str = "full", small: int = trees.SMALL):
-        self.spark, self.config, self.small = spark, config or Config(), small
+    def __init__(self, spark: SparkSession, config: Config | None = None, rebuild_mode: str = "full", small: int = trees.SMALL, wide: int = trees.WIDE):
+        self.spark, self.config, self.small, self.wide = spark, config or Config(), small, wide
         self.set_rebuild_mode(rebuild_mode)
         self.state: State | None = None
         self.vocabulary: DataFrame | None = None  # word_id, token
@@ -58,6 +58,7 @@ class Engine:
         self.last_stats: dict | None = None
         self.last_decisions: DataFrame | None = None
         self.removed: dict[int, int] = {}  # hkt_id: old parent node
+        self.rebuilt_from: int | None = None  # the first HKT that a subtree rebuild made
         self.next_hkt_id = self.next_node_id = 1
 
     # -- modes and accessors
@@ -127,9 +128,9 @@ class Engine:
         placed = postings.first_places(arrivals).join(arrivals.select("source_id", "source").distinct(), "source_id")
         self.vocabulary = materialise(postings.vocabulary(arrivals).select("word_id", "token"), "engine-vocabulary")
         rows = placed.join(self.vocabulary, "token").groupBy("source", F.col("word_id").alias("word")).agg(F.min("at").alias("at"))
-        tree = trees.build(rows, self.config.builder, self.small)
+        tree = trees.build(rows, self.config.builder, self.small, wide=self.wide)
         self.state, self.top_words = self._named(tree, self.vocabulary)
-        self.removed = {}
+        self.removed, self.rebuilt_from = {}, None
         most = self.state.nodes.agg(F.max("hkt_id").alias("h"), F.max("node_id").alias("n")).first()
         self.next_hkt_id, self.next_node_id = (most["h"] or 0) + 1, (most["n"] or 0) + 1
 
@@ -250,7 +251,7 @@ class Engine:
             ordered = numbered(scope, ["at"], "place")
             ids = numbered(ordered.groupBy("token").agg(F.min("place").alias("first")), ["first"], "word")
             rows = ordered.join(ids, "token").select("source", F.col("word").cast("int").alias("word"), F.col("place").alias("at"))
-            tree = trees.build(rows, self.config.builder, self.small, arrival=True)
+            tree = trees.build(rows, self.config.builder, self.small, arrival=True, wide=self.wide)
             report |= {"subtree_hkt_count": tree.hkts.count(), "subtree_node_count": tree.nodes.count()}
         return report
 
@@ -279,7 +280,7 @@ class Engine:
         made = numbered(fresh, ["first"], "n", 0).select("token", (F.lit(2147483647) - F.col("n")).cast("int").alias("word_id"))
         words = materialise(self.vocabulary.select("token", "word_id").unionByName(made), "engine-words")
         rows = ordered.join(words, "token").select("source", F.col("word_id").alias("word"), F.col("place").alias("at"))
-        new, top = self._named(trees.build(rows, self.config.builder, self.small, arrival=True), words)
+        new, top = self._named(trees.build(rows, self.config.builder, self.small, arrival=True, wide=self.wide), words)
         s = self.state
         dead = prune.subtree(s.hkts, s.nodes, self.spark.createDataFrame([(target,)], "hkt_id int"))
         dead_nodes = materialise(s.nodes.join(dead, "hkt_id").select("node_id"), "engine-dead")
@@ -302,6 +303,7 @@ class Engine:
         ).kept()
         self.top_words = materialise(keep(self.top_words).select("node_id", "token", "rank").unionByName(top.select(node, "token", "rank")), "engine-top")
         self.removed[target] = parent
+        self.rebuilt_from = dh + 1 if self.rebuilt_from is None else self.rebuilt_from
         most = self.state.nodes.agg(F.max("hkt_id").alias("h"), F.max("node_id").alias("n")).first()
         self.next_hkt_id, self.next_node_id = max(self.next_hkt_id, most["h"] + 1), max(self.next_node_id, most["n"] + 1)
         return True
@@ -333,7 +335,7 @@ class Engine:
         tables |= {f"batch-{i}": b for i, b in self.batches.items()} | {f"members-{i}": m for i, m in self.members.items()}
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-        control = self.snapshot() | {"batches": sorted(self.batches), "members": sorted(self.members), "rebuild_mode": self.rebuild_mode, "next_hkt_id": self.next_hkt_id, "next_node_id": self.next_node_id, "reason_codes": self.explanation.reason_codes, "summary": self.explanation.summary}
+        control = self.snapshot() | {"batches": sorted(self.batches), "members": sorted(self.members), "rebuild_mode": self.rebuild_mode, "next_hkt_id": self.next_hkt_id, "next_node_id": self.next_node_id, "rebuilt_from": self.rebuilt_from, "reason_codes": self.explanation.reason_codes, "summary": self.explanation.summary}
         self.spark.createDataFrame([(json.dumps(control),)], "control string").coalesce(1).write.mode("overwrite").text(f"{path}/control")
 
     @classmethod
@@ -346,7 +348,7 @@ class Engine:
         engine.batches = {i: read(f"batch-{i}") for i in control["batches"]}
         engine.members = {i: read(f"members-{i}") for i in control["members"]}
         engine.last_batch_index = control["last_batch_index"]
-        engine.next_hkt_id, engine.next_node_id = control["next_hkt_id"], control["next_node_id"]
+        engine.next_hkt_id, engine.next_node_id, engine.rebuilt_from = control["next_hkt_id"], control["next_node_id"], control["rebuilt_from"]
         engine.removed = {int(k): v for k, v in control["logically_removed_hkts"].items()}
         engine.explanation = Explanation(control["summary"], control["reason_codes"])
         return engine
@@ -367,7 +369,7 @@ class Engine:
 
         if self.state is None:
             raise StateError(NOT_BUILT)
-        return TreeExport(self.state, self.vocabulary, self.top_words, self.registry, dict(self.removed))
+        return TreeExport(self.state, self.vocabulary, self.top_words, self.registry, dict(self.removed), self.rebuilt_from)
 
 
 def save_json(document: dict, path: str) -> None:

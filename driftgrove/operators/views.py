@@ -17,11 +17,11 @@ LABEL, SHOWN, TITLE, LISTED = 4, 10, 120, 250
 
 
 def node_names(tree: TreeExport) -> DataFrame:
-    """node_id, hkt_id, refuge, label, names (top words, else words), source_count, sources."""
+    """node_id, hkt_id, refuge, label, names (top words, else words), source_count."""
     names = F.transform(F.when(F.size("top_words") > 0, F.col("top_words")).otherwise(F.col("words")), lambda w: w["token"])
     rows = tree.nodes().withColumn("names", F.array_compact(names))
     label = F.when(F.size("names") > 0, F.array_join(F.slice("names", 1, LABEL), " ")).when(F.col("refuge"), F.lit("<refuge node>")).otherwise("(unnamed node)")
-    return rows.select("node_id", "hkt_id", "refuge", label.alias("label"), "names", F.size("sources").alias("source_count"), "sources")
+    return rows.select("node_id", "hkt_id", "refuge", label.alias("label"), "names", "source_count")
 
 
 def keywords(tree: TreeExport) -> DataFrame:
@@ -47,22 +47,47 @@ def reached(tree: TreeExport) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, levels, front)
 
 
+def placed(tree: TreeExport) -> DataFrame:
+    """node_id, hkt_id, depth, above (the place of its HKT's line in an outline) and place (of its own), of the nodes that hang from a root.
+
+    A place is the ids and orders on the way from the root: HKT, ord, HKT, ord and so on.
+    """
+    rows = materialise(tree.state.nodes.select("node_id", "hkt_id", "ord").join(tree.state.hkts, "hkt_id"), "views-placed")
+    front = rows.filter("parent_node_id = 0").select("node_id", "hkt_id", F.lit(0).alias("depth"), F.array("hkt_id").alias("above"), F.array("hkt_id", "ord").alias("place"))
+    levels = []
+    while True:
+        front = materialise(front, "views-level")
+        if not front.limit(1).count():
+            break
+        levels.append(front)
+        up = front.select(F.col("node_id").alias("parent_node_id"), "depth", F.col("place").alias("up"))
+        front = rows.join(up, "parent_node_id").select("node_id", "hkt_id", (F.col("depth") + 1).alias("depth"), F.concat("up", F.array("hkt_id")).alias("above"), F.concat("up", F.array("hkt_id", "ord")).alias("place"))
+    return functools.reduce(DataFrame.unionByName, levels, front)
+
+
 def node_paths(tree: TreeExport) -> DataFrame:
     """node_id, path: labels from the root."""
     return reached(tree).select("node_id", F.array_join("path", SEPARATOR).alias("path"))
 
 
-def tree_view(tree: TreeExport) -> DataFrame:
-    """A row per node that hangs from a root, with what a treemap shows."""
-    names = node_names(tree)
+def tree_view(tree: TreeExport, source_ids: bool = False) -> DataFrame:
+    """A row per node that hangs from a root, with what a treemap shows.
+
+    ``source_ids``: with the names of all its sources in a row, for small trees.
+    """
+    names = materialise(node_names(tree), "views-nodes")
     most = names.agg(F.greatest(F.max("source_count"), F.lit(1)).alias("most"))
     value = F.greatest(F.col("source_count"), F.lit(1))
     rows = reached(tree).join(names, "node_id").join(F.broadcast(most), F.lit(True))  # one row
     same = [F.col("label").alias(c) for c in ("topic", "title", "source")]
+    listed = F.lit("")
+    if source_ids:
+        rows = rows.join(tree.sources().groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("source", "source_id"))).alias("s")), "node_id", "left")
+        listed = F.coalesce(F.array_join(F.transform("s", lambda s: s["source_id"]), ", "), F.lit(""))
     return rows.select(
         F.concat(F.lit("node:"), F.col("node_id")).alias("id"), F.when(F.col("parent_node_id") == 0, "").otherwise(F.concat(F.lit("node:"), F.col("parent_node_id"))).alias("parent"), "label", "node_id",
         "hkt_id", "depth", "source_count", "category", *same, F.lit("").alias("url"), F.current_date().alias("date"), value.alias("value"), (value / F.col("most")).alias("strength_pct"),
-        F.array_join(F.transform("sources", lambda s: s["source_id"]), ", ").alias("source_ids"), F.array_join(F.slice("names", 1, SHOWN), ", ").alias("tokens"), F.col("refuge").alias("is_refuge_node"),
+        listed.alias("source_ids"), F.array_join(F.slice("names", 1, SHOWN), ", ").alias("tokens"), F.col("refuge").alias("is_refuge_node"),
     )
 
 
@@ -75,7 +100,7 @@ def validation(tree: TreeExport) -> DataFrame:
 
 def source_assignments(tree: TreeExport, catalog: DataFrame) -> DataFrame:
     """source_id, hkt (root keyword), node_id, node_label, title, url of every source of every node."""
-    rows = node_names(tree).select("node_id", "label", F.explode("sources").alias("s")).select("node_id", F.col("label").alias("node_label"), "s.source_id")
+    rows = tree.sources().join(node_names(tree).select("node_id", F.col("label").alias("node_label")), "node_id").select("node_id", "node_label", "source_id")
     named = rows.join(reached(tree).select("node_id", F.col("category").alias("hkt")), "node_id").filter(F.length(F.trim("source_id")) > 0)
     return named.join(catalog, "source_id", "left").select("source_id", "hkt", "node_id", "node_label", F.coalesce(F.nullif("title", F.lit("")), "source_id").alias("title"), F.coalesce("url", F.lit("")).alias("url")).distinct()
 

@@ -124,7 +124,7 @@ def statements() -> dict[str, str]:
     return {
         "scan_sources": f"{src} SELECT 0::BIGINT AS batch_index, source_index, source_id, len(tokens)::INTEGER AS n_tokens, '{{\"lang\":\"' || lang || '\",\"source\":\"' || origin || '\"}}' AS metadata FROM src",
         "csv_ingest": f"""
-          WITH r AS (SELECT doc_id + 1 AS n, trim(regexp_replace(concat_ws(' ', substr(coalesce(text, ''), 1, 80), coalesce(lang, ''), coalesce(source, '')), '\\s+', ' ', 'g')) AS text, source FROM documents),
+          WITH r AS (SELECT doc_id + 1 AS n, trim(regexp_replace(concat_ws(' ', coalesce(text, ''), coalesce(lang, ''), coalesce(source, '')), '\\s+', ' ', 'g')) AS text, source FROM documents),
           t AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)), lambda x: x NOT IN ({_STOP})) AS w FROM r)
           SELECT n AS source_index, format('row_{{:06d}}', n) AS source_id, array_to_string(w, ' ') AS tokens, text, '{{"url":"http://x/' || source || '"}}' AS metadata FROM t WHERE text <> '' AND len(w) >= 3""",
         "source_catalog": f"{names} SELECT source_id, title, '' AS url FROM cata",
@@ -155,7 +155,7 @@ def statements() -> dict[str, str]:
           SELECT alpha_estimate, beta_estimate, alpha_error, beta_error, word_importance_error,
             concat_ws(',', CASE WHEN alpha_error > 0.1 THEN 'alpha_error' END, CASE WHEN beta_error > 0.1 THEN 'beta_error' END, CASE WHEN word_importance_error > 0.1 THEN 'word_importance_error' END) AS reasons,
             alpha_error > 0.1 OR beta_error > 0.1 OR word_importance_error > 0.1 AS triggered FROM x""",
-        "containment": f"""{tree}, r AS (SELECT source, token FROM base SEMI JOIN ranks USING (token)), z AS (SELECT token, count(*) AS n FROM r GROUP BY token)
+        "containment": f"""{first}, r AS (SELECT source, token FROM dt SEMI JOIN (SELECT token FROM seen WHERE df / (SELECT max(df) FROM seen) >= 0.5) USING (token)), z AS (SELECT token, count(*) AS n FROM r GROUP BY token)
           SELECT a.token, b.token AS other, count(*) / any_value(z.n) AS share FROM r a JOIN r b USING (source) JOIN z ON z.token = a.token GROUP BY a.token, b.token""",
         "refuge_sources": f"{tree} SELECT source FROM ns WHERE node_id = 5",
         "top_words": f"""{first}, seed AS (SELECT token FROM seen ORDER BY df DESC, fst LIMIT 1),
@@ -202,7 +202,7 @@ def statements() -> dict[str, str]:
           (SELECT string_agg(token, ' ' ORDER BY word_id) FROM nw JOIN nodes n USING (node_id) WHERE n.hkt_id = hkts.hkt_id) AS words FROM hkts""",
         "tree_view": f"""{names} SELECT 'node:' || node_id AS id, CASE WHEN parent_node_id = 0 THEN '' ELSE 'node:' || parent_node_id END AS parent, label, node_id, hkt_id, (hkt_id - 1)::INTEGER AS depth, source_count::INTEGER AS source_count,
           (SELECT category FROM cat) AS category, label AS topic, label AS title, label AS source, '' AS url, source_count::INTEGER AS value, source_count / (SELECT max(source_count) FROM cnt) AS strength_pct,
-          array_to_string(names[1:10], ', ') AS tokens, refuge AS is_refuge_node FROM nodes JOIN hkts USING (hkt_id) JOIN label USING (node_id) JOIN cnt USING (node_id)""",
+          array_to_string(names[1:10], ', ') AS tokens, (SELECT string_agg('doc_' || source, ', ' ORDER BY source) FROM ns x WHERE x.node_id = nodes.node_id) AS source_ids, refuge AS is_refuge_node FROM nodes JOIN hkts USING (hkt_id) JOIN label USING (node_id) JOIN cnt USING (node_id)""",
         "node_paths": f"{names} SELECT nodes.node_id, CASE WHEN hkt_id = 2 THEN (SELECT label FROM label WHERE node_id = 1) || ' ▶ ' ELSE '' END || label AS path FROM nodes JOIN label USING (node_id)",
         "tree_validation": "SELECT 2::BIGINT AS total_hkts, 7::BIGINT AS total_nodes, 7::BIGINT AS rendered_nodes, 0::BIGINT AS skipped_nodes",
         "source_assignments": f"{names} SELECT * FROM asn",

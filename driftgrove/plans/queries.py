@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from driftgrove.engine import Engine
 from driftgrove.functions.text import STOP_WORDS
 from driftgrove.operators import drift, postings, prune, views
 from driftgrove.plans import workload as wl
-from driftgrove.plans.tables import materialise
+from driftgrove.plans.tables import materialise, numbered
 from driftgrove.sources import batches, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +22,14 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    REGISTRY[f.__name__] = f
+    """Registers ``f``; each call makes the tables that its parts share anew."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        wl.forget()
+        return f(spark, sf)
+
+    REGISTRY[f.__name__] = run
     return f
 
 
@@ -30,9 +38,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from driftgrove.plans import oracle
+    from driftgrove.plans import oracle, tree_sql
 
-    return oracle.statements()
+    return oracle.statements() | tree_sql.statements()
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,8 +289,9 @@ def tree_edges(spark, sf):
 
 @query
 def verbose_nodes(spark, sf):
-    rows = wl.fixed_tree(spark, sf).nodes()
-    return rows.select("node_id", "hkt_id", "ord", "refuge", F.array_join(F.transform("words", lambda w: w["token"]), " ").alias("words"), F.array_join(F.transform("sources", lambda s: s["source_id"]), ",").alias("sources"))
+    tree = wl.fixed_tree(spark, sf)
+    rows = tree.nodes().join(tree.node_documents().select("node_id", "sources"), "node_id")
+    return rows.select("node_id", "hkt_id", "ord", "refuge", F.array_join(F.transform("words", lambda w: w["token"]), " ").alias("words"), F.array_join(F.transform("sources", lambda s: s["external_source_id"]), ",").alias("sources"))
 
 
 @query
@@ -293,7 +302,7 @@ def verbose_hkts(spark, sf):
 
 @query
 def tree_view(spark, sf):
-    return views.tree_view(wl.fixed_tree(spark, sf)).drop("date", "source_ids")
+    return views.tree_view(wl.fixed_tree(spark, sf), source_ids=True).drop("date")
 
 
 @query
@@ -346,15 +355,49 @@ def ancestor_chain(spark, sf):
     return prune.ancestors(s.hkts, s.nodes, 6)
 
 
-# -- the baseline's own tree, replay and rebuild (no SQL: sequential folds)
+# -- the tree of the pages' baseline, replay and rebuild
+
+
+def _nodes(state: drift.State) -> DataFrame:
+    words = state.node_words.groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("words"))
+    held = state.node_sources.groupBy("node_id").agg(F.count(F.lit(1)).alias("sources"))
+    return state.nodes.join(held, "node_id").join(words, "node_id", "left")
 
 
 @query
 def tree_nodes(spark, sf):
+    return _nodes(wl.engine(spark, sf).state)
+
+
+@query
+def tree_levels(spark, sf):
+    """The same tree, every scope handled by Spark, and folded a word at a time where it has more than 50 patterns."""
+    e = Engine(spark, wl.config(), small=0, wide=50)
+    e.build_baseline(wl.pages(spark, sf).filter(F.col("batch_index") < wl.BATCHES - 1))
+    return _nodes(e.state)
+
+
+@query
+def tree_words(spark, sf):
+    """Own and top words of the nodes, expected words of the HKTs."""
+    e = wl.engine(spark, sf)
+    own = e.state.node_words.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "token")
+    top = e.top_words.select(F.lit("top").alias("kind"), F.col("node_id").alias("id"), "token")
+    return own.unionByName(top).unionByName(e.state.expected.select(F.lit("expected").alias("kind"), F.col("hkt_id").alias("id"), "token"))
+
+
+@query
+def tree_pairs(spark, sf):
+    """The sources behind each word of each node."""
+    e = wl.engine(spark, sf)
+    return e.state.word_sources.join(e.registry, "source").select("node_id", "token", "source_id")
+
+
+@query
+def tree_ids(spark, sf):
     s = wl.engine(spark, sf).state
-    words = s.node_words.groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("words"))
-    held = s.node_sources.groupBy("node_id").agg(F.count(F.lit(1)).alias("sources"))
-    return s.nodes.join(held, "node_id").join(words, "node_id", "left")
+    own = s.nodes.groupBy("hkt_id").agg(F.min("node_id").alias("first_node"), F.count(F.lit(1)).alias("nodes"))
+    return s.hkts.join(own, "hkt_id").select("hkt_id", "parent_node_id", "first_node", "nodes")
 
 
 @query
@@ -364,55 +407,82 @@ def tree_stats(spark, sf):
 
 @query
 def tree_outline(spark, sf):
-    return spark.createDataFrame([(i, x) for i, x in enumerate(wl.engine(spark, sf).tree().outline().split("\n"))], "line int, text string")
+    rows = wl.engine(spark, sf).tree().outline_rows()
+    return numbered(rows, ["place"], "line", 0).select(F.col("line").cast("int").alias("line"), "text")
 
 
 @query
 def trigger_plan(spark, sf):
     e = wl.engine(spark, sf)
-    held = wl.last_batch(spark, sf).join(postings.source_ids(wl.last_batch(spark, sf)).withColumnRenamed("internal_id", "source"), "source_id")
+    last = wl.pages(spark, sf).filter(F.col("batch_index") == wl.BATCHES - 1)
+    held = last.join(postings.source_ids(last).withColumnRenamed("internal_id", "source"), "source_id")
     level = drift.root_level(e.state, held.select("source"), e._tokens(held), e._first(), e.config.thresholds, e.vocabulary.select("token"))
     return drift.plan(level, e.config.trigger_policy_mode)[0]
 
 
 @query
 def timeline_summary(spark, sf):
-    """Two chunks: the tree's size after each."""
+    """The tree's size after each of eight batches, all of which rebuild it."""
     rows = []
-    n = wl.dealt(spark, sf).count()
-    engine = Engine(spark, wl.config(n))
-    timeline.replay(engine, wl.sources(spark, sf), 2, lambda i, e: rows.append((i, e.state.hkts.count(), e.state.nodes.count(), e.registry.count())))
+    timeline.replay(Engine(spark, wl.always()), wl.page_sources(spark, sf), wl.BATCHES, lambda i, e: rows.append((i, e.state.hkts.count(), e.state.nodes.count(), e.registry.count())))
     return spark.createDataFrame(rows, "batch_index int, hkts long, nodes long, sources long")
 
 
 @query
 def full_rebuild(spark, sf):
     """Nodes after a batch that always triggers."""
-    names = [f"{n}_option{i}_threshold" for n, k in (("alpha", 3), ("beta", 3), ("word_importance", 2)) for i in range(1, k + 1)]
-    engine = Engine(spark, wl.config(wl.dealt(spark, sf).count(), thresholds=ThresholdConfig(alpha=0.0, beta=0.0, **dict.fromkeys(names, 0.0))))
-    engine.build_baseline(wl.baseline(spark, sf))
-    engine.process_batch(wl.last_batch(spark, sf), 1)
-    return engine.state.node_sources.groupBy("node_id").agg(F.count(F.lit(1)).alias("sources"))
+    e = Engine(spark, wl.always())
+    e.build_baseline(wl.pages(spark, sf).filter(F.col("batch_index") < wl.BATCHES - 1))
+    e.process_batch(wl.pages(spark, sf).filter(F.col("batch_index") == wl.BATCHES - 1), 1)
+    return e.state.node_sources.groupBy("node_id").agg(F.count(F.lit(1)).alias("sources"))
+
+
+@query
+def window_batches(spark, sf):
+    """Retained batches and registered sources after each of eight batches, by a window of three; all of them rebuild the tree."""
+    rows = []
+    e = Engine(spark, wl.always(memory_mode="SlidingWindow", max_batches_in_memory=3))
+    timeline.replay(e, wl.page_sources(spark, sf), wl.BATCHES, lambda i, e: rows.append((i, e.stored_batch_count, min(e.batches), e.registry.count())))
+    return spark.createDataFrame(rows, "batch_index int, stored int, first_batch int, sources long")
 
 
 @query
 def window_prune(spark, sf):
     """What pruning to the last batch but one leaves of the baseline's own tree."""
     e = wl.engine(spark, sf)
-    kept = wl.dealt(spark, sf).filter(F.col("batch_index") == wl.BATCHES - 2).select("source_id")
+    kept = wl.pages(spark, sf).filter(F.col("batch_index") == wl.BATCHES - 2).select("source_id")
     state, _ = prune.light(e.state, e.registry.join(kept, "source_id", "left_semi").select("source"))
     return state.nodes.join(state.node_sources.groupBy("node_id").agg(F.count(F.lit(1)).alias("sources")), "node_id")
 
 
+def _branch(e: Engine) -> tuple[int, DataFrame, DataFrame]:
+    """(the first HKT under the root, no further sources, the words of the node above it)."""
+    target = e.state.hkts.filter("parent_node_id <> 0").agg(F.min("hkt_id")).first()[0]
+    parent = e.state.hkts.filter(F.col("hkt_id") == target).select(F.col("parent_node_id").alias("node_id"))
+    above = e.state.node_words.join(parent, "node_id").select("token")
+    return target, above.sparkSession.createDataFrame([], "source long"), above
+
+
 @query
 def rebuild_scope(spark, sf):
-    """Frequencies in the scope that a rebuild of the tree under its first branch works on."""
+    """Frequencies in the scope that a rebuild of the first branch works on."""
     e = wl.engine(spark, sf)
-    target = e.state.hkts.filter("parent_node_id <> 0").agg(F.min("hkt_id")).first()[0] or 1
-    parent = e.state.hkts.filter(F.col("hkt_id") == target).select(F.col("parent_node_id").alias("node_id"))
-    above = e.state.node_words.join(parent, "node_id").select("token")
-    rows = e.rebuild_scope(target, spark.createDataFrame([], "source long"), above)
-    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return e.rebuild_scope(*_branch(e)).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query
+def subtree_report(spark, sf):
+    """What a rebuild of the first branch would make."""
+    e = wl.engine(spark, sf)
+    return spark.createDataFrame([tuple(e.dry_run(*_branch(e)).values())], "target_hkt_id int, scoped_source_count long, subtree_hkt_count long, subtree_node_count long, new_token_count_in_scope long")
+
+
+@query
+def subtree_rebuild(spark, sf):
+    """The tree after a rebuild of the first branch."""
+    e = wl.engine(spark, sf)
+    e.rebuild_subtree(*_branch(e))
+    return _nodes(e.state).join(e.state.hkts, "hkt_id")
 
 
 @query

@@ -1,4 +1,13 @@
-"""What the queries work on: the documents as sources, a batch of them, and a small tree with fixed shape."""
+"""What the queries work on.
+
+Queries on words and on drift take ``documents`` as sources, in eight batches, and a tree of fixed
+shape over their commonest words, whose every figure SQL can tell. Queries on built trees take the
+words of the urls in ``pages``: some ten words to a source, as in headlines, so that a tree with
+the usual minimum of 20 sources to a branch ends by itself.
+
+Tables that several parts of a query share are made once for the query; ``query`` in ``queries``
+forgets them before each.
+"""
 
 from __future__ import annotations
 
@@ -16,8 +25,8 @@ from driftgrove.plans.tables import materialise
 from driftgrove.sources import batches
 
 BATCHES = 8
-#: A node opens a branch if it has this share of all sources.
-BRANCH_SHARE = 0.4
+#: A node opens a branch if it has more sources.
+MIN_SOURCES = 20
 #: Sets of words of the fixed tree's nodes, by place in the ranking; the second tree hangs from node 1.
 ROOT_WORDS, CHILD_WORDS = 8, 12
 
@@ -30,7 +39,22 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.from_documents(documents(spark, sf_dir), STOP_WORDS)
 
 
-@functools.lru_cache(maxsize=4)
+_shared: list = []
+
+
+def shared(f):
+    """Makes what ``f`` returns once for a query."""
+    held = functools.lru_cache(maxsize=4)(f)
+    _shared.append(held)
+    return held
+
+
+def forget() -> None:
+    for held in _shared:
+        held.cache_clear()
+
+
+@shared
 def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(batches.chunked(sources(spark, sf_dir), BATCHES), "workload-dealt")
 
@@ -48,12 +72,12 @@ def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dealt(spark, sf_dir)
 
 
-@functools.lru_cache(maxsize=4)
+@shared
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(postings.vocabulary(baseline(spark, sf_dir)), "workload-vocabulary")
 
 
-@functools.lru_cache(maxsize=4)
+@shared
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token, df, at, place, word_id of the first words in the baseline's ranking."""
     top = postings.ranked_words(baseline(spark, sf_dir)).filter(F.col("place") <= CHILD_WORDS)
@@ -65,7 +89,7 @@ def known_tokens(rows: DataFrame) -> DataFrame:
     return postings.doc_tokens(rows).select(F.col("source_index").alias("source"), "token")
 
 
-@functools.lru_cache(maxsize=4)
+@shared
 def fixed_state(spark: SparkSession, sf_dir: str) -> drift.State:
     """Four nodes of two words each and a refuge; under node 1 a tree of two more nodes."""
     top = ranks(spark, sf_dir)
@@ -96,14 +120,34 @@ def fixed_level(spark: SparkSession, sf_dir: str) -> drift.Level:
     return drift.root_level(fixed_state(spark, sf_dir), rows.select(F.col("source_index").alias("source")), known_tokens(rows), first, ThresholdConfig(), vocabulary(spark, sf_dir).select("token"))
 
 
-def config(n: int, **more) -> Config:
-    return Config(BuilderConfig(0.5, 0.5, max(20, round(n * BRANCH_SHARE))), **more)
+def config(**more) -> Config:
+    return Config(BuilderConfig(0.5, 0.5, MIN_SOURCES), **more)
+
+
+def always(**more) -> Config:
+    """Any batch triggers a rebuild."""
+    names = [f"{n}_option{i}_threshold" for n, k in (("alpha", 3), ("beta", 3), ("word_importance", 2)) for i in range(1, k + 1)]
+    return config(thresholds=ThresholdConfig(alpha=0.0, beta=0.0, **dict.fromkeys(names, 0.0)), **more)
+
+
+def never(**more) -> Config:
+    """No batch triggers one."""
+    names = [f"{n}_option{i}_threshold" for n, k in (("alpha", 3), ("beta", 3), ("word_importance", 2)) for i in range(1, k + 1)]
+    return config(thresholds=ThresholdConfig(alpha=0.0, beta=0.0, **dict.fromkeys(names, 1.0)), **more)
+
+
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches.from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@shared
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(batches.chunked(page_sources(spark, sf_dir), BATCHES), "workload-pages")
 
 
-@functools.lru_cache(maxsize=4)
+@shared
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """The baseline's own tree."""
-    rows = baseline(spark, sf_dir)
-    e = Engine(spark, config(rows.count()))
-    e.build_baseline(rows)
+    """The tree of all batches of pages but the last."""
+    e = Engine(spark, config())
+    e.build_baseline(pages(spark, sf_dir).filter(F.col("batch_index") < BATCHES - 1))
     return e

@@ -77,6 +77,14 @@ def from_documents(docs: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFra
     )
 
 
+def from_pages(pages: DataFrame) -> DataFrame:
+    """The ``pages`` table as sources of batch 0, in order of page_id: the tokens of a page are the words of its url."""
+    return pages.select(
+        F.lit(0).cast("long").alias("batch_index"), F.col("page_id").alias("source_index"), F.concat(F.lit("page_"), F.col("page_id")).alias("source_id"),
+        tx.words(F.col("url")).alias("tokens"), F.col("url").alias("text"), F.lit(None).cast("long").alias("timestamp_unix_ms"), F.to_json(F.struct("url")).alias("metadata"),
+    )
+
+
 def chunked(sources: DataFrame, chunks: int = 8) -> DataFrame:
     """Deals the sources out to ``chunks`` batches by order, the first ones a source larger where it doesn't divide."""
     if chunks < 1:

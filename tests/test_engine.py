@@ -24,8 +24,8 @@ def always(**more):
 
 def flat(e):
     doc = e.tree().verbose()
-    nodes = {(n["node_id"], n["hkt_id"], n["refuge"], tuple(w["token"] for w in n["words"]), tuple(sorted(s["source_id"] for s in n["sources"]))) for n in doc["nodes"]}
-    hkts = {(h["hkt_id"], h["parent_node_id"], tuple(h["node_ids"]), tuple(h["expected_words"])) for h in doc["hkts"]}
+    nodes = {(n["node_id"], n["hkt_id"], n["is_refuge_node"], tuple(w["token"] for w in n["words"]), tuple(sorted(s["external_source_id"] for s in n["sources"]))) for n in doc["nodes"]}
+    hkts = {(h["hkt_id"], h["parent_node_id"], tuple(h["node_ids"]), tuple(w["token"] for w in h["expected_words"])) for h in doc["hkts"]}
     return nodes, hkts
 
 

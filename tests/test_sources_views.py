@@ -9,7 +9,7 @@ from driftgrove.config import Config, ThresholdConfig
 from driftgrove.engine import Engine, save_json
 from driftgrove.functions import text as tx
 from driftgrove.operators import postings as po
-from driftgrove.operators import views
+from driftgrove.operators import export, views
 from driftgrove.plans.tables import numbered
 from driftgrove.sources import batches, timeline
 from driftgrove.streaming.stream import StreamedEngine, file_stream
@@ -110,7 +110,24 @@ def test_exports(quake):
     plain, verbose = tree.plain(), tree.verbose()
     assert [h["node_ids"] for h in plain["hkts"]] == [[1, 2, 3], [4, 5]]
     assert [w["token"] for w in verbose["word_legend"]] == ["earthquake", "damage", "city", "rescue", "storm", "coast"]
-    assert "node 4: rescue (1 sources)" in tree.outline()
+    assert tree.outline().split("\n") == [
+        "HKT 1", "  node 1: earthquake, damage, city (3 sources)", "    HKT 2", "      node 4: rescue (1 sources)", "      node 5: storm, coast (1 sources)", "  node 2: rescue (1 sources)",
+        "  node 3: storm, coast (1 sources)",
+    ]
+    assert verbose["hkts"][1].keys() == {"hkt_id", "parent_node_id", "expected_words", "all_node_words_union", "node_ids", "is_state1"} and not verbose["hkts"][1]["is_state1"]
+    assert plain["nodes"][0].keys() == {"node_id", "hkt_id", "word_ids", "source_ids", "top_words", "is_refuge_node"} and plain["nodes"][0]["top_words"] == [1, 2, 3, 4, 5, 6]
+    assert verbose["nodes"][3]["words"] == [{"word_id": 4, "token": "rescue"}] and verbose["nodes"][3]["sources"][0]["external_source_id"] == "s2"
+
+
+def test_trees_are_read_back(spark, quake, tmp_path):
+    tree, sources = quake
+    save_json(tree.verbose(), str(tmp_path / "tree.json"))
+    tree.write_json(f"file://{tmp_path}/lines")
+    rows = lambda df: sorted(tuple(r) for r in df.drop("date").collect())
+    for back in (export.read_tree(spark, f"file://{tmp_path}/tree.json"), export.read_tree_lines(spark, f"file://{tmp_path}/lines")):
+        assert back.verbose() == tree.verbose() and back.outline() == tree.outline()
+        assert rows(views.tree_view(back, source_ids=True)) == rows(views.tree_view(tree, source_ids=True))
+        assert rows(views.source_assignments(back, batches.catalog(sources))) == rows(views.source_assignments(tree, batches.catalog(sources)))
     assert {(r[0], r[1]) for r in tree.edges().collect()} == {(1, 2)}
 
 
@@ -121,6 +138,7 @@ def test_timeline(spark, make_sources, tmp_path):
     assert made["total_batches"] == 3 and made["sources_total"] == 7
     rows = timeline.read_timeline(spark, out).collect()
     assert [r["file"] for r in rows] == made["files"] and rows[-1]["sources"] == 7
+    assert views.validation(timeline.timeline_tree(spark, out)).first()["total_hkts"] == rows[-1]["hkts"]
     os.remove(f"{out}/{made['files'][1]}")
     with pytest.raises(FileNotFoundError):
         timeline.read_timeline(spark, out)
