@@ -64,6 +64,19 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_report(table(spark, sf_dir, "documents"))
 
 
+def secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger over three scans: the benchmark's passages, these and all documents, both under older rules."""
+    passages = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("path"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("path"), "text")
+    return secrets.ledger_runs(passages, docs)
+
+
+def spotsigs_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that are near the ones whose id is divisible by 100."""
+    docs = table(spark, sf_dir, "documents")
+    return spotsigs.search(docs, F.col("doc_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -76,6 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_spotsigs": op10_spotsigs,
+        "secret_ledger": secret_ledger,
+        "spotsigs_search": spotsigs_search,
     }
 
 
@@ -149,7 +164,7 @@ def url_sql() -> str:
       CASE {when(lambda r: r.verdict)} WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM q"""
 
 
-def spotsigs_sql() -> str:
+def spotsigs_sql(last: str = "") -> str:
     anchors = ", ".join(map(_quoted, spotsigs.ANCHORS))
     near = lambda a, b: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / greatest(len({a}) + len({b}) - len(list_intersect({a}, {b})), 1)::DOUBLE END"
     return rf"""
@@ -161,17 +176,37 @@ def spotsigs_sql() -> str:
     w AS (SELECT doc_id, kind, unnest(string_split(words, ' ')) AS w, unnest(range(len(string_split(words, ' ')))) AS pos FROM bare WHERE words <> ''),
     m AS (SELECT *, w IN ({anchors}) AS anchor, count(*) FILTER (WHERE w NOT IN ({anchors})) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS c FROM w),
     s AS (
-      SELECT a.doc_id, a.kind, substr(md5(a.w || ' ' || b.w || ' ' || f.w), 1, 8) AS sig FROM m a
+      SELECT a.doc_id, a.kind, substr(md5(a.w || ' ' || b.w || ' ' || f.w), 1, 16) AS sig FROM m a
       JOIN m b ON a.doc_id = b.doc_id AND a.kind = b.kind AND NOT b.anchor AND b.c = a.c + 1
       JOIN m f ON a.doc_id = f.doc_id AND a.kind = f.kind AND NOT f.anchor AND f.c = a.c + 2 WHERE a.anchor),
     g AS (SELECT doc_id, kind, list(DISTINCT sig ORDER BY sig) AS sigs FROM s GROUP BY doc_id, kind),
     f AS (
       SELECT bare.doc_id, bare.kind, CASE WHEN t = '' THEN []::VARCHAR[] WHEN sigs IS NOT NULL THEN sigs
-        ELSE [substr(md5(CASE WHEN words <> '' THEN words || ' ' ELSE t END), 1, 8)] END AS sigs FROM bare LEFT JOIN g USING (doc_id, kind))
-    SELECT e.doc_id, e.n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(o.sigs, '') AS fingerprint, array_to_string(h.sigs, '') AS edited_fingerprint,
+        ELSE [substr(md5(CASE WHEN words <> '' THEN words || ' ' ELSE t END), 1, 16)] END AS sigs FROM bare LEFT JOIN g USING (doc_id, kind))
+    {last or f"""SELECT e.doc_id, e.n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(o.sigs, '') AS fingerprint, array_to_string(h.sigs, '') AS edited_fingerprint,
       {near("o.sigs", "h.sigs")} AS near_edited, {near("o.sigs", "z.sigs")} AS near_next, len(o.sigs)::BIGINT AS n_signatures
-    FROM e JOIN f o ON o.doc_id = e.doc_id AND o.kind = 0 JOIN f h ON h.doc_id = e.doc_id AND h.kind = 1 JOIN f z ON z.doc_id = e.next_id AND z.kind = 0"""
+    FROM e JOIN f o ON o.doc_id = e.doc_id AND o.kind = 0 JOIN f h ON h.doc_id = e.doc_id AND h.kind = 1 JOIN f z ON z.doc_id = e.next_id AND z.kind = 0"""}"""
+
+
+#: Every class of fingerprints against every class of a chosen document.
+SEARCH_SQL = """, c AS (SELECT sigs, min(doc_id) AS id, count(*) AS members, count(*) FILTER (WHERE doc_id % 100 = 0) AS wanted FROM f WHERE kind = 0 AND len(sigs) > 0 GROUP BY sigs),
+    p AS (SELECT q.id AS query_id, q.wanted AS n_queries, m.id AS match_id, m.members, len(list_intersect(q.sigs, m.sigs)) AS common, len(q.sigs) + len(m.sigs) AS total FROM c q, c m WHERE q.wanted > 0)
+    SELECT query_id, n_queries, match_id, members, common / (total - common)::DOUBLE AS near FROM p WHERE common / (total - common) >= 0.8"""
+
+
+def ledger_sql() -> str:
+    """Blobs and findings of the runs of ``secret_ledger``: a blob has findings if one of the rules in force has a long enough match."""
+    hit = lambda kinds: " OR ".join(
+        f"len(list_filter(regexp_extract_all(t, {_quoted(r.pattern)}, {r.values}), lambda x: length(x) >= {r.least})) > 0" for r in secrets.RULES if r.kind in kinds
+    )
+    every = tuple(r.kind for r in secrets.RULES)
+    return f"""
+    WITH b AS (SELECT DISTINCT coalesce(text, '') AS t FROM benchmark), d AS (SELECT DISTINCT coalesce(text, '') AS t FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)),
+    n AS (SELECT (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM d) AS nd)
+    SELECT 1 AS run, '2' AS rule_version, nb AS blobs, nb AS scanned, 0::BIGINT AS skipped, (SELECT count(*) FROM b WHERE {hit(every)}) AS with_findings FROM n
+    UNION ALL SELECT 2, '2', nd, nd - nb, nb, (SELECT count(*) FROM d WHERE {hit(every)}) FROM n
+    UNION ALL SELECT 3, '1', nd, nd, 0, (SELECT count(*) FROM d WHERE {hit(secrets.BASE)}) FROM n"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets_sql(), "op3_exact_dedup": EXACT_SQL, "op5_source_mix": mix_sql(), "op7_url_filter": url_sql(), "op10_spotsigs": spotsigs_sql()}
+    return {"op1_secret_scan": secrets_sql(), "op3_exact_dedup": EXACT_SQL, "op5_source_mix": mix_sql(), "op7_url_filter": url_sql(), "op10_spotsigs": spotsigs_sql(), "secret_ledger": ledger_sql(), "spotsigs_search": spotsigs_sql(SEARCH_SQL.lstrip())}

@@ -8,15 +8,18 @@ Everything is built from DataFrame functions; the spans come from ``regexp_extra
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrove.llm.common import materialise
+from driftgrove.llm.common import materialise, shared_dir
 
 #: Changes whenever RULES do.
 RULE_VERSION = "2"
+#: Blobs whose ids are broadcast at most; more meet their texts in a shuffled join.
+MAX_BROADCAST = 200_000
 
 
 @dataclass(frozen=True)
@@ -79,52 +82,99 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return blobs.select("blob_id", F.array_sort(F.flatten(F.array(*[rule_spans(F.col("text"), r, i) for i, r in enumerate(rules)]))).alias("spans"))
 
 
+EMPTY = "array<struct<start:int,end:int,ord:int,kind:string>>"
+
+
 def address(versions: DataFrame, path: str, text: str) -> DataFrame:
     """path, text (null: empty) and blob_id of every version."""
     content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     return versions.select(F.col(f"`{path}`").alias("path"), content.alias("text"), F.sha2(content.cast("binary"), 256).alias("blob_id"))
 
 
-def scan_unseen(
-    versions: DataFrame,
-    ledger: DataFrame | None = None,
-    path: str = "path",
-    text: str = "text",
-    rules: tuple[Rule, ...] = RULES,
-    rule_version: str = RULE_VERSION,
-) -> tuple[DataFrame, DataFrame]:
-    """(findings of blobs that the ledger lacks, rows to add to the ledger).
+@dataclass(frozen=True)
+class Run:
+    """What a scan did: its versions' paths and blobs, and how many blobs it scanned and passed over."""
+
+    paths: DataFrame  # path, blob_id
+    scanned: int
+    skipped: int
+
+
+class Ledger:
+    """Findings and seen (blob, rule version) pairs as append-only Parquet tables under ``folder``, which all executors share.
 
-    ``ledger`` has blob_id and rule_version. Each unseen blob is read from one path, the smallest
-    that holds it. Null texts are empty blobs; null paths are allowed; a version that occurs twice
-    is scanned once more and reported once.
+    Findings are written before the pairs that stand for them, so that a scan that dies between is
+    repeated by the next one; findings that are then there twice are read once.
     """
-    all_versions = address(versions, path, text)
-    chosen = all_versions.groupBy("blob_id").agg(F.min("path").alias("path"))
-    if ledger is not None:
-        chosen = chosen.join(ledger.filter(F.col("rule_version") == rule_version).select("blob_id"), "blob_id", "left_anti")
-    one = chosen.select(F.col("blob_id").alias("b"), F.col("path").alias("p")).hint("shuffle_hash")
-    unseen = all_versions.join(one, (F.col("blob_id") == F.col("b")) & F.col("path").eqNullSafe(F.col("p")), "left_semi")
-    # blobs without spans go only after the aggregation: an earlier filter would be pushed below the join and scan every version
-    found = scan(unseen, rules).groupBy("blob_id").agg(F.any_value("spans").alias("spans")).filter(F.size("spans") > 0)
-    findings = found.withColumn("rule_version", F.lit(rule_version))
-    return findings, chosen.select("blob_id", F.lit(rule_version).alias("rule_version"))
-
-
-def findings_by_path(versions: DataFrame, findings: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """path, blob_id and spans (empty where nothing was found) of every version."""
-    held = address(versions, path, text).select("path", "blob_id")
-    return held.join(findings.select("blob_id", "spans"), "blob_id", "left").select(
-        F.col("path").alias(path), "blob_id", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,ord:int,kind:string>>")).alias("spans")
-    )
-
-
-def secret_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of ``docs``, against an empty ledger."""
-    findings, _ = scan_unseen(docs, path="doc_id")
-    # as a table of its own the join back to paths can split a blob that many paths hold
-    findings = materialise(findings, "secret-findings")
-    rows = findings_by_path(docs, findings, path="doc_id")
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark = spark
+        self.folder = folder or f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}"
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.folder}/{name}")  # where there is none yet
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def seen(self) -> DataFrame:
+        """blob_id, rule_version."""
+        return self._read("seen", "blob_id string, rule_version string")
+
+    def findings(self, rule_version: str = RULE_VERSION) -> DataFrame:
+        """blob_id, spans of the blobs in which this version of the rules found something."""
+        rows = self._read("findings", f"blob_id string, spans {EMPTY}, rule_version string")
+        return rows.filter(F.col("rule_version") == rule_version).groupBy("blob_id").agg(F.any_value("spans").alias("spans"))
+
+    def scan(self, versions: DataFrame, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> Run:
+        """Scans the blobs of ``versions`` that no scan under this rule version has seen.
+
+        Each unseen blob is read from one path, the smallest that holds it. Null texts are empty
+        blobs, null paths are allowed, a version that occurs twice is one blob, an empty table adds
+        nothing; other columns are not read. Texts are hashed twice, to be addressed and to be picked.
+        """
+        paths = materialise(address(versions, path, text).select("path", "blob_id"), "secret-paths")
+        seen = self.seen().filter(F.col("rule_version") == rule_version).select("blob_id")
+        blobs = materialise(paths.groupBy("blob_id").agg(F.min("path").alias("path")).join(seen.withColumn("old", F.lit(True)), "blob_id", "left").distinct(), "secret-blobs")
+        unseen = blobs.filter("old IS NULL").select(F.col("blob_id").alias("b"), F.col("path").alias("p"))
+        n, held = unseen.count(), blobs.count()
+        if n:
+            side = F.broadcast(unseen) if n <= MAX_BROADCAST else unseen
+            one = address(versions, path, text).join(side, (F.col("blob_id") == F.col("b")) & F.col("path").eqNullSafe(F.col("p")), "left_semi")
+            # blobs without spans go only after the aggregation: an earlier filter would be pushed below the join and scan every version
+            found = scan(one, rules).groupBy("blob_id").agg(F.any_value("spans").alias("spans")).filter(F.size("spans") > 0)
+            found.withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(f"{self.folder}/findings")
+            unseen.select(F.col("b").alias("blob_id"), F.lit(rule_version).alias("rule_version")).write.mode("append").parquet(f"{self.folder}/seen")
+        return Run(paths, n, held - n)
+
+    def by_path(self, paths: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+        """path, blob_id and spans (empty where nothing was found) of every row of ``paths`` (path, blob_id).
+
+        A blob that a large part of all paths hold is one key of the join, which adaptive execution
+        splits (spark.sql.adaptive.skewJoin.enabled, the default).
+        """
+        found = materialise(self.findings(rule_version), "secret-findings")
+        return paths.join(found, "blob_id", "left").select("path", "blob_id", F.coalesce("spans", F.array().cast(EMPTY)).alias("spans"))
+
+
+def secret_report(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of ``docs``; by default against a new ledger."""
+    ledger = ledger or Ledger(docs.sparkSession)
+    rows = ledger.by_path(ledger.scan(docs, path="doc_id").paths)
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", *[number(k) for k in BASE], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return rows.select(F.col("path").alias("doc_id"), *[number(k) for k in BASE], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def ledger_runs(first: DataFrame, second: DataFrame, ledger: Ledger | None = None) -> DataFrame:
+    """What three scans of one ledger do: the first versions (path, text), both sets, both under an older version of the rules.
+
+    A row per run: run, rule_version, blobs, scanned, skipped, with_findings.
+    """
+    ledger = ledger or Ledger(first.sparkSession)
+    both = first.select("path", "text").unionByName(second.select("path", "text"))
+    old = tuple(r for r in RULES if r.kind in BASE)
+    rows = []
+    for i, (versions, rules, version) in enumerate(((first, RULES, RULE_VERSION), (both, RULES, RULE_VERSION), (both, old, "1")), 1):
+        run = ledger.scan(versions, rules=rules, rule_version=version)
+        hits = ledger.findings(version).join(run.paths.select("blob_id").distinct(), "blob_id", "left_semi").count()
+        rows.append((i, version, run.scanned + run.skipped, run.scanned, run.skipped, hits))
+    return first.sparkSession.createDataFrame(rows, "run int, rule_version string, blobs long, scanned long, skipped long, with_findings long")

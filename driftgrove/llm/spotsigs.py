@@ -2,8 +2,8 @@
 
 A spot signature is a common word (the anchor) and the next CHAIN content words after it; content
 words are those that aren't anchors. A text's fingerprint is the sorted set of its signatures'
-hashes. Fingerprints are compared by Jaccard likeness: sets whose sizes alone rule out the
-threshold are not compared, and a search partitions them by size for that.
+hashes. Fingerprints are compared by Jaccard likeness. A search partitions them by size, fetches
+candidates by their rarest signatures, and prunes those whose sizes alone rule the threshold out.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from driftgrove.llm.common import materialise
+
 #: Common words of English, French, German and Spanish.
 ANCHORS = tuple(
     "a an and are as at be by for from in is it of on that the this to was with "
@@ -22,8 +25,8 @@ ANCHORS = tuple(
     "como con del el las los no para por se su y".split()
 )
 CHAIN = 2
-#: Hexadecimal digits of a signature's hash.
-DIGITS = 8
+#: Hexadecimal digits of a signature's hash: 64 bits.
+DIGITS = 16
 #: Rows of a range of doc_ids, about, and the most ranges (their square root at each of two levels).
 RANGE_ROWS, MAX_RANGES = 1024, 40_000
 
@@ -90,41 +93,66 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("n_chars", F.char_length("__t").cast("long")).withColumn("fingerprint", fingerprint(F.col("signatures"))).drop("__t")
 
 
-def search(queries: DataFrame, rows: DataFrame, threshold: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """query, match, near: all rows whose ``signatures`` are at least ``threshold`` alike, the query itself left out.
+def fingerprint_classes(docs: DataFrame, chosen: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per distinct fingerprint: cls, first (the smallest id), members, wanted (of them ``chosen``), signatures, n."""
+    rows = fingerprints(docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(chosen, F.lit(False)).alias("q"), F.col(f"`{text}`").alias("text")))
+    keyed = rows.withColumn("cls", F.md5(F.col("fingerprint").cast("binary")))
+    found = keyed.groupBy("cls").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members"), F.count_if("q").alias("wanted"), F.any_value("signatures").alias("signatures"))
+    return found.withColumn("n", F.size("signatures"))
 
-    Both sides come from ``fingerprints``. A query meets the rows that share its size range or a
-    neighbouring one and a signature among the first that a match can't lack; empty sets match nothing.
-    """
-    def first(df: DataFrame, name: str) -> DataFrame:
-        n = F.size("signatures")
-        head = F.slice("signatures", 1, (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-        return df.filter(n > 0).select(F.col(key).alias(name), F.col("signatures").alias(f"{name}_s"), size_part(n, threshold).alias("part"), F.explode(head).alias("sig"))
 
-    q = first(queries, "query").withColumn("part", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)))
-    pairs = q.join(first(rows, "match"), ["part", "sig"]).filter("query <> match")
-    small, large = F.least(F.size("query_s"), F.size("match_s")), F.greatest(F.size("query_s"), F.size("match_s"))
-    near = pairs.filter(small >= large * threshold - 1e-9).withColumn("near", jaccard(F.col("query_s"), F.col("match_s"))).filter(F.col("near") >= threshold)
-    return near.select("query", "match", "near").distinct()
+def least_common(n: Column, threshold: float) -> Column:
+    """Signatures that a set of n shares at least with any set that is ``threshold`` alike."""
+    return F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
 
 
-def ranges(docs: DataFrame, key: str = "doc_id", rows: int = RANGE_ROWS) -> list[int]:
-    """Ids that begin ranges of about ``rows`` rows each, from the smallest; each is the id of a row."""
-    n = docs.filter(F.col(key).isNotNull()).count()
-    if not n:
-        return []
-    parts = max(1, min(MAX_RANGES, n // rows))
-    found = docs.agg(F.min(key).alias("least"), F.percentile_approx(key, [i / parts for i in range(parts)], max(10_000, 4 * parts)).alias("at")).first()
-    return sorted({found["least"], *found["at"]})
+def search(docs: DataFrame, chosen: Column, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """query_id, n_queries, match_id, members, near: all fingerprints at least ``threshold`` like those of the ``chosen`` rows.
 
+    Documents with equal fingerprints are one class, known by its smallest id; n_queries and members
+    count the chosen documents of the one class and all documents of the other. A class matches
+    itself (near 1). Empty fingerprints, those of empty and null texts, match nothing. Rows that
+    repeat an id count each; a null id is passed over in naming a class.
 
-def range_of(key: Column, begins: list[int]) -> Column:
-    """Number of the last range that begins at or below the key, found on two levels."""
-    step = max(1, math.isqrt(len(begins)))
-    groups = [begins[i : i + step] for i in range(0, len(begins), step)]
-    coarse = F.size(F.filter(F.array(*[F.lit(g[0]) for g in groups]), lambda b: b <= key)) - 1
-    fine = F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in groups]), coarse + 1)
-    return coarse * step + F.size(F.filter(fine, lambda b: b <= key)) - 1
+    A query class looks for its rarest signatures, so many that a match can't lack all of them; they
+    meet only sets in the same size range or a neighbouring one, of which nothing but class and size
+    is in the join. Pairs whose sizes rule them out go, and what is left is compared in full.
+    """
+    classes = materialise(fingerprint_classes(docs, chosen, key, text).filter("n > 0"), "spotsigs-classes")
+    queries = classes.filter("wanted > 0")
+    own = queries.select("cls", "n", F.explode("signatures").alias("sig"))
+    wanted = own.select("sig").distinct()
+    held = classes.select(F.col("cls").alias("m"), F.col("n").alias("m_n"), F.explode("signatures").alias("sig"))
+    common = held.select("sig").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
+    ordered = own.join(common, "sig").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s"))
+    head = ordered.select("cls", "n", F.explode(F.slice("s", 1, F.col("n") - least_common(F.col("n"), threshold) + 1)).alias("h")).select("cls", "n", "h.sig")
+    head = materialise(head, "spotsigs-head")
+    part = size_part(F.col("n"), threshold)
+    near_sizes = head.select("cls", "n", "sig", F.explode(F.array(part - 1, part, part + 1)).alias("part"))
+    small, large = F.least("n", "m_n"), F.greatest("n", "m_n")
+    met = held.withColumn("part", size_part(F.col("m_n"), threshold)).join(near_sizes, ["part", "sig"]).filter(small >= large * threshold - 1e-9)
+    pairs = met.select("cls", "m").distinct()
+    sides = pairs.join(queries.select("cls", F.col("first").alias("query_id"), F.col("wanted").alias("n_queries"), F.col("signatures").alias("a")), "cls")
+    sides = sides.join(classes.select(F.col("cls").alias("m"), F.col("first").alias("match_id"), "members", F.col("signatures").alias("b")), "m")
+    return sides.withColumn("near", jaccard(F.col("a"), F.col("b"))).filter(F.col("near") >= threshold).select("query_id", "n_queries", "match_id", "members", "near")
+
+
+def ranges(docs: DataFrame, key: str = "doc_id", rows: int = RANGE_ROWS) -> DataFrame | None:
+    """One row with ``begins``: ids that begin ranges of about ``rows`` rows each, in groups in order; None without ids."""
+    known = docs.filter(F.col(key).isNotNull())
+    n = known.count()
+    if not n:
+        return None
+    parts = max(1, min(MAX_RANGES, n // rows))
+    if isinstance(docs.schema[key].dataType, T.NumericType):
+        found = known.agg(F.array_append(F.percentile_approx(key, [i / parts for i in range(parts)], max(10_000, 4 * parts)), F.min(key)).alias("at"))
+    else:
+        firsts = known.select(key).repartitionByRange(parts, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("at"))
+        found = firsts.agg(F.collect_list("at").alias("at"))  # an id for each range
+    step = max(1, math.isqrt(parts))
+    at = F.array_sort(F.array_distinct("at"))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(at) - 1) / step).cast("int")), lambda i: F.slice(at, i * step + 1, F.lit(step)))
+    return materialise(found.select(groups.alias("begins"), F.size(at).alias("n_ranges"), F.lit(step).alias("step")), "spotsigs-ranges")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -136,12 +164,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     begins = ranges(docs)
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     known = rows.filter("id IS NOT NULL")
-    if begins:
-        part = range_of(F.col("id"), begins)
-        starts = F.array_contains(F.element_at(F.array(*[F.array(*map(F.lit, begins[i : i + 200])) for i in range(0, len(begins), 200)]), (F.col("part") / 200).cast("int") + 1), F.col("id"))
-        before = F.pmod(F.col("part") - 1, F.lit(len(begins)))
+    if begins is not None:
+        known = known.join(F.broadcast(begins), F.lit(True))  # one row
+        coarse = F.size(F.filter("begins", lambda g: F.get(g, F.lit(0)) <= F.col("id"))) - 1
+        known = known.withColumn("coarse", coarse).withColumn("group", F.get("begins", F.col("coarse")))
+        part = F.col("coarse") * F.col("step") + F.size(F.filter("group", lambda b: b <= F.col("id"))) - 1
+        known = known.withColumn("part", part)
         own = F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost"))
-        known = known.withColumn("part", part).withColumn("at", F.explode(F.when(starts, F.array(own, F.struct(before.alias("part"), F.lit(True).alias("ghost")))).otherwise(F.array(own)))).select("id", "t", "at.part", "at.ghost")
+        before = F.struct(F.pmod(F.col("part") - 1, F.col("n_ranges")).alias("part"), F.lit(True).alias("ghost"))
+        both = F.when(F.array_contains("group", F.col("id")), F.array(own, before)).otherwise(F.array(own))
+        known = known.withColumn("at", F.explode(both)).select("id", "t", "at.part", "at.ghost")
     else:
         known = known.select("id", "t", F.lit(0).alias("part"), F.lit(False).alias("ghost"))
     unknown = rows.filter("id IS NULL").select("id", "t", (-1 - F.pmod(F.hash("t"), F.lit(1000))).alias("part"), F.lit(False).alias("ghost"))
