@@ -12,16 +12,21 @@ or more. The join is exact (shingles are compared by 64-bit hashes) and runs in
    against itself; node pairs whose largest possible overlap is too small are pruned, and so are
    those that are connected already. What is left is a spanning forest of the pairs that may link.
 4. Components of these forests are blocks. Only for classes in blocks are the sets themselves
-   made, from one document of each class, and sent to their block once. There the same traversal
-   compares sets exactly and connects those that link.
-
-A bucket or block of more than MAX_BUCKET or MAX_BLOCK classes is cut into chunks, and every pair of chunks is
-handled by itself; so no task holds more than two chunks, and the work of such a group grows with
-the square of its chunks.
+   made, from one document of each class. In each block the same traversal compares sets exactly
+   and connects those that link.
+
+A bucket or block is handled in one task if it is small, by classes and by bytes. A larger one is
+split by size, as only sets of neighbouring sizes link, and what is still too large is cut into
+chunks. Each chunk is joined with itself and with the first one; a group of near copies is mostly
+one component after that. Then only classes outside the group's largest component are left, and
+each of these is compared with every other class, a chunk at a time. So a task holds two chunks at
+most, and the rows that are sent grow with the number of such outsiders, not with the square of
+the group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,7 +35,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from driftgrove.llm.common import map_text, materialise, small_batches, utf8
 
@@ -40,8 +44,8 @@ COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Bits of a bitmap: the least and the most; in between EACH for a shingle at least.
 LEAST_BITS, MOST_BITS, EACH = 512, 1 << 18, 2
 LEAF = 32
-#: Classes of a bucket, and of a block, that are handled at once.
-MAX_BUCKET, MAX_BLOCK = 10_000, 4000
+#: Classes, and bytes of their bitmaps or sets, of a chunk; a task holds two.
+MAX_CLASSES, MAX_BYTES = 500, 32 << 20
 #: Rows that are broadcast at most; beyond it the join shuffles.
 MAX_BROADCAST = 500_000
 #: Bytes of text that are hashed at once.
@@ -144,9 +148,10 @@ class SignatureTree:
     """A binary tree over sets in order of size; a node is a range of places.
 
     Wider bitmaps belong to larger sets. Two nodes are compared at the width of the smallest set.
+    Sets with the same label are connected from the start.
     """
 
-    def __init__(self, sizes: np.ndarray, bits: list[np.ndarray]):
+    def __init__(self, sizes: np.ndarray, bits: list[np.ndarray], labels: np.ndarray | None = None):
         self.order = np.argsort(sizes, kind="stable")
         self.sizes = sizes[self.order].astype(np.int64)
         self.widths = np.array([len(bits[i]) for i in self.order])
@@ -164,7 +169,7 @@ class SignatureTree:
             rest = [own]
             first = int(at[0])
             self.folded[w] = first, own, self.sizes[first:] - np.bitwise_count(own).sum(1).astype(np.int64)
-        self.label = np.arange(len(sizes))
+        self.label = np.arange(len(sizes)) if labels is None else np.unique(labels, return_inverse=True)[1][self.order]
         self.nodes: dict[tuple[int, int, int], tuple[np.ndarray, int]] = {}
 
     def node(self, a: int, b: int, w: int) -> tuple[np.ndarray, int]:
@@ -271,11 +276,11 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def may_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, cls, size, bits) in order of group: edges between classes that may link."""
+    """Rows (task, cls, label, size, bits) in order of task: edges between classes that may link."""
     out: list[tuple[int, int]] = []
     for g in groups(batches):
         cls = g.column(1).to_pylist()
-        tree = SignatureTree(g.column(2).to_numpy(), [np.frombuffer(x, np.uint64) for x in g.column(3).to_pylist()])
+        tree = SignatureTree(g.column(3).to_numpy(), [np.frombuffer(x, np.uint64) for x in g.column(4).to_pylist()], g.column(2).to_numpy())
         out += [(cls[i], cls[j]) for i, j in tree.join()]
         if len(out) > 20_000:
             yield edge_batch(out)
@@ -284,12 +289,12 @@ def may_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def do_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, cls, set) in order of group: edges between classes that link."""
+    """Rows (task, cls, label, set) in order of task: edges between classes that link."""
     out: list[tuple[int, int]] = []
     for g in groups(batches):
         cls = g.column(1).to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in g.column(2).to_pylist()]
-        tree = SignatureTree(np.array([len(s) for s in sets]), [bitmap(s) for s in sets])
+        sets = [np.frombuffer(x, np.uint64) for x in g.column(3).to_pylist()]
+        tree = SignatureTree(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], g.column(2).to_numpy())
         sets = [sets[i] for i in tree.order]
         _, number = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum([0, *map(len, sets)])
@@ -383,27 +388,82 @@ def described(docs: DataFrame, text: str, key: str, levels: np.ndarray) -> DataF
     return map_text(docs, run, ROW, text, [key])
 
 
-def chunk_pairs(rows: DataFrame, group: Column, members: Column, most: int, *columns: str) -> DataFrame:
-    """(group, cls, columns) with large groups cut into chunks; each pair of chunks is a group of its own."""
-    chunks = F.ceil(members / F.lit(most)).cast("int")
-    own = F.pmod(F.hash("cls"), F.col("__chunks"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("__chunks") - 1), lambda i: F.xxhash64("__group", F.least(i, F.col("__own")), F.greatest(i, F.col("__own"))))
-    cut = rows.withColumn("__group", group).withColumn("__chunks", chunks).withColumn("__own", own)
-    return cut.select(F.explode(pairs).alias("group"), "cls", *columns).repartition("group").sortWithinPartitions("group")
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has no more than MAX_BROADCAST rows."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST else df
+
+
+def size_level(size: Column) -> Column:
+    """Sets link only if their levels are the same or next to each other: one is at most 1.25 times the other."""
+    return F.floor(F.log(size.cast("double")) / F.lit(math.log(1.25) * (1 + 1e-9))).cast("int")
+
+
+def weighed(members: DataFrame, each: Column) -> DataFrame:
+    """group, chunks: how many chunks a group (group, cls, size) needs; ``each``: the bytes of a class."""
+    held = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(each).alias("bytes"))
+    return held.select("group", F.greatest(F.ceil(F.col("n") / MAX_CLASSES), F.ceil(F.col("bytes") / MAX_BYTES)).cast("int").alias("chunks"))
+
+
+def connect(members: DataFrame, payload: DataFrame, each: Column, verify: Callable, name: str) -> DataFrame:
+    """u, v: edges that connect what ``verify`` links within each group of ``members`` (group, cls, size).
+
+    ``payload``: cls and what ``verify`` takes after (task, cls, label). ``each``: bytes of a class in it.
+    """
+
+    def run(tasks: DataFrame) -> DataFrame:
+        rows = tasks.join(payload, "cls").select("task", "cls", "label", *[c for c in payload.columns if c != "cls"])
+        return rows.repartition("task").sortWithinPartitions("task").mapInArrow(verify, "u long, v long")
+
+    large = materialise(weighed(members, each).filter("chunks > 1").select("group"), f"{name}-large")
+    n = large.count()
+    whole = members.join(few(large, n), "group", "left_anti") if n else members
+    tasks = whole.select(F.col("group").alias("task"), "cls", F.col("cls").alias("label"))
+    if not n:
+        return run(tasks).distinct()
+    level = size_level(F.col("size"))
+    split = members.join(few(large, n), "group").select(F.explode(F.array(F.xxhash64("group", level), F.xxhash64("group", level + 1))).alias("group"), "cls", "size")
+    chunks = materialise(weighed(split, each), f"{name}-chunks")
+    split = split.join(few(chunks, chunks.count()), "group").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    split = materialise(split, f"{name}-split")
+    to = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    cut = split.select("group", "cls", F.explode(to).alias("at")).select(F.xxhash64("group", "at").alias("task"), "cls", F.col("cls").alias("label"))
+    edges = materialise(run(tasks.unionByName(cut)).distinct(), f"{name}-edges")
+
+    left = split.filter("chunks > 1").join(components(edges, f"{name}-first"), "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
+    left = materialise(left, f"{name}-left")
+    sizes = left.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = materialise(sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("most")), f"{name}-most")
+    rest = materialise(left.join(few(most, most.count()), "group").filter("label <> most").drop("most"), f"{name}-rest")
+    parts = materialise(weighed(rest, each).withColumnRenamed("chunks", "parts"), f"{name}-parts")
+    m = parts.count()
+    if not m:
+        return edges
+    rest = rest.join(few(parts, m), "group").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int"))
+    outside = rest.select("group", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cls", "label")
+    every = left.join(few(parts, m), "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "chunk", "cls", "label")
+    pairs = outside.unionByName(every).select(F.xxhash64("group", "part", "chunk").alias("task"), "cls", "label").distinct()
+    return edges.unionByName(run(pairs)).distinct()
 
 
 def candidate_edges(classes: DataFrame, described_rows: DataFrame) -> DataFrame:
-    """u, v: a forest of the pairs of classes that may link."""
-    w = Window.partitionBy("token")
-    # one exchange: the grouping by token and class, and the windows by token, both follow from it
-    each = described_rows.select("cls", F.explode("prefix").alias("token")).repartition("token").groupBy("token", "cls").agg(F.lit(1).alias("one"))
-    shared = each.select("cls", F.min("cls").over(w).alias("a"), F.max("cls").over(w).alias("b"), F.bit_xor(F.xxhash64("cls")).over(w).alias("x"), F.count(F.lit(1)).over(w).alias("n")).filter("a <> b")
-    sized = shared.select("x", "n", "cls").distinct().join(classes.select("cls", F.col("n_shingles").cast("int").alias("size")), "cls")
-    # in order of size, a class whose neighbours are too small or too large for it has no partner
-    by_size = Window.partitionBy("x", "n").orderBy("size")
-    near = (F.lag("size").over(by_size) * 5 >= F.col("size") * 4) | (F.col("size") * 5 >= F.lead("size").over(by_size) * 4)
-    buckets = sized.withColumn("near", near).filter("near").select("x", "n", "cls", "size").join(classes.select("cls", "bits"), "cls")
-    return chunk_pairs(buckets, F.xxhash64("x", "n"), F.col("n"), MAX_BUCKET, "size", "bits").mapInArrow(may_link, "u long, v long").distinct()
+    """u, v: a forest of the pairs of classes that may link.
+
+    A shingle that many classes share is a hot key of joins, which adaptive execution splits, and of
+    aggregates, which combine before their exchange; there is no window over it.
+    """
+    each = described_rows.select("cls", F.explode("prefix").alias("token"))
+    met = each.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("token")
+    shared = materialise(each.join(met, "token", "left_semi").select("token", "cls").distinct(), "jaccard-shared")
+    buckets = shared.groupBy("token").agg(F.bit_xor(F.xxhash64("cls")).alias("x"), F.count(F.lit(1)).alias("n"))
+    # buckets with the same classes are one
+    sized = shared.join(buckets, "token").select(F.xxhash64("x", "n").alias("group"), "cls").distinct().join(classes.select("cls", F.col("n_shingles").cast("int").alias("size")), "cls")
+    sized = materialise(sized.withColumn("level", size_level(F.col("size"))), "jaccard-sized")
+    # a class without others in its size level or one next to it has no partner
+    held = sized.groupBy("group", "level").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("n_at"))
+    at = lambda k: F.coalesce(F.try_element_at("n_at", F.col("level") + k), F.lit(0))
+    members = materialise(sized.join(held, "group").filter((at(0) > 1) | (at(-1) > 0) | (at(1) > 0)).select("group", "cls", "size"), "jaccard-members")
+    payload = classes.select("cls", F.col("n_shingles").cast("int").alias("size"), "bits")
+    return connect(members, payload, F.greatest(F.col("size") / 2, F.lit(LEAST_BITS // 8)), may_link, "jaccard-may")
 
 
 def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
@@ -432,23 +492,23 @@ def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, blocks: DataFrame, text: str, key: str) -> DataFrame:
-    """cls, root, members, set of each class in ``blocks`` (cls, root, members, first), from the document ``first``.
+    """cls, set of each class in ``blocks`` (cls, first), from the document ``first``.
 
     A class whose documents have no key is found among all documents without one.
     """
-    named = blocks.filter("first IS NOT NULL").select("cls", "root", "members", "first")
-    side = F.broadcast(named) if blocks.count() <= MAX_BROADCAST else named
+    named = blocks.filter("first IS NOT NULL").select("cls", "first")
+    side = few(named, blocks.count())
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    wanted = src.join(side, src["id"] == side["first"]).select("cls", "root", "members", "text")
+    wanted = src.join(side, src["id"] == side["first"]).select("cls", "text")
     fields = [T.StructField("own", T.LongType()), T.StructField("set", T.BinaryType())]
 
     def run(texts: pa.Array) -> list[pa.Array]:
         sets = list(shingle_sets(utf8(texts)))
         return [pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
 
-    found = map_text(wanted, run, fields, "text", ["cls", "root", "members"]).filter("own = cls").drop("own")
+    found = map_text(wanted, run, fields, "text", ["cls"]).filter("own = cls").drop("own")
     nameless = map_text(src.filter("id IS NULL").select("text"), run, fields, "text", []).withColumnRenamed("own", "cls").dropDuplicates(["cls"])
-    return found.unionByName(nameless.join(blocks.filter("first IS NULL").select("cls", "root", "members"), "cls"))
+    return found.unionByName(nameless.join(blocks.filter("first IS NULL").select("cls"), "cls")).dropDuplicates(["cls"])
 
 
 def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -463,12 +523,10 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     levels = sketch(docs, text)
     rows = materialise(described(docs, text, key, levels), "jaccard-rows")
     classes = materialise(rows.filter("n_shingles > 0").groupBy("cls").agg(F.min(key).alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits")), "jaccard-classes")
-    held = components(candidate_edges(classes, rows), "jaccard-may").join(classes.select("cls", "first"), "cls")
-    held = materialise(held, "jaccard-blocks")
-    blocks = held.join(held.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root")
-    sets = class_sets(docs, blocks, text, key)
-    edges = chunk_pairs(sets, F.col("root"), F.col("members"), MAX_BLOCK, "set").mapInArrow(do_link, "u long, v long").distinct()
-    found = components(edges, "jaccard-links")
+    blocks = components(candidate_edges(classes, rows), "jaccard-blocks").join(classes.select("cls", "first", F.col("n_shingles").cast("int").alias("size")), "cls")
+    blocks = materialise(blocks.select(F.col("root").alias("group"), "cls", "size", "first"), "jaccard-blocks")
+    sets = materialise(class_sets(docs, blocks, text, key), "jaccard-sets")
+    found = components(connect(blocks.drop("first"), sets, F.col("size") * 8, do_link, "jaccard-link"), "jaccard-links")
     least = found.join(classes.select("cls", "first"), "cls")
     named = least.join(least.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "component_id")
     of_class = classes.select("cls", "first").join(named, "cls", "left").select("cls", F.coalesce("component_id", "first").alias("component_id"))
