@@ -13,12 +13,14 @@ STOP_WORDS = tuple(
     "some such t than that the their them then there these they this those through to too under until up very was we were what "
     "when where which while who whom why will with you your".split()
 )
-WORD = "([A-Za-z0-9_]+)"
+#: All code points with the property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def trim(col: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(col, "^\\p{IsWhite_Space}+|\\p{IsWhite_Space}+$", "")
+    return F.btrim(col, F.lit(WHITE))
 
 
 def squeeze(col: Column) -> Column:
@@ -28,7 +30,7 @@ def squeeze(col: Column) -> Column:
 
 def words(col: Column, stop_words: tuple[str, ...] = ()) -> Column:
     """Lower-cased runs of ASCII letters, digits and underscores; null gives none."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(WORD), F.lit(1)), F.lower)
+    found = F.array_remove(F.split(F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER), "[^a-z0-9_]+"), "")
     return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from driftgrove.functions import text as tx
-from driftgrove.plans.tables import numbered
+from driftgrove.plans.tables import materialise, numbered
 
 #: Places of a source's tokens that fit an arrival number.
 POSITIONS = 1 << 24
@@ -27,27 +29,49 @@ def doc_tokens(sources: DataFrame) -> DataFrame:
 
 def first_places(sources: DataFrame) -> DataFrame:
     """source_index, source_id, token and at, the arrival number of its first occurrence in the source."""
-    cleaned = F.transform("tokens", tx.trim)
-    both = sources.select("source_index", "source_id", cleaned.alias("t")).select("source_index", "source_id", "t", F.explode(F.array_distinct("t")).alias("token")).filter(F.length("token") > 0)
-    at = F.col("source_index").cast("long") * F.lit(POSITIONS) + F.array_position("t", F.col("token")) - 1
-    return both.select("source_index", "source_id", "token", at.alias("at"))
+    placed = F.array_sort(F.transform("tokens", lambda w, i: F.struct(tx.trim(w).alias("token"), i.alias("pos"))))
+    # in order of token and place, those whose neighbour before is another token
+    rows = sources.select("source_index", "source_id", placed.alias("p"))
+    first = F.filter("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1)["token"] != x["token"]))
+    each = rows.select("source_index", "source_id", F.explode(first).alias("x")).filter(F.length("x.token") > 0)
+    at = F.col("source_index").cast("long") * F.lit(POSITIONS) + F.col("x.pos")
+    return each.select("source_index", "source_id", F.col("x.token").alias("token"), at.alias("at"))
+
+
+def sent_again(sources: DataFrame) -> DataFrame:
+    """source_id of the sources that come in several rows."""
+    return sources.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("source_id")
+
+
+def by_source(sources: DataFrame, rows: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` of the sources, each source and token once: only sources in several rows need ``merge``, all others no shuffle."""
+    again = materialise(sent_again(sources), "sent-again")
+    if not again.limit(1).count():
+        return rows(sources)
+    return rows(sources.join(again, "source_id", "left_anti")).unionByName(merge(rows(sources.join(again, "source_id", "left_semi"))))
 
 
 def word_df(sources: DataFrame) -> DataFrame:
     """token, df: how many sources hold it."""
-    return doc_tokens(sources).select("source_id", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    each = by_source(sources, lambda s: doc_tokens(s).select("source_id", "token"), DataFrame.distinct)
+    return each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def first_and_df(sources: DataFrame) -> DataFrame:
+    """token, at, df: the first arrival of each token, and how many sources hold it."""
+    merge = lambda r: r.groupBy("source_id", "token").agg(F.min("at").alias("at"))
+    each = by_source(sources, lambda s: first_places(s).select("source_id", "token", "at"), merge)
+    return each.groupBy("token").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("df"))
 
 
 def vocabulary(sources: DataFrame) -> DataFrame:
     """word_id (from 1, by first appearance), token, df."""
-    rows = first_places(sources).groupBy("token").agg(F.min("at").alias("at"), F.count_distinct("source_id").alias("df"))
-    return numbered(rows, ["at"], "word_id").select(F.col("word_id").cast("int").alias("word_id"), "token", "df")
+    return numbered(first_and_df(sources), ["at"], "word_id").select(F.col("word_id").cast("int").alias("word_id"), "token", "df")
 
 
 def ranked_words(sources: DataFrame) -> DataFrame:
     """token, df, at, place: by df downward, then by first appearance."""
-    rows = first_places(sources).groupBy("token").agg(F.min("at").alias("at"), F.count_distinct("source_id").alias("df"))
-    return numbered(rows, [F.desc("df"), F.asc("at")], "place").select("token", "df", "at", "place")
+    return numbered(first_and_df(sources), [F.desc("df"), F.asc("at")], "place").select("token", "df", "at", "place")
 
 
 def expected_words(sources: DataFrame, threshold: float) -> DataFrame:
@@ -67,8 +91,7 @@ def expected_prefix(rows: DataFrame, threshold: float) -> DataFrame:
 
 def seed_word(sources: DataFrame) -> DataFrame:
     """The word with the largest df, the first to appear on ties."""
-    rows = first_places(sources).groupBy("token").agg(F.min("at").alias("at"), F.count_distinct("source_id").alias("df"))
-    return rows.agg(F.min_by("token", F.struct((-F.col("df")).alias("d"), F.col("at"))).alias("token"), F.max("df").alias("df")).filter("token IS NOT NULL")
+    return first_and_df(sources).agg(F.min_by("token", F.struct((-F.col("df")).alias("d"), F.col("at"))).alias("token"), F.max("df").alias("df")).filter("token IS NOT NULL")
 
 
 def source_ids(sources: DataFrame, rounds: int = 8) -> DataFrame:

@@ -38,16 +38,3 @@ def test_containment_compares_all_expected_words(spark, tmp_path):
     assert len(expected) == 20
     want = {(a, b): len(held[a] & held[b]) / len(held[a]) for a in expected for b in expected if held[a] & held[b]}
     assert got == want
-
-
-def test_near_duplicates_drop_rows_not_ids(spark):
-    import corpus_pipeline
-
-    copy = " ".join(f"w{i}" for i in range(40))
-    rows = [(1, copy), (2, copy + " x"), (2, "another text that is clean and stays here"), (None, copy + " y"), (None, "a lone text without an id that stays")]
-    rows += [(None, "b " + copy.replace("w", "v")), (None, "c " + copy.replace("w", "v")), (7, None), (None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
-    nameless = [t for d, t in left if d is None and t and "v1" in t]
-    assert len(nameless) == 1
-    assert sorted([r for r in left if r[1] not in nameless], key=repr) == sorted([rows[0], rows[2], rows[4], rows[7], rows[8]], key=repr)
