@@ -4,25 +4,27 @@ from __future__ import annotations
 
 import argparse
 import http.server
+import re
 
 from pyspark.sql import SparkSession
 
-from pyspark.sql import functions as F
-
 from driftgrove.config import Config
 from driftgrove.engine import Engine, save_json
-from driftgrove.plans.tables import numbered
 from driftgrove.sources import batches, timeline
 
 
+#: Where a tree is served: by this name, and by one word before it as older clients ask.
+ROUTE = re.compile("/([a-z]+-)?tree")
+
+
 def serve(path: str, port: int) -> None:
-    """Answers GET with the file on /tree and on any path that ends in -tree."""
+    """Answers GET with the file on ROUTE."""
     with open(path, "rb") as f:
         body = f.read()
 
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self) -> None:
-            found = self.path.split("?")[0].endswith(("/tree", "-tree"))
+            found = ROUTE.fullmatch(self.path.split("?")[0])
             self.send_response(200 if found else 404)
             self.send_header("Content-Type", "application/json")
             self.end_headers()
@@ -51,6 +53,7 @@ def main(args: list[str] | None = None) -> int:
     csv.add_argument("out")
     csv.add_argument("--batch-index", type=int, default=0)
     csv.add_argument("--min-tokens", type=int, default=1)
+    csv.add_argument("--lines", action="store_true", help="a folder of JSON lines, written by the executors, instead of one file")
     web = sub.add_parser("serve", help="a verbose tree over HTTP")
     web.add_argument("tree")
     web.add_argument("--port", type=int, default=8000)
@@ -60,13 +63,11 @@ def main(args: list[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.appName("driftgrove").getOrCreate()
     if o.command == "from-csv":
-        # a file is read in order by one task per split; the row number follows it
-        rows = batches.read_csv(spark, o.table)
-        placed = numbered(rows.withColumn("__at", F.monotonically_increasing_id()), ["__at"], "__row").drop("__at")
-        batches.write_batch_json(batches.csv_sources(placed, "__row", o.batch_index, o.min_tokens), o.out)
+        rows = batches.csv_sources(batches.csv_rows(batches.read_csv(spark, o.table)), "__row", o.batch_index, o.min_tokens)
+        batches.write_lines(rows, o.out) if o.lines else batches.write_batch_json(rows, o.out)
         return 0
     engine = Engine(spark, Config.load(o.config) if o.config else Config())
-    sources = batches.read_json_batch(spark, o.batch)
+    sources = batches.read_batch(spark, o.batch)
     if o.command == "timeline":
         chunks = batches.chunks_of_size(sources.count(), o.chunk_size) if o.chunk_size else o.chunks
         print(timeline.write_timeline(engine, sources, o.directory, chunks, o.clean))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftgrove.config import Config
 from driftgrove.errors import StateError
+from driftgrove.functions.text import trim
 from driftgrove.operators import drift, postings, prune
 from driftgrove.operators import tree as trees
 from driftgrove.operators.drift import State
@@ -87,26 +89,38 @@ class Engine:
 
     # -- batches
 
-    def _register(self, sources: DataFrame, batch_index: int) -> DataFrame:
-        """The batch as a table of its own, with internal ids; new ids join the registry."""
+    def register(self, sources: DataFrame, batch_index: int) -> DataFrame:
+        """The batch as a table of its own, with trimmed tokens and internal ids; new ids join the registry.
+
+        A new id is hashed; only where it meets another one's hash are all ids of the registry settled anew.
+        """
         if batch_index < 0:
             raise StateError("batch_index must not be negative")
-        rows = sources.select("source_index", "source_id", "tokens")
+        rows = sources.select("source_index", "source_id", F.filter(F.transform("tokens", trim), lambda w: F.length(w) > 0).alias("tokens"))
         new = rows.select("source_id", "source_index")
         if self.registry is None:
             self.registry = materialise(postings.source_ids(new).withColumnRenamed("internal_id", "source"), "engine-registry")
         else:
-            fresh = new.join(self.registry.select("source_id"), "source_id", "left_anti")
-            both = self.registry.select("source_id", F.lit(-1).cast("long").alias("source_index")).unionByName(fresh.select("source_id", F.col("source_index").cast("long")))
-            ids = postings.source_ids(both).withColumnRenamed("internal_id", "source")
-            kept = ids.join(self.registry.withColumnRenamed("source", "old"), "source_id", "left")
-            self.registry = materialise(kept.select("source_id", F.coalesce("old", "source").alias("source")), "engine-registry")
+            fresh = materialise(new.join(self.registry.select("source_id"), "source_id", "left_anti"), "engine-fresh")
+            ids = postings.source_ids(fresh).withColumnRenamed("internal_id", "source")
+            if ids.join(self.registry.select("source"), "source", "left_semi").limit(1).count():  # a new id hashes like an old one
+                both = self.registry.select("source_id", F.lit(-1).cast("long").alias("source_index")).unionByName(fresh.select("source_id", F.col("source_index").cast("long")))
+                settled = postings.source_ids(both).withColumnRenamed("internal_id", "source").join(self.registry.withColumnRenamed("source", "old"), "source_id", "left")
+                self.registry = materialise(settled.select("source_id", F.coalesce("old", "source").alias("source")), "engine-registry")
+            else:
+                self.registry = materialise(self.registry.select("source_id", "source").unionByName(ids.select("source_id", "source")), "engine-registry")
         held = materialise(rows.join(self.registry, "source_id").select("source_index", "source_id", "source", "tokens"), "engine-batch")
         self.members[batch_index] = held.select("source").distinct()
         return held
 
+    def source_batches(self) -> DataFrame:
+        """source_id, last_batch, batches: of the registered batches that are kept, those that a source is in."""
+        each = functools.reduce(DataFrame.unionByName, [m.withColumn("batch", F.lit(i).cast("long")) for i, m in self.members.items()])
+        held = each.groupBy("source").agg(F.max("batch").alias("last_batch"), F.count(F.lit(1)).alias("batches"))
+        return self.registry.join(held, "source").select("source_id", "last_batch", "batches")
+
     def _tokens(self, batch: DataFrame) -> DataFrame:
-        return postings.doc_tokens(batch).join(batch.select("source_id", "source").distinct(), "source_id").select("source", "token").distinct()
+        return postings.doc_tokens(batch, clean=True).join(batch.select("source_id", "source").distinct(), "source_id").select("source", "token").distinct()
 
     def _first(self) -> DataFrame:
         """source, token: the known words of the first retained batch."""
@@ -125,8 +139,8 @@ class Engine:
 
     def _build(self, arrivals: DataFrame) -> None:
         """Words, tree and state from ``arrivals``."""
-        placed = postings.first_places(arrivals).join(arrivals.select("source_id", "source").distinct(), "source_id")
-        self.vocabulary = materialise(postings.vocabulary(arrivals).select("word_id", "token"), "engine-vocabulary")
+        placed = postings.first_places(arrivals, clean=True).join(arrivals.select("source_id", "source").distinct(), "source_id")
+        self.vocabulary = materialise(postings.vocabulary(arrivals, clean=True).select("word_id", "token"), "engine-vocabulary")
         rows = placed.join(self.vocabulary, "token").groupBy("source", F.col("word_id").alias("word")).agg(F.min("at").alias("at"))
         tree = trees.build(rows, self.config.builder, self.small, wide=self.wide)
         self.state, self.top_words = self._named(tree, self.vocabulary)
@@ -149,7 +163,7 @@ class Engine:
     def build_baseline(self, sources: DataFrame, batch_index: int = 0) -> BatchResult:
         """A new tree over the sources; forgets what was there before."""
         self.registry, self.batches, self.members = None, {}, {}
-        held = self._register(sources, batch_index)
+        held = self.register(sources, batch_index)
         n = held.count()
         if not n:
             raise StateError("baseline batch has no sources")
@@ -168,9 +182,9 @@ class Engine:
         if batch_index != self.last_batch_index + 1:
             raise StateError(f"batch_index {batch_index} is out of sequence; expected {self.last_batch_index + 1}")
         window = self.config.window
-        held = self._register(sources, batch_index)
+        held = self.register(sources, batch_index)
         notes = []
-        stats = postings.batch_word_stats(held, self.vocabulary)
+        stats = postings.batch_word_stats(held, self.vocabulary, clean=True)
         self.last_stats = stats.first().asDict()
         notes.append("Batch word stats: unique={unique_words}, known={known_words}, new={new_words}, max_df={max_df}, sources={sources}".format(**self.last_stats))
         t = self.config.thresholds
@@ -237,7 +251,7 @@ class Engine:
         arrivals = self._arrivals(self.batches)
         chosen = arrivals.join(own.unionByName(late), "source")
         known = above.join(self.vocabulary.select("token"), "token", "left_semi").distinct()
-        rows = postings.first_places(chosen).join(chosen.select("source_id", "source", "late").distinct(), "source_id").join(known, "token", "left_anti")
+        rows = postings.first_places(chosen, clean=True).join(chosen.select("source_id", "source", "late").distinct(), "source_id").join(known, "token", "left_anti")
         # sources that the HKT lacks come last
         return rows.groupBy("source", "token").agg(F.min(F.struct("late", "at")).alias("at"))
 

@@ -13,6 +13,8 @@ from driftgrove.plans.tables import materialise, numbered
 
 #: Places of a source's tokens that fit an arrival number.
 POSITIONS = 1 << 24
+#: Tokens of a source up to which first places are looked up one by one.
+SHORT = 1000
 
 
 def postings(sources: DataFrame) -> DataFrame:
@@ -21,19 +23,21 @@ def postings(sources: DataFrame) -> DataFrame:
     return each.select("source_index", "source_id", F.col("pos").cast("long").alias("pos"), tx.trim(F.col("raw")).alias("token")).filter(F.length("token") > 0)
 
 
-def doc_tokens(sources: DataFrame) -> DataFrame:
-    """source_index, source_id, token: each token of a source once, without a shuffle."""
-    cleaned = F.array_distinct(F.transform("tokens", tx.trim))
-    return sources.select("source_index", "source_id", F.explode(cleaned).alias("token")).filter(F.length("token") > 0)
+def doc_tokens(sources: DataFrame, clean: bool = False) -> DataFrame:
+    """source_index, source_id, token: each token of a source once, without a shuffle. ``clean``: the tokens are trimmed already."""
+    held = F.col("tokens") if clean else F.transform("tokens", tx.trim)
+    return sources.select("source_index", "source_id", F.explode(F.array_distinct(held)).alias("token")).filter(F.length("token") > 0)
 
 
-def first_places(sources: DataFrame) -> DataFrame:
+def first_places(sources: DataFrame, clean: bool = False) -> DataFrame:
     """source_index, source_id, token and at, the arrival number of its first occurrence in the source."""
-    placed = F.array_sort(F.transform("tokens", lambda w, i: F.struct(tx.trim(w).alias("token"), i.alias("pos"))))
-    # in order of token and place, those whose neighbour before is another token
-    rows = sources.select("source_index", "source_id", placed.alias("p"))
-    first = F.filter("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1)["token"] != x["token"]))
-    each = rows.select("source_index", "source_id", F.explode(first).alias("x")).filter(F.length("x.token") > 0)
+    rows = sources.select("source_index", "source_id", (F.col("tokens") if clean else F.transform("tokens", tx.trim)).alias("t"))
+    short = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("token"), (F.array_position("t", w) - 1).cast("int").alias("pos")))
+    # of a long source, in order of token and place, those whose neighbour before is another token
+    placed = F.array_sort(F.transform("t", lambda w, i: F.struct(w.alias("token"), i.alias("pos"))))
+    long = F.filter("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1)["token"] != x["token"]))
+    rows = rows.withColumn("p", F.when(F.size("t") > SHORT, placed))
+    each = rows.select("source_index", "source_id", F.explode(F.when(F.col("p").isNull(), short).otherwise(long)).alias("x")).filter(F.length("x.token") > 0)
     at = F.col("source_index").cast("long") * F.lit(POSITIONS) + F.col("x.pos")
     return each.select("source_index", "source_id", F.col("x.token").alias("token"), at.alias("at"))
 
@@ -51,32 +55,32 @@ def by_source(sources: DataFrame, rows: Callable[[DataFrame], DataFrame], merge:
     return rows(sources.join(again, "source_id", "left_anti")).unionByName(merge(rows(sources.join(again, "source_id", "left_semi"))))
 
 
-def word_df(sources: DataFrame) -> DataFrame:
+def word_df(sources: DataFrame, clean: bool = False) -> DataFrame:
     """token, df: how many sources hold it."""
-    each = by_source(sources, lambda s: doc_tokens(s).select("source_id", "token"), DataFrame.distinct)
+    each = by_source(sources, lambda s: doc_tokens(s, clean).select("source_id", "token"), DataFrame.distinct)
     return each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def first_and_df(sources: DataFrame) -> DataFrame:
+def first_and_df(sources: DataFrame, clean: bool = False) -> DataFrame:
     """token, at, df: the first arrival of each token, and how many sources hold it."""
     merge = lambda r: r.groupBy("source_id", "token").agg(F.min("at").alias("at"))
-    each = by_source(sources, lambda s: first_places(s).select("source_id", "token", "at"), merge)
+    each = by_source(sources, lambda s: first_places(s, clean).select("source_id", "token", "at"), merge)
     return each.groupBy("token").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("df"))
 
 
-def vocabulary(sources: DataFrame) -> DataFrame:
+def vocabulary(sources: DataFrame, clean: bool = False) -> DataFrame:
     """word_id (from 1, by first appearance), token, df."""
-    return numbered(first_and_df(sources), ["at"], "word_id").select(F.col("word_id").cast("int").alias("word_id"), "token", "df")
+    return numbered(first_and_df(sources, clean), ["at"], "word_id").select(F.col("word_id").cast("int").alias("word_id"), "token", "df")
 
 
-def ranked_words(sources: DataFrame) -> DataFrame:
+def ranked_words(sources: DataFrame, clean: bool = False) -> DataFrame:
     """token, df, at, place: by df downward, then by first appearance."""
-    return numbered(first_and_df(sources), [F.desc("df"), F.asc("at")], "place").select("token", "df", "at", "place")
+    return numbered(first_and_df(sources, clean), [F.desc("df"), F.asc("at")], "place").select("token", "df", "at", "place")
 
 
-def expected_words(sources: DataFrame, threshold: float) -> DataFrame:
+def expected_words(sources: DataFrame, threshold: float, clean: bool = False) -> DataFrame:
     """token, df of the words whose df is at least ``threshold`` of the largest."""
-    rows = word_df(sources)
+    rows = word_df(sources, clean)
     most = rows.agg(F.max("df").alias("most"))
     return rows.join(F.broadcast(most), F.col("df") / F.col("most") >= F.lit(threshold)).select("token", "df")  # one row
 
@@ -89,9 +93,9 @@ def expected_prefix(rows: DataFrame, threshold: float) -> DataFrame:
     return kept.filter("ok").select("scope", "token").distinct()
 
 
-def seed_word(sources: DataFrame) -> DataFrame:
+def seed_word(sources: DataFrame, clean: bool = False) -> DataFrame:
     """The word with the largest df, the first to appear on ties."""
-    return first_and_df(sources).agg(F.min_by("token", F.struct((-F.col("df")).alias("d"), F.col("at"))).alias("token"), F.max("df").alias("df")).filter("token IS NOT NULL")
+    return first_and_df(sources, clean).agg(F.min_by("token", F.struct((-F.col("df")).alias("d"), F.col("at"))).alias("token"), F.max("df").alias("df")).filter("token IS NOT NULL")
 
 
 def source_ids(sources: DataFrame, rounds: int = 8) -> DataFrame:
@@ -110,15 +114,15 @@ def source_ids(sources: DataFrame, rounds: int = 8) -> DataFrame:
     raise RuntimeError("source ids still clash")
 
 
-def known_new(batch: DataFrame, vocab: DataFrame) -> DataFrame:
+def known_new(batch: DataFrame, vocab: DataFrame, clean: bool = False) -> DataFrame:
     """token, df, known: the distinct tokens of a batch and whether the vocabulary has them."""
-    rows = word_df(batch)
+    rows = word_df(batch, clean)
     return rows.join(vocab.select("token", F.lit(True).alias("k")), "token", "left").select("token", "df", F.coalesce("k", F.lit(False)).alias("known"))
 
 
-def batch_word_stats(batch: DataFrame, vocab: DataFrame) -> DataFrame:
+def batch_word_stats(batch: DataFrame, vocab: DataFrame, clean: bool = False) -> DataFrame:
     """One row: unique_words, known_words, new_words, max_df, sources."""
-    rows = known_new(batch, vocab)
+    rows = known_new(batch, vocab, clean)
     words = rows.agg(
         F.count(F.lit(1)).alias("unique_words"), F.count_if("known").alias("known_words"), F.coalesce(F.max("df"), F.lit(0)).alias("max_df"),
     ).withColumn("new_words", F.greatest(F.col("unique_words") - F.col("known_words"), F.lit(0)))

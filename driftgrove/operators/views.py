@@ -157,6 +157,12 @@ def explorer(view: DataFrame, pattern: str = "", min_sources: int = 0, max_depth
     return rows.orderBy("depth", F.desc("source_count"), "label", "node_id").limit(most)
 
 
+def local_date(millis: Column, today: Column | None = None) -> Column:
+    """The session's local date of a time in milliseconds since 1970; ``today`` (by default the current date) where it isn't a number above 0."""
+    number = millis.cast("string").try_cast("double")
+    return F.coalesce(F.when(number > 0, F.to_date(F.timestamp_millis(number.cast("long")))), F.current_date() if today is None else today)
+
+
 def with_defaults(table: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``table`` with the missing ones of ``columns`` (name: SQL expression); value is a number, 1 where it isn't; date is a date or null."""
     out = table.withColumns({c: F.expr(e) for c, e in columns.items() if c not in table.columns})

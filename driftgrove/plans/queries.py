@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from driftgrove.engine import Engine
 from driftgrove.functions.text import STOP_WORDS
 from driftgrove.operators import drift, postings, prune, views
 from driftgrove.plans import workload as wl
-from driftgrove.plans.tables import materialise, numbered
+from driftgrove.plans.tables import materialise, numbered, shared_dir
 from driftgrove.sources import batches, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,14 +54,20 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_sources(spark, sf):
-    return wl.sources(spark, sf).select("batch_index", "source_index", "source_id", F.size("tokens").alias("n_tokens"), "metadata")
+    """The sources after a way through JSON lines."""
+    path = f"{shared_dir(spark)}/scan-{uuid.uuid4().hex}"
+    batches.write_lines(wl.sources(spark, sf), path)
+    rows = batches.read_batch(spark, path).drop("source_index").withColumn("source_index", F.split_part("source_id", F.lit("_"), F.lit(2)).cast("long"))
+    return rows.select("batch_index", "source_index", "source_id", F.size("tokens").alias("n_tokens"), "metadata")
 
 
 @query
 def csv_ingest(spark, sf):
     docs = wl.documents(spark, sf)
     table = docs.select((F.col("doc_id") + 1).alias("row"), F.col("text").alias("Title"), F.col("lang").alias("ShortSummary"), F.col("source").alias("Description"), F.concat(F.lit(" http://x/"), "source", F.lit(" ")).alias("URL"))
-    return batches.csv_sources(table, "row", 0, 3).select("source_index", "source_id", F.array_join("tokens", " ").alias("tokens"), "text", "metadata")
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    table.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return batches.csv_sources(batches.read_csv(spark, path), F.col("row").cast("long"), 0, 3).select("source_index", "source_id", F.array_join("tokens", " ").alias("tokens"), "text", "metadata")
 
 
 @query
@@ -80,10 +87,13 @@ def chunk_batches(spark, sf):
 
 @query
 def source_registry(spark, sf):
-    """Each source with the last batch that it is in; the last batch sends every tenth source again."""
-    rows = wl.dealt(spark, sf).select("source_id", "source_index", "batch_index")
-    again = rows.filter(F.col("source_index") % 10 == 0).select("source_id", "source_index", F.lit(wl.BATCHES).cast("long").alias("batch_index"))
-    return rows.unionByName(again).groupBy("source_id").agg(F.max("batch_index").alias("last_batch"), F.count(F.lit(1)).alias("batches"))
+    """Each source with the last batch that it is in, by the engine; the last batch sends every tenth source again."""
+    rows = wl.dealt(spark, sf)
+    again = rows.filter(F.col("source_index") % 10 == 0).withColumn("batch_index", F.lit(wl.BATCHES).cast("long"))
+    e = Engine(spark)
+    for i, part in enumerate([rows.filter(F.col("batch_index") == i) for i in range(wl.BATCHES)] + [again]):
+        e.register(part, i)
+    return e.source_batches()
 
 
 # -- postings and frequencies
@@ -101,29 +111,29 @@ def doc_tokens(spark, sf):
 
 @query
 def word_df(spark, sf):
-    return postings.word_df(wl.sources(spark, sf))
+    return postings.word_df(wl.sources(spark, sf), clean=True)
 
 
 @query
 def vocabulary(spark, sf):
-    return postings.vocabulary(wl.sources(spark, sf))
+    return postings.vocabulary(wl.sources(spark, sf), clean=True)
 
 
 @query
 def ranked_words(spark, sf):
-    return postings.ranked_words(wl.sources(spark, sf))
+    return postings.ranked_words(wl.sources(spark, sf), clean=True)
 
 
 @query
 def expected_words(spark, sf):
-    return postings.expected_words(wl.sources(spark, sf), 0.5)
+    return postings.expected_words(wl.sources(spark, sf), 0.5, clean=True)
 
 
 @query
 def expected_prefix(spark, sf):
     """The prefix of each language's postings, in order of arrival, whose words are frequent next to the first one's."""
     docs = wl.documents(spark, sf).select(F.col("doc_id").alias("source_index"), "lang")
-    first = postings.first_places(wl.sources(spark, sf)).join(docs, "source_index")
+    first = postings.first_places(wl.sources(spark, sf), clean=True).join(docs, "source_index")
     df = first.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("df"))
     rows = first.join(df, ["lang", "token"]).select(F.col("lang").alias("scope"), "at", "token", "df")
     return postings.expected_prefix(rows, 0.1)
@@ -131,33 +141,33 @@ def expected_prefix(spark, sf):
 
 @query
 def seed_word(spark, sf):
-    return postings.seed_word(wl.sources(spark, sf))
+    return postings.seed_word(wl.sources(spark, sf), clean=True)
 
 
 @query
 def scope_filter(spark, sf):
     """Words of the labelled documents alone."""
     chosen = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("source_index")).distinct()
-    return postings.word_df(wl.sources(spark, sf).join(chosen, "source_index", "left_semi"))
+    return postings.word_df(wl.sources(spark, sf).join(chosen, "source_index", "left_semi"), clean=True)
 
 
 @query
 def branch_scope(spark, sf):
     """Under the seed word's node: the other words of its sources, with frequencies within them."""
     rows = postings.doc_tokens(wl.sources(spark, sf)).select("source_index", "token")
-    seed = postings.seed_word(wl.sources(spark, sf)).select("token")
+    seed = postings.seed_word(wl.sources(spark, sf), clean=True).select("token")
     held = rows.join(F.broadcast(seed), "token", "left_semi").select("source_index")  # one row
     return rows.join(held, "source_index", "left_semi").join(F.broadcast(seed), "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query
 def known_new_words(spark, sf):
-    return postings.known_new(wl.last_batch(spark, sf), wl.vocabulary(spark, sf))
+    return postings.known_new(wl.last_batch(spark, sf), wl.vocabulary(spark, sf), clean=True)
 
 
 @query
 def batch_word_stats(spark, sf):
-    return postings.batch_word_stats(wl.last_batch(spark, sf), wl.vocabulary(spark, sf))
+    return postings.batch_word_stats(wl.last_batch(spark, sf), wl.vocabulary(spark, sf), clean=True)
 
 
 @query
@@ -170,7 +180,7 @@ def batch_trigger_metrics(spark, sf):
 def containment(spark, sf):
     """For each pair of expected words the share of the one's sources that hold the other."""
     src = wl.sources(spark, sf)
-    words = materialise(postings.expected_words(src, 0.5).select("token"), "containment-words")
+    words = materialise(postings.expected_words(src, 0.5, clean=True).select("token"), "containment-words")
     rows = wl.known_tokens(src).join(F.broadcast(words), "token")  # twice the mean number of words of a source at most, or nearly
     sets = rows.groupBy("source").agg(F.array_sort(F.collect_set("token")).alias("words"))
     pairs = sets.groupBy("words").agg(F.count(F.lit(1)).alias("n")).select("n", "words", F.explode("words").alias("token")).select("n", "token", F.explode("words").alias("other"))
@@ -187,8 +197,8 @@ def refuge_sources(spark, sf):
 @query
 def top_words(spark, sf):
     """The seed word, then the first of the words below its node, ten in all."""
-    seed = postings.seed_word(wl.sources(spark, sf)).select("token")
-    first = postings.first_places(wl.sources(spark, sf)).select("source_index", "token", "at")
+    seed = postings.seed_word(wl.sources(spark, sf), clean=True).select("token")
+    first = postings.first_places(wl.sources(spark, sf), clean=True).select("source_index", "token", "at")
     held = first.join(F.broadcast(seed), "token", "left_semi").select("source_index")  # one row
     below = first.join(held, "source_index", "left_semi").join(F.broadcast(seed), "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("at").alias("at"))
     return below.orderBy(F.desc("df"), "at").limit(9).select("token").unionByName(seed)

@@ -74,19 +74,19 @@ def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(postings.vocabulary(baseline(spark, sf_dir)), "workload-vocabulary")
+    return materialise(postings.vocabulary(baseline(spark, sf_dir), clean=True), "workload-vocabulary")
 
 
 @shared
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token, df, at, place, word_id of the first words in the baseline's ranking."""
-    top = postings.ranked_words(baseline(spark, sf_dir)).filter(F.col("place") <= CHILD_WORDS)
+    top = postings.ranked_words(baseline(spark, sf_dir), clean=True).filter(F.col("place") <= CHILD_WORDS)
     return materialise(top.join(vocabulary(spark, sf_dir).select("token", "word_id"), "token"), "workload-ranks")
 
 
 def known_tokens(rows: DataFrame) -> DataFrame:
     """source, token of sources, each token once."""
-    return postings.doc_tokens(rows).select(F.col("source_index").alias("source"), "token")
+    return postings.doc_tokens(rows, clean=True).select(F.col("source_index").alias("source"), "token")
 
 
 @shared

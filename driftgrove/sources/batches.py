@@ -28,6 +28,41 @@ CSV_METADATA = ("Timestamp", "API_Timestamp", "URL", "Query", "NewsCategory", "A
 CSV_TEXT = ("Title", "ShortSummary", "Description")
 
 
+#: A line is a batch with its sources, or one source.
+EITHER = T.StructType([*SOURCE.fields, T.StructField("sources", T.ArrayType(SOURCE))])
+
+
+def read_batch(spark: SparkSession, path: str) -> DataFrame:
+    """Sources from JSON in any of its shapes: one document or lines, batches with their sources or bare sources.
+
+    source_index is the place within a batch, and for bare sources, whose file has no order across
+    tasks, their place in order of source_id. Lines that are neither are passed over.
+    """
+    raw = spark.read.schema(EITHER).json(path)
+    if not raw.filter("source_id IS NOT NULL OR sources IS NOT NULL").limit(1).count():  # not a document per line
+        raw = spark.read.schema(EITHER).option("multiLine", True).json(path)
+    wrapped = raw.filter("sources IS NOT NULL").select("batch_index", F.posexplode("sources").alias("source_index", "s"))
+    inner = [F.col(f"s.{c}").alias(c) for c in SOURCE.names if c != "batch_index"]
+    wrapped = wrapped.select("batch_index", F.col("source_index").cast("long").alias("source_index"), *inner)
+    bare = numbered(raw.filter("sources IS NULL AND source_id IS NOT NULL").drop("sources"), ["source_id"], "source_index", 0)
+    return wrapped.unionByName(bare.select(*wrapped.columns))
+
+
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """A table or batch by the extension of its path: CSV as text columns, JSON as sources; others are refused."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind == "csv":
+        return read_csv(spark, path)
+    if kind in ("json", "jsonl"):
+        return read_batch(spark, path)
+    raise ValueError(f"neither CSV nor JSON: {path}")
+
+
+def write_lines(sources: DataFrame, path: str) -> None:
+    """A JSON line for each source, written by the executors; ``read_batch`` reads them back."""
+    sources.select(*SOURCE.names).write.mode("overwrite").json(path)
+
+
 def read_json_batch(spark: SparkSession, path: str) -> DataFrame:
     """A JSON document {batch_index, sources}, or JSON lines of such: a row per source, source_index being its place."""
     whole = spark.read.schema(BATCH).option("multiLine", True).json(path)
@@ -49,6 +84,12 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=True, quote='"', escape='"')
 
 
+def csv_rows(table: DataFrame) -> DataFrame:
+    """A CSV table with ``__row``, the number of each row from 1, across files by name."""
+    marked = table.withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.monotonically_increasing_id())
+    return numbered(marked, ["__file", "__at"], "__row").drop("__file", "__at")
+
+
 def csv_sources(table: DataFrame, row_number: Column | str, batch_index: int = 0, min_tokens: int = 1, stop_words: tuple[str, ...] = tx.STOP_WORDS) -> DataFrame:
     """Sources from rows with title, summary and description.
 
