@@ -16,7 +16,7 @@ from driftgrove.functions.text import trim
 from driftgrove.operators import drift, postings, prune
 from driftgrove.operators import tree as trees
 from driftgrove.operators.drift import State
-from driftgrove.plans.tables import materialise, numbered
+from driftgrove.tables import materialise, numbered
 
 #: Sources of a batch and retained batches that fit an arrival number.
 PER_BATCH, MOST_BATCHES = 1 << 28, 1 << 11
@@ -58,7 +58,9 @@ class Engine:
         self.last_batch_index: int | None = None
         self.explanation: Explanation | None = None
         self.last_stats: dict | None = None
+        self.saved: dict[str, tuple[DataFrame, str]] = {}  # tables that were loaded, with their places
         self.last_decisions: DataFrame | None = None
+        self.last_levels: list[drift.Level] = []
         self.removed: dict[int, int] = {}  # hkt_id: old parent node
         self.rebuilt_from: int | None = None  # the first HKT that a subtree rebuild made
         self.next_hkt_id = self.next_node_id = 1
@@ -79,6 +81,19 @@ class Engine:
             raise StateError(NOT_BUILT)
         return self.explanation
 
+    def update_notes(self) -> DataFrame:
+        """hkt_id, line, text: notes on every HKT that the last batch reached, as a table since there may be many."""
+        if not self.last_levels:
+            raise StateError(NOT_BUILT)
+        return functools.reduce(DataFrame.unionByName, [x.notes(self.config.trigger_policy_mode) for x in self.last_levels])
+
+    def rebuild_plan(self) -> DataFrame:
+        """hkt_id, scoped_sources of the HKTs that the last batch asks to rebuild, each once, all of them in the tree that was measured."""
+        if not self.last_levels:
+            raise StateError(NOT_BUILT)
+        there = functools.reduce(DataFrame.unionByName, [x.hkts.select("hkt_id") for x in self.last_levels])
+        return self.last_decisions.filter("triggered").join(there.distinct(), "hkt_id", "left_semi").select("hkt_id", "scoped_sources").distinct()
+
     def cluster_count(self) -> int:
         """Nodes that aren't refuges."""
         return 0 if self.state is None else self.state.nodes.filter("NOT refuge").count()
@@ -193,7 +208,7 @@ class Engine:
         tokens = materialise(self._tokens(held), "engine-tokens")
         level = drift.root_level(self.state, held.select("source"), tokens, self._first(), t, self.vocabulary.select("token"))
         decisions, levels, accepted = drift.plan(level, self.config.trigger_policy_mode)
-        self.last_decisions = decisions
+        self.last_decisions, self.last_levels = decisions, levels
         self.state = drift.merged(self.state, levels, accepted)
         # the HKTs of the plan, not their contents
         triggered = sorted((r["hkt_id"], r["reasons"]) for r in decisions.filter("triggered").select("hkt_id", "reasons").collect())
@@ -342,21 +357,33 @@ class Engine:
         return {"schema_version": SCHEMA_VERSION, "engine_version": "0.1.0", "config": self.config.to_dict(), "last_batch_index": self.last_batch_index, "logically_removed_hkts": {str(k): v for k, v in self.removed.items()}}
 
     def save(self, path: str) -> None:
-        """The whole engine under ``path``: its tables, then the control file that makes them valid."""
+        """The engine under ``path``: tables that changed since it was loaded, then the control file, which names all tables and makes them valid.
+
+        Tables that didn't change stay where they are, in the folder that the engine was loaded from or in those that this one refers to.
+        """
         if self.state is None:
             raise StateError(NOT_BUILT)
         tables = {f"state-{f}": getattr(self.state, f) for f in State.__dataclass_fields__} | {"vocabulary": self.vocabulary, "top_words": self.top_words, "registry": self.registry}
         tables |= {f"batch-{i}": b for i, b in self.batches.items()} | {f"members-{i}": m for i, m in self.members.items()}
+        places = {}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-        control = self.snapshot() | {"batches": sorted(self.batches), "members": sorted(self.members), "rebuild_mode": self.rebuild_mode, "next_hkt_id": self.next_hkt_id, "next_node_id": self.next_node_id, "rebuilt_from": self.rebuilt_from, "reason_codes": self.explanation.reason_codes, "summary": self.explanation.summary}
+            held, place = self.saved.get(name, (None, ""))
+            if held is not df:
+                place = f"{path}/{name}"
+                df.write.mode("overwrite").parquet(place)
+            places[name] = place
+        control = self.snapshot() | {"tables": places, "batches": sorted(self.batches), "members": sorted(self.members), "rebuild_mode": self.rebuild_mode, "next_hkt_id": self.next_hkt_id, "next_node_id": self.next_node_id, "rebuilt_from": self.rebuilt_from, "reason_codes": self.explanation.reason_codes, "summary": self.explanation.summary}
         self.spark.createDataFrame([(json.dumps(control),)], "control string").coalesce(1).write.mode("overwrite").text(f"{path}/control")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Engine:
         control = json.loads(spark.read.text(f"{path}/control").first()[0])
         engine = cls(spark, Config.from_dict(control["config"]), control["rebuild_mode"])
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
+
+        def read(name: str) -> DataFrame:
+            engine.saved[name] = spark.read.parquet(control["tables"][name]), control["tables"][name]
+            return engine.saved[name][0]
+
         engine.state = State(*[read(f"state-{f}") for f in State.__dataclass_fields__])
         engine.vocabulary, engine.top_words, engine.registry = read("vocabulary"), read("top_words"), read("registry")
         engine.batches = {i: read(f"batch-{i}") for i in control["batches"]}

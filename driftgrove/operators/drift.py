@@ -9,13 +9,13 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from driftgrove.config import ThresholdConfig
 from driftgrove.functions.text import round_half_away
-from driftgrove.plans.tables import materialise
+from driftgrove.tables import materialise
 
 
 @dataclass(frozen=True)
@@ -197,24 +197,27 @@ class Level:
 
     @functools.cached_property
     def errors(self) -> DataFrame:
-        """hkt_id, n, alpha_value, beta_value, retained, alpha1 to alpha3, beta1 to beta3, wi1, wi2; summed in order of token."""
+        """hkt_id, n, alpha_value, beta_value, retained, alpha1 to alpha3, beta1 to beta3, wi1, wi2.
+
+        Sums are of decimals with 24 places, so that they don't depend on the order of rows.
+        """
         t = self.thresholds
-        rows = self.word_change.filter("node_id <> 0").groupBy("hkt_id").agg(F.array_sort(F.collect_list(F.struct("token", "strength0", "strength1", "eligibility0", "eligibility1", "importance0", "importance1"))).alias("w"))
-        total = lambda f: F.aggregate(F.transform("w", f), F.lit(0.0), lambda a, x: a + x)
-        n = F.col("n")
-        mean = lambda f: F.when(n > 0, total(f) / n).otherwise(0.0)
+        exact = lambda c: F.coalesce(F.sum(c.cast("decimal(38,24)")), F.lit(0)).cast("double")
+        low = lambda c, level: F.greatest(F.lit(level) - F.col(c), F.lit(0.0))
+        moved = lambda a, b, level: F.when(F.col(b) < level, F.abs(F.col(b) - F.col(a))).otherwise(0.0)
+        square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
+        sums = {
+            "s": F.col("strength1"), "e": F.col("eligibility1"), "retained": F.col("importance1"),
+            "a1": low("strength1", t.alpha), "a2": moved("strength0", "strength1", t.alpha), "a3": square("strength0", "strength1"),
+            "b1": low("eligibility1", t.beta), "b2": moved("eligibility0", "eligibility1", t.beta), "b3": square("eligibility0", "eligibility1"), "w2": square("importance0", "importance1"),
+        }
+        rows = self.word_change.filter("node_id <> 0").groupBy("hkt_id").agg(F.count(F.lit(1)).cast("int").alias("n"), *[exact(c).alias(k) for k, c in sums.items()])
+        every = self.hkts.select("hkt_id").join(rows, "hkt_id", "left").fillna(0)
+        mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
         r4 = lambda c: round_half_away(c, 4)
-        below = lambda c, level: lambda w: F.when(w[c] < level, F.lit(level) - w[c]).otherwise(0.0)
-        moved = lambda a, b, level: lambda w: F.when(w[b] < level, F.abs(w[b] - w[a])).otherwise(0.0)
-        far = lambda a, b: F.sqrt(total(lambda w: (w[a] - w[b]) * (w[a] - w[b])))
-        every = self.hkts.select("hkt_id").join(rows, "hkt_id", "left").withColumn("n", F.when(F.col("w").isNull(), 0).otherwise(F.size("w")))
-        every = every.withColumn("w", F.coalesce("w", F.array().cast(rows.schema["w"].dataType)))
-        kept = total(lambda w: w["importance1"])
         return every.select(
-            "hkt_id", "n", mean(lambda w: w["strength1"]).alias("alpha_value"), mean(lambda w: w["eligibility1"]).alias("beta_value"), kept.alias("retained"),
-            r4(mean(below("strength1", t.alpha))).alias("alpha1"), r4(mean(moved("strength0", "strength1", t.alpha))).alias("alpha2"), r4(far("strength0", "strength1")).alias("alpha3"),
-            r4(mean(below("eligibility1", t.beta))).alias("beta1"), r4(mean(moved("eligibility0", "eligibility1", t.beta))).alias("beta2"), r4(far("eligibility0", "eligibility1")).alias("beta3"),
-            r4(1 - kept).alias("wi1"), r4(far("importance0", "importance1")).alias("wi2"),
+            "hkt_id", "n", mean("s").alias("alpha_value"), mean("e").alias("beta_value"), "retained", r4(mean("a1")).alias("alpha1"), r4(mean("a2")).alias("alpha2"), r4(F.sqrt("a3")).alias("alpha3"),
+            r4(mean("b1")).alias("beta1"), r4(mean("b2")).alias("beta2"), r4(F.sqrt("b3")).alias("beta3"), r4(1 - F.col("retained")).alias("wi1"), r4(F.sqrt("w2")).alias("wi2"),
         )
 
     @functools.cached_property
@@ -271,6 +274,77 @@ class Level:
         mean = rows.groupBy("hkt_id").agg(F.least(F.avg(gap), F.lit(1.0)).alias("e"))
         return self.hkts.select("hkt_id").join(mean, "hkt_id", "left").select("hkt_id", F.coalesce("e", F.lit(0.0)).alias("beta_error"))
 
+    @functools.cached_property
+    def expected_inputs(self) -> DataFrame:
+        """An older form of ``inputs``, made from the expected words instead of the nodes' words, with the figures that follow from it.
+
+        hkt_id, expected_words, retained_words, total_df, mass, prominent_df (the largest df among
+        expected and node words), alpha_violations, alpha_value (share of expected words that the
+        batch retains), beta_value (mean share of new words over nodes that the batch reaches),
+        alpha_error, beta_error, wi_error. Strength is df over prominent_df. Words that the
+        vocabulary lacks count as absent.
+        """
+        known = self.known if self.known is not None else self.state.node_words.select("token").distinct()
+        seen = self.scope_df.join(known, "token", "left_semi")
+        rows = self.expected.select("hkt_id", "token").join(seen, ["hkt_id", "token"], "left")
+        named = self.expected.select("hkt_id", "token").unionByName(self.words.select("hkt_id", "token")).distinct()
+        most = named.join(seen, ["hkt_id", "token"]).groupBy("hkt_id").agg(F.max("df1").alias("prominent_df"))
+        total = self.scope_df.groupBy("hkt_id").agg(F.sum("df1").alias("total_df"))
+        strength = F.when(F.col("prominent_df") > 0, F.least(F.coalesce("df1", F.lit(0)) / F.col("prominent_df"), F.lit(1.0))).otherwise(0.0)
+        low = F.greatest(F.lit(self.thresholds.alpha) - F.col("strength"), F.lit(0.0))
+        made = rows.join(most, "hkt_id", "left").withColumn("strength", strength).groupBy("hkt_id").agg(
+            F.count(F.lit(1)).alias("expected_words"), F.count("df1").alias("retained_words"), F.coalesce(F.sum("df1"), F.lit(0)).alias("held"),
+            F.count_if(F.col("strength") < self.thresholds.alpha).alias("alpha_violations"), F.least(F.avg(low), F.lit(1.0)).alias("alpha_error"),
+        )
+        active = self.node_vocabulary.filter(F.col("known_words") + F.col("new_words") > 0).groupBy("hkt_id").agg(F.avg("share").alias("beta_value"))
+        every = self.hkts.select("hkt_id").join(made, "hkt_id", "left").join(most, "hkt_id", "left").join(total, "hkt_id", "left").join(active, "hkt_id", "left").join(self.plain_beta, "hkt_id", "left").fillna(0)
+        share = lambda a, b: F.when(F.col(b) > 0, F.least(F.col(a) / F.col(b), F.lit(1.0))).otherwise(0.0)
+        mass = share("held", "total_df")
+        return every.select(
+            "hkt_id", "expected_words", "retained_words", "total_df", mass.alias("mass"), "prominent_df", "alpha_violations", share("retained_words", "expected_words").alias("alpha_value"), "beta_value",
+            "alpha_error", "beta_error", (F.lit(1.0) - mass).alias("wi_error"),
+        )
+
+    def shadow(self, policy: str) -> DataFrame:
+        """hkt_id, shadow_reasons: what the gates of the paper's policy would say, comma-joined; under ``Placeholder`` from the older figures. It decides nothing."""
+        if policy != "Placeholder":
+            return self.decisions(policy).select("hkt_id", F.col("reasons").alias("shadow_reasons"))
+        t = self.thresholds
+        a, b, w = (int(x[-1]) for x in (t.selected_alpha_option, t.selected_beta_option, t.selected_word_importance_option))
+        rows = self.expected_inputs.join(self.errors.select("hkt_id", "n"), "hkt_id").join(self.scope_sizes.select("hkt_id", "scoped_sources"), "hkt_id")
+        alpha = round_half_away(F.lit(t.alpha_option3_threshold) * F.sqrt(F.col("n").cast("double")), 3) if a == 3 else F.lit(getattr(t, f"alpha_option{a}_threshold"))
+        limits = (("word_importance", "wi_error", F.lit(getattr(t, f"word_importance_option{w}_threshold"))), ("alpha", "alpha_error", alpha), ("beta", "beta_error", F.lit(getattr(t, f"beta_option{b}_threshold"))))
+        over = F.array_compact(F.array(*[F.when(F.col(c) > limit, F.lit(name)) for name, c, limit in limits]))
+        tiny = F.when((F.size(over) > 0) & (F.col("scoped_sources") <= 1), F.array_append(over, F.lit("tiny"))).otherwise(over)
+        return rows.select("hkt_id", F.array_join(tiny, ",").alias("shadow_reasons"))
+
+    def notes(self, policy: str) -> DataFrame:
+        """hkt_id, line, text: what there is to say of each HKT, in order of line."""
+        paper = policy != "Placeholder"
+        four = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
+        word = lambda *parts: F.concat(F.lit("HKT "), F.col("hkt_id"), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+        made = self.decisions(policy)
+        figures = self.inputs if paper else self.expected_inputs.withColumnRenamed("expected_words", "state0_words")
+        taken = self.expected.groupBy("hkt_id").agg(F.count(F.lit(1)).alias("expected_now"))
+        above = self.accepted.groupBy("hkt_id").agg(F.count(F.lit(1)).alias("above"))
+        rows = made.join(self.scope_sizes.drop("scoped_sources"), "hkt_id").join(figures.drop("known_words", "new_words", "alpha_error", "beta_error", "wi_error"), "hkt_id").join(self.shadow(policy), "hkt_id")
+        rows = rows.join(taken, "hkt_id", "left").join(above, "hkt_id", "left").fillna(0, ["expected_now", "above"])
+        lines = [
+            word(": scoped sources=", F.col("scoped_sources"), ", matched nodes=", F.col("matched_nodes"), ", known words=", F.col("known_words"), ", new words=", F.col("new_words")),
+            F.when(F.col("expected_now") > 0, word(" update: expected words=", F.col("expected_now"))),
+            word(" errors: word_importance=", four("wi_error"), ", alpha=", four("alpha_error"), ", beta=", four("beta_error")),
+            word(f" policy: {policy}"),
+            word(" words accepted above: ", F.col("above")),
+            word(" figures: words=", F.col("state0_words"), ", retained=", F.col("retained_words"), ", total_df=", F.col("total_df"), ", mass=", four("mass"), ", prominent_df=", F.col("prominent_df"), ", below alpha=", F.col("alpha_violations")),
+            word(" shadow: would trigger=", (F.col("shadow_reasons") != "").cast("string")),
+            F.when(F.col("shadow_reasons") != "", word(" shadow reasons: ", F.col("shadow_reasons"))),
+            F.when(F.col("triggered"), word(" trigger reasons: ", F.col("reasons"))),
+        ]
+        own = rows.select("hkt_id", F.posexplode(F.array(*lines)).alias("line", "text")).filter("text IS NOT NULL")
+        node = F.concat(F.lit("HKT "), "hkt_id", F.lit(" node "), "node_id", F.lit(": beta="), four("share"), F.lit(" (own words="), "state0_words", F.lit(", known="), "known_words", F.lit(", new="), "new_words", F.lit(")"))
+        nodes = self.node_vocabulary.select("hkt_id", (F.lit(len(lines)) + F.col("node_id")).alias("line"), node.alias("text"))
+        return own.unionByName(nodes)
+
     def decisions(self, policy: str) -> DataFrame:
         """hkt_id, errors and thresholds in use, reasons (comma-joined) and triggered."""
         t = self.thresholds

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from driftgrove.operators.drift import State
-from driftgrove.plans.tables import materialise, numbered
+from driftgrove.tables import materialise, numbered
 
 REFUGE, UNKNOWN = "<REFUGE>", "<UNKNOWN_SOURCE>"
 WORDS, SOURCES = "array<struct<word_id:int,token:string>>", "array<struct<internal_source_id:bigint,external_source_id:string>>"

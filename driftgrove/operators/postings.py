@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from driftgrove.functions import text as tx
-from driftgrove.plans.tables import materialise, numbered
+from driftgrove.tables import materialise, numbered
 
 #: Places of a source's tokens that fit an arrival number.
 POSITIONS = 1 << 24

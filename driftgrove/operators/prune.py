@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgrove.operators.drift import State
-from driftgrove.plans.tables import materialise
+from driftgrove.tables import materialise
 
 
 def subtree(hkts: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from driftgrove.config import BuilderConfig
-from driftgrove.plans.tables import materialise, numbered
+from driftgrove.tables import materialise, numbered
 
 #: Postings up to which a scope's subtree is built in one task.
 SMALL = 50_000

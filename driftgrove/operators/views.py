@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from driftgrove.operators.export import TreeExport
-from driftgrove.plans.tables import materialise
+from driftgrove.tables import materialise
 
 SEPARATOR = " ▶ "
 #: Tokens of a label, tokens that are shown, characters of a title, nodes that the explorer lists.

@@ -116,6 +116,16 @@ def statements() -> dict[str, str]:
     level, change = tree + _LEVEL, tree + _LEVEL + _CHANGE
     sizes = level + _SIZES
     names = tree + _NAMES
+    older = f"""{level},
+      seen1 AS (SELECT token, df1 FROM df1 SEMI JOIN vocab USING (token)),
+      prom1 AS (SELECT coalesce(max(df1), 0) AS p FROM seen1 WHERE token IN (SELECT token FROM e UNION SELECT token FROM w1)),
+      str1 AS (SELECT token, df1, CASE WHEN p > 0 THEN coalesce(df1, 0) / p ELSE 0 END AS s FROM e LEFT JOIN seen1 USING (token), prom1),
+      nv AS (SELECT node_id, count(*) FILTER (WHERE token NOT IN (SELECT token FROM vocab)) / count(*) AS share FROM n1 GROUP BY node_id),
+      zz AS (SELECT node_id, count(*) AS size FROM routed GROUP BY node_id), ww AS (SELECT node_id, token FROM w1 UNION ALL SELECT 5, NULL),
+      pb AS (SELECT avg(greatest({BETA} - coalesce(n1 / size, 0), 0)) AS beta_error FROM ww LEFT JOIN n1 USING (node_id, token) LEFT JOIN zz USING (node_id)),
+      old AS (
+        SELECT count(*) AS expected_words, count(df1) AS retained_words, (SELECT sum(df1) FROM df1) AS total_df, coalesce(sum(df1), 0) / (SELECT sum(df1) FROM df1) AS mass, (SELECT p FROM prom1) AS prominent_df,
+          count(*) FILTER (WHERE s < {ALPHA}) AS alpha_violations, avg(greatest({ALPHA} - s, 0)) AS alpha_error, (SELECT avg(share) FROM nv) AS beta_value, (SELECT beta_error FROM pb) AS beta_error FROM str1)"""
     hashed = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(octet_length(source_id::BLOB)), lambda i: ('0x' || substr(hex(source_id::BLOB), 2 * i + 1, 2))::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
     batch_stats = f"""{tree},
       lw AS (SELECT token, count(*) AS df FROM last GROUP BY token)
@@ -188,6 +198,9 @@ def statements() -> dict[str, str]:
           SELECT 1 AS hkt_id, count(*)::BIGINT AS state0_words, any_value(known_words)::BIGINT AS known_words, any_value(new_words)::BIGINT AS new_words, count(df1)::BIGINT AS retained_words, (SELECT sum(df1) FROM df1)::BIGINT AS total_df,
             round(sum(df1) / (SELECT sum(df1) FROM df1), 9) AS mass, round(count(df1) / count(*), 9) AS retained_ratio, round(any_value(known_words / (known_words + new_words)), 9) AS known_ratio,
             round(any_value(new_words / (known_words + new_words)), 9) AS new_ratio, max(after)::BIGINT AS prominent_df, count(*) FILTER (WHERE strength1 < {ALPHA})::BIGINT AS alpha_violations FROM own2, sizes""",
+        "expected_inputs": f"{older} SELECT 1 AS hkt_id, expected_words::BIGINT AS expected_words, retained_words::BIGINT AS retained_words, total_df::BIGINT AS total_df, round(mass, 9) AS mass, prominent_df::BIGINT AS prominent_df, alpha_violations::BIGINT AS alpha_violations, round(retained_words / expected_words, 9) AS alpha_value, round(beta_value, 9) AS beta_value, round(alpha_error, 9) AS alpha_error, round(beta_error, 9) AS beta_error, round(1 - mass, 9) AS wi_error FROM old",
+        "shadow_reasons": f"""{older} SELECT 1 AS hkt_id, concat_ws(',', CASE WHEN 1 - mass > 0.3 THEN 'word_importance' END, CASE WHEN alpha_error > 0.1 THEN 'alpha' END, CASE WHEN beta_error > 0.13 THEN 'beta' END,
+          CASE WHEN (SELECT count(*) FROM batch) <= 1 AND (1 - mass > 0.3 OR alpha_error > 0.1 OR beta_error > 0.13) THEN 'tiny' END) AS shadow_reasons FROM old""",
         "plain_beta": f"""{level}, z AS (SELECT node_id, count(*) AS size FROM routed GROUP BY node_id), ww AS (SELECT node_id, token FROM w1 UNION ALL SELECT 5, NULL)
           SELECT 1 AS hkt_id, round(avg(greatest({BETA} - coalesce(n1 / size, 0), 0)), 9) AS beta_error FROM ww LEFT JOIN n1 USING (node_id, token) LEFT JOIN z USING (node_id)""",
         "merge_state1": f"{level}, folded AS (SELECT node_id, token, source FROM ws UNION SELECT node_id, token, source FROM s1 SEMI JOIN (SELECT node_id, token FROM w1 UNION SELECT node_id, token FROM asg) q USING (node_id, token)) SELECT node_id::INTEGER AS node_id, token, count(*)::BIGINT AS n FROM folded GROUP BY ALL",

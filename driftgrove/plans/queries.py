@@ -15,7 +15,7 @@ from driftgrove.engine import Engine
 from driftgrove.functions.text import STOP_WORDS
 from driftgrove.operators import drift, postings, prune, views
 from driftgrove.plans import workload as wl
-from driftgrove.plans.tables import materialise, numbered, shared_dir
+from driftgrove.tables import materialise, numbered, shared_dir
 from driftgrove.sources import batches, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,9 +39,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from driftgrove.plans import oracle, tree_sql
+    from driftgrove.plans import oracle, plan_sql, tree_sql
 
-    return oracle.statements() | tree_sql.statements()
+    return oracle.statements() | tree_sql.statements() | {"trigger_plan": plan_sql.plan(PLAN_LIMITS)}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,12 +421,19 @@ def tree_outline(spark, sf):
     return numbered(rows, ["place"], "line", 0).select(F.col("line").cast("int").alias("line"), "text")
 
 
+#: Thresholds of alpha, beta and word importance by which the pages' last batch triggers some HKTs of several levels.
+PLAN_LIMITS = (0.035, 0.02, 0.455)
+
+
 @query
 def trigger_plan(spark, sf):
+    """Decisions on all HKTs that the last batch reaches; nothing below a triggered one is."""
     e = wl.engine(spark, sf)
+    names = ("alpha_option1_threshold", "beta_option1_threshold", "word_importance_option1_threshold")
+    t = ThresholdConfig(**dict(zip(names, PLAN_LIMITS, strict=True)))
     last = wl.pages(spark, sf).filter(F.col("batch_index") == wl.BATCHES - 1)
     held = last.join(postings.source_ids(last).withColumnRenamed("internal_id", "source"), "source_id")
-    level = drift.root_level(e.state, held.select("source"), e._tokens(held), e._first(), e.config.thresholds, e.vocabulary.select("token"))
+    level = drift.root_level(e.state, held.select("source"), e._tokens(held), e._first(), t, e.vocabulary.select("token"))
     return drift.plan(level, e.config.trigger_policy_mode)[0]
 
 
@@ -512,6 +519,18 @@ def paper_inputs(spark, sf):
     return rows.select([F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
+@query
+def expected_inputs(spark, sf):
+    rows = wl.fixed_level(spark, sf).expected_inputs
+    return rows.select([F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+@query
+def shadow_reasons(spark, sf):
+    """What the paper's gates say of the placeholder policy's figures."""
+    return wl.fixed_level(spark, sf).shadow("Placeholder")
+
+
 @query
 def plain_beta(spark, sf):
     return wl.fixed_level(spark, sf).plain_beta.withColumn("beta_error", F.round("beta_error", 9))

@@ -21,7 +21,7 @@ from driftgrove.engine import Engine
 from driftgrove.functions.text import STOP_WORDS
 from driftgrove.operators import drift, postings
 from driftgrove.operators.export import TreeExport
-from driftgrove.plans.tables import materialise
+from driftgrove.tables import materialise
 from driftgrove.sources import batches
 
 BATCHES = 8

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrove.functions import text as tx
-from driftgrove.plans.tables import numbered
+from driftgrove.tables import numbered
 
 SOURCE = T.StructType(
     [

@@ -2,7 +2,8 @@
 
 The tree is one state that every source may touch, so a stream is handled a micro-batch at a time.
 After each, the engine is saved as a new version and the pointer file moves to it: a batch that is
-delivered again finds itself done, and one that fails leaves the version before in force.
+delivered again finds itself done, and one that fails leaves the version before in force. A version
+writes what the batch has changed and refers to the tables of earlier versions for the rest.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from driftgrove.config import Config
 from driftgrove.engine import Engine
-from driftgrove.plans.tables import numbered
+from driftgrove.tables import numbered
 
 
 class StreamedEngine:
@@ -36,12 +37,14 @@ class StreamedEngine:
         return Engine.load(self.spark, f"{self.path}/v{self.version()}")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """``batch``: source_id, tokens and, if there, source_index; empty batches count as batches without change."""
+        """``batch``: source_id, tokens and, if there, source_index; empty batches count as batches without change, those before the first source aren't counted."""
         done = self.version()
         if batch_id <= done:
             return
         rows = batch if "source_index" in batch.columns else numbered(batch, ["source_id"], "source_index", 0)
         if done < 0:
+            if not rows.limit(1).count():
+                return
             engine = Engine(self.spark, self.config, self.mode)
             engine.build_baseline(rows, batch_id)
         else:

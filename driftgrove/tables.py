@@ -20,11 +20,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of this process's tables.
+_written: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that ``materialise`` has written so far; results that still read them are lost."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage by a Parquet table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 
@@ -10,7 +11,7 @@ from driftgrove.engine import Engine, save_json
 from driftgrove.functions import text as tx
 from driftgrove.operators import postings as po
 from driftgrove.operators import export, views
-from driftgrove.plans.tables import numbered
+from driftgrove.tables import numbered
 from driftgrove.sources import batches, timeline
 from driftgrove.streaming.stream import StreamedEngine, file_stream
 from test_engine import QUAKE, flat, never
@@ -67,6 +68,32 @@ def test_json_round_trip_and_catalog(spark, make_sources, tmp_path):
     assert [r["source_id"] for r in batches.read_json_sources(spark, f"file://{lines}").orderBy("source_index").collect()] == ["a", "b"]
 
 
+def test_any_shape_of_json(spark, tmp_path):
+    one, two = '{"source_id": "b", "tokens": ["x"]}', '{"source_id": "a", "tokens": ["y"]}'
+    shapes = {"lines": f"{one}\n{two}\n", "array": f"[{one},\n {two}]", "batch": f'{{"batch_index": 3,\n "sources": [{one}, {two}]}}', "batches": f'{{"batch_index": 0, "sources": [{one}]}}\n{{"batch_index": 1, "sources": [{two}]}}'}
+    for name, body in shapes.items():
+        (tmp_path / f"{name}.json").write_text(body)
+        rows = batches.read_upload(spark, f"file://{tmp_path}/{name}.json").collect()
+        assert {(r["source_id"], tuple(r["tokens"])) for r in rows} == {("b", ("x",)), ("a", ("y",))}, name
+    assert [r["source_id"] for r in batches.read_batch(spark, f"file://{tmp_path}/batch.json").orderBy("source_index").collect()] == ["b", "a"]
+    (tmp_path / "t.csv").write_text("Title,URL\n Storm,http://x\n")
+    assert batches.read_upload(spark, f"file://{tmp_path}/t.csv").first()["URL"] == "http://x"
+    with pytest.raises(ValueError):
+        batches.read_upload(spark, "file:///t.xml")
+    back = batches.read_batch(spark, f"file://{tmp_path}/lines.json")
+    batches.write_lines(back, f"file://{tmp_path}/out")
+    assert {r["source_id"] for r in batches.read_batch(spark, f"file://{tmp_path}/out").collect()} == {"a", "b"}
+
+
+def test_dates_and_defaults(spark):
+    today = datetime.date.today()
+    rows = spark.createDataFrame([("86400000",), ("0",), ("x",), (None,), ("1.5e12",)], "ms string").select(views.local_date(F.col("ms"), F.lit(today)).alias("d")).collect()
+    assert [r["d"] for r in rows] == [datetime.date(1970, 1, 2), today, today, today, datetime.date(2017, 7, 14)]
+    table = spark.createDataFrame([("3", "2024-02-30"), ("x", "2024-02-28"), (None, None)], "value string, date string")
+    got = views.with_defaults(table, {"topic": "'none'", "value": "5"}).collect()
+    assert [(r["value"], r["date"], r["topic"]) for r in got] == [(3.0, None, "none"), (1.0, datetime.date(2024, 2, 28), "none"), (1.0, None, "none")]
+
+
 def test_partitions_are_pruned(spark, make_sources, tmp_path):
     dealt = batches.chunked(make_sources({f"s{i}": "a" for i in range(8)}), 4)
     batches.write_partitions(dealt, f"file://{tmp_path}/p")
@@ -147,11 +174,14 @@ def test_timeline(spark, make_sources, tmp_path):
 def test_stream_restarts(spark, make_sources, tmp_path):
     stream, at = f"file://{tmp_path}/in", f"file://{tmp_path}/engine"
     made = StreamedEngine(spark, at, never())
+    made.apply(make_sources({}).select("source_index", "source_id", "tokens"), 0)
+    assert made.version() == -1
     for i, texts in enumerate(QUAKE):
         make_sources(texts).select("source_index", "source_id", "tokens").coalesce(1).write.mode("append").parquet(stream)
         made.start(file_stream(spark, stream), f"file://{tmp_path}/check").awaitTermination()
         assert made.version() == i
     made.apply(make_sources(QUAKE[2]).select("source_index", "source_id", "tokens"), 2)  # delivered again
+    assert not (tmp_path / "engine" / "v2" / "batch-1").exists() and (tmp_path / "engine" / "v1" / "batch-1").exists()  # referred to
     e = Engine(spark, never())
     for i, texts in enumerate(QUAKE):
         e.process_batch(make_sources(texts), i) if i else e.build_baseline(make_sources(texts))
@@ -169,5 +199,7 @@ def test_command_line(spark, make_sources, tmp_path, capsys):
     save_json({"a": 1}, str(tmp_path / "x" / "y.json"))
     table = tmp_path / "t.csv"
     table.write_text("Title\nStorm coast\n")
+    assert main(["from-csv", str(table), str(tmp_path / "lines"), "--lines"]) == 0
+    assert [r["tokens"] for r in batches.read_batch(spark, str(tmp_path / "lines")).collect()] == [["storm", "coast"]]
     assert main(["from-csv", str(table), str(tmp_path / "csv.json")]) == 0
     assert json.load(open(tmp_path / "csv.json"))["sources"][0]["tokens"] == ["storm", "coast"]
