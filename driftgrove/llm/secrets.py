@@ -18,7 +18,7 @@ from driftgrove.llm.common import materialise, shared_dir
 
 #: Changes whenever RULES do.
 RULE_VERSION = "2"
-#: Blobs whose ids are broadcast at most; more meet their texts in a shuffled join.
+#: New blobs of an increment whose ids are broadcast at most; more meet their texts in a merge join.
 MAX_BROADCAST = 200_000
 
 
@@ -137,7 +137,8 @@ class Ledger:
         unseen = blobs.filter("old IS NULL").select(F.col("blob_id").alias("b"), F.col("path").alias("p"))
         n, held = unseen.count(), blobs.count()
         if n:
-            side = F.broadcast(unseen) if n <= MAX_BROADCAST else unseen
+            # a small increment is looked up in all texts; a first scan goes the same way at every size
+            side = F.broadcast(unseen) if n <= min(MAX_BROADCAST, held // 10) else unseen.hint("merge")
             one = address(versions, path, text).join(side, (F.col("blob_id") == F.col("b")) & F.col("path").eqNullSafe(F.col("p")), "left_semi")
             # blobs without spans go only after the aggregation: an earlier filter would be pushed below the join and scan every version
             found = scan(one, rules).groupBy("blob_id").agg(F.any_value("spans").alias("spans")).filter(F.size("spans") > 0)
