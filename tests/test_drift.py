@@ -32,7 +32,7 @@ def one_node(e, spark, words, without_sources=False):
 
 
 def level(e, make_sources, texts):
-    held = e._register(make_sources(texts, 1), 1)
+    held = e.register(make_sources(texts, 1), 1)
     return drift.root_level(e.state, held.select("source"), e._tokens(held), e._first(), e.config.thresholds, e.vocabulary.select("token"))
 
 

@@ -118,7 +118,7 @@ def test_window(spark, make_sources):
 def test_rebuild_scope(spark, make_sources):
     e = Engine(spark)
     e.build_baseline(make_sources({"s1": "a b c", "s2": "a b", "s3": "a d"}))
-    held = e._register(make_sources({"s4": "a e f"}, 1), 1)
+    held = e.register(make_sources({"s4": "a e f"}, 1), 1)
     e.batches[1] = held
     rows = e.rebuild_scope(1, held.select("source"), spark.createDataFrame([("b",)], "token string"))
     df = {r["token"]: r["n"] for r in rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
