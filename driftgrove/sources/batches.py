@@ -32,15 +32,19 @@ CSV_TEXT = ("Title", "ShortSummary", "Description")
 EITHER = T.StructType([*SOURCE.fields, T.StructField("sources", T.ArrayType(SOURCE))])
 
 
+def _by_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that isn't blank is a whole JSON object."""
+    first = spark.read.text(path).select(F.trim("value").alias("v")).filter(F.length("v") > 0).first()
+    return first is not None and first["v"].startswith("{") and first["v"].endswith("}")
+
+
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
     """Sources from JSON in any of its shapes: one document or lines, batches with their sources or bare sources.
 
     source_index is the place within a batch, and for bare sources, whose file has no order across
     tasks, their place in order of source_id. Lines that are neither are passed over.
     """
-    raw = spark.read.schema(EITHER).json(path)
-    if not raw.filter("source_id IS NOT NULL OR sources IS NOT NULL").limit(1).count():  # not a document per line
-        raw = spark.read.schema(EITHER).option("multiLine", True).json(path)
+    raw = spark.read.schema(EITHER).option("multiLine", not _by_lines(spark, path)).json(path)
     wrapped = raw.filter("sources IS NOT NULL").select("batch_index", F.posexplode("sources").alias("source_index", "s"))
     inner = [F.col(f"s.{c}").alias(c) for c in SOURCE.names if c != "batch_index"]
     wrapped = wrapped.select("batch_index", F.col("source_index").cast("long").alias("source_index"), *inner)
@@ -73,9 +77,7 @@ def read_json_batch(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_sources(spark: SparkSession, path: str) -> DataFrame:
     """Bare sources, as a JSON array or as lines; source_index follows the order of source_id."""
-    raw = spark.read.schema(SOURCE).json(path)
-    if raw.filter("source_id IS NULL").limit(1).count():  # not a document per line
-        raw = spark.read.schema(SOURCE).option("multiLine", True).json(path)
+    raw = spark.read.schema(SOURCE).option("multiLine", not _by_lines(spark, path)).json(path)
     return numbered(raw.filter("source_id IS NOT NULL"), ["source_id"], "source_index", 0)
 
 
