@@ -19,7 +19,7 @@ A bucket or block is handled in one task if it is small, by classes and by bytes
 split by size, as only sets of neighbouring sizes link, and what is still too large is cut into
 chunks. Each chunk is joined with itself and with the first one; a group of near copies is mostly
 one component after that. Then only classes outside the group's largest component are left, and
-each of these is compared with every other class, a chunk at a time. So a task holds two chunks at
+each of these is compared with every other class, in larger chunks. So a task holds two chunks at
 most, and the rows that are sent grow with the number of such outsiders, not with the square of
 the group.
 """
@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from driftgrove.llm.common import map_text, materialise, small_batches, utf8
 
@@ -44,8 +45,8 @@ COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Bits of a bitmap: the least and the most; in between EACH for a shingle at least.
 LEAST_BITS, MOST_BITS, EACH = 512, 1 << 18, 2
 LEAF = 32
-#: Classes, and bytes of their bitmaps or sets, of a chunk; a task holds two.
-MAX_CLASSES, MAX_BYTES = 500, 32 << 20
+#: Classes, and bytes of their bitmaps or sets, of a chunk; a task holds two. MAX_PAIRS: classes of a chunk that outsiders meet.
+MAX_CLASSES, MAX_BYTES, MAX_PAIRS = 120, 32 << 20, 2000
 #: Rows that are broadcast at most; beyond it the join shuffles.
 MAX_BROADCAST = 500_000
 #: Bytes of text that are hashed at once.
@@ -276,12 +277,13 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def may_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, cls, label, size, bits) in order of task: edges between classes that may link."""
+    """Rows (task, cls, label, done, size, bits) in order of task: edges between classes that may link."""
     out: list[tuple[int, int]] = []
     for g in groups(batches):
         cls = g.column(1).to_pylist()
-        tree = SignatureTree(g.column(3).to_numpy(), [np.frombuffer(x, np.uint64) for x in g.column(4).to_pylist()], g.column(2).to_numpy())
-        out += [(cls[i], cls[j]) for i, j in tree.join()]
+        done = g.column(3).to_pylist()
+        tree = SignatureTree(g.column(4).to_numpy(), [np.frombuffer(x, np.uint64) for x in g.column(5).to_pylist()], g.column(2).to_numpy())
+        out += [(cls[i], cls[j]) for i, j in tree.join() if not done[i] & done[j]]
         if len(out) > 20_000:
             yield edge_batch(out)
             out = []
@@ -289,11 +291,12 @@ def may_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def do_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, cls, label, set) in order of task: edges between classes that link."""
+    """Rows (task, cls, label, done, set) in order of task: edges between classes that link."""
     out: list[tuple[int, int]] = []
     for g in groups(batches):
         cls = g.column(1).to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in g.column(3).to_pylist()]
+        done = g.column(3).to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in g.column(4).to_pylist()]
         tree = SignatureTree(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], g.column(2).to_numpy())
         sets = [sets[i] for i in tree.order]
         _, number = np.unique(np.concatenate(sets), return_inverse=True)
@@ -308,7 +311,7 @@ def do_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen[own] = 0
             return links(common.astype(np.int64), tree.sizes[places], tree.sizes[j])
 
-        out += [(cls[i], cls[j]) for i, j in tree.join(verify) if cls[i] != cls[j]]
+        out += [(cls[i], cls[j]) for i, j in tree.join(verify) if cls[i] != cls[j] and not done[i] & done[j]]
         if len(out) > 20_000:
             yield edge_batch(out)
             out = []
@@ -398,62 +401,76 @@ def size_level(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.lit(math.log(1.25) * (1 + 1e-9))).cast("int")
 
 
-def weighed(members: DataFrame, each: Column) -> DataFrame:
-    """group, chunks: how many chunks a group (group, cls, size) needs; ``each``: the bytes of a class."""
+def weighed(members: DataFrame, each: Column, classes: int) -> DataFrame:
+    """group, chunks: how many chunks of so many classes a group (group, cls, size) needs; ``each``: the bytes of a class."""
     held = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(each).alias("bytes"))
-    return held.select("group", F.greatest(F.ceil(F.col("n") / MAX_CLASSES), F.ceil(F.col("bytes") / MAX_BYTES)).cast("int").alias("chunks"))
+    return held.select("group", F.greatest(F.ceil(F.col("n") / classes), F.ceil(F.col("bytes") / MAX_BYTES)).cast("int").alias("chunks"))
 
 
-def connect(members: DataFrame, payload: DataFrame, each: Column, verify: Callable, name: str) -> DataFrame:
+def connect(members: DataFrame, rows: DataFrame, each: Column, verify: Callable, name: str) -> DataFrame:
     """u, v: edges that connect what ``verify`` links within each group of ``members`` (group, cls, size).
 
-    ``payload``: cls and what ``verify`` takes after (task, cls, label). ``each``: bytes of a class in it.
+    ``rows``: group, cls and what ``verify`` takes after (task, cls, label, done). Of the rows of a
+    task, pairs that have a bit of ``done`` in common are settled in another task.
+    ``each``: bytes of a class.
     """
+    payload = [c for c in rows.columns if c not in ("group", "cls")]
 
     def run(tasks: DataFrame) -> DataFrame:
-        rows = tasks.join(payload, "cls").select("task", "cls", "label", *[c for c in payload.columns if c != "cls"])
-        return rows.repartition("task").sortWithinPartitions("task").mapInArrow(verify, "u long, v long")
+        return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(verify, "u long, v long")
 
-    large = materialise(weighed(members, each).filter("chunks > 1").select("group"), f"{name}-large")
+    def plain(df: DataFrame) -> DataFrame:
+        return df.select(F.col("group").alias("task"), "cls", F.col("cls").alias("label"), F.lit(0).alias("done"), *payload)
+
+    large = materialise(weighed(members, each, MAX_CLASSES).filter("chunks > 1").select("group"), f"{name}-large")
     n = large.count()
-    whole = members.join(few(large, n), "group", "left_anti") if n else members
-    tasks = whole.select(F.col("group").alias("task"), "cls", F.col("cls").alias("label"))
     if not n:
-        return run(tasks).distinct()
+        return run(plain(rows)).distinct()
+    rows = materialise(rows, f"{name}-rows")
+    edges = run(plain(rows.join(few(large, n), "group", "left_anti")))
+    big = materialise(rows.join(few(large, n), "group", "left_semi").select("cls", *payload).dropDuplicates(["cls"]), f"{name}-big")
+    send = lambda tasks: run(tasks.join(big, "cls").select("task", "cls", "label", "done", *payload))
+
     level = size_level(F.col("size"))
-    split = members.join(few(large, n), "group").select(F.explode(F.array(F.xxhash64("group", level), F.xxhash64("group", level + 1))).alias("group"), "cls", "size")
-    chunks = materialise(weighed(split, each), f"{name}-chunks")
+    sides = F.array(F.struct(F.xxhash64("group", level).alias("group"), F.lit(0).alias("low")), F.struct(F.xxhash64("group", level + 1).alias("group"), F.lit(1).alias("low")))
+    split = members.join(few(large, n), "group").select("cls", "size", F.explode(sides).alias("g")).select("g.group", "g.low", "cls", "size")
+    chunks = materialise(weighed(split, each, MAX_CLASSES), f"{name}-chunks")
     split = split.join(few(chunks, chunks.count()), "group").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     split = materialise(split, f"{name}-split")
     to = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    cut = split.select("group", "cls", F.explode(to).alias("at")).select(F.xxhash64("group", "at").alias("task"), "cls", F.col("cls").alias("label"))
-    edges = materialise(run(tasks.unionByName(cut)).distinct(), f"{name}-edges")
+    cut = split.select("group", "low", "chunk", "cls", F.explode(to).alias("at"))
+    first = cut.select(F.xxhash64("group", "at").alias("task"), "cls", F.col("cls").alias("label"), (F.col("low") + F.when(F.col("chunk") != F.col("at"), 2).otherwise(0)).alias("done"))
+    edges = materialise(edges.unionByName(send(first)).distinct(), f"{name}-edges")
 
-    left = split.filter("chunks > 1").join(components(edges, f"{name}-first"), "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
+    left = split.filter("chunks > 1").join(components(edges, f"{name}-first"), "cls", "left").select("group", "cls", "size", F.coalesce("root", "cls").alias("label"))
     left = materialise(left, f"{name}-left")
     sizes = left.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
     most = materialise(sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("most")), f"{name}-most")
     rest = materialise(left.join(few(most, most.count()), "group").filter("label <> most").drop("most"), f"{name}-rest")
-    parts = materialise(weighed(rest, each).withColumnRenamed("chunks", "parts"), f"{name}-parts")
+    parts = materialise(weighed(rest, each, MAX_PAIRS).withColumnRenamed("chunks", "parts").join(weighed(left, each, MAX_PAIRS), "group"), f"{name}-parts")
     m = parts.count()
     if not m:
         return edges
-    rest = rest.join(few(parts, m), "group").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int"))
-    outside = rest.select("group", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cls", "label")
-    every = left.join(few(parts, m), "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "chunk", "cls", "label")
-    pairs = outside.unionByName(every).select(F.xxhash64("group", "part", "chunk").alias("task"), "cls", "label").distinct()
-    return edges.unionByName(run(pairs)).distinct()
+    at = lambda count, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    outside = rest.join(few(parts, m), "group").select("group", at("parts", 1).alias("part"), every("chunks").alias("chunk"), "cls", "label", F.lit(0).alias("done"))
+    inside = left.join(few(parts, m), "group").select("group", every("parts").alias("part"), at("chunks", 2).alias("chunk"), "cls", "label", F.lit(4).alias("done"))
+    pairs = outside.unionByName(inside).groupBy(F.xxhash64("group", "part", "chunk").alias("task"), "cls", "label").agg(F.min("done").alias("done"))
+    return edges.unionByName(send(pairs)).distinct()
 
 
 def candidate_edges(classes: DataFrame, described_rows: DataFrame) -> DataFrame:
     """u, v: a forest of the pairs of classes that may link.
 
-    A shingle that many classes share is a hot key of joins, which adaptive execution splits, and of
-    aggregates, which combine before their exchange; there is no window over it.
+    All prefix shingles are exchanged once, 16 bytes for each class that holds one; a shingle that many
+    classes share meets them in one task there, as such narrow rows. After that it is a hot key only
+    of joins, which adaptive execution splits, and of aggregates, which combine before their exchange.
     """
-    each = described_rows.select("cls", F.explode("prefix").alias("token"))
-    met = each.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("token")
-    shared = materialise(each.join(met, "token", "left_semi").select("token", "cls").distinct(), "jaccard-shared")
+    # one exchange, of a shingle and a class each: the grouping and the window both follow from it
+    each = described_rows.select("cls", F.explode("prefix").alias("token")).repartition("token").groupBy("token", "cls").agg(F.lit(1).alias("one"))
+    w = Window.partitionBy("token")
+    met = each.select("token", "cls", F.min("cls").over(w).alias("a"), F.max("cls").over(w).alias("b")).filter("a <> b")
+    shared = materialise(met.select("token", "cls"), "jaccard-shared")
     buckets = shared.groupBy("token").agg(F.bit_xor(F.xxhash64("cls")).alias("x"), F.count(F.lit(1)).alias("n"))
     # buckets with the same classes are one
     sized = shared.join(buckets, "token").select(F.xxhash64("x", "n").alias("group"), "cls").distinct().join(classes.select("cls", F.col("n_shingles").cast("int").alias("size")), "cls")
@@ -462,8 +479,8 @@ def candidate_edges(classes: DataFrame, described_rows: DataFrame) -> DataFrame:
     held = sized.groupBy("group", "level").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("n_at"))
     at = lambda k: F.coalesce(F.try_element_at("n_at", F.col("level") + k), F.lit(0))
     members = materialise(sized.join(held, "group").filter((at(0) > 1) | (at(-1) > 0) | (at(1) > 0)).select("group", "cls", "size"), "jaccard-members")
-    payload = classes.select("cls", F.col("n_shingles").cast("int").alias("size"), "bits")
-    return connect(members, payload, F.greatest(F.col("size") / 2, F.lit(LEAST_BITS // 8)), may_link, "jaccard-may")
+    rows = members.join(classes.select("cls", "bits"), "cls").select("group", "cls", "size", "bits")
+    return connect(members, rows, F.greatest(F.col("size") / 2, F.lit(LEAST_BITS // 8)), may_link, "jaccard-may")
 
 
 def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
@@ -492,23 +509,23 @@ def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, blocks: DataFrame, text: str, key: str) -> DataFrame:
-    """cls, set of each class in ``blocks`` (cls, first), from the document ``first``.
+    """group, cls, set of each class in ``blocks`` (group, cls, first), from the document ``first``.
 
     A class whose documents have no key is found among all documents without one.
     """
-    named = blocks.filter("first IS NOT NULL").select("cls", "first")
+    named = blocks.filter("first IS NOT NULL").select("group", "cls", "first")
     side = few(named, blocks.count())
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    wanted = src.join(side, src["id"] == side["first"]).select("cls", "text")
+    wanted = src.join(side, src["id"] == side["first"]).select("group", "cls", "text")
     fields = [T.StructField("own", T.LongType()), T.StructField("set", T.BinaryType())]
 
     def run(texts: pa.Array) -> list[pa.Array]:
         sets = list(shingle_sets(utf8(texts)))
         return [pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
 
-    found = map_text(wanted, run, fields, "text", ["cls"]).filter("own = cls").drop("own")
+    found = map_text(wanted, run, fields, "text", ["group", "cls"]).filter("own = cls").drop("own")
     nameless = map_text(src.filter("id IS NULL").select("text"), run, fields, "text", []).withColumnRenamed("own", "cls").dropDuplicates(["cls"])
-    return found.unionByName(nameless.join(blocks.filter("first IS NULL").select("cls"), "cls")).dropDuplicates(["cls"])
+    return found.unionByName(nameless.join(blocks.filter("first IS NULL").select("group", "cls"), "cls"))
 
 
 def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -525,7 +542,7 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     classes = materialise(rows.filter("n_shingles > 0").groupBy("cls").agg(F.min(key).alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits")), "jaccard-classes")
     blocks = components(candidate_edges(classes, rows), "jaccard-blocks").join(classes.select("cls", "first", F.col("n_shingles").cast("int").alias("size")), "cls")
     blocks = materialise(blocks.select(F.col("root").alias("group"), "cls", "size", "first"), "jaccard-blocks")
-    sets = materialise(class_sets(docs, blocks, text, key), "jaccard-sets")
+    sets = class_sets(docs, blocks, text, key)
     found = components(connect(blocks.drop("first"), sets, F.col("size") * 8, do_link, "jaccard-link"), "jaccard-links")
     least = found.join(classes.select("cls", "first"), "cls")
     named = least.join(least.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "component_id")

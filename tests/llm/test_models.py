@@ -384,7 +384,7 @@ def linked(rows):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_join_is_exact(spark, monkeypatch, seed, small):
     if small:  # groups are cut into chunks, leaves are small, and the ids aren't broadcast
-        for name, value in (("MAX_CLASSES", 3), ("LEAF", 2), ("MAX_BROADCAST", 0)):
+        for name, value in (("MAX_CLASSES", 3), ("MAX_PAIRS", 2 + seed), ("LEAF", 2), ("MAX_BROADCAST", 0)):
             monkeypatch.setattr(jaccard_tree, name, value)
     r = np.random.default_rng(seed)
     words = [f"w{i}" for i in range(60)]
