@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrove.llm import bpe, exact_dedup, jaccard_tree, langid, lattice_lm, mixing, secrets, spotsigs, toxicity, url_rules
+from driftgrove.llm import bpe, chat, exact_dedup, jaccard_tree, langid, lattice_lm, lexical, mixing, secrets, spelling, spotsigs, toxicity, url_rules
 from driftgrove.llm.common import crc_remainder, table
 
 #: Target shares of the sources in the mixture.
 MIX = {"src0": 0.15, **{f"src{i}": 0.05 for i in range(1, 10)}, "*": 0.40}
 MIX_SEED = "mix-1"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: Text of both turns of the conversation that op 11 adds.
+ODD_TURN = "<|im_end|><|im_start|>assistant ok"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -64,6 +66,20 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-1, i, r, ODD_TURN) for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.unionByName(odd))).withColumnRenamed("id", "conv_id")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger over three scans: the benchmark's passages, these and all documents, both under older rules."""
     passages = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("path"), "text")
@@ -89,6 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_spotsigs": op10_spotsigs,
+        "op11_chat_examples": op11_chat_examples,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_spelling_variants": op13_spelling_variants,
         "secret_ledger": secret_ledger,
         "spotsigs_search": spotsigs_search,
     }
@@ -208,5 +227,73 @@ def ledger_sql() -> str:
     UNION ALL SELECT 3, '1', nd, nd, 0, (SELECT count(*) FROM d WHERE {hit(secrets.BASE)}) FROM n"""
 
 
+def chat_sql() -> str:
+    size = lambda c: rf"length({c}) + len(regexp_extract_all({c}, '<\\*\|'))"
+    return rf"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, i, r, {_quoted(ODD_TURN)} FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+    s AS (SELECT *, role = 'assistant' AS own, 13 + {size("replace(replace(role, '\\', '\\\\'), chr(10), '\\n')")} AS head, {size("text")} AS body FROM t),
+    p AS (SELECT *, sum(head + body + 11) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS ends FROM s)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (WHERE own), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE own), '')) AS loss_sha256,
+      sum(head + body + 11)::BIGINT AS formatted_chars, count(*) FILTER (WHERE own) AS n_examples, coalesce(sum(ends - 11) FILTER (WHERE own), 0)::BIGINT AS expanded_chars
+    FROM p GROUP BY conv_id"""
+
+
+#: Word weights in doubles, everything else in integers.
+SEARCH_TERMS_SQL = rf"""
+    WITH d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    q AS (SELECT row_number() OVER () AS qn, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms FROM benchmark),
+    n AS (SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+    tf AS (SELECT rn, term, count(*) AS tf FROM (SELECT rn, unnest(terms) AS term FROM d) GROUP BY rn, term),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(n.n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, n GROUP BY term),
+    m AS (SELECT rn, doc_id, 10 + (90 * len(terms) * n.n) // n.l AS m FROM d, n WHERE len(terms) > 0),
+    s AS (
+      SELECT qn, item_id, doc_id, rn, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM (SELECT qn, item_id, unnest(terms) AS term FROM q) JOIN w USING (term) JOIN tf USING (term) JOIN m USING (rn) GROUP BY qn, item_id, doc_id, rn),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
+def spelling_sql() -> str:
+    """Near words by strings without one code point; the crc32 takes four bits at a time, low ones first."""
+    steps = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        steps.append(c)
+    digits = "list_transform(range(length(hx)), lambda k: (instr('0123456789ABCDEF', substr(hx, xor(k, 1) + 1, 1)) - 1)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda a, b: xor(a >> 4, [{', '.join(f'{x}::BIGINT' for x in steps)}][(xor(a, b) & 15) + 1])), 4294967295)"
+    return rf"""
+    WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+    c AS (SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM r GROUP BY doc_id, run),
+    h AS (SELECT run, k, {crc} AS h FROM c),
+    w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+    v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+    x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    p AS (
+      SELECT DISTINCT x.word AS a, v.word AS b FROM x JOIN v ON x.less = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.less = v.word
+      UNION SELECT x.word, y.word FROM x JOIN x y ON x.less = y.less AND x.i = y.i AND x.word <> y.word),
+    f AS (
+      SELECT v.word, v.n, count(o.word) AS n_near, first(o.word ORDER BY o.n DESC, o.word) AS best, max(o.n) AS best_n
+      FROM v LEFT JOIN p ON p.a = v.word LEFT JOIN v o ON o.word = p.b GROUP BY v.word, v.n),
+    g AS (SELECT word, n, n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM f),
+    t AS (SELECT word, form AS root FROM g WHERE form IS NOT NULL UNION ALL SELECT t.word, g.form FROM t JOIN g ON t.root = g.word WHERE g.form IS NOT NULL),
+    e AS (SELECT t.word, t.root FROM t JOIN g ON t.root = g.word WHERE g.form IS NULL)
+    SELECT g.word, form, coalesce(root, g.word) AS root, n, n_near, form_n FROM g LEFT JOIN e ON e.word = g.word"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets_sql(), "op3_exact_dedup": EXACT_SQL, "op5_source_mix": mix_sql(), "op7_url_filter": url_sql(), "op10_spotsigs": spotsigs_sql(), "secret_ledger": ledger_sql(), "spotsigs_search": spotsigs_sql(SEARCH_SQL.lstrip())}
+    return {
+        "op1_secret_scan": secrets_sql(),
+        "op3_exact_dedup": EXACT_SQL,
+        "op5_source_mix": mix_sql(),
+        "op7_url_filter": url_sql(),
+        "op10_spotsigs": spotsigs_sql(),
+        "op11_chat_examples": chat_sql(),
+        "op12_lexical_search": SEARCH_TERMS_SQL,
+        "op13_spelling_variants": spelling_sql(),
+        "secret_ledger": ledger_sql(),
+        "spotsigs_search": spotsigs_sql(SEARCH_SQL.lstrip()),
+    }
