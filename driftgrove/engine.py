@@ -16,10 +16,8 @@ from driftgrove.functions.text import trim
 from driftgrove.operators import drift, postings, prune
 from driftgrove.operators import tree as trees
 from driftgrove.operators.drift import State
-from driftgrove.tables import materialise, numbered
+from driftgrove.tables import materialise, materialise_all, numbered
 
-#: Sources of a batch and retained batches that fit an arrival number.
-PER_BATCH, MOST_BATCHES = 1 << 28, 1 << 11
 NOT_BUILT = "baseline tree has not been built yet"
 SCHEMA_VERSION = 1
 
@@ -143,20 +141,35 @@ class Engine:
         return materialise(rows.join(self.vocabulary.select("token"), "token", "left_semi").select("source", "token"), "engine-first")
 
     def _arrivals(self, batches: dict[int, DataFrame]) -> DataFrame:
-        """source_index (over all batches), source_id, source, tokens."""
-        if len(batches) > MOST_BATCHES:
-            raise StateError(f"{MOST_BATCHES} batches at most can be rebuilt together")
-        out = None
-        for k, i in enumerate(sorted(batches)):
-            rows = batches[i].withColumn("source_index", F.lit(k * PER_BATCH).cast("long") + F.col("source_index"))
-            out = rows if out is None else out.unionByName(rows)
-        return out
+        """source_index (over all batches), source_id, source, tokens: a later batch follows an earlier one.
+
+        Each batch is moved behind the one before it by the range of its own indices; where the ranges are
+        too wide together for 64 bits, its sources are numbered instead.
+        """
+        order = sorted(batches)
+        if len(order) == 1:
+            return batches[order[0]]
+        ends = functools.reduce(DataFrame.unionByName, [batches[i].agg(F.lit(i).alias("i"), F.min("source_index").alias("low"), F.max("source_index").alias("high")) for i in order])
+        spans = {r["i"]: (r["low"], r["high"]) for r in ends.collect() if r["low"] is not None}  # a row per batch
+        if sum(high - low + 1 for low, high in spans.values()) >= 1 << 63:
+            batches = {i: numbered(b, ["source_index"], "source_index", 0) for i, b in batches.items()}
+            counts = functools.reduce(DataFrame.unionByName, [batches[i].agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n")) for i in order])
+            spans = {r["i"]: (0, r["n"] - 1) for r in counts.collect() if r["n"]}
+        parts, start = [], -(1 << 62)
+        for i in order:
+            if i in spans:
+                low, high = spans[i]
+                # in two steps, so that neither overflows
+                moved = F.col("source_index") - F.lit(low) + F.lit(start) if high - low < 1 << 63 else F.col("source_index")
+                parts.append(batches[i].withColumn("source_index", moved))
+                start += high - low + 1
+        return functools.reduce(DataFrame.unionByName, parts) if parts else batches[order[0]]
 
     def _build(self, arrivals: DataFrame) -> None:
         """Words, tree and state from ``arrivals``."""
         placed = postings.first_places(arrivals, clean=True).join(arrivals.select("source_id", "source").distinct(), "source_id")
         self.vocabulary = materialise(postings.vocabulary(arrivals, clean=True).select("word_id", "token"), "engine-vocabulary")
-        rows = placed.join(self.vocabulary, "token").groupBy("source", F.col("word_id").alias("word")).agg(F.min("at").alias("at"))
+        rows = placed.join(self.vocabulary, "token").groupBy("source", F.col("word_id").alias("word")).agg(*postings.earliest("source_index"))
         tree = trees.build(rows, self.config.builder, self.small, wide=self.wide)
         self.state, self.top_words = self._named(tree, self.vocabulary)
         self.removed, self.rebuilt_from = {}, None
@@ -165,7 +178,7 @@ class Engine:
 
     def _named(self, tree: trees.Tree, vocabulary: DataFrame) -> tuple[State, DataFrame]:
         token = vocabulary.select("word_id", "token")
-        state = State(
+        tables = State(
             tree.hkts,
             tree.nodes.select("node_id", "hkt_id", "ord", "refuge"),
             tree.node_words.filter("word_id <> -1").join(token, "word_id").select("node_id", "token", "word_id"),
@@ -173,7 +186,9 @@ class Engine:
             tree.word_sources.join(token, "word_id").select("node_id", "token", "source"),
             tree.expected.join(token, "word_id").select("hkt_id", "token"),
         )
-        return state.kept(), materialise(tree.top_words.join(token, "word_id").select("node_id", "token", "rank"), "engine-top")
+        top = tree.top_words.join(token, "word_id").select("node_id", "token", "rank")
+        *kept, top = materialise_all({f"state-{f}": getattr(tables, f) for f in State.__dataclass_fields__} | {"engine-top": top})
+        return State(*kept), top
 
     def build_baseline(self, sources: DataFrame, batch_index: int = 0) -> BatchResult:
         """A new tree over the sources; forgets what was there before."""
@@ -255,7 +270,7 @@ class Engine:
         self._build(self._arrivals(self.batches))
 
     def rebuild_scope(self, target: int, scoped: DataFrame, above: DataFrame) -> DataFrame:
-        """source, token, at: postings that a rebuild of the HKT works on, in order of arrival.
+        """source, token, late, first, pos: postings that a rebuild of the HKT works on; late, first and pos are their order of arrival.
 
         They come from the retained batches, for the HKT's own sources and the ``scoped`` ones, without
         known words among those of the nodes ``above``.
@@ -268,7 +283,7 @@ class Engine:
         known = above.join(self.vocabulary.select("token"), "token", "left_semi").distinct()
         rows = postings.first_places(chosen, clean=True).join(chosen.select("source_id", "source", "late").distinct(), "source_id").join(known, "token", "left_anti")
         # sources that the HKT lacks come last
-        return rows.groupBy("source", "token").agg(F.min(F.struct("late", "at")).alias("at"))
+        return rows.groupBy("source", "token").agg(F.min("late").alias("late"), *postings.earliest("source_index"))
 
     def dry_run(self, target: int, scoped: DataFrame, above: DataFrame) -> dict:
         """What a rebuild of the HKT would work on and make; nothing changes."""
@@ -277,9 +292,9 @@ class Engine:
         sources = scope.select("source").distinct().count()
         report = {"target_hkt_id": target, "scoped_source_count": sources, "subtree_hkt_count": 0, "subtree_node_count": 0, "new_token_count_in_scope": new_tokens}
         if sources:
-            ordered = numbered(scope, ["at"], "place")
+            ordered = numbered(scope, ["late", "first", "pos"], "place")
             ids = numbered(ordered.groupBy("token").agg(F.min("place").alias("first")), ["first"], "word")
-            rows = ordered.join(ids, "token").select("source", F.col("word").cast("int").alias("word"), F.col("place").alias("at"))
+            rows = ordered.join(ids, "token").select("source", F.col("word").cast("int").alias("word"), F.col("place").alias("first"), F.lit(0).alias("pos"))
             tree = trees.build(rows, self.config.builder, self.small, arrival=True, wide=self.wide)
             report |= {"subtree_hkt_count": tree.hkts.count(), "subtree_node_count": tree.nodes.count()}
         return report
@@ -303,12 +318,12 @@ class Engine:
         scope = materialise(self.rebuild_scope(target, scoped, above), "engine-scope")
         if not scope.limit(1).count():
             return False
-        ordered = numbered(scope, ["at"], "place")
+        ordered = numbered(scope, ["late", "first", "pos"], "place")
         parent = self.state.hkts.filter(F.col("hkt_id") == target).first()["parent_node_id"]
         fresh = ordered.join(self.vocabulary.select("token"), "token", "left_anti").groupBy("token").agg(F.min("place").alias("first"))
         made = numbered(fresh, ["first"], "n", 0).select("token", (F.lit(2147483647) - F.col("n")).cast("int").alias("word_id"))
         words = materialise(self.vocabulary.select("token", "word_id").unionByName(made), "engine-words")
-        rows = ordered.join(words, "token").select("source", F.col("word_id").alias("word"), F.col("place").alias("at"))
+        rows = ordered.join(words, "token").select("source", F.col("word_id").alias("word"), F.col("place").alias("first"), F.lit(0).alias("pos"))
         new, top = self._named(trees.build(rows, self.config.builder, self.small, arrival=True, wide=self.wide), words)
         s = self.state
         dead = prune.subtree(s.hkts, s.nodes, self.spark.createDataFrame([(target,)], "hkt_id int"))

@@ -15,7 +15,7 @@ from pyspark.sql import Window
 
 from driftgrove.config import ThresholdConfig
 from driftgrove.functions.text import round_half_away
-from driftgrove.tables import materialise
+from driftgrove.tables import materialise, materialise_all
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ class State:
 
     def kept(self, name: str = "state") -> State:
         """The same, as tables of their own."""
-        return State(*[materialise(getattr(self, f), f"{name}-{f}") for f in self.__dataclass_fields__])
+        return State(*materialise_all({f"{name}-{f}": getattr(self, f) for f in self.__dataclass_fields__}))
 
 
 @dataclass(frozen=True)

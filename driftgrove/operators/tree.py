@@ -4,23 +4,27 @@ A scope is a set of postings (source, word). Its frequent words are dealt out to
 the other, by how much of a node's sources a word covers; that fold needs only how many sources
 hold which set of frequent words, so each scope is aggregated to such patterns before it, and where
 even these are many the fold goes a word at a time over the distributed patterns. Nodes
-with enough sources open a scope of their own. Scopes are known by their path: the places of the
-nodes from the root. Scopes of one level are handled together, and the whole subtree of a small
-scope within one task.
+with enough sources open a scope of their own. Scopes of one level are handled together, and the whole
+subtree of a small scope within one task. Different ways down often lead to the same postings: such a
+scope is built once, and what is below it is repeated only when the tree is read out by path.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from driftgrove.config import BuilderConfig
+from driftgrove.operators.postings import earliest
 from driftgrove.tables import materialise, numbered
 
 #: Postings up to which a scope's subtree is built in one task.
@@ -31,6 +35,12 @@ WIDE = 200_000
 FEW = 500_000
 TOP_WORDS = 10
 REFUGE = -1
+#: The id of the first scope.
+ROOT = "root"
+#: Nodes of a tree up to which the driver numbers them.
+PLACES = 20_000
+#: Sources and pairs of nodes that a task gathers before it hands them on.
+OUT = 200_000
 
 
 def fold(rows: list[np.ndarray], counts: np.ndarray, first: int, order: Iterable[int], similarity: float) -> list[list[int]]:
@@ -70,28 +80,34 @@ def fold(rows: list[np.ndarray], counts: np.ndarray, first: int, order: Iterable
     return nodes
 
 
-NODE = "path array<int>, ord int, refuge boolean, words array<int>, top array<int>, expected array<int>, sources array<long>, pairs array<struct<word:int,source:long>>"
+NODE = "scope string, ord int, refuge boolean, words array<int>, top array<int>, expected array<int>, sources array<long>, pairs array<struct<word:int,source:long>>, child string"
 
 
-def subtree(path: list[int], source: np.ndarray, word: np.ndarray, at: np.ndarray, config: BuilderConfig, arrival: bool = False) -> Iterator[dict]:
-    """A row per node of the scope and of all scopes below it. ``arrival``: the scope itself is in order of arrival (see ``build``)."""
-    todo = [(path, source, word, at)]
+def subtree(root: str, source: np.ndarray, word: np.ndarray, at: np.ndarray, config: BuilderConfig, arrival: bool = False) -> Iterator[dict]:
+    """A row per node of the scope and of all distinct scopes below it. ``at``: places in order of arrival; ``arrival``: the scope itself is in that order (see ``build``).
+
+    A scope below is known by the places of its postings among those of ``root``; one that comes again is
+    referred to, not built again.
+    """
+    ids: dict[bytes, str] = {}
+    todo = [(root, np.arange(len(source), dtype=np.int32))]
     while todo:
-        path, source, word, at = todo.pop()
-        words, wi = np.unique(word, return_inverse=True)
+        scope, held = todo.pop()
+        own_source, own_word, own_at = source[held], word[held], at[held]
+        words, wi = np.unique(own_word, return_inverse=True)
         df = np.bincount(wi)
         first_at = np.full(len(words), np.iinfo(np.int64).max)
-        np.minimum.at(first_at, wi, at)
+        np.minimum.at(first_at, wi, own_at)
         by = np.lexsort((first_at, -df))
         if arrival:
-            line = wi[np.argsort(at, kind="stable")]
+            line = wi[np.argsort(own_at, kind="stable")]
             by = line[:1]
             low = df[line] / df[by[0]] < config.minimum_threshold_against_max_word_count
             expected = np.unique(line[: int(low.argmax()) if low.any() else len(line)])
             arrival = False
         else:
             expected = np.flatnonzero(df / df[by[0]] >= config.minimum_threshold_against_max_word_count)
-        sources, si = np.unique(source, return_inverse=True)
+        sources, si = np.unique(own_source, return_inverse=True)
         hit = np.isin(wi, expected)
         column = np.full(len(words), -1)
         column[expected] = np.arange(len(expected))
@@ -114,28 +130,75 @@ def subtree(path: list[int], source: np.ndarray, word: np.ndarray, at: np.ndarra
             below = inside & ~np.isin(wi, own)
             grows = mask.sum() > config.minimum_number_of_sources_to_create_branch_for_node and below.any()
             top: list[int] = []
+            child = None
+            if grows:
+                places = held[below]
+                digest = hashlib.blake2b(places.tobytes(), digest_size=16).digest()
+                if (child := ids.get(digest)) is None:
+                    child = ids[digest] = f"{root}/{len(ids)}"
+                    children.append((child, places))
             if grows and not refuge:
                 bw, bi = np.unique(wi[below], return_inverse=True)
                 b_df, b_at = np.bincount(bi), np.full(len(bw), np.iinfo(np.int64).max)
-                np.minimum.at(b_at, bi, at[below])
+                np.minimum.at(b_at, bi, own_at[below])
                 top = words[own].tolist() + words[bw[np.lexsort((b_at, -b_df))]].tolist()[: max(0, TOP_WORDS - len(own))]
             pair = inside & ~below
             yield {
-                "path": path, "ord": k, "refuge": refuge, "words": [REFUGE] if refuge else words[own].tolist(), "top": top,
+                "scope": scope, "ord": k, "refuge": refuge, "words": [REFUGE] if refuge else words[own].tolist(), "top": top,
                 "expected": words[np.setdiff1d(expected, by[:1])].tolist() if k == 0 else [], "sources": sources[mask].tolist(),
-                "pairs": [] if refuge else list(zip(word[pair].tolist(), source[pair].tolist(), strict=True)),
+                "pairs": [] if refuge else [{"word": w, "source": x} for w, x in zip(own_word[pair].tolist(), own_source[pair].tolist(), strict=True)], "child": child,
             }
-            if grows:
-                children.append(([*path, k], source[below], word[below], at[below]))
         todo += reversed(children)
 
 
+def finished(scopes: DataFrame, config: BuilderConfig, arrival: bool) -> DataFrame:
+    """NODE rows of small scopes and all below them; a task holds one of the given scopes at a time and a part of its nodes."""
+    held = scopes.select("scope", "source", "word", "first", "pos")
+
+    def nodes(scope: str, parts: list[pa.RecordBatch]) -> Iterator[dict]:
+        source, word, first, pos = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(1, 5))
+        at = np.empty(len(first), np.int64)
+        at[np.lexsort((pos, first))] = np.arange(len(first))
+        yield from subtree(scope, source, word, at, config, arrival and scope == ROOT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("scope", pa.string()), ("ord", pa.int32()), ("refuge", pa.bool_()), *[(c, pa.list_(pa.int32())) for c in ("words", "top", "expected")], ("sources", pa.list_(pa.int64())),
+            ("pairs", pa.list_(pa.struct([("word", pa.int32()), ("source", pa.int64())]))), ("child", pa.string())])
+        scope, parts = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            rows, size = [], 0
+            for n in nodes(scope, parts) if parts else ():
+                rows.append(n)
+                size += len(n["sources"]) + len(n["pairs"])
+                if size >= OUT:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+        for b in batches:
+            ids = b.column(0)
+            cuts = [0, *(np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for x, y in itertools.pairwise(cuts):
+                own = ids[x].as_py()
+                if own != scope:
+                    yield from done()
+                    scope, parts = own, []
+                parts.append(b.slice(x, y - x))
+        yield from done()
+
+    # a fixed number of tasks: little data may mean much work here
+    n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return held.repartition(n, "scope").sortWithinPartitions("scope").mapInArrow(run, NODE)
+
+
 @dataclass(frozen=True)
 class Tree:
-    """The tables of a tree version. A scope's path is the key; ids follow from the order of paths."""
+    """The tables of a tree version. Scopes that are equal are built and kept once; the tables by node_id are joined from them when read."""
 
-    scopes: DataFrame  # path, hkt_id, parent_path, parent_ord
-    nodes: DataFrame  # path, ord, hkt_id, node_id, refuge
+    scopes: DataFrame  # hkt_id, path, scope
+    nodes: DataFrame  # node_id, hkt_id, ord, refuge, scope
     node_words: DataFrame  # node_id, word_id
     node_sources: DataFrame  # node_id, source
     word_sources: DataFrame  # node_id, word_id, source
@@ -150,39 +213,40 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _level(scope: DataFrame, scopes: int, config: BuilderConfig, arrival: bool = False, wide: int = WIDE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes: path, ord, word; refuge sources: path, source; expected: path, word, df, seed) of all given scopes.
+    """(nodes: scope, ord, word; refuge sources: scope, source; expected: scope, word, df, seed) of all given scopes.
 
     Everything about a scope is an aggregate of its postings; no task gets a whole scope, but the
     ``wide`` distinct sets of frequent words that a scope may have to be folded in one go.
     """
     least = config.minimum_threshold_against_max_word_count
-    words = materialise(scope.groupBy("path", "word").agg(F.count(F.lit(1)).alias("df"), F.min("at").alias("at")), "tree-words")
-    first = F.col("at") if arrival else F.struct((-F.col("df")).alias("d"), F.col("at").alias("at"))
-    lead = few(words.groupBy("path").agg(F.min_by(F.struct("word", "df"), first).alias("lead")), scopes)
-    line = words.join(lead, "path").withColumn("ok", F.col("df") / F.col("lead.df") >= least)
+    words = materialise(scope.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("df"), *earliest()), "tree-words")
+    at = F.struct("first", "pos")
+    first = at if arrival else F.struct((-F.col("df")).alias("d"), "first", "pos")
+    lead = few(words.groupBy("scope").agg(F.min_by(F.struct("word", "df"), first).alias("lead")), scopes)
+    line = words.join(lead, "scope").withColumn("ok", F.col("df") / F.col("lead.df") >= least)
     if arrival:
-        stop = few(line.filter("NOT ok").groupBy("path").agg(F.min("at").alias("stop")), scopes)
-        line = line.join(stop, "path", "left").withColumn("ok", F.col("stop").isNull() | (F.col("at") < F.col("stop")))
-    expected = materialise(line.filter("ok").select("path", "word", "df", (F.col("word") == F.col("lead.word")).alias("seed")), "tree-expected")
+        stop = few(line.filter("NOT ok").groupBy("scope").agg(F.min(at).alias("stop")), scopes)
+        line = line.join(stop, "scope", "left").withColumn("ok", F.col("stop").isNull() | (at < F.col("stop")))
+    expected = materialise(line.filter("ok").select("scope", "word", "df", (F.col("word") == F.col("lead.word")).alias("seed")), "tree-expected")
     n = expected.count()
-    hits = scope.select("path", "source", "word").join(few(expected.select("path", "word"), n), ["path", "word"])
-    held = hits.groupBy("path", "source").agg(F.array_sort(F.collect_list("word")).alias("pattern"))
-    held = materialise(held.groupBy("path", "pattern").agg(F.count(F.lit(1)).alias("n")), "tree-patterns")
-    sizes = materialise(held.groupBy("path").agg((F.count(F.lit(1)) > wide).alias("wide")), "tree-widths")
+    hits = scope.select("scope", "source", "word").join(few(expected.select("scope", "word"), n), ["scope", "word"])
+    held = hits.groupBy("scope", "source").agg(F.array_sort(F.collect_list("word")).alias("pattern"))
+    held = materialise(held.groupBy("scope", "pattern").agg(F.count(F.lit(1)).alias("n")), "tree-patterns")
+    sizes = materialise(held.groupBy("scope").agg((F.count(F.lit(1)) > wide).alias("wide")), "tree-widths")
     if sizes.filter("wide").limit(1).count():
-        big = few(sizes.filter("wide").select("path"), scopes)
-        folded = fold_by_steps(held.join(big, "path", "left_semi"), expected.join(big, "path", "left_semi"), config.similarity_threshold)
-        nodes = folded.unionByName(fold_by_scope(held.join(big, "path", "left_anti"), expected, config.similarity_threshold))
+        big = few(sizes.filter("wide").select("scope"), scopes)
+        folded = fold_by_steps(held.join(big, "scope", "left_semi"), expected.join(big, "scope", "left_semi"), config.similarity_threshold)
+        nodes = folded.unionByName(fold_by_scope(held.join(big, "scope", "left_anti"), expected, config.similarity_threshold))
     else:
         nodes = fold_by_scope(held, expected, config.similarity_threshold)
-    covered = hits.select("path", "source").distinct()
-    refuge = scope.select("path", "source").distinct().join(covered, ["path", "source"], "left_anti")
+    covered = hits.select("scope", "source").distinct()
+    refuge = scope.select("scope", "source").distinct().join(covered, ["scope", "source"], "left_anti")
     return materialise(nodes, "tree-nodes"), refuge, expected
 
 
 def fold_by_scope(patterns: DataFrame, expected: DataFrame, similarity: float) -> DataFrame:
-    """path, ord, word: the nodes of each scope, folded in one task from its patterns (path, pattern, n)."""
-    seeds = expected.filter("seed").select("path", F.col("word").alias("seed"))
+    """scope, ord, word: the nodes of each scope, folded in one task from its patterns (scope, pattern, n)."""
+    seeds = expected.filter("seed").select("scope", F.col("word").alias("seed"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         known = sorted({w for p in rows["pattern"] for w in p})
@@ -193,10 +257,10 @@ def fold_by_scope(patterns: DataFrame, expected: DataFrame, similarity: float) -
                 held[place[w]].append(i)
         seed = place[int(rows["seed"].iloc[0])]
         nodes = fold([np.array(x) for x in held], rows["n"].to_numpy(), seed, [i for i in range(len(known)) if i != seed], similarity)
-        path = list(rows["path"].iloc[0])
-        return pd.DataFrame([(path, k, known[w]) for k, n in enumerate(nodes) for w in n], columns=["path", "ord", "word"])
+        scope = rows["scope"].iloc[0]
+        return pd.DataFrame([(scope, k, known[w]) for k, n in enumerate(nodes) for w in n], columns=["scope", "ord", "word"])
 
-    return patterns.join(seeds, "path").groupBy("path").applyInPandas(one, "path array<int>, ord int, word int")
+    return patterns.join(seeds, "scope").groupBy("scope").applyInPandas(one, "scope string, ord int, word int")
 
 
 def fold_by_steps(patterns: DataFrame, expected: DataFrame, similarity: float) -> DataFrame:
@@ -205,20 +269,20 @@ def fold_by_steps(patterns: DataFrame, expected: DataFrame, similarity: float) -
     A job per frequent word of the widest scope; for scopes whose patterns no task could hold.
     """
     spark = patterns.sparkSession
-    lines: dict[tuple, list[tuple[int, int]]] = {}
+    lines: dict[str, list[tuple[int, int]]] = {}
     for r in expected.orderBy(F.desc("seed"), "word").collect():  # the frequent words of some scopes
-        lines.setdefault(tuple(r["path"]), []).append((r["word"], r["df"]))
-    node_of: dict[tuple, dict[int, int]] = {p: {line[0][0]: 0} for p, line in lines.items()}
-    held: dict[tuple, list[int]] = {p: [line[0][1]] for p, line in lines.items()}
+        lines.setdefault(r["scope"], []).append((r["word"], r["df"]))
+    node_of: dict[str, dict[int, int]] = {p: {line[0][0]: 0} for p, line in lines.items()}
+    held: dict[str, list[int]] = {p: [line[0][1]] for p, line in lines.items()}
     for i in range(1, max(map(len, lines.values()))):
         now = {p: line[i] for p, line in lines.items() if i < len(line)}
-        rows = [(list(p), w, node_of[p]) for p, (w, _) in now.items()]
-        step = F.broadcast(spark.createDataFrame(rows, "path array<int>, word int, node_of map<int,int>"))  # a row per wide scope
-        inside = patterns.join(step, "path").filter(F.array_contains("pattern", F.col("word")))
+        rows = [(p, w, node_of[p]) for p, (w, _) in now.items()]
+        step = F.broadcast(spark.createDataFrame(rows, "scope string, word int, node_of map<int,int>"))  # a row per wide scope
+        inside = patterns.join(step, "scope").filter(F.array_contains("pattern", F.col("word")))
         at = F.array_distinct(F.array_compact(F.transform("pattern", lambda w: F.try_element_at("node_of", w))))
-        found: dict[tuple, dict[int, int]] = {}
-        for r in inside.select("path", "n", F.explode(at).alias("ord")).groupBy("path", "ord").agg(F.sum("n").alias("n")).collect():  # a row per node
-            found.setdefault(tuple(r["path"]), {})[r["ord"]] = r["n"]
+        found: dict[str, dict[int, int]] = {}
+        for r in inside.select("scope", "n", F.explode(at).alias("ord")).groupBy("scope", "ord").agg(F.sum("n").alias("n")).collect():  # a row per node
+            found.setdefault(r["scope"], {})[r["ord"]] = r["n"]
         for p, (word, df) in now.items():
             common = found.get(p, {})
             shares = [common.get(k, 0) / n for k, n in enumerate(held[p])]
@@ -228,64 +292,72 @@ def fold_by_steps(patterns: DataFrame, expected: DataFrame, similarity: float) -
                 held[p].append(0)
             node_of[p][word] = k
             held[p][k] += df - common.get(k, 0)
-    out = [(list(p), k, w) for p, words in node_of.items() for w, k in words.items()]
-    return spark.createDataFrame(out, "path array<int>, ord int, word int")
+    out = [(p, k, w) for p, words in node_of.items() for w, k in words.items()]
+    return spark.createDataFrame(out, "scope string, ord int, word int")
 
 
-def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arrival: bool = False, wide: int = WIDE) -> Tree:
-    """The tree over postings (source long, word int, at long), each source and word once with its first arrival.
+def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arrival: bool = False, wide: int = WIDE, places: int = PLACES) -> Tree:
+    """The tree over postings (source long, word int, first long, pos int), each source and word once with its first arrival.
 
     Scopes of more than ``small`` postings go through Spark a level at a time; each smaller one is
     finished by a single task; ``wide`` bounds what a task folds of a large one. With ``arrival`` the root's postings aren't ranked: its seed is the
     first word to arrive, and its expected words end where a posting's df is first too small.
+
+    What is below a node depends on its sources and on the words removed above alone, in whatever order
+    they were. Scopes are therefore known by a 128-bit digest of their postings, and of equal ones, of
+    this or an earlier level, only one is gone into.
     """
     spark = postings.sparkSession
-    scope = materialise(postings.select(F.array().cast("array<int>").alias("path"), F.col("source").cast("long").alias("source"), F.col("word").cast("int").alias("word"), F.col("at").cast("long").alias("at")), "tree-scope")
-    parts: dict[str, list[DataFrame]] = {k: [] for k in ("nodes", "words", "sources", "pairs", "expected", "top")}
+    root = postings.select(F.lit(ROOT).alias("scope"), F.col("source").cast("long").alias("source"), F.col("word").cast("int").alias("word"), F.col("first").cast("long").alias("first"), F.col("pos").cast("int").alias("pos"))
+    scope = materialise(root, "tree-scope")
+    sizes = scope.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    parts: dict[str, list[DataFrame]] = {k: [] for k in ("nodes", "words", "sources", "pairs", "expected", "top", "edges")}
     local: list[DataFrame] = []
+    known: list[DataFrame] = []
     while True:
-        sizes = materialise(scope.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "tree-sizes")
         counts = sizes.agg(F.count_if(F.col("n") <= small).alias("few"), F.count_if(F.col("n") > small).alias("many")).first()
+        of_size = lambda keep, n: scope.join(few(sizes.filter(keep).select("scope"), n), "scope", "left_semi")  # noqa: B023, E731
         if counts["few"]:
-            chosen = scope.join(sizes.filter(F.col("n") <= small).select("path"), "path", "left_semi") if counts["many"] else scope
-
-            ordered = not arrival
-
-            def finish(rows: pd.DataFrame) -> pd.DataFrame:
-                found = subtree(list(rows["path"].iloc[0]), rows["source"].to_numpy(), rows["word"].to_numpy(), rows["at"].to_numpy(), config, not (ordered or len(rows["path"].iloc[0])))
-                return pd.DataFrame(list(found), columns=[c.strip().split(" ")[0] for c in ("path", "ord", "refuge", "words", "top", "expected", "sources", "pairs")])
-
-            local.append(chosen.groupBy("path").applyInPandas(finish, NODE))
+            local.append(finished(of_size(F.col("n") <= small, counts["few"]) if counts["many"] else scope, config, arrival))
         if not counts["many"]:
             break
-        large = scope.join(sizes.filter(F.col("n") > small).select("path"), "path", "left_semi")
+        large = of_size(F.col("n") > small, counts["many"]) if counts["few"] else scope
         nodes, refuge, expected = _level(large, counts["many"], config, arrival, wide)
         arrival = False
-        pairs = materialise(large.join(nodes, ["path", "word"]).select("path", "ord", "word", "source"), "tree-pairs")
-        last = nodes.groupBy("path").agg((F.max("ord") + 1).cast("int").alias("ord"))
-        refuge_sources = refuge.join(last, "path").select("path", "ord", "source")
-        held = materialise(pairs.select("path", "ord", "source").distinct().withColumn("refuge", F.lit(False)).unionByName(refuge_sources.withColumn("refuge", F.lit(True))), "tree-held")
-        sizes_of = held.groupBy("path", "ord", "refuge").agg(F.count(F.lit(1)).alias("n"))
-        parts["nodes"].append(sizes_of.select("path", "ord", "refuge"))
-        parts["words"].append(nodes.select("path", "ord", "word").unionByName(sizes_of.filter("refuge").select("path", "ord", F.lit(REFUGE).alias("word"))))
-        parts["sources"].append(held.select("path", "ord", "source"))
+        pairs = materialise(large.join(nodes, ["scope", "word"]).select("scope", "ord", "word", "source"), "tree-pairs")
+        last = nodes.groupBy("scope").agg((F.max("ord") + 1).cast("int").alias("ord"))
+        refuge_sources = refuge.join(last, "scope").select("scope", "ord", "source")
+        held = materialise(pairs.select("scope", "ord", "source").distinct().withColumn("refuge", F.lit(False)).unionByName(refuge_sources.withColumn("refuge", F.lit(True))), "tree-held")
+        sizes_of = held.groupBy("scope", "ord", "refuge").agg(F.count(F.lit(1)).alias("n"))
+        parts["nodes"].append(sizes_of.select("scope", "ord", "refuge"))
+        parts["words"].append(nodes.select("scope", "ord", "word").unionByName(sizes_of.filter("refuge").select("scope", "ord", F.lit(REFUGE).alias("word"))))
+        parts["sources"].append(held.select("scope", "ord", "source"))
         parts["pairs"].append(pairs)
-        parts["expected"].append(expected.filter("NOT seed").select("path", "word"))
-        grow = sizes_of.filter(F.col("n") > config.minimum_number_of_sources_to_create_branch_for_node).select("path", "ord", "refuge")
-        inside = large.join(held.drop("refuge").join(grow, ["path", "ord"]), ["path", "source"])
-        below = inside.join(nodes, ["path", "ord", "word"], "left_anti")
-        scope = materialise(below.select(F.concat("path", F.array("ord")).alias("path"), "source", "word", "at"), "tree-scope")
-        parts["top"].append(_top_words(scope, nodes))
+        parts["expected"].append(expected.filter("NOT seed").select("scope", "word"))
+        grow = sizes_of.filter(F.col("n") > config.minimum_number_of_sources_to_create_branch_for_node).select("scope", "ord")
+        inside = large.join(held.drop("refuge").join(grow, ["scope", "ord"]), ["scope", "source"])
+        below = materialise(inside.join(nodes, ["scope", "ord", "word"], "left_anti").select("scope", "ord", "source", "word", "first", "pos"), "tree-below")
+        parts["top"].append(_top_words(below, nodes))
+        digest = lambda *c: F.hex(F.bit_xor(F.xxhash64(*c)))
+        made = below.groupBy("scope", "ord").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", digest("source", "word"), digest("word", "source", F.lit("b"))).alias("child"))
+        edges = materialise(made.withColumn("child", F.concat_ws("-", "child", "n")), "tree-edges")
+        parts["edges"].append(edges.select("scope", "ord", "child"))
+        fresh = edges.join(_union(known), "child", "left_anti") if known else edges
+        chosen = materialise(fresh.groupBy("child").agg(F.min(F.struct("scope", "ord")).alias("of"), F.any_value("n").alias("n")).select("child", "of.scope", "of.ord", "n"), "tree-chosen")
+        known.append(chosen.select("child"))
+        sizes = chosen.select(F.col("child").alias("scope"), "n")
+        scope = below.join(few(chosen.select("child", "scope", "ord"), chosen.count()), ["scope", "ord"]).select(F.col("child").alias("scope"), "source", "word", "first", "pos")
     if local:
-        held = materialise(local[0] if len(local) == 1 else _union(local), "tree-local")
-        parts["nodes"].append(held.select("path", "ord", "refuge"))
-        parts["words"].append(held.select("path", "ord", F.explode("words").alias("word")))
-        parts["sources"].append(held.select("path", "ord", F.explode("sources").alias("source")))
-        parts["pairs"].append(held.select("path", "ord", F.explode("pairs").alias("p")).select("path", "ord", "p.word", "p.source"))
-        parts["expected"].append(held.select("path", F.explode("expected").alias("word")))
-        parts["top"].append(held.select("path", "ord", F.posexplode("top").alias("rank", "word")).select("path", "ord", "word", F.col("rank").cast("int").alias("rank")))
-    schemas = {"nodes": "path array<int>, ord int, refuge boolean", "words": "path array<int>, ord int, word int", "sources": "path array<int>, ord int, source long", "pairs": "path array<int>, ord int, word int, source long", "expected": "path array<int>, word int", "top": "path array<int>, ord int, word int, rank int"}
-    return _numbered({k: _union(v) if v else spark.createDataFrame([], schemas[k]) for k, v in parts.items()})
+        held = materialise(_union(local), "tree-local")
+        parts["nodes"].append(held.select("scope", "ord", "refuge"))
+        parts["words"].append(held.select("scope", "ord", F.explode("words").alias("word")))
+        parts["sources"].append(held.select("scope", "ord", F.explode("sources").alias("source")))
+        parts["pairs"].append(held.select("scope", "ord", F.explode("pairs").alias("p")).select("scope", "ord", "p.word", "p.source"))
+        parts["expected"].append(held.select("scope", F.explode("expected").alias("word")))
+        parts["top"].append(held.select("scope", "ord", F.posexplode("top").alias("rank", "word")).select("scope", "ord", "word", F.col("rank").cast("int").alias("rank")))
+        parts["edges"].append(held.filter("child IS NOT NULL").select("scope", "ord", "child"))
+    schemas = {"nodes": "scope string, ord int, refuge boolean", "words": "scope string, ord int, word int", "sources": "scope string, ord int, source long", "pairs": "scope string, ord int, word int, source long", "expected": "scope string, word int", "top": "scope string, ord int, word int, rank int", "edges": "scope string, ord int, child string"}
+    return _expanded({k: _union(v) if v else spark.createDataFrame([], schemas[k]) for k, v in parts.items()}, places)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -296,29 +368,83 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _top_words(below: DataFrame, nodes: DataFrame) -> DataFrame:
-    """path, ord, word, rank: a branching node's own words, then the first of its scope up to TOP_WORDS in all."""
-    ranked = below.groupBy("path", "word").agg(F.count(F.lit(1)).alias("df"), F.min("at").alias("at"))
-    place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("df"), "at"))
-    more = ranked.withColumn("r", place).filter(F.col("r") <= TOP_WORDS).select(F.slice("path", 1, F.size("path") - 1).alias("path"), F.element_at("path", -1).alias("ord"), "word", "r")
-    own = nodes.withColumn("r", (F.row_number().over(Window.partitionBy("path", "ord").orderBy("word")) - 1).cast("int"))
-    size = own.groupBy("path", "ord").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    filled = more.join(size, ["path", "ord"]).filter(F.col("r") + F.col("size") <= TOP_WORDS).select("path", "ord", "word", (F.col("r") + F.col("size") - 1).cast("int").alias("rank"))
-    branching = filled.unionByName(more.join(size, ["path", "ord"]).select("path", "ord", F.lit(0).alias("word"), F.lit(0).alias("rank"))).select("path", "ord").distinct()
-    return own.join(branching, ["path", "ord"], "left_semi").select("path", "ord", "word", F.col("r").alias("rank")).unionByName(filled)
-
-
-def _numbered(parts: dict[str, DataFrame]) -> Tree:
-    """Ids by path: HKTs in preorder, nodes in order of their HKT and place, both from 1."""
-    nodes = numbered(parts["nodes"], ["path", "ord"], "node_id").withColumn("node_id", F.col("node_id").cast("int"))
-    scopes = numbered(nodes.select("path").distinct(), ["path"], "hkt_id").withColumn("hkt_id", F.col("hkt_id").cast("int"))
-    nodes = materialise(nodes.join(scopes, "path").select("path", "ord", "hkt_id", "node_id", "refuge"), "tree-nodes")
-    scopes = scopes.withColumn("parent_path", F.when(F.size("path") > 0, F.slice("path", 1, F.size("path") - 1))).withColumn("parent_ord", F.when(F.size("path") > 0, F.element_at("path", -1)))
-    parent = nodes.select(F.col("path").alias("parent_path"), F.col("ord").alias("parent_ord"), F.col("node_id").alias("parent_node_id"))
-    hkts = scopes.join(parent, ["parent_path", "parent_ord"], "left").select("hkt_id", F.coalesce("parent_node_id", F.lit(0)).alias("parent_node_id"))
-    ids = nodes.select("path", "ord", "node_id")
-    of = lambda k, *c: parts[k].join(ids, ["path", "ord"]).select("node_id", *c)
+    """scope, ord, word, rank: a branching node's own words, then the first of those below it up to TOP_WORDS in all."""
+    ranked = below.groupBy("scope", "ord", "word").agg(F.count(F.lit(1)).alias("df"), *earliest())
+    place = F.row_number().over(Window.partitionBy("scope", "ord").orderBy(F.desc("df"), "first", "pos"))
+    more = ranked.withColumn("r", place).filter(F.col("r") <= TOP_WORDS).select("scope", "ord", "word", "r")
+    own = nodes.withColumn("r", (F.row_number().over(Window.partitionBy("scope", "ord").orderBy("word")) - 1).cast("int"))
+    size = own.groupBy("scope", "ord").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    held = more.join(size, ["scope", "ord"])
+    filled = held.filter(F.col("r") + F.col("size") <= TOP_WORDS).select("scope", "ord", "word", (F.col("r") + F.col("size") - 1).cast("int").alias("rank"))
+    return own.join(held.select("scope", "ord").distinct(), ["scope", "ord"], "left_semi").select("scope", "ord", "word", F.col("r").alias("rank")).unionByName(filled)
+
+
+def _paths(edges: DataFrame) -> DataFrame:
+    """path, scope: every place of the tree at which a scope stands, from the references, a level at a time."""
+    at = edges.sparkSession.createDataFrame([([], ROOT)], "path array<int>, scope string")
+    found = [at]
+    edges = materialise(edges, "tree-edges")
+    while not (at := materialise(at.join(edges, "scope").select(F.concat("path", F.array("ord")).alias("path"), F.col("child").alias("scope")), "tree-paths")).isEmpty():
+        found.append(at)
+    return _union(found)
+
+
+def _placed(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hkt_id, path, scope; node_id, hkt_id, ord, refuge, scope; hkt_id, parent_node_id) by Spark, for trees of any size."""
+    there = parts["nodes"].select("scope").distinct()
+    placed = _paths(parts["edges"]).join(there, "scope", "left_semi")
+    scopes = materialise(numbered(placed, ["path"], "hkt_id").select(F.col("hkt_id").cast("int").alias("hkt_id"), "path", "scope"), "tree-scopes")
+    nodes = numbered(scopes.select("hkt_id", "scope").join(parts["nodes"], "scope"), ["hkt_id", "ord"], "node_id")
+    nodes = materialise(nodes.select(F.col("node_id").cast("int").alias("node_id"), "hkt_id", "ord", "refuge", "scope"), "tree-nodes")
+    above = scopes.filter(F.size("path") > 0).select("hkt_id", F.slice("path", 1, F.size("path") - 1).alias("path"), F.element_at("path", -1).alias("ord"))
+    parent = above.join(scopes.select("path", F.col("hkt_id").alias("above")), "path").select("hkt_id", "ord", "above")
+    parent = parent.join(nodes.select(F.col("hkt_id").alias("above"), "ord", F.col("node_id").alias("parent_node_id")), ["above", "ord"]).select("hkt_id", "parent_node_id")
+    root = scopes.filter(F.size("path") == 0).select("hkt_id", F.lit(0).alias("parent_node_id"))
+    return scopes, nodes, materialise(root.unionByName(parent), "tree-hkts")
+
+
+def _placed_here(spark: SparkSession, nodes: list[Row], edges: list[Row], most: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """The same of a tree that is known to be small, without jobs; None if equal scopes stand in so many places that it isn't."""
+    own: dict[str, list[tuple[int, bool]]] = {}
+    for r in sorted(nodes, key=lambda r: r["ord"]):
+        own.setdefault(r["scope"], []).append((r["ord"], r["refuge"]))
+    child = {(r["scope"], r["ord"]): r["child"] for r in edges}
+    scopes, rows, hkts = [], [], []
+    todo = [((), ROOT, 0)] if own else []
+    while todo:
+        path, scope, parent = todo.pop()
+        hkt = len(scopes) + 1
+        scopes.append((hkt, list(path), scope))
+        hkts.append([hkt, path[:-1], path[-1] if path else None])
+        below = []
+        for ord_, refuge in own[scope]:
+            rows.append((hkt, ord_, refuge, scope))
+            if (scope, ord_) in child:
+                below.append(((*path, ord_), child[scope, ord_], 0))
+        if len(rows) > most:
+            return None
+        todo += reversed(below)
+    number = {tuple(p): h for h, p, _ in scopes}
+    node_of = {(r[0], r[1]): i + 1 for i, r in enumerate(rows)}
+    links = [(h, node_of[number[above], ord_] if ord_ is not None else 0) for h, above, ord_ in hkts]
+    made = [(i + 1, *r) for i, r in enumerate(rows)]
+    return (
+        spark.createDataFrame(scopes, "hkt_id int, path array<int>, scope string"),
+        spark.createDataFrame(made, "node_id int, hkt_id int, ord int, refuge boolean, scope string"),
+        spark.createDataFrame(links, "hkt_id int, parent_node_id int"),
+    )
+
+
+def _expanded(parts: dict[str, DataFrame], places: int) -> Tree:
+    """Ids by path: HKTs in preorder, nodes in order of their HKT and place, both from 1. A tree of up to ``places`` nodes is numbered by the driver."""
+    spark = parts["nodes"].sparkSession
+    found = None
+    nodes = parts["nodes"].limit(places + 1).collect()  # bounded
+    if len(nodes) <= places:
+        found = _placed_here(spark, nodes, parts["edges"].collect(), places)  # an edge per node at most
+    scopes, nodes, hkts = found or _placed(parts)
+    ids = nodes.select("scope", "ord", "node_id")
+    of = lambda k, *c: parts[k].join(ids, ["scope", "ord"]).select("node_id", *c)
     word = F.col("word").alias("word_id")
-    return Tree(
-        scopes, nodes, materialise(of("words", word), "tree-words"), materialise(of("sources", "source"), "tree-sources"), materialise(of("pairs", word, "source"), "tree-word-sources"),
-        materialise(parts["expected"].join(scopes.select("path", "hkt_id"), "path").select("hkt_id", word), "tree-expected"), materialise(of("top", word, "rank"), "tree-top"), materialise(hkts, "tree-hkts"),
-    )
+    expected = parts["expected"].join(scopes.select("scope", "hkt_id"), "scope").select("hkt_id", word)
+    return Tree(scopes, nodes, of("words", word), of("sources", "source"), of("pairs", word, "source"), expected, of("top", word, "rank"), hkts)

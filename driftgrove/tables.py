@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,21 +43,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_all(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """``materialise`` for tables that don't depend on each other, side by side: a small one costs the driver's time more than the executors'."""
+    with ThreadPoolExecutor(min(8, max(1, len(tables)))) as pool:
+        return list(pool.map(lambda x: materialise(x[1], x[0]), tables.items()))
+
+
 def numbered(df: DataFrame, order: list, name: str, start: int = 1) -> DataFrame:
     """``df`` with ``name``: its place in the given order, from ``start``.
 
-    Rows are range-partitioned and sorted; each partition's rows are counted, and the counts (one
-    per partition) give the first number of each.
+    Two levels: rows are range-partitioned and sorted, each partition's rows are counted, and the sums
+    of the counts before it (a row per partition, broadcast) give the first number of each.
     """
     split = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     held = materialise(split, "numbered")
-    part = F.shiftright("__at", 33)
-    counts = {r["p"]: r["n"] for r in held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    first, offsets = start, []
-    for p in sorted(counts):
-        offsets.append((p, first))
-        first += counts[p]
-    if not offsets:
-        return held.withColumn(name, F.lit(start).cast("long")).drop("__at")
-    lookup = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair])
-    return held.withColumn(name, lookup[part] + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
+    counts = held.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("__part", (F.coalesce(F.sum("n").over(before), F.lit(0)) + start).alias("__first"))  # a row per partition
+    placed = held.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(first), "__part")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))

@@ -3,16 +3,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgrove.config import BuilderConfig
+from driftgrove.engine import Engine
 from driftgrove.operators import postings as po
 from driftgrove.operators import tree as tr
+from driftgrove.tables import numbered
 
 QUAKE = {"s1": "earthquake damage city", "s2": "earthquake rescue city", "s3": "storm damage coast"}
 SMALL = {"s1": "a b c", "s2": "a b", "s3": "a d"}
 
 
 def built(spark, sources, config=BuilderConfig(), small=tr.SMALL, **more):
+    """The tree by token; without ``small`` scopes it is numbered by Spark too."""
+    more.setdefault("places", tr.PLACES if small else 0)
     vocab = po.vocabulary(sources)
-    rows = po.first_places(sources).join(vocab, "token").select(F.col("source_index").alias("source"), F.col("word_id").alias("word"), "at")
+    rows = po.first_places(sources).join(vocab, "token").select(F.col("source_index").alias("source"), F.col("word_id").alias("word"), F.col("source_index").alias("first"), "pos")
     names = {r["word_id"]: r["token"] for r in vocab.collect()} | {-1: "<REFUGE>"}
     t = tr.build(rows, config, small, **more)
     out = {}
@@ -80,6 +84,62 @@ def test_levels_agree_with_subtrees(spark, make_sources, seed):
     assert all(p == 0 or p in nodes for p in hkts.values()) and {n["hkt"] for n in nodes.values()} == set(hkts)
 
 
+def test_equal_scopes_are_built_once(spark, make_sources):
+    """Going by a, then by b leaves what going by b, then by a does."""
+    r = np.random.default_rng(7)
+    texts = {f"s{i}": " ".join(r.permutation(list("abcde"))[: r.integers(3, 6)]) for i in range(40)}
+    config = BuilderConfig(0.5, 1.0, 3)
+    a, b = built(spark, make_sources(texts), config), built(spark, make_sources(texts), config, 0)
+    assert a == b
+    sources = make_sources(texts)
+    vocab = po.vocabulary(sources)
+    rows = po.first_places(sources).join(vocab, "token").select(F.col("source_index").alias("source"), F.col("word_id").alias("word"), F.col("source_index").alias("first"), "pos")
+    counts = []
+    for small in (tr.SMALL, 0):
+        t = tr.build(rows, config, small)
+        counts.append((t.scopes.count(), t.scopes.select("scope").distinct().count()))
+    assert counts[0] == counts[1] and counts[0][1] < counts[0][0] / 2, counts
+
+
+def test_any_index_gives_the_order_of_arrival(spark, make_sources):
+    """Indices beyond any packed number, negative ones and those of a huge batch."""
+    texts = {"s1": "c d", "s2": "b a", "s3": "a e"}
+    plain = make_sources(texts)
+    high = plain.withColumn("source_index", F.col("source_index") * F.lit(1 << 60) - F.lit(1 << 61))
+    words = lambda rows: [r["token"] for r in po.vocabulary(rows).orderBy("word_id").collect()]
+    ranks = lambda rows: [r["token"] for r in po.ranked_words(rows).orderBy("place").collect()]
+    assert words(plain) == words(high) == ["c", "d", "b", "a", "e"] and ranks(plain) == ranks(high) == ["a", "c", "d", "b", "e"]
+    late = make_sources({"s1": "x"}).withColumn("source_index", F.lit((1 << 28) + 1).cast("long"))
+    for first in (late, high.unionByName(late)):
+        e = Engine(spark)
+        batches = {0: e.register(first, 0), 1: e.register(make_sources({"s9": "y"}), 1), 2: e.register(high.withColumn("tokens", F.array(F.lit("z"))).limit(2), 2)}
+        got = [r["token"] for r in po.vocabulary(e._arrivals(batches), clean=True).orderBy("word_id").collect()]
+        assert got[-2:] == ["y", "z"] and got.index("x") == len(got) - 3
+
+
+def test_prefix_ends_at_the_first_miss(spark):
+    r = np.random.default_rng(2)
+    rows = [(f"k{i % 3}", int(x), int(p), f"t{i}", int(d)) for i, (x, p, d) in enumerate(zip(r.integers(-5, 5, 200) * 2**59, r.permutation(200), r.integers(5, 12, 200), strict=True))]
+    want = set()
+    for k in ("k0", "k1", "k2"):
+        own = sorted(x for x in rows if x[0] == k)
+        for x in own:
+            if x[4] / own[0][4] < 0.6:
+                break
+            want.add((k, x[3]))
+    got = po.expected_prefix(spark.createDataFrame(rows, "scope string, first long, pos int, token string, df long"), 0.6)
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_numbers_over_many_partitions(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("v"))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    got = numbered(rows, ["v"], "n", 5)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r["n"] for r in got.orderBy("v").collect()] == list(range(5, 5005))
+    assert numbered(rows.limit(0), ["v"], "n").count() == 0
+
+
 def test_no_sources(spark, make_sources):
     nodes, hkts, expected = built(spark, make_sources({"s1": ""}))
     assert (nodes, hkts, expected) == ({}, {}, {})
