@@ -107,6 +107,8 @@ class ByteBpe:
         return list(itertools.chain.from_iterable(map(self.known.__getitem__, pretokens)))
 
     def decode(self, ids: list[int]) -> bytes:
+        if ids and min(ids) < 0:
+            raise IndexError("an id must not be negative")
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
@@ -142,7 +144,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default: all columns) with ``decoded``, the bytes of the ids; null ids give no bytes."""
+    """``keep`` (default: all columns) with ``decoded``, the bytes of the ids; null ids give no bytes. An id that the vocabulary lacks, negative ones too, is an error."""
     keep = [c for c in (keep or rows.columns) if c != "decoded"]
     src = rows.select(*keep, rows[ids].alias("__ids"))
     schema = T.StructType([src.schema[c] for c in keep] + BACK)

@@ -1,7 +1,7 @@
 """Language ID with language-bitmask n-gram filters.
 
-All languages share one bit-sliced Bloom filter: each slot is a word with one bit per language,
-and the AND of an n-gram's slots has the bits of all languages that contain it. A text is decided
+All languages share one bit-sliced Bloom filter: each slot has one bit per language, in as many 64-bit
+words as that takes, and the AND of an n-gram's slots has the bits of all languages that contain it. A text is decided
 by each language's count of its n-grams, corrected for the false positives expected at the fill of
 that language's slice. The n-grams are the letters of a text with their two neighbours, anything
 but a letter counting as a space.
@@ -31,7 +31,6 @@ MIN_RATIO = 0.1
 SLOTS, HASHES = 1 << 18, 4
 #: Code points that are handled at once.
 PIECE = 1 << 18
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_grams", T.LongType())]
 
@@ -81,9 +80,14 @@ def slots(packed: np.ndarray, size: int) -> Iterator[np.ndarray]:
         a = a + (step << np.uint64(7))
 
 
+def bit(words: np.ndarray, i: int) -> np.ndarray:
+    """Bit i of each row of words, 0 or 1."""
+    return words[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)
+
+
 @dataclass
 class Filters:
-    """``table``: a word per slot, bit i standing for ``langs[i]``; ``false``: each language's rate of false positives."""
+    """``table``: a row of words per slot, bit i % 64 of word i // 64 standing for ``langs[i]``; ``false``: each language's rate of false positives."""
 
     langs: list[str]
     table: np.ndarray
@@ -91,12 +95,14 @@ class Filters:
 
     @classmethod
     def build(cls, langs: list[str], members: dict[int, int], size: int = SLOTS) -> Filters:
-        """``members``: the languages of each n-gram, as bits."""
-        table = np.zeros(size, np.uint64)
-        packed, masks = np.array(list(members), np.uint64), np.array(list(members.values()), np.uint64)
+        """``members``: the languages of each n-gram, as the bits of a number of any size."""
+        width = max(1, -(-len(langs) // 64))
+        table = np.zeros((size, width), np.uint64)
+        packed = np.array(list(members), np.uint64)
+        masks = np.array([[m >> 64 * k & 0xFFFFFFFFFFFFFFFF for k in range(width)] for m in members.values()], np.uint64).reshape(-1, width)
         for at in slots(packed, size):
             np.bitwise_or.at(table, at, masks)
-        fill = np.array([np.count_nonzero(table >> np.uint64(i) & np.uint64(1)) / size for i in range(len(langs))])
+        fill = np.array([np.count_nonzero(bit(table, i)) / size for i in range(len(langs))])
         return cls(langs, table, fill**HASHES)
 
     def masks(self, packed: np.ndarray) -> np.ndarray:
@@ -112,7 +118,7 @@ class Filters:
             n += np.bincount(own, minlength=len(texts))
             found = self.masks(packed)
             for i in range(len(self.langs)):
-                hits[:, i] += np.bincount(own, (found >> np.uint64(i) & np.uint64(1)).astype(float), len(texts))
+                hits[:, i] += np.bincount(own, bit(found, i).astype(float), len(texts))
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), n
         corrected = (hits - n[:, None] * self.false) / (1 - self.false)
@@ -126,18 +132,17 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
 
     About ``sample_rows`` rows of each language are read, those of the lowest hash of doc_id and
     text, so that rows that repeat both go together. Languages are ordered by their rows, ties by
-    name; where no n-gram is learned, from an empty table for one, the result knows no language.
+    name; where no n-gram is learned, from an empty table for one, the result knows no language. There
+    may be any number of languages; the filter takes SLOTS words for each 64 of them, 2 MB.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{MAX_LANGUAGES} languages at most")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     langs = sorted(counts, key=lambda x: (-counts[x], x))
     if not langs:
         return Filters.build([], {})
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_rows / counts[k]))])[F.col("lang")]
-    number = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])[F.col("lang")]
-    sample = labelled.filter(hash_share("doc_id", "text", F.lit("learn")) < share).select(number.alias("lang"), "text")
+    known = docs.sparkSession.createDataFrame([(k, i, min(1.0, sample_rows / counts[k])) for i, k in enumerate(langs)], "lang string, number int, share double")
+    numbered = labelled.select("doc_id", "text", "lang").join(F.broadcast(known), "lang")  # a row per language
+    sample = numbered.filter(hash_share("doc_id", "text", F.lit("learn")) < F.col("share")).select(F.col("number").alias("lang"), "text")
 
     def count(batches):
         for b in batches:
@@ -154,16 +159,19 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
     totals = {r["lang"]: r["n"] for r in each.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return Filters.build([], {})
-    least = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, MIN_SHARE * v)])[F.col("lang")]
+    least = docs.sparkSession.createDataFrame([(k, MIN_SHARE * v) for k, v in totals.items()], "lang int, least double")
     found: dict[int, dict[int, float]] = {}  # no more than 1 / MIN_SHARE n-grams of a language
-    for r in each.filter(F.col("n") >= least).collect():
+    for r in each.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")).collect():
         found.setdefault(r["gram"], {})[r["lang"]] = r["n"] / totals[r["lang"]]
     members = {g: sum(1 << i for i, x in by.items() if x >= MIN_RATIO * max(by.values())) for g, by in found.items()}
     return Filters.build(langs, members)
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default: all columns) with lang_pred, score and n_grams.
+    """``keep`` (default: all columns) with lang_pred, score and n_grams; columns of ``docs`` with these names give way.
+
+    Rows that repeat are each told on their own, a text of any length is read in pieces, and an empty
+    table gives an empty result.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Otherwise
     the language with most corrected n-grams, the one with more training rows on ties; score is

@@ -120,7 +120,8 @@ def _quoted(text: str) -> str:
 def secrets_sql() -> str:
     spans, names = [], [r.kind for r in secrets.RULES]
     for i, r in enumerate(secrets.RULES):
-        piece = _quoted(f"((?s:.*?))(?:{r.pattern})")
+        gap = rf"(?s:|.*?[^{r.before}])" if r.before else "(?s:.*?)"
+        piece = _quoted(f"({gap})(?:{r.pattern})")
         value = f"regexp_extract_all(t, {piece}, {1 + r.values})" if r.values else "NULL"
         spans.append(
             f"SELECT doc_id, rn, {i} AS ord, g, w, v FROM (SELECT doc_id, rn, regexp_extract_all(t, {piece}, 1) AS g, regexp_extract_all(t, {piece}, 0) AS w, {value}::VARCHAR[] AS v FROM d)"
@@ -216,14 +217,16 @@ SEARCH_SQL = """, c AS (SELECT sigs, min(doc_id) AS id, count(*) AS members, cou
 def ledger_sql() -> str:
     """Blobs and findings of the runs of ``secret_ledger``: a blob has findings if one of the rules in force has a long enough match."""
     hit = lambda kinds: " OR ".join(
-        f"len(list_filter(regexp_extract_all(t, {_quoted(r.pattern)}, {r.values}), lambda x: length(x) >= {r.least})) > 0" for r in secrets.RULES if r.kind in kinds
+        f"len(list_filter(regexp_extract_all(t, {_quoted(f'(?:^|[^{r.before}])({r.pattern})' if r.before else r.pattern)}, {r.values or int(bool(r.before))}), lambda x: length(x) >= {r.least})) > 0"
+        for r in secrets.RULES
+        if r.kind in kinds
     )
     every = tuple(r.kind for r in secrets.RULES)
     return f"""
     WITH b AS (SELECT DISTINCT coalesce(text, '') AS t FROM benchmark), d AS (SELECT DISTINCT coalesce(text, '') AS t FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)),
     n AS (SELECT (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM d) AS nd)
-    SELECT 1 AS run, '2' AS rule_version, nb AS blobs, nb AS scanned, 0::BIGINT AS skipped, (SELECT count(*) FROM b WHERE {hit(every)}) AS with_findings FROM n
-    UNION ALL SELECT 2, '2', nd, nd - nb, nb, (SELECT count(*) FROM d WHERE {hit(every)}) FROM n
+    SELECT 1 AS run, '{secrets.RULE_VERSION}' AS rule_version, nb AS blobs, nb AS scanned, 0::BIGINT AS skipped, (SELECT count(*) FROM b WHERE {hit(every)}) AS with_findings FROM n
+    UNION ALL SELECT 2, '{secrets.RULE_VERSION}', nd, nd - nb, nb, (SELECT count(*) FROM d WHERE {hit(every)}) FROM n
     UNION ALL SELECT 3, '1', nd, nd, 0, (SELECT count(*) FROM d WHERE {hit(secrets.BASE)}) FROM n"""
 
 

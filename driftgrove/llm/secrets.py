@@ -9,6 +9,7 @@ Everything is built from DataFrame functions; the spans come from ``regexp_extra
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +18,16 @@ from pyspark.sql import functions as F
 from driftgrove.llm.common import materialise, shared_dir
 
 #: Changes whenever RULES do.
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 #: New blobs of an increment whose ids are broadcast at most; more meet their texts in a merge join.
 MAX_BROADCAST = 200_000
 
 
+#: Pieces of a text whose lengths are summed together.
+BLOCK = 128
+EMPTY = "array<struct<start:int,end:int,ord:int,kind:string>>"
+
+
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` has no capturing groups but ``value`` of them; the last one's length counts, or the match's."""
@@ -31,6 +37,12 @@ class Rule:
     values: int = 0
     least: int = 1
     quick: str = ""  # no match without a match of this
+    before: str = ""  # characters that must not come before a match
+
+    @property
+    def whole(self) -> str:
+        """The pattern with what must not come before it."""
+        return (rf"(?<![{self.before}])" if self.before else "") + rf"(?:{self.pattern})"
 
 
 #: In the order in which kinds are listed. The first three are the base set.
@@ -47,7 +59,8 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 0, 40, r"gh[opsur]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20, r"xox[abprs]-[A-Za-z0-9-]{15}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]"),
+    # from the beginning of a run of its characters alone, or each eyJ in a long one would read on to its end
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, "", r"A-Za-z0-9_-"),
 )
 BASE = ("assign", "access", "hex")
 
@@ -56,20 +69,41 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, end, order, kind) of the rule's matches that are long enough, in code points.
 
     Each piece that is extracted is the gap before a match and the match; ``\\G`` ties it to the
-    piece before, so that lengths add up to places.
+    piece before, so that lengths add up to places. They are summed over blocks of pieces and then within
+    a piece's block, as an array that grew by a piece at a time would be copied each time.
     """
-    piece = rf"\G((?s:.*?))(?:{rule.pattern})"
-    empty = F.array().cast("array<struct<start:int,end:int,ord:int,kind:string>>")
+    piece = rf"\G((?s:.*?)){rule.whole}"
 
-    def add(acc: Column, chunk: Column) -> Column:
-        gap, whole = F.char_length(F.regexp_extract(chunk, piece, 1)), F.char_length(chunk)
+    def sizes(chunk: Column) -> Column:
+        gap, whole = F.char_length(F.regexp_extract(chunk, rf"\A((?s:.*?)){rule.whole}", 1)), F.char_length(chunk)
         size = F.char_length(F.regexp_extract(chunk, piece, 1 + rule.values)) if rule.values else whole - gap
-        span = F.struct((acc["at"] + gap).alias("start"), (acc["at"] + whole).alias("end"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"))
-        return F.struct((acc["at"] + whole).alias("at"), F.when(size >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(gap.alias("gap"), whole.alias("whole"), size.alias("size"))
+
+    def length(pieces: Column, first: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(pieces, first + 1, n), F.lit(0), lambda a, p: a + p["whole"])
+
+    def places(pieces: Column, starts: Column) -> Column:
+        def span(p: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            at = F.get(starts, block) + length(pieces, block * BLOCK, i % BLOCK)
+            kept = F.struct((at + p["gap"]).alias("start"), (at + p["whole"]).alias("end"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"))
+            return F.when(p["size"] >= rule.least, kept)
+
+        return F.array_compact(F.transform(pieces, span))
+
+    def starts(pieces: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.size(pieces) / BLOCK).cast("int"))
+        grown = F.aggregate(blocks, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + length(pieces, b * BLOCK, F.lit(BLOCK)))))
+        return grown
 
     chunks = F.regexp_extract_all(text, F.lit(piece), F.lit(0))
-    found = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"]
-    return F.when(text.rlike(rule.quick or rule.pattern), found).otherwise(empty)
+    found = let(F.transform(chunks, sizes), lambda p: let(starts(p), lambda s: places(p, s)))
+    return F.when(text.rlike(rule.quick or rule.whole), found).otherwise(F.array().cast(EMPTY))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def listed(spans: Column) -> Column:
@@ -78,13 +112,10 @@ def listed(spans: Column) -> Column:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob_id, spans (array of start, end, ord, kind; by start, then kind) of every row."""
+    """blob_id, spans (array of start, end, ord, kind; by start, then kind) of every row. Time grows with a text's length, not with its square."""
     return blobs.select("blob_id", F.array_sort(F.flatten(F.array(*[rule_spans(F.col("text"), r, i) for i, r in enumerate(rules)]))).alias("spans"))
 
 
-EMPTY = "array<struct<start:int,end:int,ord:int,kind:string>>"
-
-
 def address(versions: DataFrame, path: str, text: str) -> DataFrame:
     """path, text (null: empty) and blob_id of every version."""
     content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))

@@ -66,21 +66,40 @@ PATTERN_RULES = (
 FIELDS = [T.StructField("pattern", T.StringType())]
 
 
+def class_end(pattern: str, at: int) -> int:
+    """Where the character class that opens at ``at`` is over; the pattern's end if it never closes."""
+    i = at + 1 + pattern[at + 1 :].startswith("^")
+    i += pattern[i : i + 1] == "]"
+    while i < len(pattern) and pattern[i] != "]":
+        i += 2 if pattern[i] == "\\" else 1
+    return min(i + 1, len(pattern))
+
+
 def literal_tokens(pattern: str) -> list[str]:
-    """Tokens that any match must hold: ``\\bword\\b`` outside groups; none where there is a choice at the top."""
-    depth, flat, i = 0, "", 0
+    """Tokens that any match must hold: ``\\bword\\b`` outside groups; none where there is a choice at the top.
+
+    The pattern is walked once: a token is a boundary, letters or digits that stand for themselves, and a
+    boundary that isn't quantified. Verbose patterns, which may have comments, have none.
+    """
+    if re.search(r"\(\?[a-zA-Z]*x", pattern):
+        return []
+    depth, word, found, i = 0, None, [], 0
     while i < len(pattern):
-        step = 2 if pattern[i] == "\\" else 1
-        part = pattern[i : i + step]
-        if part == "[":
-            end = pattern.index("]", i + 2)
-            step, part = end + 1 - i, "\0"
-        depth += (part == "(") - (part == ")")
-        if part == "|" and not depth:
+        c = pattern[i]
+        end = i + 2 if c == "\\" else class_end(pattern, i) if c == "[" else i + 1
+        if c == "|" and not depth:
             return []
-        flat += part if not depth and part != ")" else "\0"
-        i += step
-    return re.findall(r"\\b([a-z0-9]+)\\b(?![*?{])", flat)
+        depth += (c == "(") - (c == ")")
+        if depth or c == ")":
+            word = None
+        elif pattern[i:end] == "\\b":
+            if word and pattern[end : end + 1] not in ("*", "?", "{", "+"):
+                found.append(word)
+            word = ""
+        else:
+            word = word + c if word is not None and c in "abcdefghijklmnopqrstuvwxyz0123456789" else None
+        i = end
+    return found
 
 
 def tokens(url: Column) -> Column:
@@ -110,7 +129,8 @@ def match_patterns(urls: DataFrame, patterns: Sequence[str] = PATTERN_RULES, url
 
     A null URL matches nothing. Letters A to Z of the URL count as lower case. Rows that repeat are
     matched each on their own, an empty table gives an empty result, and a column of ``urls`` named
-    ``pattern`` gives way to the new one. A task compiles a rule when a URL first fetches it, once.
+    ``pattern`` gives way to the new one. A task compiles a rule when a URL first fetches it, once; a rule
+    that isn't a regular expression is an error then.
     """
     if len(patterns) > MAX_RULES:
         raise ValueError(f"{MAX_RULES} rules at most")

@@ -43,6 +43,14 @@ def test_bpe_equals_tiktoken(spark, documents):
     assert bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_decode_refuses_unknown_ids():
+    coder = bpe.coder(RANKS, public_tokenizers.PATTERN)
+    assert coder.decode([]) == b""
+    for ids in ([-1], [5, len(coder.tokens)]):
+        with pytest.raises(IndexError):
+            coder.decode(ids)
+
+
 def test_language_id(spark, documents):
     split = documents.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
     filters = langid.train(split.filter("NOT held_out"))
@@ -59,13 +67,24 @@ def test_filters_find_all_members():
     r = np.random.default_rng(3)
     members = {int(g): int(m) for g, m in zip(r.integers(0, 2**62, 5000), r.integers(1, 8, 5000), strict=True)}
     f = langid.Filters.build(["a", "b", "c"], members, 1 << 15)
-    got = f.masks(np.array(list(members), np.uint64))
+    got = f.masks(np.array(list(members), np.uint64))[:, 0]
     assert all(int(x) & m == m for x, m in zip(got, members.values(), strict=True))
-    other = f.masks(r.integers(2**62, 2**63, 20000).astype(np.uint64))
+    other = f.masks(r.integers(2**62, 2**63, 20000).astype(np.uint64))[:, 0]
     for i in range(3):
         assert abs(np.mean(other >> np.uint64(i) & np.uint64(1)) - f.false[i]) < 0.02
 
 
+def test_many_languages(spark):
+    """More than a word has bits: each language has three-letter words of its own."""
+    code = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(2))
+    rows = [(i * 10 + j, f"{code(i)}q{code(i)} " * 30, f"l{i:03d}") for i in range(200) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.train(docs)
+    assert len(filters.langs) == 200 and filters.table.shape[1] == 4
+    got = langid.identify(docs.select("doc_id", "text", "lang"), filters).collect()
+    assert all(r["lang"] == r["lang_pred"] and r["score"] > 0.9 for r in got)
+
+
 def test_language_of_texts_when_nothing_was_learned(spark):
     blank = docs_of(spark, [" ", "12"], lang="en")
     for learn in (blank, blank.limit(0)):
@@ -237,6 +256,37 @@ def test_candidates_lose_no_match(spark):
         assert got[r["page_id"]] == next((p for p in patterns if re.search(p, r["url"].lower(), re.A)), None)
 
 
+def test_literal_tokens():
+    tokens = url_rules.literal_tokens
+    assert tokens(r"(\ba\b|b)\bc\b-\bd\b?[\be\b]") == ["c"]
+    assert tokens(r"a\\bfoo\b") == [] and tokens(r"\\\bfoo\b") == ["foo"] and tokens(r"\bfoo?\b") == [] and tokens(r"\bfoo\b{2}") == []
+    assert tokens(r"[^]\b]x\b\bfoo\b") == ["foo"] and tokens(r"[\]|]\bfoo\b") == ["foo"] and tokens("[a") == [] and tokens(r"\bfoo\b|x") == []
+    assert tokens(r"(?x) # \bfoo\b") == [] and tokens(r"\bfo(o)\b \bbar\b/\bbaz\b") == ["bar", "baz"]
+
+
+def test_rules_by_token_find_what_all_rules_find(spark):
+    """Random patterns of escapes, classes, groups and quantifiers against running each of them on each URL."""
+    r = np.random.default_rng(17)
+    bits = [r"\b", r"\b", "foo", "b", "x1", r"\\", "[ab/]", "[^]x]", "(?:foo)", "(b|x1)", r"\.", "-", r"\bfoo\b", r"\bb\b", "/"]
+    marks = ["", "", "", "?", "*", "+", "{1,2}"]
+    patterns = []
+    while len(patterns) < 300:
+        p = "".join(str(r.choice(bits)) + str(r.choice(marks)) for _ in range(r.integers(1, 6))) + ("|x1" if r.random() < 0.1 else "")
+        try:
+            re.compile(p)
+            patterns.append(p)
+        except re.error:
+            pass
+    urls = ["".join(r.choice(["foo", "b", "x1", "\\", "/", "-", ".", "a", "]", "X1", "_"], r.integers(1, 8)).tolist()) for _ in range(300)] + ["http://a\\bfoo/x"]
+    compiled = [re.compile(p, re.ASCII) for p in patterns]
+    lower = str.maketrans(url_rules.UPPER, url_rules.LOWER)
+    want = {i: next((p for p, c in zip(patterns, compiled, strict=True) if c.search(u.translate(lower))), None) for i, u in enumerate(urls)}
+    rows = url_rules.match_patterns(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), patterns)
+    assert {x["page_id"]: x["pattern"] for x in rows.collect()} == want
+    for i, p in enumerate(patterns):  # each alone, as the first match hides the others
+        assert all(t in set(re.split("[^a-z0-9]+", u.translate(lower))) for t in url_rules.literal_tokens(p) for u in urls if compiled[i].search(u.translate(lower)))
+
+
 def test_many_url_rules(spark):
     r = np.random.default_rng(2)
     names = [f"host{i}" for i in range(3000)]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -77,7 +78,7 @@ def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
     assert (old.scanned, old.skipped) == (5, 0) and ledger.findings("old").count() == 1 and ledger.findings().count() == 3
     assert ledger.scan(more.limit(0)).scanned == 0
     assert ledger.seen().groupBy("blob_id", "rule_version").count().filter("count > 1").count() == 0
-    assert {tuple(r) for r in secrets.ledger_runs(v, more).collect()} == {(1, "2", 3, 3, 0, 2), (2, "2", 5, 2, 3, 3), (3, "1", 5, 5, 0, 3)}
+    assert {tuple(r) for r in secrets.ledger_runs(v, more).collect()} == {(1, secrets.RULE_VERSION, 3, 3, 0, 2), (2, secrets.RULE_VERSION, 5, 2, 3, 3), (3, "1", 5, 5, 0, 3)}
 
 
 def test_ledger_joins_by_a_shuffle_too(spark, monkeypatch):
@@ -258,3 +259,17 @@ def test_search(spark):
     want = {(least[q], least[m]): (asked[q], len(classes[m]), likeness(q, m)) for q in classes for m in classes if q and m and asked[q] and likeness(q, m) >= 0.8}
     assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] and got[k][2] == pytest.approx(want[k][2]) for k in want) and len(want) > 30
     assert spotsigs.search(docs.limit(0), F.col("doc_id") == 0).count() == 0
+
+
+def test_secret_spans_of_long_texts(spark):
+    """Time in proportion to the text: a run of jwt beginnings, and very many matches."""
+    keys = " ".join(f"AKIA{i:012d}" for i in range(30_000))
+    token = "eyJ" + "a" * 20 + "." + "b" * 20 + ".c-_"
+    texts = ["eyJ" * 400_000, keys, f"x{token} -{token} {token}.{token}", f"{token}" * 2]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "blob_id int, text string"))
+    began = time.time()
+    got = {r["blob_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in rows.collect()}
+    assert time.time() - began < 60
+    want = {i: [("jwt", m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", t)] for i, t in enumerate(texts)}
+    want[1] = [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", keys)]
+    assert got == want and len(got[1]) == 30_000 and len(got[2]) == 2
