@@ -4,7 +4,8 @@ Two documents link when the Jaccard likeness of their sets of distinct five-word
 or more. The join is exact (shingles are compared by 64-bit hashes) and runs in these steps:
 
 1. A sketch of fixed size counts all shingles, so that common ones can be put last.
-2. Equal sets become one class, told apart by a 64-bit digest. A class is known by its size, a
+2. Equal sets become one class, told apart by a 128-bit digest; its first half is the class's id, unless
+   two classes share it, which then take others. A class is known by its size, a
    bitmap of its shingles and its prefix: so many of its rarest shingles that two linked sets
    share one of them. Only prefixes are exchanged, once, and each task passes a class on once.
 3. Classes that share a prefix shingle form a bucket; buckets with the same classes are one. In
@@ -352,19 +353,21 @@ def sketch(docs: DataFrame, text: str) -> np.ndarray:
 ROW = [
     T.StructField("n_shingles", T.LongType()),
     T.StructField("cls", T.LongType()),
+    T.StructField("more", T.LongType()),
     T.StructField("bits", T.BinaryType()),
     T.StructField("prefix", T.ArrayType(T.LongType(), False)),
 ]
 
 
-def digest(s: np.ndarray) -> int:
-    """The class of a set."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """The two halves of a set's 128-bit digest."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64)
+    return low - (1 << 63), high - (1 << 63)
 
 
 def described(docs: DataFrame, text: str, key: str, levels: np.ndarray) -> DataFrame:
-    """key, n_shingles, cls, bits and prefix of every row; a class that a task has met before comes without its prefix."""
-    seen: set[int] = set()  # of the task: each has its own copy
+    """key, n_shingles, cls and more (the digest), bits and prefix of every row; a class that a task has met before comes without its prefix."""
+    seen: set[tuple[int, int]] = set()  # of the task: each has its own copy
 
     def run(texts: pa.Array) -> list[pa.Array]:
         sets = list(shingle_sets(utf8(texts)))
@@ -383,7 +386,8 @@ def described(docs: DataFrame, text: str, key: str, levels: np.ndarray) -> DataF
         flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
         return [
             pa.array([len(s) for s in sets], pa.int64()),
-            pa.array(classes, pa.int64()),
+            pa.array([c and c[0] for c in classes], pa.int64()),
+            pa.array([c and c[1] for c in classes], pa.int64()),
             pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             pa.ListArray.from_arrays(ends, pa.array(flat)),
         ]
@@ -508,24 +512,38 @@ def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(roots.select("cls", F.col("cls").alias("root")))
 
 
+def apart(classes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, rows) in which no two classes, told apart by ``low`` and ``more``, have the same ``cls``: those that do are hashed again."""
+    for salt in range(8):
+        clash = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cls")
+        n = clash.count()
+        if not n:
+            return classes, rows
+        clash = few(materialise(clash.withColumn("again", F.lit(True)), "jaccard-clash"), n)
+        other = F.when(F.col("again"), F.xxhash64("low", "more", F.lit(salt))).otherwise(F.col("cls"))
+        classes, rows = (materialise(d.join(clash, "cls", "left").withColumn("cls", other).select(d.columns), "jaccard-apart") for d in (classes, rows))
+    raise RuntimeError("classes still share their ids")
+
+
 def class_sets(docs: DataFrame, blocks: DataFrame, text: str, key: str) -> DataFrame:
-    """group, cls, set of each class in ``blocks`` (group, cls, first), from the document ``first``.
+    """group, cls, set of each class in ``blocks`` (group, cls, low, more, first), from the document ``first``.
 
     A class whose documents have no key is found among all documents without one.
     """
-    named = blocks.filter("first IS NOT NULL").select("group", "cls", "first")
+    named = blocks.filter("first IS NOT NULL").select("group", "cls", "low", "more", "first")
     side = few(named, blocks.count())
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    wanted = src.join(side, src["id"] == side["first"]).select("group", "cls", "text")
-    fields = [T.StructField("own", T.LongType()), T.StructField("set", T.BinaryType())]
+    wanted = src.join(side, src["id"] == side["first"]).select("group", "cls", "low", "more", "text")
+    fields = [T.StructField("own_low", T.LongType()), T.StructField("own_more", T.LongType()), T.StructField("set", T.BinaryType())]
 
     def run(texts: pa.Array) -> list[pa.Array]:
         sets = list(shingle_sets(utf8(texts)))
-        return [pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        digests = [digest(s) for s in sets]
+        return [pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)] + [pa.array([s.tobytes() for s in sets], pa.binary())]
 
-    found = map_text(wanted, run, fields, "text", ["group", "cls"]).filter("own = cls").drop("own")
-    nameless = map_text(src.filter("id IS NULL").select("text"), run, fields, "text", []).withColumnRenamed("own", "cls").dropDuplicates(["cls"])
-    return found.unionByName(nameless.join(blocks.filter("first IS NULL").select("group", "cls"), "cls"))
+    found = map_text(wanted, run, fields, "text", ["group", "cls", "low", "more"]).filter("own_low = low AND own_more = more").select("group", "cls", "set")
+    nameless = map_text(src.filter("id IS NULL").select("text"), run, fields, "text", []).select(F.col("own_low").alias("low"), F.col("own_more").alias("more"), "set").dropDuplicates(["low", "more"])
+    return found.unionByName(nameless.join(blocks.filter("first IS NULL").select("group", "cls", "low", "more"), ["low", "more"]).select("group", "cls", "set"))
 
 
 def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -538,12 +556,13 @@ def link_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     are documents of their own with that key.
     """
     levels = sketch(docs, text)
-    rows = materialise(described(docs, text, key, levels), "jaccard-rows")
-    classes = materialise(rows.filter("n_shingles > 0").groupBy("cls").agg(F.min(key).alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits")), "jaccard-classes")
-    blocks = components(candidate_edges(classes, rows), "jaccard-blocks").join(classes.select("cls", "first", F.col("n_shingles").cast("int").alias("size")), "cls")
-    blocks = materialise(blocks.select(F.col("root").alias("group"), "cls", "size", "first"), "jaccard-blocks")
+    rows = materialise(described(docs, text, key, levels), "jaccard-rows").withColumn("low", F.col("cls"))
+    found = rows.filter("n_shingles > 0").groupBy("low", "more").agg(F.min(key).alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits"))
+    classes, rows = apart(materialise(found.withColumn("cls", F.col("low")), "jaccard-classes"), rows)
+    blocks = components(candidate_edges(classes, rows), "jaccard-blocks").join(classes.select("cls", "low", "more", "first", F.col("n_shingles").cast("int").alias("size")), "cls")
+    blocks = materialise(blocks.select(F.col("root").alias("group"), "cls", "low", "more", "size", "first"), "jaccard-blocks")
     sets = class_sets(docs, blocks, text, key)
-    found = components(connect(blocks.drop("first"), sets, F.col("size") * 8, do_link, "jaccard-link"), "jaccard-links")
+    found = components(connect(blocks.drop("first", "low", "more"), sets, F.col("size") * 8, do_link, "jaccard-link"), "jaccard-links")
     least = found.join(classes.select("cls", "first"), "cls")
     named = least.join(least.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "component_id")
     of_class = classes.select("cls", "first").join(named, "cls", "left").select("cls", F.coalesce("component_id", "first").alias("component_id"))

@@ -287,6 +287,23 @@ def test_rules_by_token_find_what_all_rules_find(spark):
         assert all(t in set(re.split("[^a-z0-9]+", u.translate(lower))) for t in url_rules.literal_tokens(p) for u in urls if compiled[i].search(u.translate(lower)))
 
 
+def test_classes_with_equal_ids_are_kept_apart(spark, monkeypatch):
+    """Digests whose first halves are all one of three numbers: classes must not merge."""
+    real = jaccard_tree.digest
+    texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(40)] + [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(10)] + ["w3x0 " + " ".join(f"w3x{j}" for j in range(12))]
+    docs = docs_of(spark, texts)
+    want = {r["doc_id"]: r["component_id"] for r in jaccard_tree.link_components(docs).collect()}
+    sets = jaccard_tree.described
+
+    def same(*args):
+        return sets(*args).withColumn("cls", F.pmod("cls", F.lit(3)))
+
+    monkeypatch.setattr(jaccard_tree, "described", same)
+    monkeypatch.setattr(jaccard_tree, "digest", lambda s: (real(s)[0] % 3, real(s)[1]))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_tree.link_components(docs).collect()}
+    assert got == want and len(set(got.values())) == 40
+
+
 def test_many_url_rules(spark):
     r = np.random.default_rng(2)
     names = [f"host{i}" for i in range(3000)]
