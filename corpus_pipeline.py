@@ -45,10 +45,12 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of the n-gram Jaccard join: that with the smallest id, null last, then by a hash.
 
-    Rows are told apart by a 64-bit hash of id and text, so rows that share an id, or have none, go or stay each
+    Rows are told apart by a 128-bit digest of id and text, so rows that share an id, or have none, go or stay each
     on its own. Rows equal in both are one here; exact dedup leaves no such rows.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    own_id = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    own_text = F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit(""))
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.concat_ws(":", F.char_length(own_id).cast("string"), own_id, own_text).cast("binary"))))
     found = jaccard_tree.link_components(keyed.select("__key", "text"), key="__key").filter("n_shingles > 0").select("__key", "component_id")
     found = materialise(found, "pipeline-linked")
     several = found.filter("__key <> component_id").select("component_id").distinct()
