@@ -270,7 +270,7 @@ class Engine:
         self._build(self._arrivals(self.batches))
 
     def rebuild_scope(self, target: int, scoped: DataFrame, above: DataFrame) -> DataFrame:
-        """source, token, late, first, pos: postings that a rebuild of the HKT works on; late, first and pos are their order of arrival.
+        """source, token, late, first, nth: postings that a rebuild of the HKT works on; late, first and nth are their order of arrival.
 
         They come from the retained batches, for the HKT's own sources and the ``scoped`` ones, without
         known words among those of the nodes ``above``.
@@ -292,9 +292,9 @@ class Engine:
         sources = scope.select("source").distinct().count()
         report = {"target_hkt_id": target, "scoped_source_count": sources, "subtree_hkt_count": 0, "subtree_node_count": 0, "new_token_count_in_scope": new_tokens}
         if sources:
-            ordered = numbered(scope, ["late", "first", "pos"], "place")
+            ordered = numbered(scope, ["late", "first", "nth"], "place")
             ids = numbered(ordered.groupBy("token").agg(F.min("place").alias("first")), ["first"], "word")
-            rows = ordered.join(ids, "token").select("source", F.col("word").cast("int").alias("word"), F.col("place").alias("first"), F.lit(0).alias("pos"))
+            rows = ordered.join(ids, "token").select("source", F.col("word").cast("int").alias("word"), F.col("place").alias("first"), F.lit(0).alias("nth"))
             tree = trees.build(rows, self.config.builder, self.small, arrival=True, wide=self.wide)
             report |= {"subtree_hkt_count": tree.hkts.count(), "subtree_node_count": tree.nodes.count()}
         return report
@@ -318,12 +318,12 @@ class Engine:
         scope = materialise(self.rebuild_scope(target, scoped, above), "engine-scope")
         if not scope.limit(1).count():
             return False
-        ordered = numbered(scope, ["late", "first", "pos"], "place")
+        ordered = numbered(scope, ["late", "first", "nth"], "place")
         parent = self.state.hkts.filter(F.col("hkt_id") == target).first()["parent_node_id"]
         fresh = ordered.join(self.vocabulary.select("token"), "token", "left_anti").groupBy("token").agg(F.min("place").alias("first"))
         made = numbered(fresh, ["first"], "n", 0).select("token", (F.lit(2147483647) - F.col("n")).cast("int").alias("word_id"))
         words = materialise(self.vocabulary.select("token", "word_id").unionByName(made), "engine-words")
-        rows = ordered.join(words, "token").select("source", F.col("word_id").alias("word"), F.col("place").alias("first"), F.lit(0).alias("pos"))
+        rows = ordered.join(words, "token").select("source", F.col("word_id").alias("word"), F.col("place").alias("first"), F.lit(0).alias("nth"))
         new, top = self._named(trees.build(rows, self.config.builder, self.small, arrival=True, wide=self.wide), words)
         s = self.state
         dead = prune.subtree(s.hkts, s.nodes, self.spark.createDataFrame([(target,)], "hkt_id int"))

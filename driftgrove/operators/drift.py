@@ -65,11 +65,21 @@ class Level:
         """hkt_id, node_id, ord, token, word_id of nodes that aren't refuges."""
         return self.nodes.filter("NOT refuge").select("hkt_id", "node_id", "ord").join(self.state.node_words, "node_id")
 
+    @functools.cached_property
+    def hits(self) -> DataFrame:
+        """hkt_id, node_id, token, source: the words that a source of the HKT shares with a node.
+
+        A source's tokens meet the nodes' words first, which are few, so that its other tokens are never
+        repeated for the HKTs and nodes that it reaches.
+        """
+        at = self.words.select("hkt_id", "node_id", "token")
+        met = self.tokens.join(at, "token").join(self.frontier, ["hkt_id", "source"])
+        return materialise(met.select("hkt_id", "node_id", "token", "source"), "drift-hits")
+
     @functools.cached_property
     def routed(self) -> DataFrame:
         """hkt_id, node_id, source: nodes that share a word with the source, else the HKT's refuge."""
-        at = self.words.select("hkt_id", "node_id", "token")
-        hit = self.frontier.join(self.tokens, "source").join(at, ["hkt_id", "token"]).select("hkt_id", "node_id", "source").distinct()
+        hit = self.hits.select("hkt_id", "node_id", "source").distinct()
         refuge = self.nodes.filter("refuge").select("hkt_id", "node_id")
         missed = self.frontier.join(hit, ["hkt_id", "source"], "left_anti").join(refuge, "hkt_id")
         return materialise(hit.unionByName(missed.select("hkt_id", "node_id", "source")), "drift-routed")
@@ -77,7 +87,7 @@ class Level:
     @functools.cached_property
     def scope_df(self) -> DataFrame:
         """hkt_id, token, df1: sources of the batch in the HKT's scope that hold the token."""
-        return self.frontier.join(self.tokens, "source").groupBy("hkt_id", "token").agg(F.count(F.lit(1)).alias("df1"))
+        return materialise(self.frontier.join(self.tokens, "source").groupBy("hkt_id", "token").agg(F.count(F.lit(1)).alias("df1")), "drift-df")
 
     @functools.cached_property
     def node_df(self) -> DataFrame:
@@ -99,9 +109,16 @@ class Level:
         return held.join(self.state.node_words.select("node_id", "token"), ["node_id", "token"]).select("hkt_id", "node_id", "token", "source")
 
     @functools.cached_property
-    def state1(self) -> DataFrame:
-        """hkt_id, node_id, token, source of the batch's sources routed to a node, by all their tokens."""
-        return self.routed.join(self.tokens, "source").select("hkt_id", "node_id", "token", "source")
+    def wanted(self) -> DataFrame:
+        """hkt_id, node_id, token, source of the batch's sources routed to a node, by those of their tokens that the HKT expects."""
+        met = self.tokens.join(self.expected.select("hkt_id", "token"), "token")
+        return met.join(self.routed, ["hkt_id", "source"]).select("hkt_id", "node_id", "token", "source")
+
+    @functools.cached_property
+    def fresh(self) -> DataFrame:
+        """hkt_id, node_id, token, source of the batch's sources routed to a node, by the node's own and assigned words."""
+        taken = self.wanted.join(self.assigned.select("node_id", "token"), ["node_id", "token"], "left_semi")
+        return materialise(self.hits.unionByName(taken).distinct(), "drift-fresh")
 
     @functools.cached_property
     def lead_words(self) -> DataFrame:
@@ -121,13 +138,14 @@ class Level:
         """hkt_id, token, total: the expected words after admission and the alpha test; total = df0 + df1."""
         lead0 = self.lead.join(self.counts(self.state0, "n"), ["node_id", "token"], "left").select("hkt_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("p"))
         held = self.words.select("hkt_id", "token").unionByName(self.accepted.select("hkt_id", "token"))
-        totals = self.scope_df.join(self.state0_df, ["hkt_id", "token"], "full").select("hkt_id", "token", (F.coalesce("df0", F.lit(0)) + F.coalesce("df1", F.lit(0))).alias("total"), "df1")
-        fresh = totals.filter("df1 IS NOT NULL").join(held, ["hkt_id", "token"], "left_anti").join(lead0, "hkt_id", "left")
-        admitted = fresh.filter(F.col("total") / F.coalesce("p", F.lit(1)) >= self.thresholds.alpha).select("hkt_id", "token")
+        both = F.coalesce("df0", F.lit(0)) + F.coalesce("df1", F.lit(0))
+        seen = self.scope_df.join(self.state0_df, ["hkt_id", "token"], "left").select("hkt_id", "token", both.alias("total"))
+        new = seen.join(held, ["hkt_id", "token"], "left_anti").join(lead0, "hkt_id", "left")
+        admitted = new.filter(F.col("total") / F.coalesce("p", F.lit(1)) >= self.thresholds.alpha).select("hkt_id", "token")
         before = self.state.expected.join(self.hkts.select("hkt_id"), "hkt_id")
-        every = before.select("hkt_id", "token").unionByName(admitted).distinct()
-        rows = every.join(totals.select("hkt_id", "token", "total"), ["hkt_id", "token"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
-        own = self.words.join(self.counts(self.state0, "n0"), ["node_id", "token"], "left").join(self.counts(self.state1, "n1"), ["node_id", "token"], "left")
+        every = materialise(before.select("hkt_id", "token").unionByName(admitted).distinct(), "drift-every")
+        rows = every.join(self.scope_df, ["hkt_id", "token"], "left").join(self.state0_df, ["hkt_id", "token"], "left").select("hkt_id", "token", both.alias("total"))
+        own = self.words.join(self.counts(self.state0, "n0"), ["node_id", "token"], "left").join(self.counts(self.hits, "n1"), ["node_id", "token"], "left")
         most_own = own.groupBy("hkt_id").agg(F.max(F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("a"))
         most = rows.groupBy("hkt_id").agg(F.max("total").alias("b")).join(most_own, "hkt_id", "left").select("hkt_id", F.greatest("a", "b", F.lit(1)).alias("most"))
         return materialise(rows.join(most, "hkt_id").filter(F.col("total") / F.col("most") >= self.thresholds.alpha).select("hkt_id", "token", "total"), "drift-expected")
@@ -137,14 +155,14 @@ class Level:
         """hkt_id, node_id, token: expected words that a matched node takes by the beta test."""
         matched = self.routed.join(self.nodes.filter("NOT refuge").select("node_id"), "node_id", "left_semi")
         own = self.words.select("node_id", "token", "word_id")
-        both = self.state0.select("node_id", "token", "source").unionByName(self.state1.select("node_id", "token", "source")).distinct().join(own, ["node_id", "token"])
+        both = self.state0.select("node_id", "token", "source").unionByName(self.hits.select("node_id", "token", "source")).distinct().join(own, ["node_id", "token"])
         sizes = both.groupBy("node_id", "token", "word_id").agg(F.count(F.lit(1)).alias("n"))
         best = sizes.groupBy("node_id").agg(F.max_by("token", F.struct("n", (-F.col("word_id")).alias("w"))).alias("token"))
         prominent = both.join(best, ["node_id", "token"], "left_semi").select("node_id", "source")
         rest = matched.join(best, "node_id", "left_anti").select("node_id", "source")
         prominent = prominent.unionByName(rest).distinct()
         size = prominent.groupBy("node_id").agg(F.count(F.lit(1)).alias("size"))
-        wanted = self.state1.join(matched.select("node_id").distinct(), "node_id").join(self.expected.select("hkt_id", "token"), ["hkt_id", "token"])
+        wanted = self.wanted.join(matched.select("node_id").distinct(), "node_id")
         share = wanted.join(prominent.withColumn("p", F.lit(1)), ["node_id", "source"], "left").groupBy("hkt_id", "node_id", "token").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n"))
         ok = share.join(size, "node_id", "left").filter(F.col("n") / F.greatest(F.coalesce("size", F.lit(0)), F.lit(1)) >= self.thresholds.beta)
         return materialise(ok.select("hkt_id", "node_id", "token"), "drift-assigned")
@@ -158,7 +176,7 @@ class Level:
         """
         t = self.thresholds
         s0 = self.state.word_sources.join(self.nodes.filter("NOT refuge").select("node_id", "hkt_id"), "node_id").select("hkt_id", "node_id", "token", "source")
-        n0, n1 = self.counts(s0, "n0"), self.counts(self.state1, "n1")
+        n0, n1 = self.counts(s0, "n0"), self.counts(self.hits, "n1")
         none = lambda c: F.coalesce(F.col(c), F.lit(0))
         own = self.words.select("hkt_id", "node_id", "ord", "token", "word_id").join(n0, ["node_id", "token"], "left").join(n1, ["node_id", "token"], "left").withColumn("n0", none("n0")).withColumn("n1", none("n1"))
         lead_n = self.lead.join(n0, ["node_id", "token"], "left").select("hkt_id", none("n0").alias("lead_n"))
@@ -169,13 +187,13 @@ class Level:
             F.greatest(none("lead_n"), F.lit(1)).alias("p0"), F.greatest(none("m"), none("em"), F.lit(1)).alias("p1"),
         )
         held = self.words.select("hkt_id", "node_id", "token").unionByName(self.assigned.select("hkt_id", "node_id", "token")).distinct()
-        after = s0.select("node_id", "token", "source", F.lit(0).alias("new")).unionByName(self.state1.select("node_id", "token", "source", F.lit(1).alias("new")))
+        after = s0.select("node_id", "token", "source", F.lit(0).alias("new")).unionByName(self.fresh.select("node_id", "token", "source", F.lit(1).alias("new")))
         each = after.groupBy("node_id", "token", "source").agg(F.min("new").alias("new"))
-        inside = self.state.node_sources.select("node_id", "source").unionByName(self.routed.select("node_id", "source")).distinct()
+        inside = self.state.node_sources.join(self.nodes.select("node_id"), "node_id", "left_semi").select("node_id", "source").unionByName(self.routed.select("node_id", "source")).distinct()
         prom = s0.join(self.lead_words.select("node_id", "token"), ["node_id", "token"]).select("node_id", "source")
         flags = each.join(inside.withColumn("i", F.lit(1)), ["node_id", "source"], "left").join(prom.withColumn("p", F.lit(1)), ["node_id", "source"], "left")
         by_word = flags.groupBy("node_id", "token").agg(F.count_if(F.col("new") == 0).alias("before"), F.count(F.lit(1)).alias("after"), F.count("i").alias("common1"), F.count_if((F.col("new") == 0) & F.col("p").isNotNull()).alias("common0"))
-        size1 = inside.join(self.nodes.select("node_id"), "node_id", "left_semi").groupBy("node_id").agg(F.count(F.lit(1)).alias("size1"))
+        size1 = inside.groupBy("node_id").agg(F.count(F.lit(1)).alias("size1"))
         size0 = prom.groupBy("node_id").agg(F.count(F.lit(1)).alias("size0"))
         rows = held.join(by_word, ["node_id", "token"], "left").join(size0, "node_id", "left").join(size1, "node_id", "left").select(
             "hkt_id", "node_id", "token", none("before").alias("before"), (none("after") - none("before")).alias("new"), none("after").alias("after"),
@@ -370,8 +388,7 @@ class Level:
 
     def staged(self, hkts: DataFrame) -> DataFrame:
         """node_id, token, source to fold into the nodes of ``hkts``: state-1 sources of their own and assigned words."""
-        mine = self.words.select("hkt_id", "node_id", "token").unionByName(self.assigned.select("hkt_id", "node_id", "token")).distinct().join(hkts.select("hkt_id"), "hkt_id")
-        return self.state1.join(mine.select("node_id", "token"), ["node_id", "token"]).select("node_id", "token", "source")
+        return self.fresh.join(hkts.select("hkt_id"), "hkt_id", "left_semi").select("node_id", "token", "source")
 
     def below(self, hkts: DataFrame) -> Level | None:
         """The level under ``hkts``: their nodes' child HKTs with the sources routed to them."""

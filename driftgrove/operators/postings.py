@@ -11,9 +11,6 @@ from pyspark.sql import Window
 from driftgrove.functions import text as tx
 from driftgrove.tables import materialise, numbered
 
-#: Tokens of a source up to which first places are looked up one by one.
-SHORT = 1000
-
 
 def postings(sources: DataFrame) -> DataFrame:
     """A row per token occurrence: source_index, source_id, pos, token. Tokens are trimmed; empty ones go."""
@@ -28,24 +25,19 @@ def doc_tokens(sources: DataFrame, clean: bool = False) -> DataFrame:
 
 
 def first_places(sources: DataFrame, clean: bool = False) -> DataFrame:
-    """source_index, source_id, token and pos, its first place in the source.
+    """source_index, source_id, token and nth, its place among the source's distinct tokens in order of first occurrence.
 
-    Postings arrive in order of source_index, then pos; the two are never packed into one number, so that
+    Postings arrive in order of source_index, then nth; the two are never packed into one number, so that
     any 64-bit source_index will do.
     """
-    rows = sources.select("source_index", "source_id", (F.col("tokens") if clean else F.transform("tokens", tx.trim)).alias("t"))
-    short = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("token"), (F.array_position("t", w) - 1).cast("int").alias("pos")))
-    # of a long source, in order of token and place, those whose neighbour before is another token
-    placed = F.array_sort(F.transform("t", lambda w, i: F.struct(w.alias("token"), i.alias("pos"))))
-    long = F.filter("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1)["token"] != x["token"]))
-    rows = rows.withColumn("p", F.when(F.size("t") > SHORT, placed))
-    each = rows.select("source_index", "source_id", F.explode(F.when(F.col("p").isNull(), short).otherwise(long)).alias("x")).filter(F.length("x.token") > 0)
-    return each.select(F.col("source_index").cast("long").alias("source_index"), "source_id", F.col("x.token").alias("token"), F.col("x.pos").alias("pos"))
+    held = F.col("tokens") if clean else F.transform("tokens", tx.trim)
+    each = sources.select(F.col("source_index").cast("long").alias("source_index"), "source_id", F.posexplode(F.array_distinct(held)).alias("nth", "token"))
+    return each.filter(F.length("token") > 0).select("source_index", "source_id", "token", "nth")
 
 
-def earliest(first: str = "first", pos: str = "pos") -> list[Column]:
+def earliest(first: str = "first", nth: str = "nth") -> list[Column]:
     """Aggregates for the earliest arrival of a group: the least source_index, and the place in that source."""
-    return [F.min(first).alias("first"), F.min_by(pos, first).alias("pos")]
+    return [F.min(first).alias("first"), F.min_by(nth, first).alias("nth")]
 
 
 def sent_again(sources: DataFrame) -> DataFrame:
@@ -68,20 +60,20 @@ def word_df(sources: DataFrame, clean: bool = False) -> DataFrame:
 
 
 def first_and_df(sources: DataFrame, clean: bool = False) -> DataFrame:
-    """token, first, pos, df: where each token arrives first, and how many sources hold it."""
+    """token, first, nth, df: where each token arrives first, and how many sources hold it."""
     merge = lambda r: r.groupBy("source_id", "token").agg(*earliest())
-    each = by_source(sources, lambda s: first_places(s, clean).select("source_id", "token", F.col("source_index").alias("first"), "pos"), merge)
+    each = by_source(sources, lambda s: first_places(s, clean).select("source_id", "token", F.col("source_index").alias("first"), "nth"), merge)
     return each.groupBy("token").agg(*earliest(), F.count(F.lit(1)).alias("df"))
 
 
 def vocabulary(sources: DataFrame, clean: bool = False) -> DataFrame:
     """word_id (from 1, by first appearance), token, df."""
-    return numbered(first_and_df(sources, clean), ["first", "pos"], "word_id").select(F.col("word_id").cast("int").alias("word_id"), "token", "df")
+    return numbered(first_and_df(sources, clean), ["first", "nth"], "word_id").select(F.col("word_id").cast("int").alias("word_id"), "token", "df")
 
 
 def ranked_words(sources: DataFrame, clean: bool = False) -> DataFrame:
-    """token, df, first, pos, place: by df downward, then by first appearance."""
-    return numbered(first_and_df(sources, clean), [F.desc("df"), F.asc("first"), F.asc("pos")], "place").select("token", "df", "first", "pos", "place")
+    """token, df, first, nth, place: by df downward, then by first appearance."""
+    return numbered(first_and_df(sources, clean), [F.desc("df"), F.asc("first"), F.asc("nth")], "place").select("token", "df", "first", "nth", "place")
 
 
 def expected_words(sources: DataFrame, threshold: float, clean: bool = False) -> DataFrame:
@@ -92,11 +84,11 @@ def expected_words(sources: DataFrame, threshold: float, clean: bool = False) ->
 
 
 def expected_prefix(rows: DataFrame, threshold: float) -> DataFrame:
-    """scope, token of the rows (scope, first, pos, token, df) in order of arrival up to the first whose df over the first row's df is below the threshold.
+    """scope, token of the rows (scope, first, nth, token, df) in order of arrival up to the first whose df over the first row's df is below the threshold.
 
     A scope's first row and its first miss are aggregates, so no task sorts or sees a whole scope.
     """
-    at = F.struct("first", "pos")
+    at = F.struct("first", "nth")
     lead = rows.groupBy("scope").agg(F.min_by("df", at).alias("lead"))
     ratio = F.col("df") / F.col("lead")
     held = rows.join(lead, "scope").withColumn("missed", ratio < threshold)
@@ -107,7 +99,7 @@ def expected_prefix(rows: DataFrame, threshold: float) -> DataFrame:
 
 def seed_word(sources: DataFrame, clean: bool = False) -> DataFrame:
     """The word with the largest df, the first to appear on ties."""
-    return first_and_df(sources, clean).agg(F.min_by("token", F.struct((-F.col("df")).alias("d"), "first", "pos")).alias("token"), F.max("df").alias("df")).filter("token IS NOT NULL")
+    return first_and_df(sources, clean).agg(F.min_by("token", F.struct((-F.col("df")).alias("d"), "first", "nth")).alias("token"), F.max("df").alias("df")).filter("token IS NOT NULL")
 
 
 def source_ids(sources: DataFrame, rounds: int = 8) -> DataFrame:

@@ -153,12 +153,12 @@ def subtree(root: str, source: np.ndarray, word: np.ndarray, at: np.ndarray, con
 
 def finished(scopes: DataFrame, config: BuilderConfig, arrival: bool) -> DataFrame:
     """NODE rows of small scopes and all below them; a task holds one of the given scopes at a time and a part of its nodes."""
-    held = scopes.select("scope", "source", "word", "first", "pos")
+    held = scopes.select("scope", "source", "word", "first", "nth")
 
     def nodes(scope: str, parts: list[pa.RecordBatch]) -> Iterator[dict]:
-        source, word, first, pos = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(1, 5))
+        source, word, first, nth = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(1, 5))
         at = np.empty(len(first), np.int64)
-        at[np.lexsort((pos, first))] = np.arange(len(first))
+        at[np.lexsort((nth, first))] = np.arange(len(first))
         yield from subtree(scope, source, word, at, config, arrival and scope == ROOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +220,8 @@ def _level(scope: DataFrame, scopes: int, config: BuilderConfig, arrival: bool =
     """
     least = config.minimum_threshold_against_max_word_count
     words = materialise(scope.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("df"), *earliest()), "tree-words")
-    at = F.struct("first", "pos")
-    first = at if arrival else F.struct((-F.col("df")).alias("d"), "first", "pos")
+    at = F.struct("first", "nth")
+    first = at if arrival else F.struct((-F.col("df")).alias("d"), "first", "nth")
     lead = few(words.groupBy("scope").agg(F.min_by(F.struct("word", "df"), first).alias("lead")), scopes)
     line = words.join(lead, "scope").withColumn("ok", F.col("df") / F.col("lead.df") >= least)
     if arrival:
@@ -297,7 +297,7 @@ def fold_by_steps(patterns: DataFrame, expected: DataFrame, similarity: float) -
 
 
 def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arrival: bool = False, wide: int = WIDE, places: int = PLACES) -> Tree:
-    """The tree over postings (source long, word int, first long, pos int), each source and word once with its first arrival.
+    """The tree over postings (source long, word int, first long, nth int), each source and word once with its first arrival.
 
     Scopes of more than ``small`` postings go through Spark a level at a time; each smaller one is
     finished by a single task; ``wide`` bounds what a task folds of a large one. With ``arrival`` the root's postings aren't ranked: its seed is the
@@ -308,7 +308,7 @@ def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arriva
     this or an earlier level, only one is gone into.
     """
     spark = postings.sparkSession
-    root = postings.select(F.lit(ROOT).alias("scope"), F.col("source").cast("long").alias("source"), F.col("word").cast("int").alias("word"), F.col("first").cast("long").alias("first"), F.col("pos").cast("int").alias("pos"))
+    root = postings.select(F.lit(ROOT).alias("scope"), F.col("source").cast("long").alias("source"), F.col("word").cast("int").alias("word"), F.col("first").cast("long").alias("first"), F.col("nth").cast("int").alias("nth"))
     scope = materialise(root, "tree-scope")
     sizes = scope.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
     parts: dict[str, list[DataFrame]] = {k: [] for k in ("nodes", "words", "sources", "pairs", "expected", "top", "edges")}
@@ -336,7 +336,7 @@ def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arriva
         parts["expected"].append(expected.filter("NOT seed").select("scope", "word"))
         grow = sizes_of.filter(F.col("n") > config.minimum_number_of_sources_to_create_branch_for_node).select("scope", "ord")
         inside = large.join(held.drop("refuge").join(grow, ["scope", "ord"]), ["scope", "source"])
-        below = materialise(inside.join(nodes, ["scope", "ord", "word"], "left_anti").select("scope", "ord", "source", "word", "first", "pos"), "tree-below")
+        below = materialise(inside.join(nodes, ["scope", "ord", "word"], "left_anti").select("scope", "ord", "source", "word", "first", "nth"), "tree-below")
         parts["top"].append(_top_words(below, nodes))
         digest = lambda *c: F.hex(F.bit_xor(F.xxhash64(*c)))
         made = below.groupBy("scope", "ord").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", digest("source", "word"), digest("word", "source", F.lit("b"))).alias("child"))
@@ -346,7 +346,7 @@ def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arriva
         chosen = materialise(fresh.groupBy("child").agg(F.min(F.struct("scope", "ord")).alias("of"), F.any_value("n").alias("n")).select("child", "of.scope", "of.ord", "n"), "tree-chosen")
         known.append(chosen.select("child"))
         sizes = chosen.select(F.col("child").alias("scope"), "n")
-        scope = below.join(few(chosen.select("child", "scope", "ord"), chosen.count()), ["scope", "ord"]).select(F.col("child").alias("scope"), "source", "word", "first", "pos")
+        scope = below.join(few(chosen.select("child", "scope", "ord"), chosen.count()), ["scope", "ord"]).select(F.col("child").alias("scope"), "source", "word", "first", "nth")
     if local:
         held = materialise(_union(local), "tree-local")
         parts["nodes"].append(held.select("scope", "ord", "refuge"))
@@ -370,7 +370,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _top_words(below: DataFrame, nodes: DataFrame) -> DataFrame:
     """scope, ord, word, rank: a branching node's own words, then the first of those below it up to TOP_WORDS in all."""
     ranked = below.groupBy("scope", "ord", "word").agg(F.count(F.lit(1)).alias("df"), *earliest())
-    place = F.row_number().over(Window.partitionBy("scope", "ord").orderBy(F.desc("df"), "first", "pos"))
+    place = F.row_number().over(Window.partitionBy("scope", "ord").orderBy(F.desc("df"), "first", "nth"))
     more = ranked.withColumn("r", place).filter(F.col("r") <= TOP_WORDS).select("scope", "ord", "word", "r")
     own = nodes.withColumn("r", (F.row_number().over(Window.partitionBy("scope", "ord").orderBy("word")) - 1).cast("int"))
     size = own.groupBy("scope", "ord").agg(F.count(F.lit(1)).cast("int").alias("size"))

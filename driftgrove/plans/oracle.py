@@ -145,7 +145,7 @@ def statements() -> dict[str, str]:
         "doc_tokens": f"{src} SELECT source AS source_index, token FROM dt",
         "word_df": f"{first} SELECT token, df::BIGINT AS df FROM seen",
         "vocabulary": f"{first} SELECT (row_number() OVER (ORDER BY fst))::INTEGER AS word_id, token, df::BIGINT AS df FROM seen",
-        "ranked_words": f"{first} SELECT token, df::BIGINT AS df, (fst // 16777216)::BIGINT AS first, (fst % 16777216)::INTEGER AS pos, row_number() OVER (ORDER BY df DESC, fst)::BIGINT AS place FROM seen",
+        "ranked_words": f"{first} SELECT token, df::BIGINT AS df, (fst // 16777216)::BIGINT AS first, nth, row_number() OVER (ORDER BY df DESC, fst)::BIGINT AS place FROM seen JOIN (SELECT token, source_index * 16777216 + min(pos) AS fst, (row_number() OVER (PARTITION BY source_index ORDER BY min(pos)) - 1)::INTEGER AS nth FROM post GROUP BY token, source_index) USING (token, fst)",
         "expected_words": f"{first} SELECT token, df::BIGINT AS df FROM seen WHERE df / (SELECT max(df) FROM seen) >= 0.5",
         "expected_prefix": f"""{src},
           f AS (SELECT lang, token, source_index * 16777216 + min(pos) AS fst FROM post JOIN src USING (source_index) GROUP BY lang, token, source_index),

@@ -135,7 +135,7 @@ def expected_prefix(spark, sf):
     docs = wl.documents(spark, sf).select(F.col("doc_id").alias("source_index"), "lang")
     first = postings.first_places(wl.sources(spark, sf), clean=True).join(docs, "source_index")
     df = first.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("df"))
-    rows = first.join(df, ["lang", "token"]).select(F.col("lang").alias("scope"), F.col("source_index").alias("first"), "pos", "token", "df")
+    rows = first.join(df, ["lang", "token"]).select(F.col("lang").alias("scope"), F.col("source_index").alias("first"), "nth", "token", "df")
     return postings.expected_prefix(rows, 0.1)
 
 
@@ -198,10 +198,10 @@ def refuge_sources(spark, sf):
 def top_words(spark, sf):
     """The seed word, then the first of the words below its node, ten in all."""
     seed = postings.seed_word(wl.sources(spark, sf), clean=True).select("token")
-    first = postings.first_places(wl.sources(spark, sf), clean=True).select("source_index", "token", "pos")
+    first = postings.first_places(wl.sources(spark, sf), clean=True).select("source_index", "token", "nth")
     held = first.join(F.broadcast(seed), "token", "left_semi").select("source_index")  # one row
     below = first.join(held, "source_index", "left_semi").join(F.broadcast(seed), "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("df"), *postings.earliest("source_index"))
-    return below.orderBy(F.desc("df"), "first", "pos").limit(9).select("token").unionByName(seed)
+    return below.orderBy(F.desc("df"), "first", "nth").limit(9).select("token").unionByName(seed)
 
 
 # -- drift at the root of the fixed tree

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 
@@ -132,9 +133,17 @@ def chunked(sources: DataFrame, chunks: int = 8) -> DataFrame:
     """Deals the sources out to ``chunks`` batches by order, the first ones a source larger where it doesn't divide."""
     if chunks < 1:
         raise ValueError("at least one chunk")
-    placed = numbered(sources.drop("batch_index"), ["source_index"], "__n", 0)
+    placed = numbered(sources.select("source_index"), ["source_index"], "__n", 0)
     n = placed.count()
     size, more = divmod(n, chunks)
+    starts = [k * size + min(k, more) for k in range(1, chunks)]
+    # the sources about each cut: where an index changes there, it tells the batches apart, and no source needs to move
+    near = {r["__n"]: r["source_index"] for r in placed.filter(F.col("__n").isin([x for k in starts for x in (k - 1, k)])).collect()} if n else {}
+    cuts = [(near[k - 1], near[k]) for k in starts if k < n]
+    if all(a < b for a, b in cuts):
+        over = [F.when(F.col("source_index") >= F.lit(b), 1).otherwise(0) for _, b in cuts]
+        return sources.withColumn("batch_index", functools.reduce(lambda x, y: x + y, over, F.lit(0)).cast("long"))
+    placed = numbered(sources.drop("batch_index"), ["source_index"], "__n", 0)
     at = F.col("__n")
     rest = F.floor((at - F.lit(more)) / F.lit(max(size, 1)))
     index = F.when(at < more * (size + 1), F.floor(at / F.lit(size + 1))).otherwise(rest)

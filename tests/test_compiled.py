@@ -33,11 +33,11 @@ def test_tree_and_batch(compiled, make_sources):
 def test_words(compiled, make_sources):
     long = " ".join(f"w{i % 1500}" for i in range(4000))
     rows = make_sources({"s1": " b a  b ", "s2": long, "s3": ""})
-    got = {(r["source_id"], r["token"]): r["pos"] for r in postings.first_places(rows).collect()}
+    got = {(r["source_id"], r["token"]): r["nth"] for r in postings.first_places(rows).collect()}
     want = {}
     for s, t in (("s1", " b a  b "), ("s2", long)):
-        for i, w in enumerate(t.split(" ")):
+        for i, w in enumerate(dict.fromkeys(t.split(" "))):
             if w:
-                want.setdefault((s, w), i)
+                want[s, w] = i
     assert got == want
     assert {r["token"]: r["df"] for r in postings.word_df(rows.unionByName(rows)).collect()} == {w: 1 for _, w in want}

@@ -16,7 +16,7 @@ def built(spark, sources, config=BuilderConfig(), small=tr.SMALL, **more):
     """The tree by token; without ``small`` scopes it is numbered by Spark too."""
     more.setdefault("places", tr.PLACES if small else 0)
     vocab = po.vocabulary(sources)
-    rows = po.first_places(sources).join(vocab, "token").select(F.col("source_index").alias("source"), F.col("word_id").alias("word"), F.col("source_index").alias("first"), "pos")
+    rows = po.first_places(sources).join(vocab, "token").select(F.col("source_index").alias("source"), F.col("word_id").alias("word"), F.col("source_index").alias("first"), "nth")
     names = {r["word_id"]: r["token"] for r in vocab.collect()} | {-1: "<REFUGE>"}
     t = tr.build(rows, config, small, **more)
     out = {}
@@ -93,7 +93,7 @@ def test_equal_scopes_are_built_once(spark, make_sources):
     assert a == b
     sources = make_sources(texts)
     vocab = po.vocabulary(sources)
-    rows = po.first_places(sources).join(vocab, "token").select(F.col("source_index").alias("source"), F.col("word_id").alias("word"), F.col("source_index").alias("first"), "pos")
+    rows = po.first_places(sources).join(vocab, "token").select(F.col("source_index").alias("source"), F.col("word_id").alias("word"), F.col("source_index").alias("first"), "nth")
     counts = []
     for small in (tr.SMALL, 0):
         t = tr.build(rows, config, small)
@@ -127,7 +127,7 @@ def test_prefix_ends_at_the_first_miss(spark):
             if x[4] / own[0][4] < 0.6:
                 break
             want.add((k, x[3]))
-    got = po.expected_prefix(spark.createDataFrame(rows, "scope string, first long, pos int, token string, df long"), 0.6)
+    got = po.expected_prefix(spark.createDataFrame(rows, "scope string, first long, nth int, token string, df long"), 0.6)
     assert {tuple(x) for x in got.collect()} == want
 
 
