@@ -253,10 +253,7 @@ class Engine:
         if self.rebuild_mode == "full" or (self.rebuild_mode == "hybrid" and root in targets):
             self.rebuild_all()
             return "FULL_REBUILD_EXECUTED" if self.rebuild_mode == "full" else "HYBRID_REBUILD_FALLBACK_EXECUTED"
-        for target in targets:
-            mine = next(x for x in levels if x.frontier.filter(F.col("hkt_id") == target).limit(1).count())
-            one = F.col("hkt_id") == target
-            self.rebuild_subtree(target, mine.frontier.filter(one).select("source"), mine.accepted.filter(one).select("token"))
+        self.rebuild_forest(targets, *(functools.reduce(DataFrame.unionByName, x) for x in zip(*((x.frontier.select("hkt_id", "source"), x.accepted.select("hkt_id", "token")) for x in levels), strict=True)))
         return "SELECTED_REBUILD_EXECUTED"
 
     def rebuild_all(self) -> None:
@@ -269,21 +266,29 @@ class Engine:
         self.members = {i: b.select("source").distinct() for i, b in self.batches.items()}
         self._build(self._arrivals(self.batches))
 
-    def rebuild_scope(self, target: int, scoped: DataFrame, above: DataFrame) -> DataFrame:
-        """source, token, late, first, nth: postings that a rebuild of the HKT works on; late, first and nth are their order of arrival.
+    def rebuild_scopes(self, targets: DataFrame, scoped: DataFrame, above: DataFrame) -> DataFrame:
+        """hkt_id, source, token, late, first, nth: postings that a rebuild of each HKT of ``targets`` works on; late, first and nth are their order of arrival.
 
-        They come from the retained batches, for the HKT's own sources and the ``scoped`` ones, without
-        known words among those of the nodes ``above``.
+        They come from the retained batches, for an HKT's own sources and the ``scoped`` ones (hkt_id,
+        source), without known words among those of the nodes ``above`` (hkt_id, token).
         """
-        nodes = self.state.nodes.filter(F.col("hkt_id") == target).select("node_id")
-        own = self.state.node_sources.join(nodes, "node_id").select("source").distinct().withColumn("late", F.lit(0))
-        late = scoped.distinct().join(own, "source", "left_anti").withColumn("late", F.lit(1))
-        arrivals = self._arrivals(self.batches)
-        chosen = arrivals.join(own.unionByName(late), "source")
-        known = above.join(self.vocabulary.select("token"), "token", "left_semi").distinct()
-        rows = postings.first_places(chosen, clean=True).join(chosen.select("source_id", "source", "late").distinct(), "source_id").join(known, "token", "left_anti")
+        nodes = self.state.nodes.join(targets.select("hkt_id"), "hkt_id").select("hkt_id", "node_id")
+        own = self.state.node_sources.join(nodes, "node_id").select("hkt_id", "source").distinct()
+        late = scoped.select("hkt_id", "source").distinct().join(targets.select("hkt_id"), "hkt_id", "left_semi").join(own, ["hkt_id", "source"], "left_anti")
         # sources that the HKT lacks come last
-        return rows.groupBy("source", "token").agg(F.min("late").alias("late"), *postings.earliest("source_index"))
+        chosen = own.withColumn("late", F.lit(0)).unionByName(late.withColumn("late", F.lit(1)))
+        known = above.join(self.vocabulary.select("token"), "token", "left_semi").select("hkt_id", "token").distinct()
+        held = self._arrivals(self.batches).join(chosen, "source")
+        rows = postings.first_places(held, clean=True, keep=("hkt_id", "source", "late")).join(known, ["hkt_id", "token"], "left_anti")
+        return rows.groupBy("hkt_id", "source", "token").agg(F.min("late").alias("late"), *postings.earliest("source_index"))
+
+    def rebuild_scope(self, target: int, scoped: DataFrame, above: DataFrame) -> DataFrame:
+        """The same of one HKT, its ``scoped`` (source) and what is ``above`` (token), without hkt_id."""
+        one = F.lit(target).alias("hkt_id")
+        return self.rebuild_scopes(self._hkts([target]), scoped.select(one, "source"), above.select(one, "token")).drop("hkt_id")
+
+    def _hkts(self, targets: list[int]) -> DataFrame:
+        return self.spark.createDataFrame([(t,) for t in targets], "hkt_id int")
 
     def dry_run(self, target: int, scoped: DataFrame, above: DataFrame) -> dict:
         """What a rebuild of the HKT would work on and make; nothing changes."""
@@ -314,43 +319,62 @@ class Engine:
         return self._rebuild(sorted(set(targets)), levels)
 
     def rebuild_subtree(self, target: int, scoped: DataFrame, above: DataFrame) -> bool:
-        """Builds the HKT and all below it anew; ids aren't used again. False if nothing is left to build from."""
-        scope = materialise(self.rebuild_scope(target, scoped, above), "engine-scope")
-        if not scope.limit(1).count():
-            return False
-        ordered = numbered(scope, ["late", "first", "nth"], "place")
-        parent = self.state.hkts.filter(F.col("hkt_id") == target).first()["parent_node_id"]
-        fresh = ordered.join(self.vocabulary.select("token"), "token", "left_anti").groupBy("token").agg(F.min("place").alias("first"))
-        made = numbered(fresh, ["first"], "n", 0).select("token", (F.lit(2147483647) - F.col("n")).cast("int").alias("word_id"))
-        words = materialise(self.vocabulary.select("token", "word_id").unionByName(made), "engine-words")
-        rows = ordered.join(words, "token").select("source", F.col("word_id").alias("word"), F.col("place").alias("first"), F.lit(0).alias("nth"))
-        new, top = self._named(trees.build(rows, self.config.builder, self.small, arrival=True, wide=self.wide), words)
+        """Builds the HKT and all below it anew. False if nothing is left to build from."""
+        one = F.lit(target).alias("hkt_id")
+        return bool(self.rebuild_forest([target], scoped.select(one, "source"), above.select(one, "token")))
+
+    def rebuild_forest(self, targets: list[int], scoped: DataFrame, above: DataFrame) -> list[int]:
+        """Builds the given HKTs and all below them anew, as one forest; ids follow their order and aren't used again.
+
+        ``scoped``: hkt_id, source that the batch brings to them; ``above``: hkt_id, token of the nodes above. An
+        HKT below another one of ``targets`` goes with that one, and one with nothing left to build
+        from stays. Returns those that were built. The number of jobs doesn't depend on how many they are.
+        """
         s = self.state
-        dead = prune.subtree(s.hkts, s.nodes, self.spark.createDataFrame([(target,)], "hkt_id int"))
+        chains = materialise(prune.chains(s.hkts, s.nodes, self._hkts(targets)), "engine-chains")
+        inner = chains.join(s.nodes.select("node_id", F.col("hkt_id").alias("outer")), "node_id").join(self._hkts(targets).withColumnRenamed("hkt_id", "outer"), "outer", "left_semi")
+        nested = {r["hkt_id"] for r in inner.select("hkt_id").distinct().collect()}  # of the targets
+        there = self.spark.createDataFrame([(t,) for t in sorted(set(targets) - nested)], "hkt_id int")
+        parents = {r["hkt_id"]: r["parent_node_id"] for r in s.hkts.join(there, "hkt_id").select("hkt_id", "parent_node_id").collect()}
+        scope = materialise(self.rebuild_scopes(there, scoped, above), "engine-scope")
+        built = sorted(r["hkt_id"] for r in scope.select("hkt_id").distinct().collect() if r["hkt_id"] in parents)
+        if not built:
+            return []
+        live = self._hkts(built)
+        ordered = numbered(scope, ["hkt_id", "late", "first", "nth"], "place")
+        # tokens without an id count down from the largest, in order of arrival
+        new = ordered.join(self.vocabulary.select("token"), "token", "left_anti").groupBy("hkt_id", "token").agg(F.min("place").alias("first"))
+        made = numbered(new, ["first"], "n", 0).select("hkt_id", "token", (F.lit(2147483647) - F.col("n")).cast("int").alias("made"))
+        rows = ordered.join(self.vocabulary.select("token", "word_id"), "token", "left").join(made, ["hkt_id", "token"], "left")
+        name = lambda c: F.concat(F.lit("t"), c)
+        rows = rows.select(name(F.col("hkt_id")).alias("scope"), "source", F.coalesce("word_id", "made").alias("word"), F.col("place").alias("first"), F.lit(0).alias("nth"))
+        tree = trees.build(rows, self.config.builder, self.small, arrival=True, wide=self.wide, roots=[f"t{t}" for t in built])
+        words = materialise(self.vocabulary.select("token", "word_id").unionByName(made.select("token", F.col("made").alias("word_id"))), "engine-words")
+        fresh, top = self._named(tree, words)
+        dead = prune.subtree(s.hkts, s.nodes, live)
         dead_nodes = materialise(s.nodes.join(dead, "hkt_id").select("node_id"), "engine-dead")
         dh, dn = self.next_hkt_id - 1, self.next_node_id - 1
         node = (F.col("node_id") + dn).cast("int").alias("node_id")
         hkt = (F.col("hkt_id") + dh).cast("int").alias("hkt_id")
-        ancestors = prune.ancestors(s.hkts, s.nodes, parent)
-        late = scoped.distinct().crossJoin(F.broadcast(ancestors)) if parent else None  # no more rows than the tree is deep
+        hung = self.spark.createDataFrame([(f"t{t}", parents[t]) for t in built], "scope string, above int")
+        roots = tree.scopes.filter(F.size("path") == 1).join(hung, "scope").select("hkt_id", "above")
+        hkts = fresh.hkts.join(roots, "hkt_id", "left").select(hkt, F.coalesce("above", F.col("parent_node_id") + dn).cast("int").alias("parent_node_id"))
+        late = scoped.select("hkt_id", "source").distinct().join(live, "hkt_id", "left_semi").join(chains, "hkt_id").select("node_id", "source")
         keep = lambda df: df.join(dead_nodes, "node_id", "left_anti")
-        node_sources = keep(s.node_sources).unionByName(new.node_sources.select(node, "source"))
-        if late is not None:
-            node_sources = node_sources.unionByName(late.select("node_id", "source")).distinct()
         self.state = State(
-            s.hkts.join(dead, "hkt_id", "left_anti").unionByName(new.hkts.select(hkt, F.when(F.col("parent_node_id") == 0, parent).otherwise(F.col("parent_node_id") + dn).cast("int").alias("parent_node_id"))),
-            keep(s.nodes).select("node_id", "hkt_id", "ord", "refuge").unionByName(new.nodes.select(node, hkt, "ord", "refuge")),
-            keep(s.node_words).select("node_id", "token", "word_id").unionByName(new.node_words.select(node, "token", "word_id")),
-            node_sources,
-            keep(s.word_sources).select("node_id", "token", "source").unionByName(new.word_sources.select(node, "token", "source")),
-            s.expected.join(dead, "hkt_id", "left_anti").select("hkt_id", "token").unionByName(new.expected.select(hkt, "token")),
+            s.hkts.join(dead, "hkt_id", "left_anti").select("hkt_id", "parent_node_id").unionByName(hkts),
+            keep(s.nodes).select("node_id", "hkt_id", "ord", "refuge").unionByName(fresh.nodes.select(node, hkt, "ord", "refuge")),
+            keep(s.node_words).select("node_id", "token", "word_id").unionByName(fresh.node_words.select(node, "token", "word_id")),
+            keep(s.node_sources).select("node_id", "source").unionByName(late).distinct().unionByName(fresh.node_sources.select(node, "source")),
+            keep(s.word_sources).select("node_id", "token", "source").unionByName(fresh.word_sources.select(node, "token", "source")),
+            s.expected.join(dead, "hkt_id", "left_anti").select("hkt_id", "token").unionByName(fresh.expected.select(hkt, "token")),
         ).kept()
         self.top_words = materialise(keep(self.top_words).select("node_id", "token", "rank").unionByName(top.select(node, "token", "rank")), "engine-top")
-        self.removed[target] = parent
+        self.removed |= {t: parents[t] for t in built}
         self.rebuilt_from = dh + 1 if self.rebuilt_from is None else self.rebuilt_from
         most = self.state.nodes.agg(F.max("hkt_id").alias("h"), F.max("node_id").alias("n")).first()
         self.next_hkt_id, self.next_node_id = max(self.next_hkt_id, most["h"] + 1), max(self.next_node_id, most["n"] + 1)
-        return True
+        return built
 
     # -- retention
 

@@ -24,15 +24,15 @@ def doc_tokens(sources: DataFrame, clean: bool = False) -> DataFrame:
     return sources.select("source_index", "source_id", F.explode(F.array_distinct(held)).alias("token")).filter(F.length("token") > 0)
 
 
-def first_places(sources: DataFrame, clean: bool = False) -> DataFrame:
-    """source_index, source_id, token and nth, its place among the source's distinct tokens in order of first occurrence.
+def first_places(sources: DataFrame, clean: bool = False, keep: tuple[str, ...] = ("source_id",)) -> DataFrame:
+    """source_index, ``keep``, token and nth, its place among the source's distinct tokens in order of first occurrence.
 
     Postings arrive in order of source_index, then nth; the two are never packed into one number, so that
     any 64-bit source_index will do.
     """
     held = F.col("tokens") if clean else F.transform("tokens", tx.trim)
-    each = sources.select(F.col("source_index").cast("long").alias("source_index"), "source_id", F.posexplode(F.array_distinct(held)).alias("nth", "token"))
-    return each.filter(F.length("token") > 0).select("source_index", "source_id", "token", "nth")
+    each = sources.select(F.col("source_index").cast("long").alias("source_index"), *keep, F.posexplode(F.array_distinct(held)).alias("nth", "token"))
+    return each.filter(F.length("token") > 0).select("source_index", *keep, "token", "nth")
 
 
 def earliest(first: str = "first", nth: str = "nth") -> list[Column]:

@@ -23,15 +23,22 @@ def subtree(hkts: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
         found = materialise(found.unionByName(front), "prune-found")
 
 
+def chains(hkts: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """hkt_id, node_id: all nodes above each HKT of ``starts``, a join per level for all of them together."""
+    up = hkts.select(F.col("hkt_id").alias("at"), F.col("parent_node_id").alias("node_id")).join(nodes.select("node_id", F.col("hkt_id").alias("above")), "node_id")
+    found = front = materialise(starts.select("hkt_id", F.lit(0).alias("node_id"), F.col("hkt_id").alias("at")).distinct(), "prune-chains")
+    while True:
+        step = front.select("hkt_id", "at").join(up, "at").select("hkt_id", "node_id", F.col("above").alias("at"))
+        front = materialise(step.join(found.select("hkt_id", "node_id"), ["hkt_id", "node_id"], "left_anti"), "prune-chains")
+        if front.isEmpty():
+            return found.filter("node_id > 0").select("hkt_id", "node_id")
+        found = found.unionByName(front)
+
+
 def ancestors(hkts: DataFrame, nodes: DataFrame, node_id: int) -> DataFrame:
     """node_id and the nodes above it up to the root."""
-    spark = hkts.sparkSession
-    chain, at = [], node_id
-    while at and at > 0 and at not in chain:
-        chain.append(at)
-        row = nodes.filter(F.col("node_id") == at).join(hkts, "hkt_id").select("parent_node_id").first()
-        at = row["parent_node_id"] if row else 0
-    return spark.createDataFrame([(x,) for x in chain], "node_id int")
+    own = hkts.sparkSession.createDataFrame([(node_id,)], "node_id int")
+    return own.unionByName(chains(hkts, nodes, nodes.filter(F.col("node_id") == node_id).select("hkt_id")).select("node_id")).distinct()
 
 
 def light(state: State, active: DataFrame) -> tuple[State, dict]:

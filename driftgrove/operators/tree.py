@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,7 +159,7 @@ def finished(scopes: DataFrame, config: BuilderConfig, arrival: bool) -> DataFra
         source, word, first, nth = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(1, 5))
         at = np.empty(len(first), np.int64)
         at[np.lexsort((nth, first))] = np.arange(len(first))
-        yield from subtree(scope, source, word, at, config, arrival and scope == ROOT)
+        yield from subtree(scope, source, word, at, config, arrival)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("scope", pa.string()), ("ord", pa.int32()), ("refuge", pa.bool_()), *[(c, pa.list_(pa.int32())) for c in ("words", "top", "expected")], ("sources", pa.list_(pa.int64())),
@@ -296,11 +296,13 @@ def fold_by_steps(patterns: DataFrame, expected: DataFrame, similarity: float) -
     return spark.createDataFrame(out, "scope string, ord int, word int")
 
 
-def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arrival: bool = False, wide: int = WIDE, places: int = PLACES) -> Tree:
+def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arrival: bool = False, wide: int = WIDE, places: int = PLACES, roots: Sequence[str] = (ROOT,)) -> Tree:
     """The tree over postings (source long, word int, first long, nth int), each source and word once with its first arrival.
 
+    A forest grows at once from postings that also have the scope, one of ``roots``, in whose order its HKTs and nodes are numbered.
+
     Scopes of more than ``small`` postings go through Spark a level at a time; each smaller one is
-    finished by a single task; ``wide`` bounds what a task folds of a large one. With ``arrival`` the root's postings aren't ranked: its seed is the
+    finished by a single task; ``wide`` bounds what a task folds of a large one. With ``arrival`` a root's postings aren't ranked: its seed is the
     first word to arrive, and its expected words end where a posting's df is first too small.
 
     What is below a node depends on its sources and on the words removed above alone, in whatever order
@@ -308,7 +310,8 @@ def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arriva
     this or an earlier level, only one is gone into.
     """
     spark = postings.sparkSession
-    root = postings.select(F.lit(ROOT).alias("scope"), F.col("source").cast("long").alias("source"), F.col("word").cast("int").alias("word"), F.col("first").cast("long").alias("first"), F.col("nth").cast("int").alias("nth"))
+    scopes = F.col("scope") if "scope" in postings.columns else F.lit(ROOT)
+    root = postings.select(scopes.alias("scope"), F.col("source").cast("long").alias("source"), F.col("word").cast("int").alias("word"), F.col("first").cast("long").alias("first"), F.col("nth").cast("int").alias("nth"))
     scope = materialise(root, "tree-scope")
     sizes = scope.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
     parts: dict[str, list[DataFrame]] = {k: [] for k in ("nodes", "words", "sources", "pairs", "expected", "top", "edges")}
@@ -357,7 +360,7 @@ def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arriva
         parts["top"].append(held.select("scope", "ord", F.posexplode("top").alias("rank", "word")).select("scope", "ord", "word", F.col("rank").cast("int").alias("rank")))
         parts["edges"].append(held.filter("child IS NOT NULL").select("scope", "ord", "child"))
     schemas = {"nodes": "scope string, ord int, refuge boolean", "words": "scope string, ord int, word int", "sources": "scope string, ord int, source long", "pairs": "scope string, ord int, word int, source long", "expected": "scope string, word int", "top": "scope string, ord int, word int, rank int", "edges": "scope string, ord int, child string"}
-    return _expanded({k: _union(v) if v else spark.createDataFrame([], schemas[k]) for k, v in parts.items()}, places)
+    return _expanded({k: _union(v) if v else spark.createDataFrame([], schemas[k]) for k, v in parts.items()}, places, roots)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -379,9 +382,9 @@ def _top_words(below: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.join(held.select("scope", "ord").distinct(), ["scope", "ord"], "left_semi").select("scope", "ord", "word", F.col("r").alias("rank")).unionByName(filled)
 
 
-def _paths(edges: DataFrame) -> DataFrame:
-    """path, scope: every place of the tree at which a scope stands, from the references, a level at a time."""
-    at = edges.sparkSession.createDataFrame([([], ROOT)], "path array<int>, scope string")
+def _paths(edges: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """path, scope: every place of the tree at which a scope stands, from the references, a level at a time; a path begins with the root's number."""
+    at = edges.sparkSession.createDataFrame([([i], r) for i, r in enumerate(roots)], "path array<int>, scope string")
     found = [at]
     edges = materialise(edges, "tree-edges")
     while not (at := materialise(at.join(edges, "scope").select(F.concat("path", F.array("ord")).alias("path"), F.col("child").alias("scope")), "tree-paths")).isEmpty():
@@ -389,38 +392,38 @@ def _paths(edges: DataFrame) -> DataFrame:
     return _union(found)
 
 
-def _placed(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _placed(parts: dict[str, DataFrame], roots: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(hkt_id, path, scope; node_id, hkt_id, ord, refuge, scope; hkt_id, parent_node_id) by Spark, for trees of any size."""
     there = parts["nodes"].select("scope").distinct()
-    placed = _paths(parts["edges"]).join(there, "scope", "left_semi")
+    placed = _paths(parts["edges"], roots).join(there, "scope", "left_semi")
     scopes = materialise(numbered(placed, ["path"], "hkt_id").select(F.col("hkt_id").cast("int").alias("hkt_id"), "path", "scope"), "tree-scopes")
     nodes = numbered(scopes.select("hkt_id", "scope").join(parts["nodes"], "scope"), ["hkt_id", "ord"], "node_id")
     nodes = materialise(nodes.select(F.col("node_id").cast("int").alias("node_id"), "hkt_id", "ord", "refuge", "scope"), "tree-nodes")
-    above = scopes.filter(F.size("path") > 0).select("hkt_id", F.slice("path", 1, F.size("path") - 1).alias("path"), F.element_at("path", -1).alias("ord"))
+    above = scopes.filter(F.size("path") > 1).select("hkt_id", F.slice("path", 1, F.size("path") - 1).alias("path"), F.element_at("path", -1).alias("ord"))
     parent = above.join(scopes.select("path", F.col("hkt_id").alias("above")), "path").select("hkt_id", "ord", "above")
     parent = parent.join(nodes.select(F.col("hkt_id").alias("above"), "ord", F.col("node_id").alias("parent_node_id")), ["above", "ord"]).select("hkt_id", "parent_node_id")
-    root = scopes.filter(F.size("path") == 0).select("hkt_id", F.lit(0).alias("parent_node_id"))
+    root = scopes.filter(F.size("path") == 1).select("hkt_id", F.lit(0).alias("parent_node_id"))
     return scopes, nodes, materialise(root.unionByName(parent), "tree-hkts")
 
 
-def _placed_here(spark: SparkSession, nodes: list[Row], edges: list[Row], most: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+def _placed_here(spark: SparkSession, nodes: list[Row], edges: list[Row], most: int, roots: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """The same of a tree that is known to be small, without jobs; None if equal scopes stand in so many places that it isn't."""
     own: dict[str, list[tuple[int, bool]]] = {}
     for r in sorted(nodes, key=lambda r: r["ord"]):
         own.setdefault(r["scope"], []).append((r["ord"], r["refuge"]))
     child = {(r["scope"], r["ord"]): r["child"] for r in edges}
     scopes, rows, hkts = [], [], []
-    todo = [((), ROOT, 0)] if own else []
+    todo = [((i,), r) for i, r in enumerate(roots) if r in own][::-1]
     while todo:
-        path, scope, parent = todo.pop()
+        path, scope = todo.pop()
         hkt = len(scopes) + 1
         scopes.append((hkt, list(path), scope))
-        hkts.append([hkt, path[:-1], path[-1] if path else None])
+        hkts.append((hkt, path[:-1], path[-1] if len(path) > 1 else None))
         below = []
         for ord_, refuge in own[scope]:
             rows.append((hkt, ord_, refuge, scope))
             if (scope, ord_) in child:
-                below.append(((*path, ord_), child[scope, ord_], 0))
+                below.append(((*path, ord_), child[scope, ord_]))
         if len(rows) > most:
             return None
         todo += reversed(below)
@@ -435,14 +438,14 @@ def _placed_here(spark: SparkSession, nodes: list[Row], edges: list[Row], most:
     )
 
 
-def _expanded(parts: dict[str, DataFrame], places: int) -> Tree:
+def _expanded(parts: dict[str, DataFrame], places: int, roots: Sequence[str]) -> Tree:
     """Ids by path: HKTs in preorder, nodes in order of their HKT and place, both from 1. A tree of up to ``places`` nodes is numbered by the driver."""
     spark = parts["nodes"].sparkSession
     found = None
     nodes = parts["nodes"].limit(places + 1).collect()  # bounded
     if len(nodes) <= places:
-        found = _placed_here(spark, nodes, parts["edges"].collect(), places)  # an edge per node at most
-    scopes, nodes, hkts = found or _placed(parts)
+        found = _placed_here(spark, nodes, parts["edges"].collect(), places, roots)  # an edge per node at most
+    scopes, nodes, hkts = found or _placed(parts, roots)
     ids = nodes.select("scope", "ord", "node_id")
     of = lambda k, *c: parts[k].join(ids, ["scope", "ord"]).select("node_id", *c)
     word = F.col("word").alias("word_id")

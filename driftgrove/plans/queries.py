@@ -14,6 +14,7 @@ from driftgrove.config import ThresholdConfig
 from driftgrove.engine import Engine
 from driftgrove.functions.text import STOP_WORDS
 from driftgrove.operators import drift, postings, prune, views
+from driftgrove.operators import tree as trees
 from driftgrove.plans import workload as wl
 from driftgrove.tables import materialise, numbered, shared_dir
 from driftgrove.sources import batches, timeline
@@ -502,6 +503,28 @@ def subtree_rebuild(spark, sf):
     return _nodes(e.state).join(e.state.hkts, "hkt_id")
 
 
+@query
+def forest_rebuild(spark, sf):
+    """The tree after a rebuild of all HKTs two levels below the root together."""
+    e = wl.engine(spark, sf)
+    s = e.state
+    up = prune.chains(s.hkts, s.nodes, s.hkts)
+    targets = materialise(up.groupBy("hkt_id").agg(F.count(F.lit(1)).alias("depth")).filter("depth = 2").select("hkt_id"), "forest-targets")
+    above = up.join(targets, "hkt_id", "left_semi").join(s.node_words, "node_id").select("hkt_id", "token")
+    e.rebuild_forest([r["hkt_id"] for r in targets.collect()], spark.createDataFrame([], "hkt_id int, source long"), above)
+    return _nodes(e.state).join(e.state.hkts, "hkt_id")
+
+
+@query
+def tree_scopes(spark, sf):
+    """How many HKTs of each depth there are, and how many different scopes they stand for."""
+    src = wl.pages(spark, sf).filter(F.col("batch_index") < wl.BATCHES - 1)
+    words = postings.vocabulary(src, clean=True).select("token", "word_id")
+    rows = postings.first_places(src, clean=True).join(words, "token").select(F.col("source_index").alias("source"), F.col("word_id").alias("word"), F.col("source_index").alias("first"), "nth")
+    made = trees.build(rows, wl.config().builder, small=0)
+    return made.scopes.groupBy((F.size("path") - 1).alias("depth")).agg(F.count(F.lit(1)).alias("hkts"), F.count_distinct("scope").alias("scopes"))
+
+
 @query
 def rebuild_report(spark, sf):
     """Sources, words, known and new words of each HKT's scope in the last batch."""

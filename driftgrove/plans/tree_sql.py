@@ -121,6 +121,16 @@ REBUILT = f"""{BUILT}{_SCOPE},
 dead AS (SELECT p_h.hkt_id FROM p_h, goal WHERE len(p_h.path) >= len(goal.path) AND p_h.path[:len(goal.path)] = goal.path),
 most AS (SELECT (SELECT max(hkt_id) FROM p_h) AS h, (SELECT max(node_id) FROM p_n) AS n)"""
 
+#: All HKTs two levels below the root, each with its pages and without the words of the two nodes above it.
+FOREST = f"""{BUILT},
+goal AS (SELECT hkt_id AS t, path, parent_node_id FROM p_h WHERE len(path) = 2),
+gsrc AS (SELECT DISTINCT goal.t, unnest(sources) AS source FROM p_n n JOIN goal ON n.hkt_id = goal.t),
+above AS (SELECT goal.t, unnest(words) AS word FROM goal JOIN p_n n ON (n.path = [] AND n.ord = goal.path[1]) OR (n.path = goal.path[:1] AND n.ord = goal.path[2])),
+gpost AS (SELECT gsrc.t, d.source, v.word, d.fst AS "at" FROM pdt d JOIN pvoc v USING (token) JOIN gsrc USING (source) WHERE b < 7 AND NOT EXISTS (SELECT 1 FROM above a WHERE a.t = gsrc.t AND a.word = v.word)),
+{tree('SELECT t, source, word, "at" FROM gpost', "q", arrival=True)},
+dead AS (SELECT p_h.hkt_id FROM p_h JOIN goal ON len(p_h.path) >= 2 AND p_h.path[:2] = goal.path),
+most AS (SELECT (SELECT max(hkt_id) FROM p_h) AS h, (SELECT max(node_id) FROM p_n) AS n)"""
+
 
 def statements() -> dict[str, str]:
     named = "(SELECT string_agg(token, ', ' ORDER BY word) FROM pvoc WHERE list_contains(n.words, pvoc.word))"
@@ -147,6 +157,16 @@ def statements() -> dict[str, str]:
         "window_batches": f"{BASE} SELECT b::INTEGER AS batch_index, least(b + 1, 3)::INTEGER AS stored, greatest(b - 2, 0)::INTEGER AS first_batch, (SELECT count(*) FROM psrc x WHERE x.b BETWEEN p.b - 2 AND p.b)::BIGINT AS sources FROM (SELECT DISTINCT b FROM psrc) p",
         "rebuild_scope": f"{BUILT}{_SCOPE} SELECT token, count(*)::BIGINT AS df FROM gpost GROUP BY token",
         "subtree_report": f"{REBUILT} SELECT (SELECT hkt_id FROM goal) AS target_hkt_id, (SELECT count(DISTINCT source) FROM gpost)::BIGINT AS scoped_source_count, (SELECT count(*) FROM q_h)::BIGINT AS subtree_hkt_count, (SELECT count(*) FROM q_n)::BIGINT AS subtree_node_count, 0::BIGINT AS new_token_count_in_scope",
+        "tree_scopes": f"""{BUILT},
+          s AS (SELECT path, sha256(string_agg(source || ':' || word, ',' ORDER BY source, word)) AS posts FROM p_scope GROUP BY path)
+          SELECT len(path)::INTEGER AS depth, count(*)::BIGINT AS hkts, count(DISTINCT posts)::BIGINT AS scopes FROM s GROUP BY len(path)""",
+        "forest_rebuild": f"""{FOREST},
+          placed AS (SELECT t, path, ord, refuge, words, sources, (row_number() OVER (ORDER BY t, path, ord) + most.n)::INTEGER AS node_id, (dense_rank() OVER (ORDER BY t, path) + most.h)::INTEGER AS hkt_id FROM q_g, most),
+          n AS (SELECT node_id, hkt_id, ord, refuge, words, sources FROM p_n WHERE hkt_id NOT IN (FROM dead) UNION ALL SELECT node_id, hkt_id, ord, refuge, words, sources FROM placed),
+          up AS (SELECT hkt_id, parent_node_id FROM p_h WHERE hkt_id NOT IN (FROM dead)
+            UNION ALL SELECT h.hkt_id, (CASE WHEN h.path = [] THEN goal.parent_node_id ELSE a.node_id END)::INTEGER FROM (SELECT DISTINCT t, hkt_id, path FROM placed) h JOIN goal USING (t)
+              LEFT JOIN placed a ON a.t = h.t AND len(h.path) > 0 AND a.path = h.path[:-2] AND a.ord = h.path[-1])
+          SELECT n.node_id, n.hkt_id, up.parent_node_id, ord, refuge, len(sources)::BIGINT AS sources, (SELECT string_agg(token, ' ' ORDER BY token) FROM pvoc WHERE list_contains(n.words, pvoc.word)) AS words FROM n JOIN up USING (hkt_id)""",
         "subtree_rebuild": f"""{REBUILT},
           moved AS (SELECT (node_id + most.n)::INTEGER AS node_id, (hkt_id + most.h)::INTEGER AS hkt_id, ord, refuge, words, sources FROM q_n, most),
           n AS (SELECT node_id, hkt_id, ord, refuge, words, sources FROM p_n WHERE hkt_id NOT IN (FROM dead) UNION ALL SELECT * FROM moved),

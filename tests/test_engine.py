@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from driftgrove.config import BuilderConfig, Config, ThresholdConfig
 from driftgrove.engine import Engine
 from driftgrove.errors import InvalidConfiguration, StateError
+from driftgrove.operators import prune
 
 QUAKE = [
     {"s1": "earthquake damage city", "s2": "earthquake rescue city", "s3": "storm damage coast"},
@@ -145,6 +146,34 @@ def test_dry_run_and_given_hkts(spark, make_sources):
         e.rebuild_hkts([999], make_sources(QUAKE[1]))
 
 
+def test_branches_are_rebuilt_together(spark, make_sources):
+    """A forest of several branches equals their rebuilds one after the other; a branch below another goes with it."""
+    texts = {f"s{i}": t for i, t in enumerate(["a b c x", "a b d", "a c d y", "a d", "e f g", "e f h z", "e g h", "e h b", "a e f", "c d f"])}
+    states, targets = [], []
+    for together in (True, False):
+        e = Engine(spark, never(builder=BuilderConfig(0.3, 0.6, 1)), "subtree")
+        e.build_baseline(make_sources(texts))
+        fresh = e.register(make_sources({"n1": "a new b fresh", "n2": "e new f late"}, 1), 1)
+        e.batches[1] = fresh
+        up = prune.chains(e.state.hkts, e.state.nodes, e.state.hkts).groupBy("hkt_id").count().collect()
+        targets = sorted(r["hkt_id"] for r in up if r["count"] == 1)
+        assert len(targets) >= 2
+        n1, n2 = (r["source"] for r in fresh.orderBy("source_id").select("source").collect())
+        scoped = spark.createDataFrame([(targets[0], n1), (targets[0], n2), (targets[1], n2)], "hkt_id int, source long")
+        above = spark.createDataFrame([(targets[0], "a"), (targets[1], "b"), (targets[1], "zz")], "hkt_id int, token string")
+        if together:
+            below = [r["hkt_id"] for r in up if r["count"] == 2]
+            assert e.rebuild_forest(targets + below[:1], scoped, above) == targets
+        else:
+            for t in targets:
+                assert e.rebuild_subtree(t, scoped.filter(F.col("hkt_id") == t).select("source"), above.filter(F.col("hkt_id") == t).select("token"))
+        invariants(e)
+        states.append((flat(e), sorted(e.removed.items()), e.next_hkt_id, e.next_node_id))
+    assert states[0] == states[1]
+    none = spark.createDataFrame([], "hkt_id int, source long"), spark.createDataFrame([], "hkt_id int, token string")
+    assert e.rebuild_forest([], *none) == [] and e.rebuild_forest([998], *none) == []
+
+
 def test_configuration():
     for bad in ({"alpha": 1.5}, {"beta": -0.1}, {"alpha_option1_threshold": 2.0}, {"selected_alpha_option": "Option4"}):
         with pytest.raises(InvalidConfiguration):
