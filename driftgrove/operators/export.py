@@ -1,11 +1,13 @@
 """The tree as flat tables, as JSON in the exchange format, and as an outline; and back from JSON.
 
-Sources stay rows: nothing here but the JSON writers puts all sources of a node side by side.
+Sources stay rows: only ``plain`` and ``verbose``, for small trees, put all sources of a node side by side.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from driftgrove.operators.drift import State
-from driftgrove.tables import materialise, numbered
+from driftgrove.tables import materialise, numbered, shared_dir
 
 REFUGE, UNKNOWN = "<REFUGE>", "<UNKNOWN_SOURCE>"
 WORDS, SOURCES = "array<struct<word_id:int,token:string>>", "array<struct<internal_source_id:bigint,external_source_id:string>>"
@@ -23,6 +25,10 @@ NODE = f"node_id int, hkt_id int, words {WORDS}, sources {SOURCES}, top_words {W
 TREE = f"hkts array<struct<{HKT}>>, nodes array<struct<{NODE}>>, word_legend {WORDS}, source_legend {SOURCES}, logically_removed_hkts array<struct<{HKT}>>"
 
 
+#: Sources of a node that stand in one row, about.
+PART = 10_000
+
+
 @dataclass(frozen=True)
 class TreeExport:
     """Views of a tree version. ``vocabulary``: word_id, token; ``registry``: source_id, source.
@@ -91,6 +97,20 @@ class TreeExport:
         rows = self.nodes().join(held, "node_id", "left").withColumn("sources", _filled("sources", SOURCES))
         return rows.select("node_id", "hkt_id", "words", "sources", "top_words", F.col("refuge").alias("is_refuge_node"))
 
+    def source_parts(self, size: int = PART) -> DataFrame:
+        """node_id, part, sources: the sources of each node by hash, about ``size`` in a part, so that no row holds all of a large node's."""
+        parts = self.counts().select("node_id", F.greatest(F.ceil(F.col("source_count") / size), F.lit(1)).cast("int").alias("parts"))
+        placed = self.sources().join(parts, "node_id").withColumn("part", F.pmod(F.xxhash64("source"), F.col("parts")).cast("int"))
+        listed = F.array_sort(F.collect_list(F.struct(F.col("source").alias("internal_source_id"), F.col("source_id").alias("external_source_id"))))
+        return placed.groupBy("node_id", "part").agg(listed.alias("sources"))
+
+    def node_lines(self, size: int = PART) -> DataFrame:
+        """The fields of ``node_documents`` and part: a row without sources that says what a node is (part null), then its sources in rows that say only whose they are."""
+        heads = self.nodes().select("node_id", "hkt_id", "words", F.array().cast(SOURCES).alias("sources"), "top_words", F.col("refuge").alias("is_refuge_node"), F.lit(None).cast("int").alias("part"))
+        none = F.array().cast(WORDS)
+        more = self.source_parts(size).select("node_id", F.lit(None).cast("int").alias("hkt_id"), none.alias("words"), "sources", none.alias("top_words"), F.lit(None).cast("boolean").alias("is_refuge_node"), "part")
+        return heads.unionByName(more)
+
     def hkt_documents(self) -> DataFrame:
         """The HKTs with the fields of an exported tree; a refuge's marker is one of the words."""
         s = self.state
@@ -133,10 +153,60 @@ class TreeExport:
         }
 
     def write_json(self, path: str) -> None:
-        """The same as JSON lines that the executors write: folders hkts, nodes, word_legend, source_legend."""
-        for name, df in (("hkts", self.hkt_documents()), ("nodes", self.node_documents()), ("word_legend", self.legend()), ("source_legend", self.source_documents())):
+        """The same as JSON lines that the executors write: folders hkts, nodes (in parts), word_legend, source_legend."""
+        for name, df in (("hkts", self.hkt_documents()), ("nodes", self.node_lines()), ("word_legend", self.legend()), ("source_legend", self.source_documents())):
             df.write.mode("overwrite").json(f"{path}/{name}")
 
+    def _fragments(self, size: int) -> DataFrame:
+        """section, a, b, text: pieces which in order are the exchange format's one document."""
+        piece = lambda df, section, a, text, b=None: df.select(F.lit(section).alias("section"), a.cast("long").alias("a"), (F.lit(0) if b is None else b).cast("long").alias("b"), text.alias("text"))
+        spark = self.state.nodes.sparkSession
+        removed = json.dumps(self._removed(), ensure_ascii=False)
+        marks = [(0, '{"hkts":['), (2, '],"nodes":['), (4, '],"word_legend":['), (6, '],"source_legend":['), (8, f'],"logically_removed_hkts":{removed}}}')]
+        fixed = spark.createDataFrame([(s, 0, 0, t) for s, t in marks], "section int, a long, b long, text string")
+
+        def listed(df: DataFrame, section: int, key: str) -> DataFrame:
+            """A row each, with a comma before all but the first."""
+            least = df.agg(F.min(key)).first()[0]
+            return piece(df, section, F.col(key), F.concat(F.when(F.col(key) == F.lit(least), "").otherwise(","), F.to_json(F.struct(*df.columns))))
+
+        nodes = self.nodes()
+        least = nodes.agg(F.min("node_id")).first()[0]
+        comma = F.when(F.col("node_id") == F.lit(least), "").otherwise(",")
+        inner = lambda text: F.substring(text, F.lit(2), F.char_length(text) - 2)
+        head = inner(F.to_json(F.struct("node_id", "hkt_id", "words")))
+        tail = inner(F.to_json(F.struct("top_words", F.col("refuge").alias("is_refuge_node"))))
+        opens = piece(nodes, 3, F.col("node_id"), F.concat(comma, F.lit("{"), head, F.lit(',"sources":[')))
+        closes = piece(nodes, 3, F.col("node_id"), F.concat(F.lit("],"), tail, F.lit("}")), F.lit(1 << 40))
+        parts = materialise(self.source_parts(size), "export-parts")
+        first = parts.groupBy("node_id").agg(F.min("part").alias("first"))
+        held = parts.join(first, "node_id")
+        body = piece(held, 3, F.col("node_id"), F.concat(F.when(F.col("part") == F.col("first"), "").otherwise(","), inner(F.to_json("sources"))), F.col("part") + 1)
+        rows = [fixed, listed(self.hkt_documents(), 1, "hkt_id"), opens, body, closes, listed(self.legend(), 5, "word_id"), listed(self.source_documents(), 7, "internal_source_id")]
+        return functools.reduce(DataFrame.unionByName, rows)
+
+    def write_document(self, path: str, size: int = PART) -> None:
+        """The verbose tree as one JSON document at ``path``, which the driver puts together from files that the executors wrote, without holding it."""
+        spark = self.state.nodes.sparkSession
+        order = ["section", "a", "b"]
+        folder = f"{shared_dir(spark)}/document-{uuid.uuid4().hex}"
+        self._fragments(size).repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.text(folder)
+        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+        source, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
+        files = source.getFileSystem(conf)
+        parts = sorted(s.getPath().toString() for s in files.listStatus(source) if s.getPath().getName().startswith("part-"))
+        out = target.getFileSystem(conf).create(target, True)
+        try:
+            for p in parts:
+                data = files.open(hadoop.fs.Path(p))
+                try:
+                    hadoop.io.IOUtils.copyBytes(data, out, 1 << 20, False)
+                finally:
+                    data.close()
+        finally:
+            out.close()
+        files.delete(source, True)
+
     def outline_rows(self) -> DataFrame:
         """place (array, in which order lines follow each other), text: a line for each HKT and node, sources as counts."""
         from driftgrove.operators.views import placed
@@ -160,12 +230,13 @@ def _filled(c: str, kind: str) -> Column:
 
 
 def tree_of(hkts: DataFrame, nodes: DataFrame, words: DataFrame, sources: DataFrame, removed: dict[int, int] | None = None) -> TreeExport:
-    """A tree from rows in the exchange format. Which of a node's sources hold which word isn't part of it; such a tree is for browsing."""
+    """A tree from rows in the exchange format, nodes in parts or whole. Which of a node's sources hold which word isn't part of it; such a tree is for browsing."""
+    held = nodes.select("node_id", F.explode("sources").alias("s")).select("node_id", F.col("s.internal_source_id").alias("source"))
+    nodes = nodes.filter("hkt_id IS NOT NULL")
     place = hkts.select("hkt_id", F.posexplode("node_ids").alias("ord", "node_id"))
     order = F.coalesce(F.col("ord"), F.row_number().over(Window.partitionBy("hkt_id").orderBy("node_id")) - 1)
     own = nodes.join(place, ["hkt_id", "node_id"], "left").select("node_id", "hkt_id", order.cast("int").alias("ord"), F.col("is_refuge_node").alias("refuge"))
     each = lambda c: nodes.select("node_id", F.posexplode(c).alias("rank", "w")).select("node_id", F.coalesce("w.token", F.concat(F.lit("#"), "w.word_id")).alias("token"), "w.word_id", F.col("rank").cast("int").alias("rank"))
-    held = nodes.select("node_id", F.explode("sources").alias("s")).select("node_id", F.col("s.internal_source_id").alias("source"))
     expected = hkts.select("hkt_id", F.explode("expected_words").alias("w")).select("hkt_id", "w.token")
     none = held.select("node_id", F.lit("").alias("token"), "source").limit(0)
     node_words = each("words").filter("word_id <> -1").select("node_id", "token", "word_id")

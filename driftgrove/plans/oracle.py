@@ -131,7 +131,7 @@ def statements() -> dict[str, str]:
       lw AS (SELECT token, count(*) AS df FROM last GROUP BY token)
       SELECT count(*)::BIGINT AS unique_words, count(*) FILTER (WHERE token IN (SELECT token FROM vocab))::BIGINT AS known_words, count(*) FILTER (WHERE token NOT IN (SELECT token FROM vocab))::BIGINT AS new_words,
         coalesce(max(df), 0)::BIGINT AS max_df, (SELECT count(*) FROM src WHERE b = 7)::BIGINT AS sources FROM lw"""
-    return {
+    out = {
         "scan_sources": f"{src} SELECT 0::BIGINT AS batch_index, source_index, source_id, len(tokens)::INTEGER AS n_tokens, '{{\"lang\":\"' || lang || '\",\"source\":\"' || origin || '\"}}' AS metadata FROM src",
         "csv_ingest": f"""
           WITH r AS (SELECT doc_id + 1 AS n, trim(regexp_replace(concat_ws(' ', coalesce(text, ''), coalesce(lang, ''), coalesce(source, '')), '\\s+', ' ', 'g')) AS text, source FROM documents),
@@ -229,3 +229,33 @@ def statements() -> dict[str, str]:
         "ancestor_chain": "SELECT unnest([6, 1])::INTEGER AS node_id",
         "doc_lengths": f"SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, len(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda x: lower(x)), lambda x: x NOT IN ({_STOP})))::BIGINT AS n_tokens FROM conversations",
     }
+    viewed = out["tree_view"]
+    return out | {"tree_document": viewed, "tree_lines": viewed, "event_dates": EVENT_DATES, "update_notes": _notes(out)}
+
+
+EVENT_DATES = """
+    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ts::DATE END AS date, 'none' AS topic, ts::DATE AS day,
+      CASE WHEN event_type = 'error' THEN 1.0 ELSE coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 1.0) END AS value FROM events"""
+
+
+def _notes(made: dict[str, str]) -> str:
+    """Lines on HKT 1 from the figures of other statements."""
+    four = lambda c: f"printf('%.4f', {c}::DOUBLE)"
+    line = lambda n, text, only="true": f"SELECT 1 AS hkt_id, {n} AS line, {text} AS text FROM f WHERE {only}"
+    lines = [
+        line(0, "'HKT 1: scoped sources=' || scoped_sources || ', matched nodes=' || matched_nodes || ', known words=' || known_words || ', new words=' || new_words"),
+        line(1, "'HKT 1 update: expected words=' || wanted", "wanted > 0"),
+        line(2, f"'HKT 1 errors: word_importance=' || {four('wi_error')} || ', alpha=' || {four('alpha_error')} || ', beta=' || {four('beta_error')}"),
+        line(3, "'HKT 1 policy: PaperDiagnosticScaffold'"),
+        line(4, "'HKT 1 words accepted above: 0'"),
+        line(5, f"'HKT 1 figures: words=' || state0_words || ', retained=' || retained_words || ', total_df=' || total_df || ', mass=' || {four('mass')} || ', prominent_df=' || prominent_df || ', below alpha=' || alpha_violations"),
+        line(6, "'HKT 1 shadow: would trigger=' || triggered"),
+        line(7, "'HKT 1 shadow reasons: ' || reasons", "reasons <> ''"),
+        line(8, "'HKT 1 trigger reasons: ' || reasons", "triggered"),
+        f"SELECT 1, (9 + node_id)::INTEGER, 'HKT 1 node ' || node_id || ': beta=' || {four('share')} || ' (own words=' || state0_words || ', known=' || known_words || ', new=' || new_words || ')' FROM ({made['node_beta']})",
+    ]
+    return f"""
+    WITH f AS (
+      SELECT z.*, i.* EXCLUDE (hkt_id, known_words, new_words), d.wi_error, d.alpha_error, d.beta_error, d.reasons, d.triggered, (SELECT count(*) FROM ({made['update_stage']}) WHERE node_id = 0) AS wanted
+      FROM ({made['scope_sizes']}) z JOIN ({made['paper_inputs']}) i USING (hkt_id) JOIN ({made['paper_trigger']}) d USING (hkt_id))
+    {" UNION ALL ".join(lines)}"""

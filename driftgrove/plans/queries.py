@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from driftgrove.config import ThresholdConfig
 from driftgrove.engine import Engine
 from driftgrove.functions.text import STOP_WORDS
-from driftgrove.operators import drift, postings, prune, views
+from driftgrove.operators import drift, export, postings, prune, views
 from driftgrove.operators import tree as trees
 from driftgrove.plans import workload as wl
 from driftgrove.tables import materialise, numbered, shared_dir
@@ -42,7 +42,9 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from driftgrove.plans import oracle, plan_sql, tree_sql
 
-    return oracle.statements() | tree_sql.statements() | {"trigger_plan": plan_sql.plan(PLAN_LIMITS)}
+    plan = plan_sql.plan(PLAN_LIMITS)
+    asked = f"SELECT hkt_id, scoped_sources FROM ({plan}) WHERE triggered"
+    return oracle.statements() | tree_sql.statements() | {"trigger_plan": plan, "rebuild_plan": asked}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,6 +318,36 @@ def tree_view(spark, sf):
     return views.tree_view(wl.fixed_tree(spark, sf), source_ids=True).drop("date")
 
 
+@query
+def tree_document(spark, sf):
+    """The same view of the tree as written to one JSON document and read back."""
+    path = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}.json"
+    wl.fixed_tree(spark, sf).write_document(path, 100)
+    return views.tree_view(export.read_tree(spark, path), source_ids=True).drop("date")
+
+
+@query
+def tree_lines(spark, sf):
+    """And of the tree as JSON lines, nodes in parts, read back."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    wl.fixed_tree(spark, sf).write_json(path)
+    return views.tree_view(export.read_tree_lines(spark, path), source_ids=True).drop("date")
+
+
+@query
+def event_dates(spark, sf):
+    """Dates of events: of their time in milliseconds, and of text where it is a date; values that aren't numbers count 1."""
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    odd = F.col("event_id") % 3
+    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
+    rows = rows.select(
+        "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("millis"), F.when(odd == 0, day).when(odd == 1, "soon").alias("date"),
+        F.when(F.col("event_type") == "error", "none").otherwise(F.get_json_object("props", "$.k")).alias("value"),
+    )
+    made = views.with_defaults(rows, {"topic": "'none'"})
+    return made.select("event_id", "date", "value", "topic", views.local_date(F.col("millis")).alias("day"))
+
+
 @query
 def node_paths(spark, sf):
     return views.node_paths(wl.fixed_tree(spark, sf))
@@ -426,18 +458,37 @@ def tree_outline(spark, sf):
 PLAN_LIMITS = (0.035, 0.02, 0.455)
 
 
-@query
-def trigger_plan(spark, sf):
-    """Decisions on all HKTs that the last batch reaches; nothing below a triggered one is."""
+def _last_level(spark, sf) -> tuple[Engine, drift.Level]:
+    """The pages' own tree and its root with the last batch."""
     e = wl.engine(spark, sf)
     names = ("alpha_option1_threshold", "beta_option1_threshold", "word_importance_option1_threshold")
     t = ThresholdConfig(**dict(zip(names, PLAN_LIMITS, strict=True)))
     last = wl.pages(spark, sf).filter(F.col("batch_index") == wl.BATCHES - 1)
     held = last.join(postings.source_ids(last).withColumnRenamed("internal_id", "source"), "source_id")
-    level = drift.root_level(e.state, held.select("source"), e._tokens(held), e._first(), t, e.vocabulary.select("token"))
+    return e, drift.root_level(e.state, held.select("source"), e._tokens(held), e._first(), t, e.vocabulary.select("token"))
+
+
+@query
+def trigger_plan(spark, sf):
+    """Decisions on all HKTs that the last batch reaches; nothing below a triggered one is."""
+    e, level = _last_level(spark, sf)
     return drift.plan(level, e.config.trigger_policy_mode)[0]
 
 
+@query
+def rebuild_plan(spark, sf):
+    """The HKTs that the last batch asks to rebuild, with the sources that it brings to each."""
+    e, level = _last_level(spark, sf)
+    e.last_decisions, e.last_levels, _ = drift.plan(level, e.config.trigger_policy_mode)
+    return e.rebuild_plan()
+
+
+@query
+def update_notes(spark, sf):
+    """What there is to say of the fixed tree's root after the last batch, in order."""
+    return wl.fixed_level(spark, sf).notes("PaperDiagnosticScaffold").select("hkt_id", F.col("line").cast("int").alias("line"), "text")
+
+
 @query
 def timeline_summary(spark, sf):
     """The tree's size after each of eight batches, all of which rebuild it."""

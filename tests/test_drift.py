@@ -126,3 +126,20 @@ def test_unmatched_sources_go_to_the_refuge(spark, make_sources):
     refuge = {r["node_id"] for r in e.state.nodes.filter("refuge AND hkt_id = 1").collect()}
     got = {(r["node_id"] in refuge, r["source"]) for r in at.routed.collect()}
     assert len(got) == 2 and {x for x, _ in got} == {True, False}
+
+
+def test_words_above_are_all_accepted(spark, make_sources):
+    """Only words of the nodes above are weighed on the way down, and a node's own word is accepted whatever its weight: none is ever rejected, so none can come back."""
+    texts = {f"s{i}": t for i, t in enumerate(["a b c x", "a b d", "a c d y", "a d", "a b e", "a c e"])}
+    e = engine(spark, make_sources, texts, BuilderConfig(0.3, 0.3, 1), alpha=0.9)
+    at = level(e, make_sources, {"n1": "a b q", "n2": "a d c"})
+    seen = 0
+    while (below := at.below(at.hkts.select("hkt_id"))) is not None:
+        own = at.words.select("node_id", "token").unionByName(at.assigned.select("node_id", "token")).withColumnRenamed("node_id", "parent_node_id")
+        above = at.accepted.withColumnRenamed("hkt_id", "above").join(at.nodes.select(F.col("node_id").alias("parent_node_id"), F.col("hkt_id").alias("above")), "above").select("parent_node_id", "token")
+        want = below.hkts.join(own.unionByName(above), "parent_node_id").select("hkt_id", "token").distinct()
+        got = {tuple(r) for r in below.accepted.join(below.hkts.select("hkt_id"), "hkt_id").select("hkt_id", "token").collect()}
+        assert got == {tuple(r) for r in want.collect()}
+        seen += len(got)
+        at = below
+    assert seen

@@ -158,6 +158,33 @@ def test_trees_are_read_back(spark, quake, tmp_path):
     assert {(r[0], r[1]) for r in tree.edges().collect()} == {(1, 2)}
 
 
+def test_one_document_is_put_together_from_parts(spark, make_sources, tmp_path):
+    e = Engine(spark, never())
+    e.build_baseline(make_sources({f"s{i} \"é\\": f'a b{i % 3} "q\\ {{]' for i in range(12)}))
+    tree = e.tree()
+    path = f"{tmp_path}/tree.json"
+    tree.write_document(f"file://{path}", size=2)
+    with open(path) as f:
+        found = json.load(f)
+    for n in found["nodes"]:
+        n["sources"].sort(key=lambda x: x["internal_source_id"])
+    assert found == tree.verbose()
+    parts = tree.source_parts(2).groupBy("node_id").agg(F.max(F.size("sources")).alias("most"), F.count(F.lit(1)).alias("n")).collect()
+    assert max(r["n"] for r in parts) > 3 and max(r["most"] for r in parts) < 12
+    assert export.read_tree(spark, f"file://{path}").outline() == tree.outline()
+
+
+def test_chunks_of_equal_indices(spark):
+    """Cuts between sources of one index, where it can't tell the batches apart."""
+    for values in ([0, 0, 0, 1, 1, 2, 5], [3] * 5, [1, 2], []):
+        rows = spark.createDataFrame([(v, "x") for v in values], "source_index long, source_id string")
+        got = sorted((r["source_index"], r["batch_index"]) for r in batches.chunked(rows, 3).collect())
+        size, more = divmod(len(values), 3)
+        want = [k for k in range(3) for _ in range(size + (k < more))]
+        assert [v for v, _ in got] == sorted(values) and sorted(b for _, b in got) == want
+        assert all(a[1] <= b[1] for a, b in zip(got, got[1:]) if a[0] < b[0])
+
+
 def test_timeline(spark, make_sources, tmp_path):
     texts = QUAKE[0] | QUAKE[1] | QUAKE[2]
     out = str(tmp_path / "line")
