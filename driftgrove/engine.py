@@ -52,6 +52,7 @@ class Engine:
         self.top_words: DataFrame | None = None  # node_id, token, rank
         self.registry: DataFrame | None = None  # source_id, source
         self.batches: dict[int, DataFrame] = {}  # source_index, source_id, source, tokens
+        self.words: dict[int, DataFrame] = {}  # token, first, nth, df of each of them: no batch is cut into words twice
         self.members: dict[int, DataFrame] = {}  # source, by batch, of registered batches
         self.last_batch_index: int | None = None
         self.explanation: Explanation | None = None
@@ -126,6 +127,9 @@ class Engine:
         self.members[batch_index] = held.select("source").distinct()
         return held
 
+    def _summarise(self, batch_index: int, held: DataFrame) -> None:
+        self.words[batch_index] = materialise(postings.first_and_df(held, clean=True), "engine-words")
+
     def source_batches(self) -> DataFrame:
         """source_id, last_batch, batches: of the registered batches that are kept, those that a source is in."""
         each = functools.reduce(DataFrame.unionByName, [m.withColumn("batch", F.lit(i).cast("long")) for i, m in self.members.items()])
@@ -140,35 +144,45 @@ class Engine:
         rows = self._tokens(self.batches[min(self.batches)])
         return materialise(rows.join(self.vocabulary.select("token"), "token", "left_semi").select("source", "token"), "engine-first")
 
+    def _moves(self, batches: dict[int, DataFrame]) -> dict[int, int] | None:
+        """By how much the indices of each batch are moved so that a later batch follows an earlier one; None if that doesn't fit 64 bits."""
+        order = sorted(batches)
+        if len(order) == 1:
+            return {order[0]: 0}
+        ends = functools.reduce(DataFrame.unionByName, [batches[i].agg(F.lit(i).alias("i"), F.min("source_index").alias("low"), F.max("source_index").alias("high")) for i in order])
+        spans = {r["i"]: (r["low"], r["high"]) for r in ends.collect() if r["low"] is not None}  # a row per batch
+        start, moves = -(1 << 62), {}
+        for i in order:
+            low, high = spans.get(i, (0, -1))
+            moves[i] = start - low
+            start += high - low + 1
+        return moves if start < 1 << 62 and all(abs(m) < 1 << 63 for m in moves.values()) else None
+
     def _arrivals(self, batches: dict[int, DataFrame]) -> DataFrame:
         """source_index (over all batches), source_id, source, tokens: a later batch follows an earlier one.
 
         Each batch is moved behind the one before it by the range of its own indices; where the ranges are
-        too wide together for 64 bits, its sources are numbered instead.
+        too wide together for 64 bits, the sources of each are numbered first.
         """
-        order = sorted(batches)
-        if len(order) == 1:
-            return batches[order[0]]
-        ends = functools.reduce(DataFrame.unionByName, [batches[i].agg(F.lit(i).alias("i"), F.min("source_index").alias("low"), F.max("source_index").alias("high")) for i in order])
-        spans = {r["i"]: (r["low"], r["high"]) for r in ends.collect() if r["low"] is not None}  # a row per batch
-        if sum(high - low + 1 for low, high in spans.values()) >= 1 << 63:
+        moves = self._moves(batches)
+        if moves is None:
             batches = {i: numbered(b, ["source_index"], "source_index", 0) for i, b in batches.items()}
-            counts = functools.reduce(DataFrame.unionByName, [batches[i].agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n")) for i in order])
-            spans = {r["i"]: (0, r["n"] - 1) for r in counts.collect() if r["n"]}
-        parts, start = [], -(1 << 62)
-        for i in order:
-            if i in spans:
-                low, high = spans[i]
-                # in two steps, so that neither overflows
-                moved = F.col("source_index") - F.lit(low) + F.lit(start) if high - low < 1 << 63 else F.col("source_index")
-                parts.append(batches[i].withColumn("source_index", moved))
-                start += high - low + 1
-        return functools.reduce(DataFrame.unionByName, parts) if parts else batches[order[0]]
+            moves = self._moves(batches)
+        parts = [batches[i].withColumn("source_index", F.col("source_index") + F.lit(by)) if by else batches[i] for i, by in moves.items()]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def _vocabulary(self, arrivals: DataFrame) -> DataFrame:
+        """word_id, token of the retained batches, by first appearance: from their summaries where their indices fit."""
+        moves = self._moves(self.batches)
+        if moves is None or set(moves) - set(self.words):
+            return postings.vocabulary(arrivals, clean=True).select("word_id", "token")
+        words = postings.merged_words([(self.words[i], by) for i, by in moves.items()])
+        return numbered(words, ["first", "nth"], "word_id").select(F.col("word_id").cast("int").alias("word_id"), "token")
 
     def _build(self, arrivals: DataFrame) -> None:
-        """Words, tree and state from ``arrivals``."""
-        placed = postings.first_places(arrivals, clean=True).join(arrivals.select("source_id", "source").distinct(), "source_id")
-        self.vocabulary = materialise(postings.vocabulary(arrivals, clean=True).select("word_id", "token"), "engine-vocabulary")
+        """Words, tree and state from ``arrivals``, all sources of the retained batches."""
+        self.vocabulary = materialise(self._vocabulary(arrivals), "engine-vocabulary")
+        placed = postings.first_places(arrivals, clean=True, keep=("source",))
         rows = placed.join(self.vocabulary, "token").groupBy("source", F.col("word_id").alias("word")).agg(*postings.earliest("source_index"))
         tree = trees.build(rows, self.config.builder, self.small, wide=self.wide)
         self.state, self.top_words = self._named(tree, self.vocabulary)
@@ -192,12 +206,13 @@ class Engine:
 
     def build_baseline(self, sources: DataFrame, batch_index: int = 0) -> BatchResult:
         """A new tree over the sources; forgets what was there before."""
-        self.registry, self.batches, self.members = None, {}, {}
+        self.registry, self.batches, self.words, self.members = None, {}, {}, {}
         held = self.register(sources, batch_index)
         n = held.count()
         if not n:
             raise StateError("baseline batch has no sources")
         self.batches = {batch_index: held}
+        self._summarise(batch_index, held)
         self._build(held)
         self.last_batch_index, self.last_stats = batch_index, None
         self.explanation = Explanation("Baseline initialized", ["BASELINE_INITIALIZED", "HKT_BUILDER_PHASE1"])
@@ -214,7 +229,8 @@ class Engine:
         window = self.config.window
         held = self.register(sources, batch_index)
         notes = []
-        stats = postings.batch_word_stats(held, self.vocabulary, clean=True)
+        self._summarise(batch_index, held)
+        stats = postings.batch_word_stats(held, self.vocabulary, words=self.words[batch_index])
         self.last_stats = stats.first().asDict()
         notes.append("Batch word stats: unique={unique_words}, known={known_words}, new={new_words}, max_df={max_df}, sources={sources}".format(**self.last_stats))
         t = self.config.thresholds
@@ -231,6 +247,7 @@ class Engine:
         self.batches[batch_index] = held
         if window:
             self.batches = {i: b for i, b in self.batches.items() if i > batch_index - window}
+            self.words = {i: w for i, w in self.words.items() if i in self.batches}
         kept = f", max: {window}" if window else ""
         notes.append(f"Memory mode: {self.config.memory_mode} (stored batches: {len(self.batches)}{kept})")
         codes = ["INCREMENTAL_BATCH_PROCESSED", "BATCH_WORD_STATS_COMPUTED", "SCOPE_MAPPING_COMPLETED", "SCOPE_METRICS_COMPUTED", "TRIGGER_EVALUATED"]
@@ -403,7 +420,7 @@ class Engine:
         if self.state is None:
             raise StateError(NOT_BUILT)
         tables = {f"state-{f}": getattr(self.state, f) for f in State.__dataclass_fields__} | {"vocabulary": self.vocabulary, "top_words": self.top_words, "registry": self.registry}
-        tables |= {f"batch-{i}": b for i, b in self.batches.items()} | {f"members-{i}": m for i, m in self.members.items()}
+        tables |= {f"batch-{i}": b for i, b in self.batches.items()} | {f"words-{i}": w for i, w in self.words.items()} | {f"members-{i}": m for i, m in self.members.items()}
         places = {}
         for name, df in tables.items():
             held, place = self.saved.get(name, (None, ""))
@@ -411,7 +428,7 @@ class Engine:
                 place = f"{path}/{name}"
                 df.write.mode("overwrite").parquet(place)
             places[name] = place
-        control = self.snapshot() | {"tables": places, "batches": sorted(self.batches), "members": sorted(self.members), "rebuild_mode": self.rebuild_mode, "next_hkt_id": self.next_hkt_id, "next_node_id": self.next_node_id, "rebuilt_from": self.rebuilt_from, "reason_codes": self.explanation.reason_codes, "summary": self.explanation.summary}
+        control = self.snapshot() | {"tables": places, "batches": sorted(self.batches), "words": sorted(self.words), "members": sorted(self.members), "rebuild_mode": self.rebuild_mode, "next_hkt_id": self.next_hkt_id, "next_node_id": self.next_node_id, "rebuilt_from": self.rebuilt_from, "reason_codes": self.explanation.reason_codes, "summary": self.explanation.summary}
         self.spark.createDataFrame([(json.dumps(control),)], "control string").coalesce(1).write.mode("overwrite").text(f"{path}/control")
 
     @classmethod
@@ -426,6 +443,7 @@ class Engine:
         engine.state = State(*[read(f"state-{f}") for f in State.__dataclass_fields__])
         engine.vocabulary, engine.top_words, engine.registry = read("vocabulary"), read("top_words"), read("registry")
         engine.batches = {i: read(f"batch-{i}") for i in control["batches"]}
+        engine.words = {i: read(f"words-{i}") for i in control.get("words", [])}
         engine.members = {i: read(f"members-{i}") for i in control["members"]}
         engine.last_batch_index = control["last_batch_index"]
         engine.next_hkt_id, engine.next_node_id, engine.rebuilt_from = control["next_hkt_id"], control["next_node_id"], control["rebuilt_from"]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,15 +119,24 @@ def source_ids(sources: DataFrame, rounds: int = 8) -> DataFrame:
     raise RuntimeError("source ids still clash")
 
 
-def known_new(batch: DataFrame, vocab: DataFrame, clean: bool = False) -> DataFrame:
-    """token, df, known: the distinct tokens of a batch and whether the vocabulary has them."""
-    rows = word_df(batch, clean)
+def merged_words(summaries: Sequence[tuple[DataFrame, int]]) -> DataFrame:
+    """token, first, nth over several batches, from what ``first_and_df`` found in each and by how much its indices are moved.
+
+    A batch that expires is left out of the next merge; no batch is cut into words again.
+    """
+    moved = [s.select("token", (F.col("first") + F.lit(by)).alias("first"), "nth") for s, by in summaries]
+    return functools.reduce(DataFrame.unionByName, moved).groupBy("token").agg(*earliest())
+
+
+def known_new(batch: DataFrame, vocab: DataFrame, clean: bool = False, words: DataFrame | None = None) -> DataFrame:
+    """token, df, known: the distinct tokens of a batch and whether the vocabulary has them. ``words``: token, df of the batch, where they are known."""
+    rows = word_df(batch, clean) if words is None else words.select("token", "df")
     return rows.join(vocab.select("token", F.lit(True).alias("k")), "token", "left").select("token", "df", F.coalesce("k", F.lit(False)).alias("known"))
 
 
-def batch_word_stats(batch: DataFrame, vocab: DataFrame, clean: bool = False) -> DataFrame:
+def batch_word_stats(batch: DataFrame, vocab: DataFrame, clean: bool = False, words: DataFrame | None = None) -> DataFrame:
     """One row: unique_words, known_words, new_words, max_df, sources."""
-    rows = known_new(batch, vocab, clean)
+    rows = known_new(batch, vocab, clean, words)
     words = rows.agg(
         F.count(F.lit(1)).alias("unique_words"), F.count_if("known").alias("known_words"), F.coalesce(F.max("df"), F.lit(0)).alias("max_df"),
     ).withColumn("new_words", F.greatest(F.col("unique_words") - F.col("known_words"), F.lit(0)))

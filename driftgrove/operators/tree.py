@@ -3,7 +3,7 @@
 A scope is a set of postings (source, word). Its frequent words are dealt out to nodes one after
 the other, by how much of a node's sources a word covers; that fold needs only how many sources
 hold which set of frequent words, so each scope is aggregated to such patterns before it, and where
-even these are many the fold goes a word at a time over the distributed patterns. Nodes
+even these are many the fold goes some words at a time over the distributed patterns. Nodes
 with enough sources open a scope of their own. Scopes of one level are handled together, and the whole
 subtree of a small scope within one task. Different ways down often lead to the same postings: such a
 scope is built once, and what is below it is repeated only when the tree is read out by path.
@@ -39,6 +39,8 @@ REFUGE = -1
 ROOT = "root"
 #: Nodes of a tree up to which the driver numbers them.
 PLACES = 20_000
+#: Frequent words of a wide scope that are folded together, and the most signatures that the driver takes for it.
+BLOCK, SIGNATURES = 32, 100_000
 #: Sources and pairs of nodes that a task gathers before it hands them on.
 OUT = 200_000
 
@@ -263,10 +265,13 @@ def fold_by_scope(patterns: DataFrame, expected: DataFrame, similarity: float) -
     return patterns.join(seeds, "scope").groupBy("scope").applyInPandas(one, "scope string, ord int, word int")
 
 
-def fold_by_steps(patterns: DataFrame, expected: DataFrame, similarity: float) -> DataFrame:
-    """The same, a word of every scope at a time: Spark counts what the word shares with each node, the driver keeps the nodes' words.
+def fold_by_steps(patterns: DataFrame, expected: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """The same, ``block`` words of every scope at a time, for scopes whose patterns no task could hold.
 
-    A job per frequent word of the widest scope; for scopes whose patterns no task could hold.
+    What a block's words do to each other depends only on which nodes and which of these words a source has.
+    Spark counts the sources of each such signature, and the driver folds the block over them. Where
+    there are more than SIGNATURES of them the block is halved, and a single word needs no more
+    than its common sources with each node. About a job for each ``block`` words of the widest scope.
     """
     spark = patterns.sparkSession
     lines: dict[str, list[tuple[int, int]]] = {}
@@ -274,28 +279,59 @@ def fold_by_steps(patterns: DataFrame, expected: DataFrame, similarity: float) -
         lines.setdefault(r["scope"], []).append((r["word"], r["df"]))
     node_of: dict[str, dict[int, int]] = {p: {line[0][0]: 0} for p, line in lines.items()}
     held: dict[str, list[int]] = {p: [line[0][1]] for p, line in lines.items()}
-    for i in range(1, max(map(len, lines.values()))):
-        now = {p: line[i] for p, line in lines.items() if i < len(line)}
-        rows = [(p, w, node_of[p]) for p, (w, _) in now.items()]
-        step = F.broadcast(spark.createDataFrame(rows, "scope string, word int, node_of map<int,int>"))  # a row per wide scope
-        inside = patterns.join(step, "scope").filter(F.array_contains("pattern", F.col("word")))
-        at = F.array_distinct(F.array_compact(F.transform("pattern", lambda w: F.try_element_at("node_of", w))))
-        found: dict[str, dict[int, int]] = {}
-        for r in inside.select("scope", "n", F.explode(at).alias("ord")).groupBy("scope", "ord").agg(F.sum("n").alias("n")).collect():  # a row per node
-            found.setdefault(r["scope"], {})[r["ord"]] = r["n"]
-        for p, (word, df) in now.items():
-            common = found.get(p, {})
-            shares = [common.get(k, 0) / n for k, n in enumerate(held[p])]
-            best = max(shares)
-            k = shares.index(best) if best >= similarity else len(shares)
-            if k == len(shares):
-                held[p].append(0)
-            node_of[p][word] = k
-            held[p][k] += df - common.get(k, 0)
+    i = 1
+    while i < max(map(len, lines.values())):
+        now = {p: line[i : i + block] for p, line in lines.items() if i < len(line)}
+        found = signatures(patterns, {p: ([w for w, _ in words], node_of[p]) for p, words in now.items()}, alone=block == 1)
+        if found is None:
+            block //= 2
+            continue
+        for p, words in now.items():
+            seen = found.get(p, [])
+            for word, df in words:
+                own = [s for s in seen if word in s[1]]
+                common = [0] * len(held[p])
+                for nodes, _, n in own:
+                    for k in nodes:
+                        common[k] += n
+                shares = [c / n for c, n in zip(common, held[p], strict=True)]
+                best = max(shares)
+                k = shares.index(best) if best >= similarity else len(shares)
+                if k == len(shares):
+                    held[p].append(0)
+                    common.append(0)
+                node_of[p][word] = k
+                held[p][k] += df - common[k]
+                for nodes, _, _ in own:
+                    nodes.add(k)
+        i += block
     out = [(p, k, w) for p, words in node_of.items() for w, k in words.items()]
     return spark.createDataFrame(out, "scope string, ord int, word int")
 
 
+def signatures(patterns: DataFrame, now: dict[str, tuple[list[int], dict[int, int]]], alone: bool) -> dict[str, list[tuple[set[int], set[int], int]]] | None:
+    """By scope: (nodes, words, n), how many sources are in just these nodes and have just these of the given words; None if there are too many.
+
+    ``now``: the words, and the node of each word before. ``alone``: there is one word to a scope, and the nodes may be told one by one.
+    """
+    rows = [(p, words, nodes) for p, (words, nodes) in now.items()]
+    step = F.broadcast(patterns.sparkSession.createDataFrame(rows, "scope string, words array<int>, node_of map<int,int>"))  # a row per wide scope
+    met = F.array_sort(F.array_intersect("pattern", "words"))
+    at = F.array_sort(F.array_distinct(F.array_compact(F.transform("pattern", lambda w: F.try_element_at("node_of", w)))))
+    inside = patterns.join(step, "scope").select("scope", "n", met.alias("met"), at.alias("at")).filter(F.size("met") > 0)
+    found: dict[str, list[tuple[set[int], set[int], int]]] = {}
+    if alone:  # a row per node
+        for r in inside.select("scope", "met", "n", F.explode("at").alias("k")).groupBy("scope", "met", "k").agg(F.sum("n").alias("n")).collect():
+            found.setdefault(r["scope"], []).append(({r["k"]}, set(r["met"]), r["n"]))
+        return found
+    counted = inside.groupBy("scope", "at", "met").agg(F.sum("n").alias("n")).limit(SIGNATURES + 1).collect()
+    if len(counted) > SIGNATURES:
+        return None
+    for r in counted:
+        found.setdefault(r["scope"], []).append((set(r["at"]), set(r["met"]), r["n"]))
+    return found
+
+
 def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arrival: bool = False, wide: int = WIDE, places: int = PLACES, roots: Sequence[str] = (ROOT,)) -> Tree:
     """The tree over postings (source long, word int, first long, nth int), each source and word once with its first arrival.
 
