@@ -5,8 +5,6 @@ Column names that begin with two underscores are the operators' own; input colum
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftgrove.tables import drop_written, materialise, shared_dir
+
+__all__ = ["crc_remainder", "drop_written", "hash_share", "id_text", "map_text", "materialise", "shared_dir", "small_batches", "table", "utf8"]
+
 #: Rows and bytes in an Arrow batch; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -22,39 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all executors share. Where it is unset a local master (tests) gets a folder of its own; a cluster is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='driftgrove-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Folders of this process's tables.
-_written: list[str] = []
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Deletes the tables that ``materialise`` has written so far; results that still read them are lost."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = hadoop.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_text(col: Column) -> Column:
     """An id as text; null becomes the empty text."""
     return F.coalesce(col.cast("string"), F.lit(""))
