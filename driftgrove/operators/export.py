@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import functools
 import json
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from driftgrove.operators.drift import State
-from driftgrove.tables import materialise, numbered, shared_dir
+from driftgrove.tables import materialise, numbered, write_in_order
 
 REFUGE, UNKNOWN = "<REFUGE>", "<UNKNOWN_SOURCE>"
 WORDS, SOURCES = "array<struct<word_id:int,token:string>>", "array<struct<internal_source_id:bigint,external_source_id:string>>"
@@ -187,25 +186,7 @@ class TreeExport:
 
     def write_document(self, path: str, size: int = PART) -> None:
         """The verbose tree as one JSON document at ``path``, which the driver puts together from files that the executors wrote, without holding it."""
-        spark = self.state.nodes.sparkSession
-        order = ["section", "a", "b"]
-        folder = f"{shared_dir(spark)}/document-{uuid.uuid4().hex}"
-        self._fragments(size).repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.text(folder)
-        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
-        source, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
-        files = source.getFileSystem(conf)
-        parts = sorted(s.getPath().toString() for s in files.listStatus(source) if s.getPath().getName().startswith("part-"))
-        out = target.getFileSystem(conf).create(target, True)
-        try:
-            for p in parts:
-                data = files.open(hadoop.fs.Path(p))
-                try:
-                    hadoop.io.IOUtils.copyBytes(data, out, 1 << 20, False)
-                finally:
-                    data.close()
-        finally:
-            out.close()
-        files.delete(source, True)
+        write_in_order(self._fragments(size), ["section", "a", "b"], path)
 
     def outline_rows(self) -> DataFrame:
         """place (array, in which order lines follow each other), text: a line for each HKT and node, sources as counts."""

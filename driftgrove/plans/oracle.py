@@ -230,7 +230,7 @@ def statements() -> dict[str, str]:
         "doc_lengths": f"SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, len(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda x: lower(x)), lambda x: x NOT IN ({_STOP})))::BIGINT AS n_tokens FROM conversations",
     }
     viewed = out["tree_view"]
-    return out | {"tree_document": viewed, "tree_lines": viewed, "event_dates": EVENT_DATES, "update_notes": _notes(out)}
+    return out | {"scan_document": out["scan_sources"], "tree_document": viewed, "tree_lines": viewed, "event_dates": EVENT_DATES, "update_notes": _notes(out)}
 
 
 EVENT_DATES = """

@@ -64,6 +64,15 @@ def scan_sources(spark, sf):
     return rows.select("batch_index", "source_index", "source_id", F.size("tokens").alias("n_tokens"), "metadata")
 
 
+@query
+def scan_document(spark, sf):
+    """The sources after a way through one JSON document that several tasks read."""
+    path = f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}.json"
+    batches.write_batch_document(wl.sources(spark, sf), path)
+    rows = batches.read_split(spark, path).drop("source_index").withColumn("source_index", F.split_part("source_id", F.lit("_"), F.lit(2)).cast("long"))
+    return rows.select("batch_index", "source_index", "source_id", F.size("tokens").alias("n_tokens"), "metadata")
+
+
 @query
 def csv_ingest(spark, sf):
     docs = wl.documents(spark, sf)

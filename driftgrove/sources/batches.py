@@ -6,12 +6,12 @@ import functools
 import json
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrove.functions import text as tx
-from driftgrove.tables import numbered
+from driftgrove.tables import materialise, numbered, write_in_order
 
 SOURCE = T.StructType(
     [
@@ -53,6 +53,71 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
     return wrapped.unionByName(bare.select(*wrapped.columns))
 
 
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """The sources of one large JSON document, {batch_index, sources} or an array of sources, read by as many tasks as its size asks for.
+
+    The text is read in pieces that end with ``}``, which Spark splits by byte ranges. Whether a piece begins
+    inside a string, how deep, and in which source, follow from sums over the pieces before it: within a
+    range, then over ranges. Pieces of a source are put together and parsed; no row holds more than a source.
+    source_index is the place in a batch, and for a bare array the order of source_id, as in ``read_batch``.
+    """
+    lines = spark.read.option("lineSep", "}").text(path)
+    meta = lambda c: F.col(f"_metadata.{c}")
+    held = lines.select(meta("file_path").alias("file"), meta("file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.concat("value", F.lit("}")).alias("text"))
+    bare = F.regexp_replace("text", r"\\.", "")  # without escaped characters
+    outside = lambda s: F.regexp_replace(s, '"[^"]*("|$)', "")
+    opened = lambda s: F.char_length(s) - F.char_length(F.translate(s, "{[", ""))
+    closed = lambda s: F.char_length(s) - F.char_length(F.translate(s, "}]", ""))
+    deeper = lambda s: opened(s) - closed(s)
+    held = held.withColumn("bare", bare).select(
+        "file", "block", "at", "text", ((F.char_length("bare") - F.char_length(F.translate("bare", '"', ""))) % 2).alias("odd"),
+        deeper(outside(F.col("bare"))).alias("plain"), deeper(outside(F.concat(F.lit('"'), "bare"))).alias("quoted"),
+    )
+    held = materialise(held, "json-pieces")
+    held = _sums(held, "odd", "quotes")
+    inside = F.col("quotes") % 2 == 1
+    held = _sums(materialise(held.withColumn("step", F.when(inside, F.col("quoted")).otherwise(F.col("plain"))), "json-strings"), "step", "depth")
+    level = F.when(F.col("head").startswith("["), 1).otherwise(2)
+    head = held.groupBy("file").agg(F.ltrim(F.min_by(F.substring("text", 1, 1000), F.struct("block", "at"))).alias("head"))  # a row per file
+    after = F.col("depth") + F.col("step")
+    ends = ((F.col("quotes") + F.col("odd")) % 2 == 0) & (after == level)
+    held = held.join(F.broadcast(head), "file").withColumn("ends", ends.cast("int")).withColumn("array", F.col("head").startswith("["))
+    held = _sums(materialise(held, "json-depths"), "ends", "place")
+    whole = held.groupBy("file", "array", "place").agg(F.array_sort(F.collect_list(F.struct("block", "at", "text"))).alias("parts"), F.max("ends").alias("ended"))
+    whole = materialise(whole.select("file", "array", "place", "ended", F.array_join("parts.text", "").alias("text")), "json-sources")
+    # what is before the first source and after the last one belongs to the document
+    frame = F.when(F.col("ended") == 0, F.col("text")).otherwise(F.regexp_extract("text", r'(?s)^(.*?"sources"\s*:\s*\[)', 1))
+    found = F.regexp_extract(frame, r'"batch_index"\s*:\s*(-?[0-9]+)', 1)
+    batch = whole.filter("NOT array AND (place = 0 OR ended = 0)").groupBy("file").agg(F.max(F.nullif(found, F.lit(""))).cast("long").alias("batch_index"))
+    own = F.when((F.col("place") == 0) & ~F.col("array"), F.regexp_replace("text", r'(?s)^.*?"sources"\s*:\s*\[', "")).otherwise(F.col("text"))
+    parsed = F.from_json(F.regexp_replace(own, r"^[\s,\[]+", ""), SOURCE)
+    rows = whole.filter("ended = 1").select("file", "array", F.col("place").cast("long").alias("source_index"), parsed.alias("s"))
+    inner = [F.col(f"s.{c}").alias(c) for c in SOURCE.names if c != "batch_index"]
+    wrapped = rows.filter("NOT array").join(F.broadcast(batch), "file", "left").select("batch_index", "source_index", *inner)  # a row per file
+    bare_rows = rows.filter("array").select("s.*").filter("source_id IS NOT NULL")
+    return wrapped.unionByName(numbered(bare_rows, ["source_id"], "source_index", 0).select(*wrapped.columns))
+
+
+def _sums(pieces: DataFrame, value: str, name: str) -> DataFrame:
+    """``pieces`` (file, block, at) with ``name``: the sum of ``value`` over all pieces of the file before, by blocks and within them."""
+    earlier = (Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("file", "block").orderBy("at").rowsBetween(*earlier)), F.lit(0))
+    blocks = pieces.groupBy("file", "block").agg(F.sum(value).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(*earlier)), F.lit(0))
+    starts = F.broadcast(blocks.select("file", "block", before.alias("__before")))  # a row per byte range
+    return pieces.withColumn(name, own).join(starts, ["file", "block"]).withColumn(name, F.col(name) + F.col("__before")).drop("__before")
+
+
+def write_batch_document(sources: DataFrame, path: str) -> None:
+    """One JSON document {batch_index, sources} of a batch of any size, put together from parts."""
+    own = sources.select(F.lit(1).alias("section"), "source_index", F.to_json(F.struct("source_id", "batch_index", "tokens", "text", "timestamp_unix_ms", "metadata")).alias("json"))
+    first = sources.agg(F.min("source_index").alias("first"), F.any_value("batch_index").alias("batch")).first()
+    lines = own.select("section", "source_index", F.concat(F.when(F.col("source_index") == F.lit(first["first"]), "").otherwise(","), "json").alias("text"))
+    frame = [(0, 0, f'{{"batch_index":{first["batch"] or 0},"sources":['), (2, 0, "]}")]
+    frame = sources.sparkSession.createDataFrame(frame, "section int, source_index long, text string")
+    write_in_order(frame.unionByName(lines), ["section", "source_index"], path)
+
+
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
     """A table or batch by the extension of its path: CSV as text columns, JSON as sources; others are refused."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()

@@ -49,6 +49,28 @@ def materialise_all(tables: dict[str, DataFrame]) -> list[DataFrame]:
         return list(pool.map(lambda x: materialise(x[1], x[0]), tables.items()))
 
 
+def write_in_order(pieces: DataFrame, order: list[str], path: str) -> None:
+    """One text file at ``path``, a line for each ``text`` of ``pieces`` in order: executors write its parts, the driver copies them together without holding them."""
+    spark = pieces.sparkSession
+    folder = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    pieces.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.text(folder)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(folder), hadoop.fs.Path(path)
+    files = source.getFileSystem(conf)
+    parts = sorted(s.getPath().toString() for s in files.listStatus(source) if s.getPath().getName().startswith("part-"))
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        for p in parts:
+            data = files.open(hadoop.fs.Path(p))
+            try:
+                hadoop.io.IOUtils.copyBytes(data, out, 1 << 20, False)
+            finally:
+                data.close()
+    finally:
+        out.close()
+    files.delete(source, True)
+
+
 def numbered(df: DataFrame, order: list, name: str, start: int = 1) -> DataFrame:
     """``df`` with ``name``: its place in the given order, from ``start``.
 

@@ -85,6 +85,24 @@ def test_any_shape_of_json(spark, tmp_path):
     assert {r["source_id"] for r in batches.read_batch(spark, f"file://{tmp_path}/out").collect()} == {"a", "b"}
 
 
+def test_one_large_document_is_read_by_many_tasks(spark, tmp_path):
+    r = [{"source_id": f"s{i:03d}", "tokens": ["a{", "}b", '"', "\\\\", "[]}", f"t{i}"], "text": 'x } "y" \\ { ' * (i % 7) + "é😀", "metadata": "{}"} for i in range(60)]
+    shapes = {"wrapped": {"batch_index": 4, "sources": r}, "late": {"sources": r, "batch_index": 4}, "array": r}
+    names = ["batch_index", "source_index", "source_id", "tokens", "text", "metadata"]
+    for name, doc in shapes.items():
+        for indent in (None, 2):
+            path = f"{tmp_path}/{name}{indent}.json"
+            with open(path, "w") as f:
+                json.dump(doc, f, indent=indent, ensure_ascii=bool(indent))
+            want = sorted(map(tuple, batches.read_batch(spark, f"file://{path}").select(names).collect()), key=str)
+            for size in ("900", "128m"):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                found = batches.read_split(spark, f"file://{path}").select(names)
+                assert sorted(map(tuple, found.collect()), key=str) == want and len(want) == 60
+                parts = spark.read.option("lineSep", "}").text(f"file://{path}").rdd.getNumPartitions()
+                assert (parts > 5) == (size == "900")
+
+
 def test_dates_and_defaults(spark):
     today = datetime.date.today()
     rows = spark.createDataFrame([("86400000",), ("0",), ("x",), (None,), ("1.5e12",)], "ms string").select(views.local_date(F.col("ms"), F.lit(today)).alias("d")).collect()
