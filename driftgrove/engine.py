@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import weakref
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from driftgrove.functions.text import trim
 from driftgrove.operators import drift, postings, prune
 from driftgrove.operators import tree as trees
 from driftgrove.operators.drift import State
-from driftgrove.tables import materialise, materialise_all, numbered
+from driftgrove.tables import grown, materialise, materialise_all, numbered, parts_of, union_of
 
 NOT_BUILT = "baseline tree has not been built yet"
 SCHEMA_VERSION = 1
@@ -57,7 +58,7 @@ class Engine:
         self.last_batch_index: int | None = None
         self.explanation: Explanation | None = None
         self.last_stats: dict | None = None
-        self.saved: dict[str, tuple[DataFrame, str]] = {}  # tables that were loaded, with their places
+        self.places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()  # of tables that are saved already
         self.last_decisions: DataFrame | None = None
         self.last_levels: list[drift.Level] = []
         self.removed: dict[int, int] = {}  # hkt_id: old parent node
@@ -122,7 +123,7 @@ class Engine:
                 settled = postings.source_ids(both).withColumnRenamed("internal_id", "source").join(self.registry.withColumnRenamed("source", "old"), "source_id", "left")
                 self.registry = materialise(settled.select("source_id", F.coalesce("old", "source").alias("source")), "engine-registry")
             else:
-                self.registry = materialise(self.registry.select("source_id", "source").unionByName(ids.select("source_id", "source")), "engine-registry")
+                self.registry = grown(self.registry, ids, "engine-registry")
         held = materialise(rows.join(self.registry, "source_id").select("source_index", "source_id", "source", "tokens"), "engine-batch")
         self.members[batch_index] = held.select("source").distinct()
         return held
@@ -413,21 +414,23 @@ class Engine:
         return {"schema_version": SCHEMA_VERSION, "engine_version": "0.1.0", "config": self.config.to_dict(), "last_batch_index": self.last_batch_index, "logically_removed_hkts": {str(k): v for k, v in self.removed.items()}}
 
     def save(self, path: str) -> None:
-        """The engine under ``path``: tables that changed since it was loaded, then the control file, which names all tables and makes them valid.
+        """The engine under ``path``: tables and parts of tables that no earlier save has, then the control file, which names all of them and makes them valid.
 
-        Tables that didn't change stay where they are, in the folder that the engine was loaded from or in those that this one refers to.
+        What is saved already stays where it is, in the folder of an earlier version. Batches that are merged add a part to
+        the tables that grow with the sources, so a version writes about as much as its batch brought.
         """
         if self.state is None:
             raise StateError(NOT_BUILT)
         tables = {f"state-{f}": getattr(self.state, f) for f in State.__dataclass_fields__} | {"vocabulary": self.vocabulary, "top_words": self.top_words, "registry": self.registry}
         tables |= {f"batch-{i}": b for i, b in self.batches.items()} | {f"words-{i}": w for i, w in self.words.items()} | {f"members-{i}": m for i, m in self.members.items()}
-        places = {}
+        places: dict[str, list[str]] = {}
         for name, df in tables.items():
-            held, place = self.saved.get(name, (None, ""))
-            if held is not df:
-                place = f"{path}/{name}"
-                df.write.mode("overwrite").parquet(place)
-            places[name] = place
+            for part in parts_of(df):
+                if part not in self.places:
+                    place = f"{path}/{name}-{len(places.get(name, []))}"
+                    part.write.mode("overwrite").parquet(place)
+                    self.places[part] = place
+                places.setdefault(name, []).append(self.places[part])
         control = self.snapshot() | {"tables": places, "batches": sorted(self.batches), "words": sorted(self.words), "members": sorted(self.members), "rebuild_mode": self.rebuild_mode, "next_hkt_id": self.next_hkt_id, "next_node_id": self.next_node_id, "rebuilt_from": self.rebuilt_from, "reason_codes": self.explanation.reason_codes, "summary": self.explanation.summary}
         self.spark.createDataFrame([(json.dumps(control),)], "control string").coalesce(1).write.mode("overwrite").text(f"{path}/control")
 
@@ -437,8 +440,9 @@ class Engine:
         engine = cls(spark, Config.from_dict(control["config"]), control["rebuild_mode"])
 
         def read(name: str) -> DataFrame:
-            engine.saved[name] = spark.read.parquet(control["tables"][name]), control["tables"][name]
-            return engine.saved[name][0]
+            parts = [spark.read.parquet(place) for place in control["tables"][name]]
+            engine.places.update(zip(parts, control["tables"][name], strict=True))
+            return union_of(parts)
 
         engine.state = State(*[read(f"state-{f}") for f in State.__dataclass_fields__])
         engine.vocabulary, engine.top_words, engine.registry = read("vocabulary"), read("top_words"), read("registry")

@@ -15,7 +15,7 @@ from pyspark.sql import Window
 
 from driftgrove.config import ThresholdConfig
 from driftgrove.functions.text import round_half_away
-from driftgrove.tables import materialise, materialise_all
+from driftgrove.tables import grown, materialise, materialise_all
 
 
 @dataclass(frozen=True)
@@ -434,10 +434,16 @@ def merged(state: State, levels: list[Level], accepted: list[DataFrame]) -> Stat
         expected = expected.join(calm, "hkt_id", "left_anti").unionByName(new)
     if staged is None:
         return state
-    staged = materialise(staged, "drift-staged")
+    staged = materialise(staged.distinct(), "drift-staged")
     return replace(
         state,
-        word_sources=materialise(word_sources.unionByName(staged).distinct(), "state-word_sources"),
-        node_sources=materialise(state.node_sources.unionByName(staged.select("node_id", "source")).distinct(), "state-node_sources"),
+        word_sources=grown(word_sources, _missing(staged, word_sources), "state-word_sources"),
+        node_sources=grown(state.node_sources, _missing(staged.select("node_id", "source").distinct(), state.node_sources), "state-node_sources"),
         expected=materialise(expected, "state-expected"),
     )
+
+
+def _missing(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """The ``rows`` that ``held`` lacks; only what it has of their sources is compared."""
+    near = held.join(rows.select("source").distinct(), "source", "left_semi")
+    return rows.join(near, rows.columns, "left_anti")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+import weakref
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,6 +45,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The tables that a grown one is made of.
+_parts: weakref.WeakKeyDictionary[DataFrame, list[DataFrame]] = weakref.WeakKeyDictionary()
+#: Parts of a grown table, beyond which they become one.
+MOST_PARTS = 16
+
+
+def parts_of(df: DataFrame) -> list[DataFrame]:
+    return _parts.get(df, [df])
+
+
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all ``parts`` as one table that remembers them."""
+    if len(parts) == 1:
+        return parts[0]
+    out = functools.reduce(DataFrame.unionByName, parts)
+    _parts[out] = parts
+    return out
+
+
+def grown(base: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """``base`` and the rows of ``more``, of which alone a table is written, until there are MOST_PARTS and all are written as one."""
+    parts = [*parts_of(base), materialise(more.select(base.columns), name)]
+    return union_of(parts) if len(parts) <= MOST_PARTS else materialise(union_of(parts), name)
+
+
 def materialise_all(tables: dict[str, DataFrame]) -> list[DataFrame]:
     """``materialise`` for tables that don't depend on each other, side by side: a small one costs the driver's time more than the executors'."""
     with ThreadPoolExecutor(min(8, max(1, len(tables)))) as pool:

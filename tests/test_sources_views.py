@@ -226,13 +226,34 @@ def test_stream_restarts(spark, make_sources, tmp_path):
         made.start(file_stream(spark, stream), f"file://{tmp_path}/check").awaitTermination()
         assert made.version() == i
     made.apply(make_sources(QUAKE[2]).select("source_index", "source_id", "tokens"), 2)  # delivered again
-    assert not (tmp_path / "engine" / "v2" / "batch-1").exists() and (tmp_path / "engine" / "v1" / "batch-1").exists()  # referred to
+    assert not (tmp_path / "engine" / "v2" / "batch-1-0").exists() and (tmp_path / "engine" / "v1" / "batch-1-0").exists()  # referred to
     e = Engine(spark, never())
     for i, texts in enumerate(QUAKE):
         e.process_batch(make_sources(texts), i) if i else e.build_baseline(make_sources(texts))
     assert flat(made.engine()) == flat(e)
 
 
+def test_versions_write_what_is_new_and_go_when_unused(spark, make_sources, tmp_path):
+    path = f"{tmp_path}/versions"
+    plain = Engine(spark, never())
+    streamed = StreamedEngine(spark, f"file://{path}", never())
+    words = ["earthquake damage city", "storm damage coast", "earthquake city", "city coast storm"]
+    for i in range(3):
+        rows = make_sources({f"s{i}_{k}": w for k, w in enumerate(words * (10 if i == 0 else 1))}, i)
+        streamed.apply(rows, i)
+        plain.process_batch(rows, i) if i else plain.build_baseline(rows, i)
+    assert flat(streamed.engine()) == flat(plain)
+    with open(next(p for p in (os.path.join(path, "v2", "control", f) for f in os.listdir(f"{path}/v2/control")) if p.endswith(".txt"))) as f:
+        tables = json.loads(f.read())["tables"]
+    assert len(tables["state-word_sources"]) == 3 and len(tables["registry"]) == 3
+    sizes = [spark.read.parquet(p).count() for p in tables["state-word_sources"]]
+    assert sizes[0] > 5 * max(sizes[1:]) > 0
+    held = {os.path.join(v, t) for v in os.listdir(path) if v != "pointer" for t in os.listdir(f"{path}/{v}") if t != "control"}
+    named = {"/".join(p.split("/")[-2:]) for places in tables.values() for p in places}
+    assert named <= held and {v for v in os.listdir(path) if os.path.exists(f"{path}/{v}/control")} == {"v1", "v2"}
+    assert not streamed.sweep()
+
+
 def test_command_line(spark, make_sources, tmp_path, capsys):
     batch = str(tmp_path / "b.json")
     batches.write_batch_json(make_sources(QUAKE[0]), batch)
