@@ -145,6 +145,11 @@ class Engine:
         rows = self._tokens(self.batches[min(self.batches)])
         return materialise(rows.join(self.vocabulary.select("token"), "token", "left_semi").select("source", "token"), "engine-first")
 
+    def _first_df(self) -> DataFrame | None:
+        """token, df of ``_first``, from the batch's summary."""
+        words = self.words.get(min(self.batches))
+        return None if words is None else words.join(self.vocabulary.select("token"), "token", "left_semi").select("token", "df")
+
     def _moves(self, batches: dict[int, DataFrame]) -> dict[int, int] | None:
         """By how much the indices of each batch are moved so that a later batch follows an earlier one; None if that doesn't fit 64 bits."""
         order = sorted(batches)
@@ -238,7 +243,7 @@ class Engine:
         seen = postings.batch_trigger_metrics(stats, t.alpha, t.beta, (t.alpha_error_threshold, t.beta_error_threshold, t.word_importance_error_threshold)).first()
         notes.append(f"Batch trigger metrics: alpha_err={seen['alpha_error']:.4f}, beta_err={seen['beta_error']:.4f}, word_importance_error={seen['word_importance_error']:.4f}")
         tokens = materialise(self._tokens(held), "engine-tokens")
-        level = drift.root_level(self.state, held.select("source"), tokens, self._first(), t, self.vocabulary.select("token"))
+        level = drift.root_level(self.state, held.select("source"), tokens, self._first(), t, self.vocabulary.select("token"), self._first_df())
         decisions, levels, accepted = drift.plan(level, self.config.trigger_policy_mode)
         self.last_decisions, self.last_levels = decisions, levels
         self.state = drift.merged(self.state, levels, accepted)

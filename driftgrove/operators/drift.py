@@ -51,6 +51,8 @@ class Level:
     thresholds: ThresholdConfig
     #: token: the vocabulary that tells known from new words; by default the words of all nodes.
     known: DataFrame | None = None
+    #: token, df of ``first``, where that is known already.
+    first_df: DataFrame | None = None
 
     @functools.cached_property
     def hkts(self) -> DataFrame:
@@ -97,7 +99,8 @@ class Level:
     @functools.cached_property
     def state0_df(self) -> DataFrame:
         """hkt_id, token, df0: sources of the first batch in the parent node (all for the root) that hold the word."""
-        root = self.first.groupBy("token").agg(F.count(F.lit(1)).alias("df0")).crossJoin(F.broadcast(self.hkts.filter("parent_node_id = 0").select("hkt_id").limit(1)))
+        counts = self.first.groupBy("token").agg(F.count(F.lit(1)).alias("df0")) if self.first_df is None else self.first_df.select("token", F.col("df").alias("df0"))
+        root = counts.crossJoin(F.broadcast(self.hkts.filter("parent_node_id = 0").select("hkt_id").limit(1)))
         above = self.hkts.filter("parent_node_id <> 0").join(self.state.node_sources.withColumnRenamed("node_id", "parent_node_id"), "parent_node_id")
         below = above.select("hkt_id", "source").join(self.first, "source").groupBy("hkt_id", "token").agg(F.count(F.lit(1)).alias("df0"))
         return root.select("hkt_id", "token", "df0").unionByName(below)
@@ -105,8 +108,8 @@ class Level:
     @functools.cached_property
     def state0(self) -> DataFrame:
         """hkt_id, node_id, token, source: first-batch sources of a node, by the node's own words."""
-        held = self.nodes.filter("NOT refuge").select("hkt_id", "node_id").join(self.state.node_sources, "node_id").join(self.first, "source")
-        return held.join(self.state.node_words.select("node_id", "token"), ["node_id", "token"]).select("hkt_id", "node_id", "token", "source")
+        held = self.first.join(self.words.select("hkt_id", "node_id", "token"), "token").join(self.state.node_sources, ["node_id", "source"])
+        return materialise(held.select("hkt_id", "node_id", "token", "source"), "drift-state0")
 
     @functools.cached_property
     def wanted(self) -> DataFrame:
@@ -402,12 +405,12 @@ class Level:
         return replace(self, frontier=frontier, accepted=materialise(above.unionByName(own).distinct(), "drift-accepted"))
 
 
-def root_level(state: State, sources: DataFrame, tokens: DataFrame, first: DataFrame, thresholds: ThresholdConfig, known: DataFrame | None = None) -> Level:
+def root_level(state: State, sources: DataFrame, tokens: DataFrame, first: DataFrame, thresholds: ThresholdConfig, known: DataFrame | None = None, first_df: DataFrame | None = None) -> Level:
     """The root HKT (the lowest one without a parent) with all ``sources`` (source) of the batch."""
     root = state.hkts.filter("parent_node_id = 0").orderBy("hkt_id").limit(1).select("hkt_id")
     frontier = sources.select("source").distinct().crossJoin(F.broadcast(root)).select("hkt_id", "source")  # one row
     none = frontier.select("hkt_id", F.lit("").alias("token")).limit(0)
-    return Level(state, frontier, tokens, first, none, thresholds, known)
+    return Level(state, frontier, tokens, first, none, thresholds, known, first_df)
 
 
 def plan(level: Level, policy: str) -> tuple[DataFrame | None, list[Level], list[DataFrame]]:

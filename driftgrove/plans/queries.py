@@ -174,12 +174,12 @@ def branch_scope(spark, sf):
 
 @query
 def known_new_words(spark, sf):
-    return postings.known_new(wl.last_batch(spark, sf), wl.vocabulary(spark, sf), clean=True)
+    return postings.known_new(wl.last_batch(spark, sf), wl.words(spark, sf), clean=True)
 
 
 @query
 def batch_word_stats(spark, sf):
-    return postings.batch_word_stats(wl.last_batch(spark, sf), wl.vocabulary(spark, sf), clean=True)
+    return postings.batch_word_stats(wl.last_batch(spark, sf), wl.words(spark, sf), clean=True)
 
 
 @query

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgrove.config import BuilderConfig, Config, ThresholdConfig
@@ -21,7 +21,7 @@ from driftgrove.engine import Engine
 from driftgrove.functions.text import STOP_WORDS
 from driftgrove.operators import drift, postings
 from driftgrove.operators.export import TreeExport
-from driftgrove.tables import materialise
+from driftgrove.tables import materialise, numbered
 from driftgrove.sources import batches
 
 BATCHES = 8
@@ -72,16 +72,25 @@ def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dealt(spark, sf_dir)
 
 
+@shared
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token, first, nth, df of the baseline."""
+    return materialise(postings.first_and_df(baseline(spark, sf_dir), clean=True), "workload-words")
+
+
 @shared
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(postings.vocabulary(baseline(spark, sf_dir), clean=True), "workload-vocabulary")
+    """word_id, token, df of the baseline, numbered by first appearance."""
+    made = numbered(words(spark, sf_dir), ["first", "nth"], "word_id")
+    return materialise(made.select(F.col("word_id").cast("int").alias("word_id"), "token", "df"), "workload-vocabulary")
 
 
 @shared
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token, df, at, place, word_id of the first words in the baseline's ranking."""
-    top = postings.ranked_words(baseline(spark, sf_dir), clean=True).filter(F.col("place") <= CHILD_WORDS)
-    return materialise(top.join(vocabulary(spark, sf_dir).select("token", "word_id"), "token"), "workload-ranks")
+    """token, df, place, word_id of the first words in the baseline's ranking."""
+    top = vocabulary(spark, sf_dir).orderBy(F.desc("df"), "word_id").limit(CHILD_WORDS)
+    place = F.row_number().over(Window.orderBy(F.desc("df"), "word_id")).cast("long")  # CHILD_WORDS rows
+    return materialise(top.select("token", "df", "word_id", place.alias("place")), "workload-ranks")
 
 
 def known_tokens(rows: DataFrame) -> DataFrame:
@@ -94,8 +103,8 @@ def fixed_state(spark: SparkSession, sf_dir: str) -> drift.State:
     """Four nodes of two words each and a refuge; under node 1 a tree of two more nodes."""
     top = ranks(spark, sf_dir)
     place = F.col("place")
-    words = top.select("token", "word_id", place, F.when(place <= ROOT_WORDS, F.floor((place + 1) / 2)).otherwise(6 + F.floor((place - ROOT_WORDS - 1) / 2)).cast("int").alias("node_id"))
-    held = known_tokens(baseline(spark, sf_dir)).join(F.broadcast(words), "token").select("node_id", "token", "source")  # CHILD_WORDS rows
+    chosen = top.select("token", "word_id", place, F.when(place <= ROOT_WORDS, F.floor((place + 1) / 2)).otherwise(6 + F.floor((place - ROOT_WORDS - 1) / 2)).cast("int").alias("node_id"))
+    held = known_tokens(baseline(spark, sf_dir)).join(F.broadcast(chosen), "token").select("node_id", "token", "source")  # CHILD_WORDS rows
     root = held.filter("node_id <= 4")
     first = root.filter("node_id = 1").select("source").distinct()
     pairs = materialise(root.unionByName(held.filter("node_id >= 6").join(first, "source", "left_semi").select("node_id", "token", "source")), "workload-pairs")
@@ -104,7 +113,7 @@ def fixed_state(spark: SparkSession, sf_dir: str) -> drift.State:
     nodes = spark.createDataFrame([(i, 1, i - 1, i == 5) for i in range(1, 6)] + [(6, 2, 0, False), (7, 2, 1, False)], "node_id int, hkt_id int, ord int, refuge boolean")
     expected = top.filter("place > 1").select(F.lit(1).alias("hkt_id"), "token").unionByName(top.filter(place > ROOT_WORDS + 1).select(F.lit(2).alias("hkt_id"), "token"))
     hkts = spark.createDataFrame([(1, 0), (2, 1)], "hkt_id int, parent_node_id int")
-    return drift.State(hkts, nodes, words.select("node_id", "token", "word_id"), node_sources, pairs, expected).kept("workload")
+    return drift.State(hkts, nodes, chosen.select("node_id", "token", "word_id"), node_sources, pairs, expected).kept("workload")
 
 
 def fixed_tree(spark: SparkSession, sf_dir: str) -> TreeExport:
@@ -116,8 +125,8 @@ def fixed_tree(spark: SparkSession, sf_dir: str) -> TreeExport:
 def fixed_level(spark: SparkSession, sf_dir: str) -> drift.Level:
     """The last batch at the root of the fixed tree; the baseline counts as the first batch."""
     rows = last_batch(spark, sf_dir)
-    first = materialise(known_tokens(baseline(spark, sf_dir)), "workload-first")
-    return drift.root_level(fixed_state(spark, sf_dir), rows.select(F.col("source_index").alias("source")), known_tokens(rows), first, ThresholdConfig(), vocabulary(spark, sf_dir).select("token"))
+    first, seen = known_tokens(baseline(spark, sf_dir)), words(spark, sf_dir).select("token", "df")
+    return drift.root_level(fixed_state(spark, sf_dir), rows.select(F.col("source_index").alias("source")), known_tokens(rows), first, ThresholdConfig(), seen.select("token"), seen)
 
 
 def config(**more) -> Config:
