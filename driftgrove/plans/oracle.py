@@ -141,6 +141,7 @@ def statements() -> dict[str, str]:
         "source_ids": f"{src}, h AS (SELECT source_id, {hashed} AS h FROM src) SELECT source_id, (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END)::BIGINT AS internal_id FROM h",
         "chunk_batches": f"{src} SELECT b::BIGINT AS batch_index, count(*)::BIGINT AS sources, min(source_index) AS first, max(source_index) AS last FROM src GROUP BY b",
         "source_registry": f"{src} SELECT source_id, (CASE WHEN source_index % 10 = 0 THEN 8 ELSE b END)::BIGINT AS last_batch, (CASE WHEN source_index % 10 = 0 THEN 2 ELSE 1 END)::BIGINT AS batches FROM src",
+        "stream_registry": f"{src}, sent AS (SELECT source_id, b FROM src UNION ALL SELECT source_id, 8 FROM src WHERE source_index % 10 = 0) SELECT source_id, max(b)::BIGINT AS last_batch, count(*)::BIGINT AS batches FROM sent WHERE b > 5 GROUP BY source_id",
         "postings_rows": f"{src} SELECT source_index, source_id, pos::BIGINT AS pos, token FROM post",
         "doc_tokens": f"{src} SELECT source AS source_index, token FROM dt",
         "word_df": f"{first} SELECT token, df::BIGINT AS df FROM seen",

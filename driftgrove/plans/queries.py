@@ -18,6 +18,7 @@ from driftgrove.operators import tree as trees
 from driftgrove.plans import workload as wl
 from driftgrove.tables import materialise, numbered, shared_dir
 from driftgrove.sources import batches, timeline
+from driftgrove.streaming import registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -108,6 +109,18 @@ def source_registry(spark, sf):
     return e.source_batches()
 
 
+@query
+def stream_registry(spark, sf):
+    """The sources in a window of three batches, by keyed streaming state; the last batch sends every tenth source again."""
+    rows = wl.dealt(spark, sf).select("source_id", "source_index", F.col("batch_index").cast("long").alias("batch_index"))
+    again = rows.filter(F.col("source_index") % 10 == 0).withColumn("batch_index", F.lit(wl.BATCHES).cast("long"))
+    at = f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}"
+    for part in [rows.filter(F.col("batch_index") == i) for i in range(wl.BATCHES)] + [again]:
+        part.select("source_id", "batch_index").write.mode("append").parquet(f"{at}/in")
+    registry.start(registry.source_stream(spark, f"{at}/in", 8), f"{at}/changes", f"{at}/check", 3).awaitTermination()
+    return registry.registry(spark, f"{at}/changes")
+
+
 # -- postings and frequencies
 
 
