@@ -56,7 +56,7 @@ class Level:
 
     @functools.cached_property
     def hkts(self) -> DataFrame:
-        return self.state.hkts.join(self.frontier.select("hkt_id").distinct(), "hkt_id")
+        return materialise(self.state.hkts.join(self.frontier.select("hkt_id").distinct(), "hkt_id"), "drift-hkts")
 
     @functools.cached_property
     def nodes(self) -> DataFrame:
@@ -64,8 +64,11 @@ class Level:
 
     @functools.cached_property
     def words(self) -> DataFrame:
-        """hkt_id, node_id, ord, token, word_id of nodes that aren't refuges."""
-        return self.nodes.filter("NOT refuge").select("hkt_id", "node_id", "ord").join(self.state.node_words, "node_id")
+        """hkt_id, node_id, ord, token, word_id of nodes that aren't refuges.
+
+        As a table its size is known, so that a join broadcasts it only where it is small.
+        """
+        return materialise(self.nodes.filter("NOT refuge").select("hkt_id", "node_id", "ord").join(self.state.node_words, "node_id"), "drift-words")
 
     @functools.cached_property
     def hits(self) -> DataFrame:
@@ -99,11 +102,14 @@ class Level:
     @functools.cached_property
     def state0_df(self) -> DataFrame:
         """hkt_id, token, df0: sources of the first batch in the parent node (all for the root) that hold the word."""
+        roots, others = self.hkts.agg(F.count_if(F.col("parent_node_id") == 0), F.count_if(F.col("parent_node_id") != 0)).first()
         counts = self.first.groupBy("token").agg(F.count(F.lit(1)).alias("df0")) if self.first_df is None else self.first_df.select("token", F.col("df").alias("df0"))
-        root = counts.crossJoin(F.broadcast(self.hkts.filter("parent_node_id = 0").select("hkt_id").limit(1)))
+        root = counts.crossJoin(F.broadcast(self.hkts.filter("parent_node_id = 0").select("hkt_id").limit(1))).select("hkt_id", "token", "df0")
+        if roots and not others:  # no source of the first batch is met
+            return root if self.first_df is not None else materialise(root, "drift-df0")
         above = self.hkts.filter("parent_node_id <> 0").join(self.state.node_sources.withColumnRenamed("node_id", "parent_node_id"), "parent_node_id")
         below = above.select("hkt_id", "source").join(self.first, "source").groupBy("hkt_id", "token").agg(F.count(F.lit(1)).alias("df0"))
-        return root.select("hkt_id", "token", "df0").unionByName(below)
+        return materialise(root.unionByName(below) if roots else below, "drift-df0")
 
     @functools.cached_property
     def state0(self) -> DataFrame:
