@@ -6,6 +6,10 @@ Piece boundaries include word boundaries, so a text's log probability is the sum
 one end. Beside it stands the probability under weights fitted to the corpus, by rounds of
 expectation-maximisation over all training words.
 
+The model of the corpus is the lattice with one more way through each training word: the word as a
+piece of its own, by its count less a discount. What the discount takes from all words together is
+the lattice's share, so a word never seen is as likely as the lattice makes it, times that share.
+
 Every distinct word is scored once, in a distributed table. The commonest words (a fixed number)
 go to all executors; the others meet the documents in a join on the word.
 """
@@ -232,6 +236,7 @@ class Model:
     """``words``: word, c, lp and fit (natural logs under the vocabulary's scores and under the fitted weights) of all distinct words.
 
     n, v, ends: tokens, distinct tokens and ends of the training rows. prior, logp: the weights of the pieces.
+    discount: what each distinct token gives to the lattice, of its count.
     """
 
     words: DataFrame
@@ -241,14 +246,26 @@ class Model:
     prior: list[float]
     logp: list[float]
     path: str
+    discount: float = 0.5
 
     @property
     def base_denominator(self) -> float:
         return self.n + 0.5 * (self.v + 1)
 
+    @property
+    def lattice_share(self) -> float:
+        """The lattice's part of the model; all of it where nothing was learned."""
+        return self.discount * self.v / self.n if self.n else 1.0
+
+    def model_log10(self, c: int, fit: float) -> float:
+        """log10 probability of a token of count ``c`` whose natural log under the lattice is ``fit``."""
+        if not c:
+            return math.log10(self.lattice_share) + fit / math.log(10)
+        return math.log10((c - self.discount) / self.n + self.lattice_share * math.exp(fit))
+
 
-def fit_pieces(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> list[float]:
-    """Log probabilities of the pieces after ``rounds`` rounds over all rows of ``words`` with c > 0."""
+def fit_pieces(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS, once: bool = False) -> list[float]:
+    """Log probabilities of the pieces after ``rounds`` rounds over all rows of ``words`` with c > 0, which count c times or, with ``once``, once."""
     v = vocabulary(path)
     prob = np.maximum(v.prior, FLOOR)
     for _ in range(rounds):
@@ -263,27 +280,35 @@ def fit_pieces(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) ->
             at = np.flatnonzero(e)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(e[at])], names=["piece", "e"])
 
-        seen = words.filter("c > 0").select("word", "c").mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect()  # a row per piece
+        times = F.lit(1).cast("long") if once else F.col("c")
+        seen = words.filter("c > 0").select("word", times.alias("c")).mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).collect()  # a row per piece
         got = np.zeros(len(prob))
         for r in seen:
             got[r["piece"]] = r["e"]
-        got[v.end] += ends
+        got[v.end] += min(ends, 1) if once else ends
         prob = np.maximum((got + PRIOR * v.prior) / (got.sum() + PRIOR), FLOOR)
     return np.log(prob).tolist()
 
 
-def train(docs: DataFrame, path: str, text: str = "text", train: str = "train", rounds: int = ROUNDS) -> Model:
+def discount_of(once: int, twice: int) -> float:
+    """By how many tokens occur once and twice; between 0.05 and 0.95."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+
+def train(docs: DataFrame, path: str, text: str = "text", train: str = "train", rounds: int = ROUNDS, once: bool = False) -> Model:
     """Counts all words of ``docs``, fits the pieces to those of the training rows and scores every distinct word.
 
     Null texts have no words but an end. Rows that repeat count again. With no training rows the
-    fitted weights are the vocabulary's own.
+    fitted weights are the vocabulary's own. ``once``: the pieces are fitted to the distinct words, as
+    the model leaves to the lattice a part of each word that doesn't grow with its count.
     """
     words = materialise(word_counts(docs, text, train), "lm-words")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     ends = docs.filter(F.col(train)).count()
     prior = np.log(np.maximum(vocabulary(path).prior, FLOOR)).tolist()
-    logp = fit_pieces(words, ends, path, rounds)
-    return Model(materialise(scored(words, path, prior, logp), "lm-scored"), total["n"] + ends, total["v"] + (ends > 0), ends, prior, logp, path)
+    logp = fit_pieces(words, ends, path, rounds, once)
+    table = materialise(scored(words, path, prior, logp), "lm-scored")
+    return Model(table, total["n"] + ends, total["v"] + (ends > 0), ends, prior, logp, path, discount_of(total["once"], total["twice"]))
 
 
 def scored(words: DataFrame, path: str, prior: list[float], logp: list[float]) -> DataFrame:
@@ -318,16 +343,18 @@ PART = [
     T.StructField("base_score", T.DoubleType()),
     T.StructField("score", T.DoubleType()),
     T.StructField("fitted_score", T.DoubleType()),
+    T.StructField("model_score", T.DoubleType()),
     T.StructField("__rest", T.ArrayType(T.BinaryType())),
     T.StructField("__times", T.ArrayType(T.LongType())),
 ]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, head: int = HEAD, complete: bool = False) -> DataFrame:
-    """``keep`` (default: all columns but text) with n_tokens, n_known, base_score, score and fitted_score.
+    """``keep`` (default: all columns but text) with n_tokens, n_known, base_score, score, fitted_score and model_score.
 
     ``score`` is the log10 probability of the text under the vocabulary's scores, ``fitted_score``
-    under the fitted weights, ``base_score`` that of the smoothed word counts. A null or empty text
+    under the fitted weights, ``model_score`` under the model of the corpus, ``base_score`` that of the
+    smoothed word counts. A null or empty text
     is one end. Rows are told apart by place, so repeated rows and null ids keep their own results;
     an empty table gives an empty result. Kept columns with the names of new ones give way to them.
 
@@ -340,16 +367,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         return math.log10((c + 0.5) / denominator)
 
     top = commonest(model.words, head).collect()  # ``head`` rows at most
-    known = {bytes(r["word"]): (base(r["c"]), r["lp"] / nat, r["fit"] / nat, int(r["c"] > 0)) for r in top}
+    known = {bytes(r["word"]): (base(r["c"]), r["lp"] / nat, r["fit"] / nat, model.model_log10(r["c"], r["fit"]), int(r["c"] > 0)) for r in top}
     at = vocabulary(model.path).end
-    end = (base(model.ends), model.prior[at] / nat, model.logp[at] / nat, int(model.ends > 0))
+    end = (base(model.ends), model.prior[at] / nat, model.logp[at] / nat, model.model_log10(model.ends, model.logp[at]), int(model.ends > 0))
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         rest, times, ends = [], [], [0]
         for t in utf8(texts):
             words = tokens(t)
-            b, s, f, k = end
+            b, s, f, m, k = end
             for w, c in Counter(words).items():
                 got = known.get(w)
                 if got is None:
@@ -359,13 +386,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                     b += c * got[0]
                     s += c * got[1]
                     f += c * got[2]
-                    k += c * got[3]
-            for column, x in zip(out, (len(words) + 1, k, b, s, f), strict=True):
+                    m += c * got[3]
+                    k += c * got[4]
+            for column, x in zip(out, (len(words) + 1, k, b, s, f, m), strict=True):
                 column.append(x)
             ends.append(len(rest))
         at = pa.array(ends, pa.int32())
         lists = [pa.ListArray.from_arrays(at, pa.array(rest, pa.binary())), pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))]
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
         return [pa.array(x, f) for x, f in zip(out, kinds, strict=True)] + lists
 
     keep = [c for c in docs.columns if c != text] if keep is None else keep
@@ -375,24 +403,34 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     if not complete:
         unmet = each.select("word").distinct().join(words.select("word"), "word", "left_anti").withColumn("c", F.lit(0).cast("long"))
         words = words.unionByName(materialise(scored(unmet, model.path, model.prior, model.logp), "lm-unmet"))
-    c = F.col("c")
+    c, share = F.col("c"), model.lattice_share
+    seen = F.log10((c - F.lit(model.discount)) / F.lit(float(max(model.n, 1))) + F.lit(share) * F.exp("fit"))
+    own = F.when(c > 0, seen).otherwise(F.lit(math.log10(share)) + F.col("fit") / F.lit(nat))
     sums = each.join(words, "word").groupBy("__row").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("__k"),
         F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(denominator)))).alias("__b"),
         F.sum(F.col("times") * F.col("lp") / F.lit(nat)).alias("__s"),
         F.sum(F.col("times") * F.col("fit") / F.lit(nat)).alias("__f"),
+        F.sum(F.col("times") * own).alias("__m"),
     )
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
     mine = [f"`{c}`" for c in rows.columns if c not in {f.name for f in PART} and c != "__row"]
-    added = [plus(a, b) for a, b in (("n_known", "__k"), ("base_score", "__b"), ("score", "__s"), ("fitted_score", "__f"))]
+    added = [plus(a, b) for a, b in (("n_known", "__k"), ("base_score", "__b"), ("score", "__s"), ("fitted_score", "__f"), ("model_score", "__m"))]
     return rows.drop("__rest", "__times").join(sums, "__row", "left").select(*mine, "n_tokens", *added)
 
 
 def score_held_out(docs: DataFrame, path: str, modulus: int = 5, remainder: int = 1) -> DataFrame:
-    """Learns from the rows whose crc32(doc_id) leaves another remainder, and scores all rows; an empty table gives an empty result."""
+    """Learns from the rows whose crc32(doc_id) leaves another remainder, and scores all rows; an empty table gives an empty result.
+
+    ``score`` is that of the model of the corpus, ``lattice_score`` that of the lattice alone, by the vocabulary's scores.
+    """
     split = docs.select("doc_id", "text", (crc_remainder(F.col("doc_id"), modulus) == remainder).alias("held_out"))
-    model = train(split.withColumn("train", ~F.col("held_out")), path)
-    return score(split, model, complete=True).withColumn("train_tokens", F.lit(model.n).cast("long"))
+    model = train(split.withColumn("train", ~F.col("held_out")), path, once=True)
+    rows = score(split, model, complete=True)
+    return rows.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", F.col("model_score").alias("score"),
+        F.col("score").alias("lattice_score"), "fitted_score",
+    )
 
 
 __all__ = ["Model", "edges", "expect", "log_likelihood", "score", "score_held_out", "tokens", "train", "vocabulary", "word_counts"]

@@ -236,6 +236,35 @@ def test_fitting_makes_held_out_texts_likelier(spark, documents):
     assert total[0] < total[1] < total[2]
 
 
+def test_model_of_the_corpus(spark, documents):
+    """Held-out texts are about as likely as under word counts, and every score is the sum of its tokens' own."""
+    docs = documents.select("doc_id", "text").unionByName(docs_of(spark, [None, "", "\ufffe" * 3000]).withColumn("doc_id", F.lit(-1).cast("long") - F.col("doc_id")))
+    rows = lattice_lm.score_held_out(docs, PIECES).select("held_out", "base_score", "score").collect()
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert len(held) > 20 and sum(r["score"] for r in held if r["base_score"] > -5000) > 1.5 * sum(r["base_score"] for r in held if r["base_score"] > -5000)
+    split = docs_of(spark, ["one two", "two three three three", "two", None]).withColumn("train", F.lit(True))
+    for once in (False, True):
+        for head in (0, 100):
+            model = lattice_lm.train(split, PIECES, rounds=1, once=once)
+            got = lattice_lm.score(docs_of(spark, ["one never two", "", "q" * 4000]), model, head=head).orderBy("doc_id").collect()
+            counts = {"one": 1, "two": 3, "three": 3, "": 4}  # the end is a token
+            n, vocab = 11, lattice_lm.vocabulary(PIECES)
+            assert (model.n, model.v, model.discount) == (n, 4, 0.95)
+
+            def own(word, counts=counts, model=model, n=n, vocab=vocab):
+                fit = lattice_lm.log_likelihood(word, vocab, model.logp) if word else model.logp[vocab.end]
+                c = counts.get(word, 0)
+                if not c:
+                    return math.log10(0.95 * 4 / n) + fit / math.log(10)
+                return math.log10((c - 0.95) / n + 0.95 * 4 / n * math.exp(fit))
+
+            want = [sum(map(own, words)) for words in (["one", "never", "two", ""], [""], ["q" * 4000, ""])]
+            assert [r["model_score"] for r in got] == pytest.approx(want)
+    nothing = lattice_lm.score(docs_of(spark, ["one", None]), lattice_lm.train(split.filter("NOT train"), PIECES)).orderBy("doc_id").collect()
+    assert [r["model_score"] for r in nothing] == pytest.approx([r["fitted_score"] for r in nothing])
+
+
 def test_url_rules(spark):
     urls = ["http://WWW.Example.com/en/1", "https://example.com/en/x", "http://a.example.com/fr/", "http://x.com", "http://b.net/es/1", "http://b.net/de/1", "http://adult-x.example.net/en/1", "http://badult.example.org/en/", "no scheme", None, "", "http://1.2.3.4/x", "x://h?/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
