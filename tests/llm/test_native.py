@@ -81,6 +81,22 @@ def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
     assert {tuple(r) for r in secrets.ledger_runs(v, more).collect()} == {(1, secrets.RULE_VERSION, 3, 3, 0, 2), (2, secrets.RULE_VERSION, 5, 2, 3, 3), (3, "1", 5, 5, 0, 3)}
 
 
+def test_ledger_finds_tokens_inside_a_run(spark):
+    """Wherever a jwt begins, also behind characters that it is made of, and as the leftmost matches of the plain pattern."""
+    token = "eyJ" + "a" * 20 + "." + "b" * 20 + ".c-_"
+    texts = [f"x{token}", f"__{token}.x {token}", f"eyJ.{token}", f"a.b{token}{token}", f"aeyJeyJ.{token}.eyJ.eyJ", "eyJ" * 100_000, token, "eyJa.b", ""]
+    rows = list(enumerate(texts))
+    began = time.time()
+    got = {r["blob_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "jwt"] for r in secrets.scan(spark.createDataFrame(rows, "blob_id int, text string"), secrets.INSIDE).collect()}
+    assert time.time() - began < 60
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    want = {i: [m.span() for m in plain.finditer(t) if m.end() - m.start() >= 40] if len(t) < 10_000 else [] for i, t in rows}
+    assert got == want and sum(map(len, want.values())) > 5
+    paths = spark.createDataFrame([(str(i), t) for i, t in rows], "path string, text string")
+    runs = secrets.ledger_runs(paths.filter("path = '0'"), paths.filter("path <> '0'")).orderBy("run").collect()
+    assert [(r["blobs"], r["scanned"], r["with_findings"]) for r in runs] == [(1, 1, 1), (9, 8, 6), (9, 9, 0)]
+
+
 def test_ledger_joins_by_a_shuffle_too(spark, monkeypatch):
     docs = spark.createDataFrame(SECRETS, SCHEMA)
     want = sorted(map(tuple, secrets.secret_report(docs).collect()), key=repr)
