@@ -50,6 +50,8 @@ LEAF = 32
 MAX_CLASSES, MAX_BYTES, MAX_PAIRS = 120, 32 << 20, 2000
 #: Rows that are broadcast at most; beyond it the join shuffles.
 MAX_BROADCAST = 500_000
+#: Edges that a task contracts at a time.
+MOST_EDGES = 500_000
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 19
 #: Classes that a task remembers, not to pass their prefixes on again.
@@ -272,6 +274,41 @@ def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def stars(edges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each end of the edges with the smallest of its component, but for the smallest itself.
+
+    Groups that overlap mostly have the same smallest classes, so their stars mostly have the same edges.
+    """
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (above := up.setdefault(top, top)) != top:
+            top = above
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return [(x, r) for x in up if (r := root(x)) != x]
+
+
+def contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of the edges (u, v) of a task, MOST_EDGES at a time: never more edges than there are ends."""
+    held: list[tuple[int, int]] = []
+    for b in batches:
+        held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        if len(held) > MOST_EDGES:
+            held = stars(held)
+            if len(held) > MOST_EDGES // 2:
+                yield edge_batch(held)
+                held = []
+    yield edge_batch(stars(held))
+
+
 def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     """Each edge as (larger, smaller)."""
     return pa.RecordBatch.from_arrays([pa.array([max(e) for e in edges], pa.int64()), pa.array([min(e) for e in edges], pa.int64())], names=["u", "v"])
@@ -284,7 +321,7 @@ def may_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls = g.column(1).to_pylist()
         done = g.column(3).to_pylist()
         tree = SignatureTree(g.column(4).to_numpy(), [np.frombuffer(x, np.uint64) for x in g.column(5).to_pylist()], g.column(2).to_numpy())
-        out += [(cls[i], cls[j]) for i, j in tree.join() if not done[i] & done[j]]
+        out += stars((cls[i], cls[j]) for i, j in tree.join() if not done[i] & done[j])
         if len(out) > 20_000:
             yield edge_batch(out)
             out = []
@@ -312,7 +349,7 @@ def do_link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen[own] = 0
             return links(common.astype(np.int64), tree.sizes[places], tree.sizes[j])
 
-        out += [(cls[i], cls[j]) for i, j in tree.join(verify) if cls[i] != cls[j] and not done[i] & done[j]]
+        out += stars((cls[i], cls[j]) for i, j in tree.join(verify) if cls[i] != cls[j] and not done[i] & done[j])
         if len(out) > 20_000:
             yield edge_batch(out)
             out = []
@@ -490,9 +527,11 @@ def candidate_edges(classes: DataFrame, described_rows: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str, most: int = 40) -> DataFrame:
     """cls, root (the smallest of its component) of every end of an edge.
 
-    Large-star and small-star steps in turn, until no edge changes: each edge then leads to its root.
+    Large-star and small-star steps in turn, until no edge changes: each edge then leads to its root. Before
+    them each task contracts what edges it has to stars, so that a group with very many edges isn't sent on.
     """
-    edges = materialise(edges, name)
+    small_batches(edges.sparkSession)
+    edges = materialise(edges, name).mapInArrow(contract, "u long, v long")
     before = None
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

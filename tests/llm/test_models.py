@@ -499,6 +499,20 @@ def test_jaccard_join_is_exact(spark, monkeypatch, seed, small):
     assert got == linked(rows)
 
 
+def test_edges_are_contracted(spark, monkeypatch):
+    """Edges of a group of any density become stars, and overlapping groups have the same ones."""
+    dense = [(a, b) for a in range(60) for b in range(a)] + [(101, 100), (102, 101), (7, 7)]
+    assert sorted(jaccard_tree.stars(dense)) == [(x, 0) for x in range(1, 60)] + [(101, 100), (102, 100)]
+    assert jaccard_tree.stars([]) == []
+    batch = jaccard_tree.edge_batch(dense[:-1])
+    monkeypatch.setattr(jaccard_tree, "MOST_EDGES", 50)
+    parts = [r for b in jaccard_tree.contract([batch.slice(i, 40) for i in range(0, batch.num_rows, 40)]) for r in zip(*b.to_pydict().values(), strict=True)]
+    assert len(parts) < len(dense) and sorted(jaccard_tree.stars(parts)) == sorted(jaccard_tree.stars(dense))
+    edges = spark.createDataFrame(dense[:-1] * 3 + [(1000 - i, 999 - i) for i in range(50)], "u long, v long").repartition(5)
+    got = {tuple(r) for r in jaccard_tree.components(edges, "test-dense").collect()}
+    assert got == {(x, 0) for x in range(60)} | {(x, 100) for x in (100, 101, 102)} | {(x, 950) for x in range(950, 1001)}
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_tree.link_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = jaccard_tree.link_components(spark.createDataFrame([(7, "a b c d e f")], "doc_id long, text string")).collect()
