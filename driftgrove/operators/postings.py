@@ -13,6 +13,10 @@ from driftgrove.functions import text as tx
 from driftgrove.tables import materialise, numbered
 
 
+#: Scopes of which a row each is broadcast at most.
+MAX_SCOPES = 500_000
+
+
 def postings(sources: DataFrame) -> DataFrame:
     """A row per token occurrence: source_index, source_id, pos, token. Tokens are trimmed; empty ones go."""
     each = sources.select("source_index", "source_id", F.posexplode("tokens").alias("pos", "raw"))
@@ -87,14 +91,18 @@ def expected_words(sources: DataFrame, threshold: float, clean: bool = False) ->
 def expected_prefix(rows: DataFrame, threshold: float) -> DataFrame:
     """scope, token of the rows (scope, first, nth, token, df) in order of arrival up to the first whose df over the first row's df is below the threshold.
 
-    A scope's first row and its first miss are aggregates, so no task sorts or sees a whole scope.
+    A scope's first row and its first miss are among the first arrivals of its tokens, so these alone are
+    kept. They meet a row per scope by broadcast: a large scope isn't the key of an exchange, and no task
+    sorts or sees a whole scope.
     """
-    at = F.struct("first", "nth")
-    lead = rows.groupBy("scope").agg(F.min_by("df", at).alias("lead"))
-    ratio = F.col("df") / F.col("lead")
-    held = rows.join(lead, "scope").withColumn("missed", ratio < threshold)
-    stop = held.filter("missed").groupBy("scope").agg(F.min(at).alias("stop"))
-    kept = held.join(stop, "scope", "left").filter(F.col("stop").isNull() | (at < F.col("stop")))
+    words = rows.filter("scope IS NOT NULL").groupBy("scope", "token", "df").agg(F.min(F.struct("first", "nth")).alias("at"))
+    words = materialise(words, "prefix-words")
+    few = lambda d, n: F.broadcast(d) if n <= MAX_SCOPES else d
+    lead = materialise(words.groupBy("scope").agg(F.min_by("df", "at").alias("lead")), "prefix-lead")
+    n = lead.count()
+    missed = words.join(few(lead, n), "scope").filter(F.col("df") / F.col("lead") < threshold)
+    stop = materialise(missed.groupBy("scope").agg(F.min("at").alias("stop")), "prefix-stop")
+    kept = words.join(few(stop, n), "scope", "left").filter(F.col("stop").isNull() | (F.col("at") < F.col("stop")))
     return kept.select("scope", "token").distinct()
 
 

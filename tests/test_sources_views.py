@@ -1,6 +1,7 @@
 import datetime
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,28 @@ def test_json_round_trip_and_catalog(spark, make_sources, tmp_path):
     assert [r["source_id"] for r in batches.read_json_sources(spark, f"file://{lines}").orderBy("source_index").collect()] == ["a", "b"]
 
 
+def test_prefix_sends_no_scope_to_one_task(spark):
+    """A scope's rows meet its first row and first miss without an exchange by scope, with the same words as row by row."""
+    r = random.Random(4)
+    df = {(s, t): r.randint(1, 9) for s in "ab" for t in range(30)}
+    rows = [(s, i, k, f"t{t}", df[s, t]) for s in "ab" for i in range(40) for k, t in enumerate(r.sample(range(30), 3))] + [(None, 0, 0, "t", 1)]
+    want = set()
+    for s in "ab":
+        own = sorted(x for x in rows if x[0] == s)
+        for x in own:
+            if x[4] / own[0][4] < 0.5:
+                break
+            want.add((s, x[3]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = po.expected_prefix(spark.createDataFrame(rows, "scope string, first long, nth int, token string, df int"), 0.5)
+        assert "SortMergeJoin" not in made._jdf.queryExecution().toString()
+        assert {tuple(x) for x in made.collect()} == want and want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_any_shape_of_json(spark, tmp_path):
     one, two = '{"source_id": "b", "tokens": ["x"]}', '{"source_id": "a", "tokens": ["y"]}'
     shapes = {"lines": f"{one}\n{two}\n", "array": f"[{one},\n {two}]", "batch": f'{{"batch_index": 3,\n "sources": [{one}, {two}]}}', "batches": f'{{"batch_index": 0, "sources": [{one}]}}\n{{"batch_index": 1, "sources": [{two}]}}'}
