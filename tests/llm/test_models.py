@@ -577,3 +577,42 @@ def test_near_duplicates_drop_rows_not_ids(spark):
     nameless = [t for d, t in left if d is None and t and "v1" in t]
     assert len(nameless) == 1
     assert sorted([r for r in left if r[1] not in nameless], key=repr) == sorted([rows[0], rows[2], rows[4], rows[7], rows[8]], key=repr)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows than the 6,000 that it was once fitted on: each is in a shard, for weights or for thresholds."""
+    n, seen = 8000, {"held": 0}
+
+    def fit(shards, cnn, up):
+        seen.update(fit=shards.filter(lambda r: not r["held"]).count(), shards=shards.getNumPartitions(), up=up)
+        return cnn
+
+    def threshold(values, toxic, rows):
+        seen["held"] = max(seen["held"], int(rows.sum()))
+        return 0.0
+
+    monkeypatch.setattr(toxicity, "fit_shards", fit)
+    monkeypatch.setattr(toxicity, "best_threshold", threshold)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "vile word").otherwise("kind word").alias("text"), F.lit("en").alias("lang"))
+    toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    assert seen["fit"] + seen["held"] == n and seen["held"] == pytest.approx(n / toxicity.CALIBRATE, rel=0.1)
+    assert seen["shards"] == 2 and seen["up"] == pytest.approx(3, rel=0.1)
+
+
+def test_toxicity_of_shards(spark):
+    """What several shards learn together tells texts apart, and is the same again."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "some vile word").otherwise("some kind word").alias("text"), F.lit("en").alias("lang"))
+    marks = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    model, again = toxicity.train(docs, marks, shard=100), toxicity.train(docs.repartition(3), marks, shard=100)
+    assert all(x["predicted"] == int(x["doc_id"] % 4 == 0) for x in toxicity.score(docs, model).collect())
+    assert np.array_equal(model.cnn.embed, again.cnn.embed) and model.thresholds == again.thresholds
+
+
+def test_languages_of_all_rows_by_words(spark):
+    """Counting n-grams once for each distinct word makes the filters that counting them in the texts makes; so does telling a text."""
+    texts = ["Déjà vu, déjà-vu 3x4 a_b", "İstanbul ΣΑΣ ²x½ ", "", "the end, the end", "日本語 テキスト"] * 3
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    by_text, by_word = langid.train(docs, sample_rows=10**9), langid.train(docs, sample_rows=None)
+    assert by_text.langs == by_word.langs and np.array_equal(by_text.table, by_word.table)
+    told = toxicity.Classifier(None, by_word, {})
+    assert told.language([*texts, None]) == by_word.predict([*texts, None])[0]
