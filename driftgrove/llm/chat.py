@@ -9,7 +9,7 @@ The contexts of one conversation are beginnings of one another, so writing each
 the square of its turns. The rendering is therefore also cut into pages of PAGE code points; an example
 carries its reply and what of its context is on the last page before it, and refers to the full pages
 before that, which all examples of the conversation share. Conversations within a page, nearly all, have
-their whole context in each example. No task holds a conversation: places of turns are sums over blocks
+their whole context in each example; ``expansion`` reads all prefixes in full. No task holds a conversation: places of turns are sums over blocks
 of turns, and pages are groups of bounded size.
 """
 
@@ -116,6 +116,19 @@ def format_conversations(turns: DataFrame, key: str = "conv_id", turn: str = "tu
     return Formatted(pages.select("key", "page", "text"), examples)
 
 
+def expansion(found: Formatted) -> DataFrame:
+    """key, n_context, start, text, last, loss_start, loss_end: the whole text of every example, prefix and target, in pieces.
+
+    A piece is a page of the prefix, or the rest of it with the reply (``last``); ``start`` is its place in
+    the example. The pieces are joined as they are read and not written, whatever the size of a conversation.
+    """
+    mask = ["loss_start", "loss_end"]
+    long = found.examples.filter("shared_pages > 0").select("key", "n_context", "shared_pages", *mask)
+    shared = long.join(found.pages, "key").filter("page < shared_pages").select("key", "n_context", (F.col("page") * PAGE).alias("start"), "text", F.lit(False).alias("last"), *mask)
+    own = found.examples.select("key", "n_context", (F.col("shared_pages") * PAGE).alias("start"), F.concat("context", "reply").alias("text"), F.lit(True).alias("last"), *mask)
+    return own.unionByName(shared)
+
+
 def expanded(found: Formatted) -> DataFrame:
     """key, n_context, text, loss_start, loss_end: examples with their whole text, which must fit a row; the shared pages are joined in."""
     long = found.examples.filter("shared_pages > 0").select("key", "n_context", "shared_pages")
@@ -126,7 +139,7 @@ def expanded(found: Formatted) -> DataFrame:
 
 
 class Reader:
-    """Reads a conversation's pages in order, then its replies; holds one turn at a time."""
+    """Reads a conversation's pages in order, then what the loss mask leaves of its examples; holds one turn at a time."""
 
     def __init__(self) -> None:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
@@ -163,12 +176,12 @@ class Reader:
         self.turns.update(f"{role}\n{self.plain(body)}\n".encode())
         self.n_turns += 1
 
-    def reply(self, text: str, end: int) -> None:
+    def reply(self, text: str, chars: int) -> None:
         plain = self.plain(text)
         self.loss.update(plain.encode())
         self.loss_chars += len(plain)
         self.examples += 1
-        self.expanded += end
+        self.expanded += chars
 
     def row(self) -> tuple:
         return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.examples, self.expanded
@@ -181,11 +194,16 @@ def read_back(found: Formatted) -> DataFrame:
     """key and what its output says: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples, expanded_chars.
 
     formatted_chars are the code points of the rendered conversation, expanded_chars those of the whole
-    texts of its examples. A digest of a conversation takes its text in order, so its rows go through one
+    texts of its examples, counted in all pieces of their prefixes and targets; the loss is what the mask
+    leaves of these. A digest of a conversation takes its text in order, so its rows go through one
     task, sorted and one at a time.
     """
-    src = found.pages.select("key", F.lit(0).alias("kind"), F.col("page").alias("at"), "text", F.lit(0).cast("long").alias("end"))
-    src = src.unionByName(found.examples.select("key", F.lit(1).alias("kind"), F.col("loss_start").alias("at"), F.col("reply").alias("text"), F.col("loss_end").alias("end")))
+    pieces = expansion(found).withColumn("chars", F.char_length("text").cast("long"))
+    begin, end = (F.greatest(F.col(c) - F.col("start"), F.lit(0)).cast("int") for c in ("loss_start", "loss_end"))
+    trained = pieces.filter("last").select("key", F.lit(1).alias("kind"), F.col("loss_start").alias("at"), F.substring("text", begin + 1, end - begin).alias("text"), "chars")
+    before = pieces.filter("NOT last").groupBy("key").agg(F.sum("chars").alias("chars"))
+    src = found.pages.select("key", F.lit(0).alias("kind"), F.col("page").alias("at"), "text", F.lit(0).cast("long").alias("chars")).unionByName(trained)
+    src = src.unionByName(before.select("key", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("at"), F.lit("").alias("text"), "chars"))
     rows = src.repartition("key").sortWithinPartitions("key", "kind", "at")
     types = {f.name: f.dataType for f in src.schema["key"].dataType.fields}
     schema = f"id {types['id'].simpleString()}, {REPORT}"
@@ -196,12 +214,17 @@ def read_back(found: Formatted) -> DataFrame:
         own, reader = missing, Reader()
         for b in batches:
             key_type, done = b.column(0).field(0).type, []
-            for k, kind, text, end in zip(b.column(0).field(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for k, kind, text, chars in zip(b.column(0).field(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 if own is missing or k != own:
                     if own is not missing:
                         done.append((own, *reader.row()))
                     own, reader = k, Reader()
-                reader.page(text) if kind == 0 else reader.reply(text, end)
+                if kind == 0:
+                    reader.page(text)
+                elif kind == 1:
+                    reader.reply(text, chars)
+                else:
+                    reader.expanded += chars
             if done:
                 yield batch(done, key_type)
         if own is not missing:

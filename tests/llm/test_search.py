@@ -70,6 +70,22 @@ def test_chat_examples_hold_all_turns_before(spark):
     assert found.examples.filter("shared_pages > 0").count() > 3
 
 
+def test_chat_report_reads_whole_prefixes(spark):
+    small = [(5, i, "user" if i % 2 else "assistant", f"{i} " + "v" * 9000) for i in range(12)] + [(6, 0, "user", "a"), (6, 1, "assistant", "b<|c")]
+    found = chat.format_conversations(spark.createDataFrame(small, TURNS))
+    texts, loss = {}, {}
+    for r in sorted(chat.expansion(found).collect(), key=lambda r: r["start"]):
+        at = (r["key"]["id"], r["n_context"])
+        assert len(texts.get(at, "")) == r["start"] and len(r["text"]) < 2 * chat.PAGE
+        texts[at], loss[at] = texts.get(at, "") + r["text"], (r["loss_start"], r["loss_end"])
+    whole = {(r["key"]["id"], r["n_context"]): r["text"] for r in chat.expanded(found).collect()}
+    assert texts == whole and all(len(texts[at]) == end for at, (_, end) in loss.items())
+    # what an example lacks, the report lacks
+    bare = chat.Formatted(found.pages, found.examples.withColumn("context", F.lit("")))
+    lost = {r["id"]: r["expanded_chars"] for r in chat.read_back(bare).collect()}
+    assert all(lost[c] < sum(len(t) for (k, _), t in whole.items() if k == c) for c in (5, 6))
+
+
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
