@@ -58,6 +58,20 @@ def by_source(sources: DataFrame, rows: Callable[[DataFrame], DataFrame], merge:
     return rows(sources.join(again, "source_id", "left_anti")).unionByName(merge(rows(sources.join(again, "source_id", "left_semi"))))
 
 
+def holding(sources: DataFrame, word: DataFrame) -> DataFrame:
+    """The sources that hold the token of ``word``, a row or none: told before they are cut into rows of tokens. ``sources`` have clean tokens.
+
+    Of a source in several rows all count, if one of them holds it; only these meet by a join.
+    """
+    named = sources.filter(F.col("source_index").isNotNull())
+    has = named.join(F.broadcast(word.select(F.col("token").alias("__held"))), F.array_contains("tokens", F.col("__held"))).drop("__held")  # one row
+    again = materialise(named.groupBy("source_index").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("source_index"), "held-again")
+    if not again.limit(1).count():
+        return has
+    more = has.join(again, "source_index", "left_semi").select("source_index")
+    return has.join(again, "source_index", "left_anti").unionByName(named.join(more, "source_index", "left_semi"))
+
+
 def word_df(sources: DataFrame, clean: bool = False) -> DataFrame:
     """token, df: how many sources hold it."""
     each = by_source(sources, lambda s: doc_tokens(s, clean).select("source_id", "token"), DataFrame.distinct)

@@ -2,6 +2,7 @@
 
 import re
 
+from driftgrove.operators import postings
 from driftgrove.functions.text import STOP_WORDS
 from driftgrove.plans import queries
 
@@ -38,3 +39,15 @@ def test_containment_compares_all_expected_words(spark, tmp_path):
     assert len(expected) == 20
     want = {(a, b): len(held[a] & held[b]) / len(held[a]) for a in expected for b in expected if held[a] & held[b]}
     assert got == want
+
+
+def test_sources_are_told_before_they_are_cut_into_tokens(spark):
+    """A source in several rows counts whole, one without an index not, and no row of tokens is joined where none comes twice."""
+    schema = "source_index long, source_id string, tokens array<string>"
+    rows = [(1, "a", ["x", "y"]), (2, "b", ["y"]), (3, "c", ["x"]), (3, "c", ["z"]), (None, None, ["x"])]
+    word = spark.createDataFrame([("x",)], "token string")
+    found = postings.holding(spark.createDataFrame(rows, schema), word)
+    assert sorted((r[0], *r[2]) for r in found.collect()) == [(1, "x", "y"), (3, "x"), (3, "z")]
+    assert postings.holding(spark.createDataFrame(rows, schema), word.limit(0)).count() == 0
+    once = postings.holding(spark.createDataFrame(rows[:2], schema), word)
+    assert [r[0] for r in once.collect()] == [1] and "SortMergeJoin" not in once._jdf.queryExecution().executedPlan().toString()
