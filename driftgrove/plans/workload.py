@@ -104,7 +104,10 @@ def fixed_state(spark: SparkSession, sf_dir: str) -> drift.State:
     top = ranks(spark, sf_dir)
     place = F.col("place")
     chosen = top.select("token", "word_id", place, F.when(place <= ROOT_WORDS, F.floor((place + 1) / 2)).otherwise(6 + F.floor((place - ROOT_WORDS - 1) / 2)).cast("int").alias("node_id"))
-    held = known_tokens(baseline(spark, sf_dir)).join(F.broadcast(chosen), "token").select("node_id", "token", "source")  # CHILD_WORDS rows
+    # sources are cut into the chosen words alone, and once for all that follows
+    line = F.broadcast(chosen.agg(F.collect_list("token").alias("__line")))  # CHILD_WORDS words in one row
+    own = baseline(spark, sf_dir).crossJoin(line).select(F.col("source_index").alias("source"), F.explode(F.array_intersect("tokens", "__line")).alias("token"))
+    held = materialise(own.join(F.broadcast(chosen), "token").select("node_id", "token", "source"), "workload-held")
     root = held.filter("node_id <= 4")
     first = root.filter("node_id = 1").select("source").distinct()
     pairs = materialise(root.unionByName(held.filter("node_id >= 6").join(first, "source", "left_semi").select("node_id", "token", "source")), "workload-pairs")
