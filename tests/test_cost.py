@@ -4,7 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from driftgrove.functions.text import STOP_WORDS, words
+from driftgrove import engine
+from driftgrove.engine import Engine
+from driftgrove.functions.text import STOP_WORDS, trim, words
 
 ODD = ["", " ", "a", "A_b9  C", "Kİ x\x00y", "--", "the the End.", "x" * 3000, "été 1,2", "z\n", None]
 
@@ -16,3 +18,13 @@ def test_words_are_matched_not_split(spark):
         all_ = re.findall("[a-z0-9_]+", (ODD[r["i"]] or "").translate(low))
         assert (r["all"], r["few"]) == (all_, [w for w in all_ if w not in STOP_WORDS])
     assert "split(" not in rows._jdf.queryExecution().analyzed().toString()
+
+
+def test_registry_of_clean_sources_trims_no_token(spark, make_sources, monkeypatch):
+    calls = []
+    monkeypatch.setattr(engine, "trim", lambda c: calls.append(c) or trim(c))
+    rows = make_sources({"a": "x y x", "b": "", "c": "z"})
+    own, plain = Engine(spark), Engine(spark)
+    got = {r["source_id"]: (r["source"], r["tokens"]) for r in own.register(rows, 0, clean=True).collect()}
+    assert not calls
+    assert got == {r["source_id"]: (r["source"], r["tokens"]) for r in plain.register(rows, 0).collect()} and calls
