@@ -616,3 +616,42 @@ def test_languages_of_all_rows_by_words(spark):
     assert by_text.langs == by_word.langs and np.array_equal(by_text.table, by_word.table)
     told = toxicity.Classifier(None, by_word, {})
     assert told.language([*texts, None]) == by_word.predict([*texts, None])[0]
+
+
+def test_toxicity_moves_labelled_texts_once(spark):
+    """Texts without a label stay where they are, none with one is lost, and no join exchanges texts."""
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    marks = docs.filter("doc_id % 50 = 0").select("doc_id", F.lit(1).alias("toxic"))
+    near = toxicity.may_have(docs, marks, 100 * toxicity.BITS)
+    ids = {r["doc_id"] for r in near.collect()}
+    assert {r["doc_id"] for r in marks.collect()} <= ids and len(ids) < 800 and near.columns == docs.columns
+    shards = toxicity.labelled(docs, marks, F.col("doc_id") % 2 / 2.0, 2, F.col("doc_id") % 100 == 0)
+    assert sorted((r["doc_id"], r["toxic"], r["held"]) for r in shards.collect()) == [(i, 1, i % 100 == 0) for i in range(0, 5000, 50)]
+
+
+def test_changes_of_weights_are_small():
+    """A shard that changes a tenth of its embeddings sends far less than their size, and loses nothing."""
+    r = np.random.default_rng(2)
+    moved = np.where(r.random((toxicity.BUCKETS, 1)) < 0.1, np.rint(r.normal(0, 0.01, (toxicity.BUCKETS, toxicity.DIM)) * toxicity.FIXED), 0).astype(np.int64)
+    packed = toxicity.pack([moved, np.array([1 << 40])])
+    assert len(packed) < moved.size and all(np.array_equal(x, y) for x, y in zip(toxicity.unpack(packed), [moved, np.array([1 << 40])], strict=True))
+
+
+def test_logits_of_texts_together(monkeypatch):
+    """Texts of any length, many together, a few at a time, or in pieces: the same scores as by plain loops."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(r.choice(["ab", "cde", "fghi", "jk", "l"], n)) for n in r.integers(0, 9, 40)]
+    cnn = toxicity.Cnn.fresh(3)
+    right = [naive_logit(cnn, t) for t in texts]
+    for piece, group, cache in ((50, 11, 4), (10**6, 10**6, 10), (1, 1, 1)):
+        for name, value in (("PIECE", piece), ("GROUP", group), ("CACHE", cache)):
+            monkeypatch.setattr(toxicity, name, value)
+        cnn.kept = None
+        assert cnn.logits(texts) == pytest.approx(right, rel=1e-4, abs=1e-5)
+    assert not len(cnn.logits([])) and cnn.logits([None, ""]) == pytest.approx([naive_logit(cnn, "")] * 2, rel=1e-4, abs=1e-5)
+
+
+def test_features_of_words_together():
+    words = ["a", "ab", "abc", "abcdefghi", "abcdefghijklmnop", "straße", "日本語テキスト", "日本語テキスト日本語テキスト", "é" * 12, "𐐨𐐩𐐪𐐫𐐬𐐭𐐮𐐯𐐰𐐱", "aé日𐐨bcdefg", "ab\ud800c"]
+    assert toxicity.features(words).tolist() == [toxicity.word_features(w) for w in words]
+    assert toxicity.features([]).shape == (0, 1 + len(toxicity.BEGINNINGS))
