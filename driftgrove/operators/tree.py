@@ -215,13 +215,14 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _level(scope: DataFrame, scopes: int, config: BuilderConfig, arrival: bool = False, wide: int = WIDE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes: scope, ord, word; refuge sources: scope, source; expected: scope, word, df, seed) of all given scopes.
+    """(nodes: scope, ord, word; held: scope, ord, refuge, source, own, rest; expected: scope, word, df, seed) of all given scopes.
 
-    Everything about a scope is an aggregate of its postings; no task gets a whole scope, but the
-    ``wide`` distinct sets of frequent words that a scope may have to be folded in one go.
+    ``scope``: scope, source, posts, a row per source. ``own`` are its words that are in the node, ``rest`` its other
+    postings. Everything about a scope is an aggregate of its sources; no task gets a whole scope, but the
+    ``wide`` distinct sets of frequent words that a scope may have to be folded in one go, and no source is exchanged.
     """
     least = config.minimum_threshold_against_max_word_count
-    words = materialise(scope.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("df"), *earliest()), "tree-words")
+    words = materialise(posts_of(scope).groupBy("scope", "word").agg(F.count(F.lit(1)).alias("df"), *earliest()), "tree-words")
     at = F.struct("first", "nth")
     first = at if arrival else F.struct((-F.col("df")).alias("d"), "first", "nth")
     lead = few(words.groupBy("scope").agg(F.min_by(F.struct("word", "df"), first).alias("lead")), scopes)
@@ -231,19 +232,32 @@ def _level(scope: DataFrame, scopes: int, config: BuilderConfig, arrival: bool =
         line = line.join(stop, "scope", "left").withColumn("ok", F.col("stop").isNull() | (at < F.col("stop")))
     expected = materialise(line.filter("ok").select("scope", "word", "df", (F.col("word") == F.col("lead.word")).alias("seed")), "tree-expected")
     n = expected.count()
-    hits = scope.select("scope", "source", "word").join(few(expected.select("scope", "word"), n), ["scope", "word"])
-    held = hits.groupBy("scope", "source").agg(F.array_sort(F.collect_list("word")).alias("pattern"))
-    held = materialise(held.groupBy("scope", "pattern").agg(F.count(F.lit(1)).alias("n")), "tree-patterns")
-    sizes = materialise(held.groupBy("scope").agg((F.count(F.lit(1)) > wide).alias("wide")), "tree-widths")
-    if sizes.filter("wide").limit(1).count():
-        big = few(sizes.filter("wide").select("scope"), scopes)
+    line = few(expected.groupBy("scope").agg(F.collect_list("word").alias("__line")), n)
+    pattern = F.array_sort(F.array_intersect(F.transform("posts", lambda p: p["word"]), "__line"))
+    met = scope.join(line, "scope").select("scope", "source", "posts", pattern.alias("pattern"))
+    held = materialise(met.filter(F.size("pattern") > 0).groupBy("scope", "pattern").agg(F.count(F.lit(1)).alias("n")), "tree-patterns")
+    sizes = held.groupBy("scope").agg(F.count(F.lit(1)).alias("patterns")).filter(F.col("patterns") > wide).select("scope")
+    if not sizes.isEmpty():
+        big = few(sizes, scopes)
         folded = fold_by_steps(held.join(big, "scope", "left_semi"), expected.join(big, "scope", "left_semi"), config.similarity_threshold)
         nodes = folded.unionByName(fold_by_scope(held.join(big, "scope", "left_anti"), expected, config.similarity_threshold))
     else:
         nodes = fold_by_scope(held, expected, config.similarity_threshold)
-    covered = hits.select("scope", "source").distinct()
-    refuge = scope.select("scope", "source").distinct().join(covered, ["scope", "source"], "left_anti")
-    return materialise(nodes, "tree-nodes"), refuge, expected
+    nodes = materialise(nodes, "tree-nodes")
+    entries = F.map_from_entries(F.collect_list(F.struct("word", "ord")))
+    node_of = few(nodes.groupBy("scope").agg(entries.alias("__node_of"), (F.max("ord") + 1).cast("int").alias("__last")), n)
+    ords = F.transform("pattern", lambda w: F.element_at("__node_of", w))
+    placed = met.join(node_of, "scope").withColumn("__ords", ords).withColumn("refuge", F.size("pattern") == 0)
+    placed = placed.withColumn("ord", F.explode(F.when(F.col("refuge"), F.array("__last")).otherwise(F.array_distinct("__ords"))))
+    own = F.transform(F.filter(F.arrays_zip("pattern", "__ords"), lambda x: x["__ords"] == F.col("ord")), lambda x: x["pattern"])
+    placed = placed.withColumn("own", own)
+    rest = F.filter("posts", lambda p: ~F.array_contains("own", p["word"]))
+    return nodes, materialise(placed.select("scope", "ord", "refuge", "source", "own", rest.alias("rest")), "tree-held"), expected
+
+
+def posts_of(scope: DataFrame) -> DataFrame:
+    """scope, source, word, first, nth of scopes with a row per source."""
+    return scope.select("scope", "source", F.explode("posts").alias("p")).select("scope", "source", "p.word", "p.first", "p.nth")
 
 
 def fold_by_scope(patterns: DataFrame, expected: DataFrame, similarity: float) -> DataFrame:
@@ -348,8 +362,9 @@ def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arriva
     spark = postings.sparkSession
     scopes = F.col("scope") if "scope" in postings.columns else F.lit(ROOT)
     root = postings.select(scopes.alias("scope"), F.col("source").cast("long").alias("source"), F.col("word").cast("int").alias("word"), F.col("first").cast("long").alias("first"), F.col("nth").cast("int").alias("nth"))
-    scope = materialise(root, "tree-scope")
-    sizes = scope.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    # a row per source from here on: a scope below has its sources with fewer words, and nothing need bring them together again
+    scope = materialise(root.groupBy("scope", "source").agg(F.collect_list(F.struct("word", "first", "nth")).alias("posts")), "tree-scope")
+    sizes = scope.groupBy("scope").agg(F.sum(F.size("posts")).alias("n"))
     parts: dict[str, list[DataFrame]] = {k: [] for k in ("nodes", "words", "sources", "pairs", "expected", "top", "edges")}
     local: list[DataFrame] = []
     known: list[DataFrame] = []
@@ -357,35 +372,31 @@ def build(postings: DataFrame, config: BuilderConfig, small: int = SMALL, arriva
         counts = sizes.agg(F.count_if(F.col("n") <= small).alias("few"), F.count_if(F.col("n") > small).alias("many")).first()
         of_size = lambda keep, n: scope.join(few(sizes.filter(keep).select("scope"), n), "scope", "left_semi")  # noqa: B023, E731
         if counts["few"]:
-            local.append(finished(of_size(F.col("n") <= small, counts["few"]) if counts["many"] else scope, config, arrival))
+            local.append(finished(posts_of(of_size(F.col("n") <= small, counts["few"]) if counts["many"] else scope), config, arrival))
         if not counts["many"]:
             break
         large = of_size(F.col("n") > small, counts["many"]) if counts["few"] else scope
-        nodes, refuge, expected = _level(large, counts["many"], config, arrival, wide)
+        nodes, held, expected = _level(large, counts["many"], config, arrival, wide)
         arrival = False
-        pairs = materialise(large.join(nodes, ["scope", "word"]).select("scope", "ord", "word", "source"), "tree-pairs")
-        last = nodes.groupBy("scope").agg((F.max("ord") + 1).cast("int").alias("ord"))
-        refuge_sources = refuge.join(last, "scope").select("scope", "ord", "source")
-        held = materialise(pairs.select("scope", "ord", "source").distinct().withColumn("refuge", F.lit(False)).unionByName(refuge_sources.withColumn("refuge", F.lit(True))), "tree-held")
-        sizes_of = held.groupBy("scope", "ord", "refuge").agg(F.count(F.lit(1)).alias("n"))
-        parts["nodes"].append(sizes_of.select("scope", "ord", "refuge"))
-        parts["words"].append(nodes.select("scope", "ord", "word").unionByName(sizes_of.filter("refuge").select("scope", "ord", F.lit(REFUGE).alias("word"))))
+        # of a node's sources and of what is below it, a digest, the same whatever their order
+        digest = lambda of: F.hex(F.bit_xor(F.aggregate("rest", F.lit(0).cast("long"), lambda a, p: a.bitwiseXOR(of(p["word"])))))
+        child = F.concat_ws("-", digest(lambda w: F.xxhash64("source", w)), digest(lambda w: F.xxhash64(w, "source", F.lit("b"))), F.sum(F.size("rest")))
+        of_nodes = materialise(held.groupBy("scope", "ord", "refuge").agg(F.count(F.lit(1)).alias("sources"), F.sum(F.size("rest")).alias("n"), child.alias("child")), "tree-edges")
+        parts["nodes"].append(of_nodes.select("scope", "ord", "refuge"))
+        parts["words"].append(nodes.select("scope", "ord", "word").unionByName(of_nodes.filter("refuge").select("scope", "ord", F.lit(REFUGE).alias("word"))))
         parts["sources"].append(held.select("scope", "ord", "source"))
-        parts["pairs"].append(pairs)
+        parts["pairs"].append(held.select("scope", "ord", F.explode("own").alias("word"), "source"))
         parts["expected"].append(expected.filter("NOT seed").select("scope", "word"))
-        grow = sizes_of.filter(F.col("n") > config.minimum_number_of_sources_to_create_branch_for_node).select("scope", "ord")
-        inside = large.join(held.drop("refuge").join(grow, ["scope", "ord"]), ["scope", "source"])
-        below = materialise(inside.join(nodes, ["scope", "ord", "word"], "left_anti").select("scope", "ord", "source", "word", "first", "nth"), "tree-below")
+        edges = of_nodes.filter((F.col("sources") > config.minimum_number_of_sources_to_create_branch_for_node) & (F.col("n") > 0)).select("scope", "ord", "n", "child")
+        grow = held.withColumnRenamed("rest", "posts").filter(F.size("posts") > 0)
+        below = grow.join(edges.select("scope", "ord"), ["scope", "ord"]).select("scope", "ord", "source", F.explode("posts").alias("p")).select("scope", "ord", "source", "p.word", "p.first", "p.nth")
         parts["top"].append(_top_words(below, nodes))
-        digest = lambda *c: F.hex(F.bit_xor(F.xxhash64(*c)))
-        made = below.groupBy("scope", "ord").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", digest("source", "word"), digest("word", "source", F.lit("b"))).alias("child"))
-        edges = materialise(made.withColumn("child", F.concat_ws("-", "child", "n")), "tree-edges")
         parts["edges"].append(edges.select("scope", "ord", "child"))
         fresh = edges.join(_union(known), "child", "left_anti") if known else edges
         chosen = materialise(fresh.groupBy("child").agg(F.min(F.struct("scope", "ord")).alias("of"), F.any_value("n").alias("n")).select("child", "of.scope", "of.ord", "n"), "tree-chosen")
         known.append(chosen.select("child"))
         sizes = chosen.select(F.col("child").alias("scope"), "n")
-        scope = below.join(few(chosen.select("child", "scope", "ord"), chosen.count()), ["scope", "ord"]).select(F.col("child").alias("scope"), "source", "word", "first", "nth")
+        scope = grow.join(few(chosen.select("child", "scope", "ord"), chosen.count()), ["scope", "ord"]).select(F.col("child").alias("scope"), "source", "posts")
     if local:
         held = materialise(_union(local), "tree-local")
         parts["nodes"].append(held.select("scope", "ord", "refuge"))

@@ -169,3 +169,24 @@ def test_numbers_over_many_partitions(spark):
 def test_no_sources(spark, make_sources):
     nodes, hkts, expected = built(spark, make_sources({"s1": ""}))
     assert (nodes, hkts, expected) == ({}, {}, {})
+
+
+def test_levels_exchange_no_source(spark):
+    """Below the root a level's sources are rows with all their postings, told apart where they lie: the plan of what a level writes of them exchanges none."""
+    rows = spark.range(40).select(F.lit("root").alias("scope"), F.col("id").alias("source"), F.expr("transform(sequence(0, 5), i -> struct(cast((id * (i + 1)) % 7 as int) * 6 + i as word, id as first, cast(i as int) as nth))").alias("posts"))
+    nodes, held, _ = tr._level(rows, 1, BuilderConfig(0.3, 0.5, 3))
+    of = {(r["ord"], w) for r in held.collect() for w in r["own"]}
+    assert of == {(r["ord"], r["word"]) for r in nodes.collect()}
+    for r in held.collect():
+        assert r["refuge"] == (not r["own"]) and len(r["own"]) + len(r["rest"]) == 6
+        assert not {p["word"] for p in r["rest"]} & {w for o, w in of if o == r["ord"]}
+    written = []
+    real = tr.materialise
+    tr.materialise = lambda df, name: written.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name)
+    try:
+        tr._level(rows, 1, BuilderConfig(0.3, 0.5, 3))
+    finally:
+        tr.materialise = real
+    plan = next(p for name, p in written if name == "tree-held")
+    # the only aggregates are those of words by scope, which are broadcast
+    assert plan.count("Aggregate [scope") == plan.count("Aggregate [") == 2 and "source" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
