@@ -655,3 +655,38 @@ def test_features_of_words_together():
     words = ["a", "ab", "abc", "abcdefghi", "abcdefghijklmnop", "straße", "日本語テキスト", "日本語テキスト日本語テキスト", "é" * 12, "𐐨𐐩𐐪𐐫𐐬𐐭𐐮𐐯𐐰𐐱", "aé日𐐨bcdefg", "ab\ud800c"]
     assert toxicity.features(words).tolist() == [toxicity.word_features(w) for w in words]
     assert toxicity.features([]).shape == (0, 1 + len(toxicity.BEGINNINGS))
+
+
+def test_toxicity_of_shards_makes_all_passes(spark, monkeypatch):
+    """Several shards go over all their rows as often as a single one; they once made half the passes."""
+    seen, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: seen.append(x) or broadcast(x))
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "some vile word").otherwise("some kind word").alias("text"), F.lit("en").alias("lang"))
+    toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")), shard=30)
+    assert sum(isinstance(x, tuple) and isinstance(x[0], toxicity.Cnn) for x in seen) == toxicity.EPOCHS
+
+
+def test_gradients_of_texts_together(monkeypatch):
+    """Short texts of a step go through together, long ones each in pieces, with the same places and gradients."""
+    cnn, texts = toxicity.Cnn.fresh(5), ["b a b a b", "", "one", "a long text of several words and a long text of several words", "x y"]
+    rows = toxicity.Prepared.of(texts, [1, 0, 1, 0, 0])
+    together = cnn.gradients(rows.table, rows.docs(), rows.labels, 2.0)
+    monkeypatch.setattr(toxicity, "PIECE", 4)
+    apart = cnn.gradients(rows.table, rows.docs(), rows.labels, 2.0)
+    for x, y in zip((*together[0], *together[1:]), (*apart[0], *apart[1:]), strict=True):
+        assert np.allclose(x, y, rtol=1e-5, atol=1e-7)
+    one = [cnn.gradients(rows.table, [d], [y], 2.0) for d, y in zip(rows.docs(), rows.labels, strict=True)]
+    for k in range(len(toxicity.WIDTHS)):
+        assert np.allclose(sum(x[0][k] for x in one), together[0][k], rtol=1e-4, atol=1e-6)
+
+
+def test_judge_is_language_and_logit(monkeypatch):
+    """A word looked up once for both gives what either gives alone, also for texts longer than a piece."""
+    by_word = langid.Filters.build(["a", "b"], {int(g): 1 + k % 3 for k, g in enumerate(langid.grams([" red dog has big feet "])[0])})
+    texts = ["red dog", "", None, "123", "big feet has red dog " * 9, "dog"]
+    told = toxicity.Classifier(toxicity.Cnn.fresh(3), by_word, {"": 0.0})
+    for piece in (10**6, 20):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        told.kept = told.cnn.kept = None
+        langs, z = told.judge(texts)
+        assert langs == by_word.predict(texts)[0] and z == pytest.approx(told.cnn.logits(texts), rel=1e-5, abs=1e-6)
