@@ -5,13 +5,16 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrove.functions import text as tx
-from driftgrove.tables import materialise, numbered, write_in_order
+from driftgrove.tables import materialise, numbered, small_batches, write_in_order
 
 SOURCE = T.StructType(
     [
@@ -56,56 +59,152 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
 def read_split(spark: SparkSession, path: str) -> DataFrame:
     """The sources of one large JSON document, {batch_index, sources} or an array of sources, read by as many tasks as its size asks for.
 
-    The text is read in pieces that end with ``}``, which Spark splits by byte ranges. Whether a piece begins
-    inside a string, how deep, and in which source, follow from sums over the pieces before it: within a
-    range, then over ranges. Pieces of a source are put together and parsed; no row holds more than a source.
+    The text is read in pieces that end with ``}``, which Spark splits by byte ranges. A first reading tells of each
+    range what it does to a string and to the depth, whether it begins in a string or not; sums over the ranges then
+    tell where each begins. A source within a range is put together by the task that reads it. Only those at the ends of
+    ranges are exchanged, and no text but theirs is written; no row holds more than a source.
     source_index is the place in a batch, and for a bare array the order of source_id, as in ``read_batch``.
     """
-    lines = spark.read.option("lineSep", "}").text(path)
+    small_batches(spark)
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):  # else the ranges change with the number of executors
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     meta = lambda c: F.col(f"_metadata.{c}")
-    held = lines.select(meta("file_path").alias("file"), meta("file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.concat("value", F.lit("}")).alias("text"))
-    bare = F.regexp_replace("text", r"\\.", "")  # without escaped characters
-    outside = lambda s: F.regexp_replace(s, '"[^"]*("|$)', "")
-    opened = lambda s: F.char_length(s) - F.char_length(F.translate(s, "{[", ""))
-    closed = lambda s: F.char_length(s) - F.char_length(F.translate(s, "}]", ""))
-    deeper = lambda s: opened(s) - closed(s)
-    held = held.withColumn("bare", bare).select(
-        "file", "block", "at", "text", ((F.char_length("bare") - F.char_length(F.translate("bare", '"', ""))) % 2).alias("odd"),
-        deeper(outside(F.col("bare"))).alias("plain"), deeper(outside(F.concat(F.lit('"'), "bare"))).alias("quoted"),
-    )
-    held = materialise(held, "json-pieces")
-    held = _sums(held, "odd", "quotes")
-    inside = F.col("quotes") % 2 == 1
-    held = _sums(materialise(held.withColumn("step", F.when(inside, F.col("quoted")).otherwise(F.col("plain"))), "json-strings"), "step", "depth")
-    level = F.when(F.col("head").startswith("["), 1).otherwise(2)
-    head = held.groupBy("file").agg(F.ltrim(F.min_by(F.substring("text", 1, 1000), F.struct("block", "at"))).alias("head"))  # a row per file
-    after = F.col("depth") + F.col("step")
-    ends = ((F.col("quotes") + F.col("odd")) % 2 == 0) & (after == level)
-    held = held.join(F.broadcast(head), "file").withColumn("ends", ends.cast("int")).withColumn("array", F.col("head").startswith("["))
-    held = _sums(materialise(held, "json-depths"), "ends", "place")
-    whole = held.groupBy("file", "array", "place").agg(F.array_sort(F.collect_list(F.struct("block", "at", "text"))).alias("parts"), F.max("ends").alias("ended"))
-    whole = materialise(whole.select("file", "array", "place", "ended", F.array_join("parts.text", "").alias("text")), "json-sources")
+    lines = spark.read.option("lineSep", "}").text(path)
+    pieces = lines.select(meta("file_path").alias("file"), meta("file_block_start").alias("block"), F.concat("value", F.lit("}")).alias("text"))
+    ranges = pieces.mapInArrow(_told_ranges, RANGE).collect()  # two rows per byte range
+    starts = _starts(ranges)
+    edge = "file string, block long, at long, array boolean, place long, ended int, text string"
+    edges = materialise(pieces.mapInArrow(functools.partial(_edges, starts), edge), "json-edges")
+    whole = edges.groupBy("file", "array", "place").agg(F.array_sort(F.collect_list(F.struct("block", "at", "text"))).alias("parts"), F.max("ended").alias("ended"))
+    whole = whole.select("file", "array", "place", "ended", F.array_join("parts.text", "").alias("text"))
     # what is before the first source and after the last one belongs to the document
     frame = F.when(F.col("ended") == 0, F.col("text")).otherwise(F.regexp_extract("text", r'(?s)^(.*?"sources"\s*:\s*\[)', 1))
     found = F.regexp_extract(frame, r'"batch_index"\s*:\s*(-?[0-9]+)', 1)
     batch = whole.filter("NOT array AND (place = 0 OR ended = 0)").groupBy("file").agg(F.max(F.nullif(found, F.lit(""))).cast("long").alias("batch_index"))
     own = F.when((F.col("place") == 0) & ~F.col("array"), F.regexp_replace("text", r'(?s)^.*?"sources"\s*:\s*\[', "")).otherwise(F.col("text"))
-    parsed = F.from_json(F.regexp_replace(own, r"^[\s,\[]+", ""), SOURCE)
-    rows = whole.filter("ended = 1").select("file", "array", F.col("place").cast("long").alias("source_index"), parsed.alias("s"))
+    rows = whole.filter("ended = 1").select("file", "array", "place", own.alias("text"))
+    rows = rows.unionByName(pieces.mapInArrow(functools.partial(_inner, starts), "file string, array boolean, place long, text string"))
+    parsed = F.from_json(F.regexp_replace("text", r"^[\s,\[]+", ""), SOURCE)
+    rows = rows.select("file", "array", F.col("place").alias("source_index"), parsed.alias("s"))
     inner = [F.col(f"s.{c}").alias(c) for c in SOURCE.names if c != "batch_index"]
     wrapped = rows.filter("NOT array").join(F.broadcast(batch), "file", "left").select("batch_index", "source_index", *inner)  # a row per file
+    if not any(array for array, *_ in starts.values()):
+        return wrapped
     bare_rows = rows.filter("array").select("s.*").filter("source_id IS NOT NULL")
     return wrapped.unionByName(numbered(bare_rows, ["source_id"], "source_index", 0).select(*wrapped.columns))
 
 
-def _sums(pieces: DataFrame, value: str, name: str) -> DataFrame:
-    """``pieces`` (file, block, at) with ``name``: the sum of ``value`` over all pieces of the file before, by blocks and within them."""
-    earlier = (Window.unboundedPreceding, -1)
-    own = F.coalesce(F.sum(value).over(Window.partitionBy("file", "block").orderBy("at").rowsBetween(*earlier)), F.lit(0))
-    blocks = pieces.groupBy("file", "block").agg(F.sum(value).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(*earlier)), F.lit(0))
-    starts = F.broadcast(blocks.select("file", "block", before.alias("__before")))  # a row per byte range
-    return pieces.withColumn(name, own).join(starts, ["file", "block"]).withColumn(name, F.col(name) + F.col("__before")).drop("__before")
+#: What a byte range does if it begins ``inside`` a string or not: ``odd`` quotes, ``step`` deeper; ``ends``: pieces that end outside strings, by depth.
+RANGE = "file string, block long, inside int, odd int, step long, head string, ends array<struct<depth:long,n:long,first:long,last:long>>"
+
+
+def _steps(text: str) -> tuple[int, int, int]:
+    """(whether the quotes are odd, depth gained if the text begins outside a string, and inside one)."""
+    parts = re.sub(r"\\.", "", text).split('"') if "\\" in text else text.split('"')
+    deeper = lambda s: s.count("{") + s.count("[") - s.count("}") - s.count("]")
+    return (len(parts) - 1) % 2, deeper("".join(parts[::2])), deeper("".join(parts[1::2]))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], int, str] | None]:
+    """((file, block), number within it, text) of a task's pieces in order; None after each batch."""
+    key, at = None, 0
+    for b in batches:
+        for *own, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            own = tuple(own)
+            key, at = own, (at + 1 if own == key else 0)
+            yield key, at, text
+        yield None
+
+
+def _told_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["file", "block", "inside", "odd", "step", "head", "ends"]
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("depth", "n", "first", "last")]))
+    key, head, odd, depth, ends = None, "", 0, [0, 0], [{}, {}]
+
+    def row() -> Iterator[pa.RecordBatch]:
+        if key is not None:
+            told = [[{"depth": d, "n": n, "first": first, "last": last} for d, (n, first, last) in x.items()] for x in ends]
+            columns = [[key[0]] * 2, [key[1]] * 2, [0, 1], [odd] * 2, depth, [head] * 2, told]
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), kind]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    for piece in _pieces(batches):
+        if piece is None:
+            continue
+        own, at, text = piece
+        if own != key:
+            yield from row()
+            key, head, odd, depth, ends = own, text[:1000].lstrip(), 0, [0, 0], [{}, {}]
+        turns, *steps = _steps(text)
+        for inside in (0, 1):
+            depth[inside] += steps[inside ^ odd]
+        odd ^= turns
+        # outside now is what began outside with even quotes, or inside with odd ones
+        n, first, _ = ends[odd].get(depth[odd], (0, at, at))
+        ends[odd][depth[odd]] = (n + 1, first, at)
+    yield from row()
+
+
+def _starts(ranges: list[Row]) -> dict[tuple[str, int], tuple[bool, int, int, int, int]]:
+    """By byte range: (whether its file is an array, the place of the source that it begins in, how many sources end in it, the first piece that ends one, the last)."""
+    files: dict[str, dict[int, dict[int, Row]]] = {}
+    for r in ranges:
+        files.setdefault(r["file"], {}).setdefault(r["block"], {})[r["inside"]] = r
+    out = {}
+    for file, blocks in files.items():
+        array = blocks[min(blocks)][0]["head"].startswith("[")
+        inside = depth = place = 0
+        for block in sorted(blocks):
+            r = blocks[block][inside]
+            n, first, last = next(((x["n"], x["first"], x["last"]) for x in r["ends"] if x["depth"] == (1 if array else 2) - depth), (0, -1, -1))
+            out[file, block] = (array, place, n, first, last)
+            inside, depth, place = inside ^ r["odd"], depth + r["step"], place + n
+    return out
+
+
+def _edges(starts: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of sources that a byte range may have only a part of, and of what is no source."""
+    rows: list[tuple] = []
+    for piece in _pieces(batches):
+        if piece is None:
+            if rows:
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.string()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "at", "array", "place", "ended", "text"])
+            rows = []
+            continue
+        key, at, text = piece
+        array, place, n, first, last = starts[key]
+        if not n or at <= first:
+            rows.append((*key, at, array, place, int(n > 0 and at == first), text))
+        elif at > last:
+            rows.append((*key, at, array, place + n, 0, text))
+
+
+def _inner(starts: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sources that are whole within a byte range, but its first."""
+    rows: list[tuple] = []
+    parts, depth, odd, done = [], 0, 0, 0
+    for piece in _pieces(batches):
+        if piece is None:
+            if rows:
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.string(), pa.bool_(), pa.int64(), pa.string()], strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "array", "place", "text"])
+            rows = []
+            continue
+        key, at, text = piece
+        array, place, n, first, last = starts[key]
+        if not n or at > last or at < first:
+            continue
+        if at == first:
+            parts, depth, odd, done = [], 0, 0, 1
+            continue
+        turns, *steps = _steps(text)
+        depth, odd = depth + steps[odd], odd ^ turns
+        parts.append(text)
+        if not odd and not depth:
+            rows.append((key[0], array, place + done, "".join(parts)))
+            parts, done = [], done + 1
 
 
 def write_batch_document(sources: DataFrame, path: str) -> None:

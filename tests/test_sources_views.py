@@ -12,6 +12,7 @@ from driftgrove.engine import Engine, save_json
 from driftgrove.functions import text as tx
 from driftgrove.operators import postings as po
 from driftgrove.operators import export, views
+from driftgrove import tables
 from driftgrove.tables import numbered
 from driftgrove.sources import batches, timeline
 from driftgrove.streaming.stream import StreamedEngine, file_stream
@@ -292,3 +293,22 @@ def test_command_line(spark, make_sources, tmp_path, capsys):
     assert [r["tokens"] for r in batches.read_batch(spark, str(tmp_path / "lines")).collect()] == [["storm", "coast"]]
     assert main(["from-csv", str(table), str(tmp_path / "csv.json")]) == 0
     assert json.load(open(tmp_path / "csv.json"))["sources"][0]["tokens"] == ["storm", "coast"]
+
+
+def test_one_large_document_is_written_and_read_without_further_copies(spark, make_sources, tmp_path, monkeypatch):
+    """Of the text only the sources at the ends of byte ranges are written again, once, and nothing that was exchanged or put together stays."""
+    written, materialise = [], batches.materialise
+    monkeypatch.setattr(batches, "materialise", lambda df, name: written.append((name, materialise(df, name))) or written[-1][1])
+    path, at = f"file://{tmp_path}/b.json", f"{tables.shared_dir(spark).removeprefix('file://')}"
+    before = set(os.listdir(at))
+    batches.write_batch_document(make_sources({f"s{i:04d}": 'w%d } "{ x' % i for i in range(500)}), path)
+    assert not set(os.listdir(at)) - before
+    whole = os.path.getsize(f"{tmp_path}/b.json")
+    assert len(json.loads((tmp_path / "b.json").read_text())["sources"]) == 500
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    found = batches.read_split(spark, path)
+    rows = sorted((r["source_index"], r["source_id"], *r["tokens"]) for r in found.collect())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == [(i, f"s{i:04d}", f"w{i}", "}", '"{', "x") for i in range(500)]
+    assert [name for name, _ in written] == ["json-edges"]
+    assert 0 < sum(len(r["text"]) for r in written[0][1].collect()) < whole / 5
